@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factline.llm import decontaminate, jaccard, licenses, lm_score, mixing, pii, quality_rules, secrets
+from factline.llm import decontaminate, jaccard, licenses, lm_score, mixing, pii, quality_rules, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +42,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_pii, op5_secret_scan, op7_quality_rules, op8_mixing, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_pii, op5_secret_scan, op7_quality_rules, op8_mixing, op9_warc_zip, op10_lm_score)}
 
 #: DuckDB SQL for the same rows.
 ORACLES: dict[str, str] = {}
