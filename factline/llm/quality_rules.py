@@ -154,6 +154,12 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, estimates: list[tu
     return df.select(*kept, *[_m(m).alias(m) for m in keep_measures], F.col("q7_alive").alias("kept"))
 
 
+def only_kept(judged: DataFrame) -> DataFrame:
+    """The rows of cascade() with `kept`. The condition is made to depend on rand(), so that the optimizer leaves it
+    above the measures: pushed below them it would repeat their expressions, once more for each rule."""
+    return judged.where(F.when(F.rand() >= 0, F.col("kept")))
+
+
 def base_failed() -> Column:
     """The base verdict, from the measures n_words and n_repeat_words."""
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

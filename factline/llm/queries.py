@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factline.llm import decontaminate, jaccard, licenses, lm_score, mixing, pii, quality_rules, secrets, warc
+from factline.llm import cotraining, decontaminate, jaccard, licenses, lm_score, mixing, pii, quality_rules, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,19 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score and kept by `quality`, toxic_score and toxic by `toxic`."""
+    scored = cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ("quality", "toxic"))
+    return scored.select(
+        "doc_id", F.col("quality_content").alias("content_score"), F.col("quality_metadata").alias("metadata_score"), F.col("quality_score").alias("score"),
+        F.col("quality_above").alias("kept"), "toxic_score", (F.col("toxic_score") >= 0.5).alias("toxic"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     judged = quality_rules.cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_measures=base)
-    return judged.select("doc_id", *base, quality_rules.base_failed().alias("base_failed"), F.col("kept") & ~quality_rules.base_failed().alias("kept")).toDF("doc_id", *base, "base_failed", "kept")
+    return judged.select("doc_id", *base, quality_rules.base_failed().alias("base_failed"), "kept")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +60,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_pii, op5_secret_scan, op7_quality_rules, op8_mixing, op9_warc_zip, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_pii, op5_secret_scan, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_warc_zip, op10_lm_score)}
 
 #: DuckDB SQL for the same rows.
 ORACLES: dict[str, str] = {}
