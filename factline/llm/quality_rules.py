@@ -155,9 +155,9 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, estimates: list[tu
 
 
 def only_kept(judged: DataFrame) -> DataFrame:
-    """The rows of cascade() with `kept`. The condition is made to depend on rand(), so that the optimizer leaves it
-    above the measures: pushed below them it would repeat their expressions, once more for each rule."""
-    return judged.where(F.when(F.rand() >= 0, F.col("kept")))
+    """The rows of cascade() with `kept`. A column of rand() keeps the optimizer from pushing the condition below the
+    measures, where it would repeat their expressions inside one another."""
+    return judged.withColumn("q7_guard", F.rand()).where(F.col("kept") & (F.col("q7_guard") >= 0)).drop("q7_guard")
 
 
 def base_failed() -> Column:
