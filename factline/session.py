@@ -18,6 +18,7 @@ def build_session(app: str = "factline", master: str = "local[*]", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return SparkSession.builder.appName(app).master(master).config(map=settings).getOrCreate()
 
