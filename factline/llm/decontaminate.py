@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factline.llm.text import ALNUM, Words, alnum_words, blocks
+from factline.session import durable
 
 WIDTH = 10
 BROADCAST_WINDOWS = 4_000_000  # about 1 GB as Python objects at ten words each; a bound, not a sample
@@ -98,7 +99,8 @@ def join_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
     Only occurring windows come back to a document, so what is gathered per document is bounded by its own words.
     """
     lengths = [r[0] for r in found.select(F.size("window")).distinct().collect()]  # at most `width` values
-    rows = docs.select("doc_id", alnum_words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
+    # written once, so that all uses see the same row numbers
+    rows = durable(docs.select("doc_id", alnum_words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id()), "windows")
     entry = lambda n: lambda i: F.struct(i.alias("i"), F.slice("w", i + 1, n).alias("window"))
     starts = lambda n: F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
     none = F.array().cast("array<struct<i:int,window:array<string>>>")
