@@ -33,6 +33,7 @@ from factline.session import durable, shared_path
 
 LEAST_SHARED_BYTES = 1000
 PACKAGE_BYTES = 128_000_000
+RANGE_BYTES = 4_000_000  # of a package, read by one task
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 DATE = "2024-01-01T00:00:00Z"  # tables of pages carry no capture time
@@ -107,24 +108,24 @@ class _Package:
         self.lines.append(f"{(url or '-').translate({i: '%' for i in range(33)})} {DATE} " + json.dumps({"filename": MEMBER, "offset": self.size, "length": len(data), "digest": f"sha1:{digest}"}))
         self.size += len(data)
 
-    def close(self) -> tuple[str, int]:
+    def close(self) -> tuple[str, int, int]:
         self.member.close()
         self.zip.writestr(INDEX, "\n".join(self.lines) + "\n")
         self.zip.writestr("datapackage.json", json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"path": MEMBER}, {"path": INDEX}]}))
         self.zip.close()
         self.out.close()
         self.fs.move(self.temporary, self.final)
-        return self.final, len(self.lines)
+        return self.final, len(self.lines), self.size
 
 
 def write_packages(typed: DataFrame, uri: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """(path, records) of the packages that hold the rows of with_types()."""
+    """(path, records, bytes) of the packages that hold the rows of with_types()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = arrow_fs.FileSystem.from_uri(uri)
         fs.create_dir(folder, recursive=True)
         open_: _Package | None = None
-        done: list[tuple[str, int]] = []
+        done: list[tuple[str, int, int]] = []
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if open_ is None:
@@ -135,9 +136,10 @@ def write_packages(typed: DataFrame, uri: str, package_bytes: int = PACKAGE_BYTE
                     open_ = None
         if open_:
             done.append(open_.close())
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "records"])
+        kinds = {"path": pa.string(), "records": pa.int64(), "bytes": pa.int64()}
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
-    return typed.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string, records long")
+    return typed.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string, records long, bytes long")
 
 
 def zip_members(read, size: int) -> dict[str, tuple[int, int, int]]:
@@ -204,8 +206,8 @@ def record_ranges(packages: DataFrame, uri: str) -> DataFrame:
     return packages.select("path").mapInArrow(run, "path string, offset long, length long")
 
 
-def read_records(ranges: DataFrame, uri: str) -> DataFrame:
-    """RECORD for each range."""
+def read_records(ranges: DataFrame, uri: str, parts: int) -> DataFrame:
+    """RECORD for each range, read in `parts` tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = arrow_fs.FileSystem.from_uri(uri)
@@ -220,7 +222,7 @@ def read_records(ranges: DataFrame, uri: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in RECORD.split(", ")])
 
     # neighbouring ranges of a package stay together, packages are spread
-    dealt = ranges.repartition(F.col("path"), F.floor(F.col("offset") / 16_000_000)).sortWithinPartitions("path", "offset")
+    dealt = ranges.repartition(parts, F.col("path"), F.floor(F.col("offset") / RANGE_BYTES)).sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(run, RECORD)
 
 
@@ -228,4 +230,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write `pages` as packages in the shared folder and read every record back."""
     uri = shared_path(pages.sparkSession, "warc")
     packages = durable(write_packages(with_types(pages), uri), "packages")
-    return read_records(record_ranges(packages, uri), uri)
+    size = packages.agg(F.sum("bytes")).collect()[0][0] or 0
+    return read_records(record_ranges(packages, uri), uri, max(1, -(-size // (2 * RANGE_BYTES))))
