@@ -71,7 +71,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """
     made = ("size", "source_size", "target", "taken", "position")
     kept = [c for c in docs.columns if c not in made] if carry else ["doc_id"]
-    key = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
+    # 40 bits of md5, which other engines also have
+    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 10), 16, 10).cast("long")
     rows = docs.select("doc_id", "source", F.col("text") if carry else F.lit(None).cast("string").alias("text"), *[c for c in kept if c not in ("doc_id", "source", "text")], word_count(F.col("text")).alias("size"), key.alias("key"))
     sized = durable(rows if carry else rows.drop("text"), "mix")
     n = sized.count()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factline.llm import cotraining, decontaminate, jaccard, licenses, lm_score, mixing, pii, quality_rules, secrets, warc
+from factline.llm.sql import ORACLES as ORACLES  # DuckDB SQL for the same rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """In the order of training positions."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("position")
 
 
 def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +59,8 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"))
+    scored = lm_score.score(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_pii, op5_secret_scan, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_warc_zip, op10_lm_score)}
-
-#: DuckDB SQL for the same rows.
-ORACLES: dict[str, str] = {}
