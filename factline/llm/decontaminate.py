@@ -93,20 +93,30 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, RESULT)
 
 
-def join_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """As scan(), for benchmarks beyond the bound: windows of both sides meet in a shuffle join on their words.
-
-    Only occurring windows come back to a document, so what is gathered per document is bounded by its own words.
-    """
+def _hits(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, items, at): each occurrence of a window in `rows` (row, w), by a shuffle join on its words; `at` are the
+    positions of its words."""
     lengths = [r[0] for r in found.select(F.size("window")).distinct().collect()]  # at most `width` values
-    # written once, so that all uses see the same row numbers
-    rows = durable(docs.select("doc_id", alnum_words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id()), "windows")
     entry = lambda n: lambda i: F.struct(i.alias("i"), F.slice("w", i + 1, n).alias("window"))
     starts = lambda n: F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
     none = F.array().cast("array<struct<i:int,window:array<string>>>")
     at = F.concat(none, *[F.transform(starts(n), entry(n)) for n in lengths])
     exploded = rows.select("row", F.explode(at).alias("x")).select("row", "x.i", "x.window")
-    hits = exploded.join(found, "window").select("row", "items", F.sequence("i", F.col("i") + F.size("window") - 1).alias("at"))
+    return exploded.join(found, "window").select("row", "items", F.sequence("i", F.col("i") + F.size("window") - 1).alias("at"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with `row`, written once, so that all uses see the same numbers."""
+    return durable(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def join_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """As scan(), for benchmarks beyond the bound: windows of both sides meet in a shuffle join.
+
+    Only occurring windows come back to a document, so what is gathered per document is bounded by its own words.
+    """
+    rows = _numbered(docs.select("doc_id", alnum_words(F.col("text")).alias("w")))
+    hits = durable(_hits(rows, found), "hits")
     words = hits.select("row", F.explode("at").alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     items = hits.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     out = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words")).join(words, "row", "left").join(items, "row", "left")
@@ -117,44 +127,65 @@ def join_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def _cut(raw: bytes, words: Words, d: int, hit: np.ndarray, whole_above: float) -> str | None:
+    """Text d of `words` without its hit words and what stands between words of one run; None if too many are hit."""
+    if hit.sum() > whole_above * len(hit):
+        return None
+    base, first = words.offsets[d], words.first[d]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    out, at = [], 0
+    for a, b in zip(edge[::2], edge[1::2]):
+        out.append(raw[at : words.start[first + a] - base])
+        at = int(words.end[first + b - 1] - base)
+    return b"".join([*out, raw[at:]]).decode()
+
+
+def _changed(batch: pa.RecordBatch, changed: dict[int, str | None], columns: list[str]) -> pa.RecordBatch:
+    """The batch's `columns` with changed texts and their n_chars; rows whose text is None go."""
+    out = []
+    for name in columns:
+        column = batch.column(name)
+        if changed and name in ("text", "n_chars"):
+            values = column.to_pylist()
+            for i, t in changed.items():
+                values[i] = t if name == "text" else len(t or "")
+            column = pa.array(values, column.type)
+        out.append(column)
+    keep = np.ones(batch.num_rows, bool)
+    keep[[i for i, t in changed.items() if t is None]] = False
+    return pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(keep))
+
+
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, whole_above: float = 0.5, most: int = BROADCAST_WINDOWS) -> DataFrame:
     """`docs` without what `benchmark` holds: documents with more than `whole_above` of their words hit go, in others
     the hit words and all that stands between words of one hit run are cut out and n_chars follows. The columns stay.
     """
-    found = windows(benchmark, width)
+    found, names = windows(benchmark, width), docs.columns
     held = found.limit(most + 1).collect()
-    if len(held) > most:
-        raise ValueError(f"more than {most} windows: use join_windows() and drop whole documents, or raise the bound")
-    known = docs.sparkSession.sparkContext.broadcast(_index([(r["window"], r["items"]) for r in held]))
-    text_at = docs.columns.index("text")
-    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    if len(held) <= most:
+        known = docs.sparkSession.sparkContext.broadcast(_index([(r["window"], r["items"]) for r in held]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+                changed = {i: _cut(raw[i], words, d, hit, whole_above) for i, words, d, hit, _ in _find(raw, known.value) if hit.any()}
+                yield _changed(batch, changed, names)
+
+        return docs.mapInArrow(run, docs.schema)
+
+    rows = _numbered(docs)
+    hits = _hits(rows.select("row", alnum_words(F.col("text")).alias("w")), found)
+    marked = hits.select(F.col("row").alias("hit_row"), F.explode("at").alias("at")).groupBy("hit_row").agg(F.collect_set("at").alias("hit_at"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            raw = [t.encode() if t is not None else None for t in texts]
-            keep = np.ones(len(texts), bool)
-            changed: dict[int, str] = {}
-            for i, words, d, hit, _ in _find(raw, known.value):
-                if not hit.any():
-                    continue
-                if hit.sum() > whole_above * len(hit):
-                    keep[i] = False
-                    continue
-                base, first = words.offsets[d], words.first[d]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                out, at = [], 0
-                for a, b in zip(edge[::2], edge[1::2]):
-                    out.append(raw[i][at : words.start[first + a] - base])
-                    at = int(words.end[first + b - 1] - base)
-                changed[i] = b"".join([*out, raw[i][at:]]).decode()
-            columns = list(batch.columns)
-            if changed:
-                new = [changed.get(i, t) for i, t in enumerate(texts)]
-                columns[text_at] = pa.array(new, batch.schema.field(text_at).type)
-                if chars_at is not None:
-                    n = batch.column(chars_at).to_pylist()
-                    columns[chars_at] = pa.array([len(new[i]) if i in changed else n[i] for i in range(len(n))], batch.schema.field(chars_at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+            changed = {}
+            for i, (text, at) in enumerate(zip(batch.column("text").to_pylist(), batch.column("hit_at").to_pylist())):
+                if at:
+                    words = Words([text.encode()], ALNUM)
+                    hit = np.zeros(len(words.hash), bool)
+                    hit[at] = True
+                    changed[i] = _cut(text.encode(), words, 0, hit, whole_above)
+            yield _changed(batch, changed, names)
+
+    return rows.join(marked, F.col("row") == F.col("hit_row"), "left").select(*names, "hit_at").mapInArrow(cut, docs.schema)

@@ -69,9 +69,10 @@ def test_decontamination(docs, by_id, benchmark, most):
     assert got == {k: plain.contamination(t, items) for k, t in by_id}
 
 
-def test_decontamination_removes(docs, by_id, benchmark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_decontamination_removes(docs, by_id, benchmark, most):
     table, items = benchmark
-    out = decontaminate.remove(docs, table)
+    out = decontaminate.remove(docs, table, most=most)
     assert out.columns == docs.columns
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     for k, t in by_id:
