@@ -20,8 +20,11 @@ def name_vector(name: Column, dimensions: int = DIMENSIONS) -> Column:
 
 
 def unit(v: Column) -> Column:
+    """v with norm 1, or zeros. The norm is bound in a struct first: inside the inner function it would be computed
+    again for each element."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    scale = lambda p: F.transform(p["v"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(0.0))
+    return F.get(F.transform(F.array(F.struct(v.alias("v"), norm.alias("n"))), scale), F.lit(0))
 
 
 def entity_vectors(facts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -57,3 +60,45 @@ def graph_scores(entities: DataFrame, queries: DataFrame, top: int = 20, dimensi
     rank = F.row_number().over(Window.partitionBy("subject", "relation").orderBy(F.desc("score"), "entity"))
     best = scored.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
     return queries.select("query_id", "subject", "relation").join(best, ["subject", "relation"]).select("query_id", "entity", "score")
+
+
+def margin_loss(facts: DataFrame, entities: DataFrame, negatives: int, seed: int, margin: float) -> DataFrame:
+    """(subject, object, other, n, s, o, x, q, loss): each distinct fact with `negatives` entities drawn by hash, and
+    by how much the margin is missed: max(0, margin - q.o + q.x) with q = subject + relation."""
+    from factline.operators.lookup import vocabulary
+    from factline.operators.paths import draw
+
+    names = vocabulary(facts, "subject", "object")
+    total = names.agg(F.count("*").alias("total"))
+    by = facts.groupBy("subject", "relation", "object").agg(F.count("*").alias("n"))
+    drawn = by.join(total).select("*", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("i"))
+    drawn = drawn.withColumn("id", F.conv(F.substring(draw(seed, "subject", "relation", "object", "i"), 1, 12), 16, 10).cast("long") % F.col("total"))
+    drawn = drawn.join(names.withColumnRenamed("value", "other"), "id").where("other <> object")
+    vec = lambda as_name, v: entities.select(F.col("name").alias(as_name), F.col("vector").alias(v))
+    rows = drawn.join(vec("subject", "s"), "subject").join(vec("object", "o"), "object").join(vec("other", "x"), "other")
+    rows = rows.withColumn("q", F.zip_with("s", name_vector(F.col("relation"), DIMENSIONS), lambda a, b: a + b))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+    return rows.withColumn("loss", F.greatest(F.lit(0.0), margin - dot("q", "o") + dot("q", "x")))
+
+
+def train(facts: DataFrame, entities: DataFrame, epochs: int = 3, rate: float = 0.5, negatives: int = 3, margin: float = 0.5, seed: int = 42) -> DataFrame:
+    """`entities` after `epochs` of full-batch gradient steps on margin_loss(), re-normalised.
+
+    Gradients are summed per entity and dimension by partial aggregation; vectors are written after each epoch.
+    """
+    from factline.session import durable
+
+    for epoch in range(epochs):
+        miss = margin_loss(facts, entities, negatives, seed + epoch, margin).where("loss > 0")
+        away = lambda a, b: F.zip_with(a, b, lambda p, q: p - q)
+        none = F.transform("q", lambda v: -v)
+        steps = miss.select(F.explode(F.array(
+            F.struct(F.col("object").alias("name"), "n", F.col("q").alias("g")),
+            F.struct(F.col("other").alias("name"), "n", none.alias("g")),
+            F.struct(F.col("subject").alias("name"), "n", away("o", "x").alias("g")),
+        )).alias("e")).select("e.*")
+        sums = [(F.sum(F.col("n") * F.get("g", F.lit(i))) / F.sum("n")).alias(f"d{i}") for i in range(DIMENSIONS)]
+        moved = steps.groupBy("name").agg(*sums).select("name", F.array(*[f"d{i}" for i in range(DIMENSIONS)]).alias("g"))
+        new = entities.join(moved, "name", "left").select("name", F.when(F.col("g").isNull(), F.col("vector")).otherwise(unit(F.zip_with("vector", "g", lambda v, g: v + rate * g))).alias("vector"))
+        entities = durable(new, "vectors")
+    return entities

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factline.functions import names, temporal
+from factline.functions import groups, names, temporal
 from factline.operators import caserules, embed, lookup, paths, patterns, reasoning, replies, rules
+from factline.plans import forecast
 from factline.sources import facts as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -560,3 +561,19 @@ def reply_parsing(spark, sf_dir):
 def model_replies(facts):
     prompts = reasoning.majority(facts.select(F.col("day").alias("query_id"), F.col("relation").alias("answer"))).select("query_id", F.concat(F.lit("score "), "votes").alias("prompt"))
     return replies.ask(prompts, "echo_number").select("query_id", names.reply_score(F.col("reply")).alias("score"))
+
+
+@query()
+def trained_candidates(facts):
+    vectors = embed.train(facts, embed.entity_vectors(facts), epochs=2)
+    return rounded(embed.graph_scores(embed.message_layer(facts, vectors), tests(facts)), "score")
+
+
+@query()
+def forecast_metrics(facts):
+    return forecast.forecast(facts)[2]
+
+
+@query()
+def pseudo_relation_vectors(facts):
+    return groups.pseudo_vectors(facts).select("relation", F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.size("vector").alias("dimensions"))

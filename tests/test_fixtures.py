@@ -129,3 +129,23 @@ def test_graph_round_trip(spark, tmp_path):
 
 def test_split_of_an_empty_table(spark):
     assert lookup.time_split(facts(spark, [("a", "x", "b", 1)]).where("false")).count() == 0
+
+
+def test_training_lowers_the_loss(spark):
+    from factline.operators import embed
+
+    f = facts(spark, [("a", "x", "b", 1), ("b", "x", "c", 2), ("c", "y", "a", 3), ("a", "y", "d", 4)])
+    before = embed.entity_vectors(f)
+    after = embed.train(f, before, epochs=3)
+    loss = lambda v: embed.margin_loss(f, v, 3, 7, 0.5).agg(F.avg("loss")).collect()[0][0]
+    assert loss(after) < loss(before)
+    assert after.count() == 4
+
+
+def test_providers(spark):
+    from factline.operators import replies
+
+    prompts = spark.createDataFrame([(1, "rate 0.7"), (2, "nothing")], "query_id long, prompt string")
+    got = {(r["query_id"], r["vote"]): r["reply"] for r in replies.ask(prompts, "echo_number", votes=2).collect()}
+    assert got == {(1, 0): "0.7", (1, 1): "0.7", (2, 0): None, (2, 1): None}
+    assert "silent" in replies.provider_names()
