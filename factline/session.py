@@ -54,7 +54,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._factline_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by durable() that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._factline_path)
 
 
 def _remove(spark: SparkSession, root: str) -> None:
