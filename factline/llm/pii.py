@@ -115,14 +115,16 @@ def learn(found: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS
 def with_learned(found: DataFrame, **settings: float) -> DataFrame:
     """`found` with pii_id cut down to the learned identifiers."""
     learned = durable(learn(found, **settings), "pii-learned")
+    # rows without candidates, and their texts, stay where they are
+    some, none = found.where(F.size("pii_id") > 0), found.where(F.size("pii_id") == 0)
     spans = (
-        found.where(F.size("pii_id") > 0)
-        .select(F.col("pii_row").alias("l_row"), F.explode("pii_id").alias("x"))
+        some.select(F.col("pii_row").alias("l_row"), F.explode("pii_id").alias("x"))
         .join(learned, F.col("x.hit") == F.col("hit"), "left_semi")
         .groupBy("l_row")
         .agg(F.array_sort(F.collect_list("x")).alias("l_id"))
     )
-    return found.join(spans, F.col("pii_row") == F.col("l_row"), "left").withColumn("pii_id", F.coalesce("l_id", F.array().cast(f"array<{SPAN}>"))).drop("l_row", "l_id")
+    some = some.join(spans, F.col("pii_row") == F.col("l_row"), "left").withColumn("pii_id", F.coalesce("l_id", F.array().cast(f"array<{SPAN}>")))
+    return some.select(*found.columns).union(none)
 
 
 def _written(kinds: tuple[str, ...]) -> Column:
