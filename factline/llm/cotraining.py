@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from factline.llm.text import SPACED, Words, blocks, fmix
 
-LABELLED, POOL = 6000, 6000
+LABELLED, POOL = 4000, 4000
 ROUNDS = 3
 HANDED = 0.05  # share of the pool that a view hands over per class and round
 BITS = 18
