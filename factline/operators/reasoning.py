@@ -48,9 +48,12 @@ def rule_scores(facts: DataFrame, queries: DataFrame, rules: DataFrame, most_hop
 
 def mean_distances(facts: DataFrame, queries: DataFrame, last: tuple[int, int] = (100, 50)) -> DataFrame:
     """(query_id, dr, dg): mean of |query day - day| over the last 100 and 50 facts, in file order, up to the day; 10
-    without any. Queries of one day share the work: each distinct day ranks only the latest facts."""
+    without any. The last facts up to a day are among the last ones of each single day, so only those meet the distinct
+    days of the queries."""
     days = queries.select(F.col("day").alias("q_day")).distinct()
-    near = facts.select("row_id", "day").join(days, F.col("day") <= F.col("q_day"))
+    latest = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("row_id")))
+    ends = facts.select("row_id", "day").withColumn("latest", latest).where(F.col("latest") <= max(last))
+    near = ends.join(days, F.col("day") <= F.col("q_day"))
     rank = F.row_number().over(Window.partitionBy("q_day").orderBy(F.desc("row_id")))
     near = near.withColumn("rank", rank).where(F.col("rank") <= max(last))
     gap = F.abs(F.col("q_day") - F.col("day"))
