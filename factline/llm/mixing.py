@@ -26,7 +26,7 @@ from factline.session import durable
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 EPOCHS = 2
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -70,16 +70,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     their mean rate, those below rise from `late` to `early`, others stay level. carry: keep all of docs' columns.
     """
     made = ("size", "source_size", "target", "taken", "position")
-    kept = [c for c in docs.columns if c not in made] if carry else ["doc_id"]
+    working = ("key", "bucket", "inside", "begin", "want", "weight", "bucket_start", "p_source", "p_bucket")
+    docs = docs.drop(*made) if carry else docs.select("doc_id", "source", "text")
+    docs = docs.withColumnsRenamed({c: f"mix_{c}" for c in docs.columns if c in working})
+    kept = docs.columns if carry else ["doc_id"]
     # 40 bits of md5, which other engines also have
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 10), 16, 10).cast("long")
-    rows = docs.select("doc_id", "source", F.col("text") if carry else F.lit(None).cast("string").alias("text"), *[c for c in kept if c not in ("doc_id", "source", "text")], word_count(F.col("text")).alias("size"), key.alias("key"))
-    sized = durable(rows if carry else rows.drop("text"), "mix")
-    n = sized.count()
-    buckets = max(1, -(-n // ROWS_PER_BUCKET))
-    sized = sized.withColumn("bucket", F.floor(F.col("key") / ((1 << 40) / buckets)).cast("int"))
+    buckets = max(1, -(-docs.count() // ROWS_PER_BUCKET))
+    bucket = F.floor(key / ((1 << 40) / buckets)).cast("int")
+    sized = docs.select(*kept, *[c for c in ("doc_id", "source") if c not in kept], word_count(F.col("text")).alias("size"), key.alias("key"), bucket.alias("bucket"))
     # running sums in two levels, so that no task needs a whole source: buckets within the source, rows within the bucket
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    sums = durable(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "sums")
     goal = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, epochs)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
@@ -98,5 +99,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     start, end = rate(early, late), rate(late, early)
     placed = placed.withColumn("taken", taken.cast("long"))
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, position(F.col("begin") / F.col("target"), start, end)))
-    out = placed.select(*kept, *made)
+    out = placed.select(*kept, *made).withColumnsRenamed({f"mix_{c}": c for c in working})
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
