@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factline.session import durable
+from factline.session import durable, forget
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
-        e = durable(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, durable(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(last)
         now = _state(e)
         if now == before:
             break

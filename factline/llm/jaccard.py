@@ -35,7 +35,7 @@ from pyspark.sql import Window
 from factline.llm.components import connected_components
 from factline.llm.counting import count_keys
 from factline.llm.text import SPACED, Words, blocks, fmix
-from factline.session import durable
+from factline.session import durable, forget
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -225,8 +225,11 @@ def join(docs: DataFrame) -> DataFrame:
     members = durable(sets.select("doc_id", "n", "sig").join(classes, ["n", "sig"], "left").select("doc_id", "n", "rep"), "members")
     reps = sets.where(F.col("tokens").isNotNull()).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     reps = durable(reps, "representatives")
+    forget(sets)
     chains = durable(candidate_pairs(reps, boundary(reps)), "candidates")
-    links = durable(exact_links(reps, durable(connected_components(chains, "leader", "doc_id"), "groups")), "links")
+    groups = durable(connected_components(chains, "leader", "doc_id"), "groups")
+    links = durable(exact_links(reps, groups), "links")
+    forget(reps, chains, groups)
     roots = links.where(~F.col("split")).select(F.col("doc_id").alias("node"), F.col("root").alias("component"))
     if links.where("split").limit(1).collect():
         roots = roots.union(connected_components(links.where("split"), "root", "doc_id").where("node <> component"))

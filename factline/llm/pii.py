@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factline.session import durable
+from factline.session import durable, forget
 
 _part = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Possessive forms of the patterns; as no part can end otherwise, they match what the plain forms match.
@@ -94,14 +94,18 @@ def occurrences(docs: DataFrame, kept: list[str]) -> DataFrame:
     return durable(df.select(F.monotonically_increasing_id().alias("pii_row"), *kept, *[f"pii_{k}" for k in KINDS]), "pii")
 
 
-def learn(found: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_pattern: float = LEAST_PATTERN, least_instance: float = LEAST_INSTANCE) -> DataFrame:
-    """(hit, score): unseen identifiers of high score, from the pattern-instance graph of all occurrences."""
+def pattern_edges(found: DataFrame, least_seeds: int = LEAST_SEEDS) -> DataFrame:
+    """(pattern, hit, seed), written: the pattern-instance graph of all occurrences. Only patterns with enough seeds
+    can become good, so the others leave it before any round."""
     as_edge = lambda kind: lambda x: F.struct(x["left"].alias("pattern"), x["hit"].alias("hit"), F.lit(kind != "id").alias("seed"))
     array = F.concat(*[F.transform(f"pii_{k}", as_edge(k)) for k in KINDS])
     edges = found.select(F.explode(array).alias("x")).select("x.*").where("pattern <> ''").groupBy("pattern", "hit").agg(F.max("seed").alias("seed"))
-    # only patterns with enough seeds can become good, so the others leave the graph before any round
     good = edges.where("seed").groupBy("pattern").count().where(F.col("count") >= least_seeds).select("pattern")
-    edges = durable(edges.join(good, "pattern", "left_semi"), "pii-edges")
+    return durable(edges.join(good, "pattern", "left_semi"), "pii-edges")
+
+
+def learn(edges: DataFrame, rounds: int = ROUNDS, least_pattern: float = LEAST_PATTERN, least_instance: float = LEAST_INSTANCE) -> DataFrame:
+    """(hit, score): unseen identifiers of high score after `rounds` on the graph of pattern_edges()."""
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for _ in range(rounds):
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("worth"))
@@ -114,7 +118,9 @@ def learn(found: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS
 
 def with_learned(found: DataFrame, **settings: float) -> DataFrame:
     """`found` with pii_id cut down to the learned identifiers."""
-    learned = durable(learn(found, **settings), "pii-learned")
+    edges = pattern_edges(found, settings.pop("least_seeds", LEAST_SEEDS))
+    learned = durable(learn(edges, **settings), "pii-learned")
+    forget(edges)
     # rows without candidates, and their texts, stay where they are
     some, none = found.where(F.size("pii_id") > 0), found.where(F.size("pii_id") == 0)
     spans = (
