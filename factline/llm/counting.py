@@ -1,6 +1,6 @@
 """Corpus-wide counts of hashed keys, brought back to the texts they come from.
 
-Texts are dealt to chunks of a few MB. Each chunk sends its distinct keys with their counts to buckets by hash (so
+Texts are dealt to chunks of CHUNK_BYTES on average. Each chunk sends its distinct keys with their counts to buckets by hash (so
 that a key that is in every text arrives once per chunk, not once per text); a bucket sums them and answers each
 chunk; the chunk meets its answers again in a cogroup. Keys travel without the bits that the bucket implies, as
 sorted byte planes that the shuffle's compression shortens. Rows are at most min(chunks * buckets, keys).
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 6_000_000
-KEYS_PER_BUCKET = 1_000_000
+CHUNK_BYTES = 4_000_000
+KEYS_PER_BUCKET = 600_000
 U = np.uint64
 
 
