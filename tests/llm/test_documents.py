@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import plain
 import pytest
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ def test_jaccard(docs, by_id):
     assert got == plain.components(by_id)
 
 
-@pytest.mark.parametrize("limit", [8, 1_000_000])
-def test_jaccard_of_small_sets_and_blocks(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "small"), [(8, 6), (1_000_000, 12)])
+def test_jaccard_of_small_sets_and_blocks(spark, monkeypatch, limit, small):
     """Sets around the boundary between subsets and lists; with a low limit every component is split into blocks."""
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", limit)
     rng = random.Random(11)
@@ -43,9 +44,28 @@ def test_jaccard_of_small_sets_and_blocks(spark, monkeypatch, limit):
         base = [f"{rng.randrange(6)}x{j}" for j in range(rng.randint(4, 24))]
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[: -1 - i % 3] + ["y"]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (0, 6, 12):
-        monkeypatch.setattr(jaccard, "boundary", lambda sets, s=small: s)
-        assert by_doc(jaccard.join(df), "n_shingles", "component_id") == plain.components(rows)
+    monkeypatch.setattr(jaccard, "boundary", lambda sets: small)
+    assert by_doc(jaccard.join(df), "n_shingles", "component_id") == plain.components(rows)
+
+
+def test_small_sets_meet_in_their_keys():
+    """Whatever the boundary, two linked sets share a key; checked on all pairs of random small sets."""
+    rng = random.Random(12)
+    sets = [np.array(sorted(rng.sample(range(1, 22), rng.randint(3, 20))), dtype=np.uint64) for _ in range(120)]
+    sets += [np.array(sorted(set(s.tolist()) - {s[0]}), dtype=np.uint64) for s in sets[:60]]
+    for small in (0, 5, 8, 12):
+        keys = [set(jaccard.set_keys(s, s[: jaccard.prefix_length(len(s))], small).tolist()) for s in sets]
+        for i, a in enumerate(sets):
+            for j in range(i):
+                shared = len(np.intersect1d(a, sets[j]))
+                if len(a) != shared and 100 * shared >= 75 * (len(a) + len(sets[j]) - shared):
+                    assert keys[i] & keys[j]
+
+
+def test_boundary_follows_cost(spark):
+    rows = [(4, 500), (4, 600), (8, 50), (12, 9)]
+    df = spark.createDataFrame([(n, c, b"x") for n, c in rows], "n int, scan_cost long, tokens binary")
+    assert jaccard.boundary(df) == 8 and jaccard.boundary(df.where("n > 8")) == 0
 
 
 def test_jaccard_keeps_one(docs, by_id):
