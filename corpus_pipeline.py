@@ -13,7 +13,7 @@ from factline.session import durable
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_rules.only_kept(quality_rules.cascade(docs)).select(*docs.columns)
+    return quality_rules.cascade(docs).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

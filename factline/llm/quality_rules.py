@@ -151,13 +151,10 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, estimates: list[tu
         df = measure(df, rule.needs, F.col("q7_alive"))
         df = df.withColumn("q7_alive", F.col("q7_alive") & ~F.coalesce(rule.reject(), F.lit(False)))
     kept = [c for c in docs.columns if c != "kept" and c not in keep_measures]
-    return df.select(*kept, *[_m(m).alias(m) for m in keep_measures], F.col("q7_alive").alias("kept"))
-
-
-def only_kept(judged: DataFrame) -> DataFrame:
-    """The rows of cascade() with `kept`. A column of rand() keeps the optimizer from pushing the condition below the
-    measures, where it would repeat their expressions inside one another."""
-    return judged.withColumn("q7_guard", F.rand()).where(F.col("kept") & (F.col("q7_guard") >= 0)).drop("q7_guard")
+    # A column of rand() keeps the optimizer from pushing later conditions on `kept` below the measures, where it would
+    # repeat their expressions inside one another.
+    df = df.withColumn("q7_guard", F.rand())
+    return df.select(*kept, *[_m(m).alias(m) for m in keep_measures], (F.col("q7_alive") & (F.col("q7_guard") >= 0)).alias("kept"))
 
 
 def base_failed() -> Column:
