@@ -224,12 +224,15 @@ def join(docs: DataFrame) -> DataFrame:
     classes = sets.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("rep"))
     members = durable(sets.select("doc_id", "n", "sig").join(classes, ["n", "sig"], "left").select("doc_id", "n", "rep"), "members")
     reps = sets.where(F.col("tokens").isNotNull()).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    reps = durable(reps, "representatives")
+    reps = durable(reps.dropDuplicates(["doc_id", "n", "sig"]), "representatives")
+    several = bool(reps.groupBy("doc_id").count().where("count > 1").limit(1).collect())  # sets under one doc_id
     forget(sets)
     chains = durable(candidate_pairs(reps, boundary(reps)), "candidates")
     groups = durable(connected_components(chains, "leader", "doc_id"), "groups")
     links = durable(exact_links(reps, groups), "links")
     forget(reps, chains, groups)
+    if several:
+        links = links.withColumn("split", F.lit(True))
     roots = links.where(~F.col("split")).select(F.col("doc_id").alias("node"), F.col("root").alias("component"))
     if links.where("split").limit(1).collect():
         roots = roots.union(connected_components(links.where("split"), "root", "doc_id").where("node <> component"))

@@ -200,3 +200,11 @@ def test_repeated_rows(docs):
     twice = docs.union(docs)
     for run in (licenses.scan, secrets.scan, pii.scan, lambda d: quality_rules.cascade(d, estimates=ESTIMATES), jaccard.join, mixing.mix, lm_score.score):
         assert run(twice).count() == 2 * docs.count()
+
+
+def test_several_texts_of_one_doc_id(spark):
+    """Documents 3 and 7 are linked through the two texts of document 5."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a + " x"), (5, a + " y"), (5, b + " y"), (7, b + " z"), (9, None), (None, a + " x")]
+    got = sorted((tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(3, 57, 3), (5, 57, 3), (5, 57, 3), (7, 57, 3), (9, 0, 9), (None, 57, 3)], key=str)
