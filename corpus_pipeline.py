@@ -32,8 +32,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the words that the mix takes of each, in the order of their training positions."""
-    return mixing.mix(docs, carry=True)
+    """A row for each use of a document with the words that it takes, in the order of training positions; unused documents
+    come last, with 0 words and no position."""
+    return mixing.uses(docs, carry=True, unused=True)
 
 
 STAGES = [

@@ -2,8 +2,8 @@
 
 Training time runs from 0 to 1. Each source has a weight schedule w(t) = start + (end - start) * t; the integral of
 its schedule, scaled to the source's target, is its cumulative token demand. Documents of a source stand in a fixed
-pseudo-random order and may be used twice; a document's place in the cumulative tokens of its source is inverted
-through the demand to a training position, and the mix is range-sorted by position.
+pseudo-random order and may be used twice; a use's place in the cumulative tokens of its source, the second pass
+following the first, is inverted through the demand to a training position, and the mix is range-sorted by position.
 
 Sources are ordered by code point with null last and weigh 3, 1, 2, repeating. Together they share 150 % of all
 words; a target stops at twice its source's words and the excess is shared again by weight. In closed form this is
@@ -27,6 +27,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 EPOCHS = 2
 ROWS_PER_BUCKET = 2_000
+WORKING = ("key", "bucket", "inside", "begin", "want", "weight", "bucket_start", "p_source", "p_bucket", "uses", "use")
 
 
 def word_count(text: Column) -> Column:
@@ -63,16 +64,11 @@ def position(share_done: Column, start: Column, end: Column) -> Column:
     return F.least(F.lit(1.0), 2 * area / (start + F.sqrt(start * start + 2 * (end - start) * area)))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, early: float = 1.5, late: float = 0.5, seed: int = 8, carry: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position, sorted by position in ranges.
-
-    position: of the first use (null if unused). Sources of weight above the mean fade from `early` to `late` times
-    their mean rate, those below rise from `late` to `early`, others stay level. carry: keep all of docs' columns.
-    """
-    made = ("size", "source_size", "target", "taken", "position")
-    working = ("key", "bucket", "inside", "begin", "want", "weight", "bucket_start", "p_source", "p_bucket")
+def _placed(docs: DataFrame, made: tuple[str, ...], weights: tuple[float, ...], share: float, epochs: int, early: float, late: float, seed: int, carry: bool) -> tuple[DataFrame, list[str]]:
+    """The rows of docs with size, source_size, target and `uses`, an array of (epoch, taken, position) by epoch; and
+    the columns to keep. Columns of docs named as in `made` are dropped, those named as in WORKING renamed."""
     docs = docs.drop(*made) if carry else docs.select("doc_id", "source", "text")
-    docs = docs.withColumnsRenamed({c: f"mix_{c}" for c in docs.columns if c in working})
+    docs = docs.withColumnsRenamed({c: f"mix_{c}" for c in docs.columns if c in WORKING})
     kept = docs.columns if carry else ["doc_id"]
     # 40 bits of md5, which other engines also have
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 10), 16, 10).cast("long")
@@ -94,10 +90,41 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         .withColumn("begin", F.col("bucket_start") + F.col("inside"))
         .withColumn("want", F.round("target").cast("long"))
     )
-    part = lambda e: F.greatest(F.lit(0), F.least(F.col("size"), F.col("want") - F.col("begin") - e * F.col("source_size")))
-    taken = sum((part(e) for e in range(1, epochs)), part(0))
     start, end = rate(early, late), rate(late, early)
-    placed = placed.withColumn("taken", taken.cast("long"))
-    placed = placed.withColumn("position", F.when(F.col("taken") > 0, position(F.col("begin") / F.col("target"), start, end)))
-    out = placed.select(*kept, *made).withColumnsRenamed({f"mix_{c}": c for c in working})
-    return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+
+    def use(e: int) -> Column:
+        passed = F.col("begin") + e * F.col("source_size")
+        words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("want") - passed)).cast("long")
+        return F.struct(F.lit(e).alias("epoch"), words.alias("taken"), position(passed / F.col("target"), start, end).alias("position"))
+
+    return placed.withColumn("uses", F.filter(F.array(*map(use, range(epochs))), lambda x: x["taken"] > 0)), kept
+
+
+def _sorted(df: DataFrame) -> DataFrame:
+    df = df.withColumnsRenamed({f"mix_{c}": c for c in WORKING})
+    return df.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def uses(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, early: float = 1.5, late: float = 0.5, seed: int = 8, carry: bool = False, unused: bool = False) -> DataFrame:
+    """The mix: doc_id, size, source_size, target, epoch, taken, position, one row per use, sorted by position in
+    ranges. taken: the words of this use; epoch: 0 for a document's first use. Unused documents have no row;
+    with `unused` they follow all others, with 0 words and neither epoch nor position.
+
+    Sources of weight above the mean fade from `early` to `late` times their mean rate, those below rise from `late`
+    to `early`, others stay level. carry: keep all of docs' columns.
+    """
+    made = ("size", "source_size", "target", "epoch", "taken", "position")
+    placed, kept = _placed(docs, made, weights, share, epochs, early, late, seed, carry)
+    each = placed.select(*kept, "size", "source_size", "target", (F.explode_outer if unused else F.explode)("uses").alias("use"))
+    return _sorted(each.select(*kept, "size", "source_size", "target", "use.epoch", F.coalesce("use.taken", F.lit(0)).alias("taken"), "use.position"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, early: float = 1.5, late: float = 0.5, seed: int = 8, carry: bool = False) -> DataFrame:
+    """uses() summed to one row per row of docs: doc_id, size, source_size, target, taken, position.
+
+    taken: the words of all uses (0 if unused); position: of the first use (null if unused), by which rows are sorted.
+    """
+    made = ("size", "source_size", "target", "taken", "position")
+    placed, kept = _placed(docs, made, weights, share, epochs, early, late, seed, carry)
+    taken = F.aggregate("uses", F.lit(0).cast("long"), lambda n, x: n + x["taken"])
+    return _sorted(placed.select(*kept, "size", "source_size", "target", taken.alias("taken"), F.get("uses", F.lit(0))["position"].alias("position")))

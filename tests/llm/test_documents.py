@@ -181,6 +181,26 @@ def test_mixing_positions_follow_the_schedule(spark):
         assert abs(1.5 * t - 0.5 * t * t - s) < 1e-9
 
 
+def test_mixing_places_every_use(spark):
+    """Source b has the lower weight and is used twice: its second pass has positions after its first."""
+    rows = [(i, "w " * (3 + i % 5), "a" if i < 300 else "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    each = mixing.uses(df).collect()
+    assert [r["position"] for r in each] == sorted(r["position"] for r in each)
+    target = {s: next(r["target"] for r in each if r["doc_id"] in ids) for s, ids in (("a", range(300)), ("b", range(300, 400)))}
+    assert abs(sum(r["taken"] for r in each) - 1.5 * sum(3 + i % 5 for i in range(400))) <= 1 and all(r["taken"] > 0 for r in each)
+    for name, ids in (("a", range(300)), ("b", range(300, 400))):
+        of = sorted((r["position"], r["epoch"], r["taken"]) for r in each if r["doc_id"] in ids)
+        assert [e for _, e, _ in of] == sorted(e for _, e, _ in of) and of[-1][1] == 1 and of[-1][0] > 0.95
+        first, last = (1.5, 0.5) if name == "a" else (0.5, 1.5)
+        done = 0
+        for t, _, n in of:
+            assert abs((first * t + (last - first) * t * t / 2) - done / target[name]) < 1e-6
+            done += n
+    whole = by_doc(mixing.mix(df), "taken")
+    assert {k: (sum(r["taken"] for r in each if r["doc_id"] == k),) for k in whole} == whole
+
+
 def test_backoff_scores(docs, by_id):
     want = plain.backoff(by_id)
     for r in lm_score.score(docs).collect():
