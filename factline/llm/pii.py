@@ -1,9 +1,11 @@
 """Personal data: known forms, and bootstrapped contextual extraction (DataFrame functions only).
 
 Matches of the four known forms are seeds. An occurrence is an identifier-like string with the two words before it,
-its pattern. Patterns and instances make a graph whose edges are scored in rounds: a pattern is worth the mean score
-of its distinct instances, damped for few; an instance is worth what its patterns leave together
-(1 - product of (1 - pattern)), seeds 1. Instances of high score that are no seeds are reported as `id`.
+its pattern; a match before it counts as a word, <kind>, and so does the beginning of the text, ^. Patterns and
+instances make a graph whose edges are scored in rounds: a pattern is worth the mean score of its distinct instances,
+damped for few, if these scores add up to LEAST_SUPPORT; an instance is worth what its patterns leave together
+(1 - product of (1 - pattern)), seeds 1. So what one round learns supports further patterns in the next. Instances of
+high score that are no seeds are reported as `id`.
 
 Edge cases: null and empty texts have no spans; every input row gives one output row, repeated rows too; further
 columns pass through `redact` and are ignored by `scan` (columns whose names start with "pii_" are replaced); an
@@ -34,7 +36,7 @@ KINDS = (*BASE, "id")
 SPAN = "struct<start:int,end:int,hit:string,left:string>"
 
 ROUNDS = 3
-LEAST_SEEDS = 5
+LEAST_SUPPORT = 5
 LEAST_PATTERN = 0.7
 LEAST_INSTANCE = 0.8
 
@@ -68,15 +70,17 @@ def _located(df: DataFrame, kind: str) -> DataFrame:
     may = text.isNotNull() if not NEEDS[kind] else F.contains(text, F.lit(NEEDS[kind]))
     df = df.withColumn("pii_m", F.when(may, F.regexp_extract_all("text", F.lit(rx), F.lit(0))))
     df = df.withColumn("pii_g", F.when(F.size("pii_m") > 0, F.split("text", rx, -1)))
-    left = lambda gap: F.lower(F.regexp_extract(F.right(gap, F.lit(80)), r"([^\s]{1,30}\s+[^\s]{1,30})\s*$", 1))
+    left = lambda before: F.lower(F.regexp_extract(before, r"((?:[^\s]{1,30}\s+)?[^\s]{1,30})\s*$", 1))
 
     def add(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.char_length(F.get("pii_g", i))
+        before = F.concat(acc["tail"], F.right(F.get("pii_g", i), F.lit(80)))
         end = start + F.char_length(F.get("pii_m", i))
-        span = F.struct(start.alias("start"), end.alias("end"), F.get("pii_m", i).alias("hit"), left(F.get("pii_g", i)).alias("left"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        span = F.struct(start.alias("start"), end.alias("end"), F.get("pii_m", i).alias("hit"), left(before).alias("left"))
+        tail = F.right(F.concat(before, F.lit(f"<{kind}>")), F.lit(80))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("^ ").alias("tail"), none.alias("out"))
     spans = F.aggregate(F.sequence(F.lit(0), F.size("pii_m") - 1), begin, add, lambda acc: acc["out"])
     found = F.filter(spans, lambda x: _valid(kind, x["hit"]))
     return df.withColumn(f"pii_{kind}", F.when(F.size("pii_m") > 0, found).otherwise(none)).drop("pii_m", "pii_g")
@@ -94,22 +98,20 @@ def occurrences(docs: DataFrame, kept: list[str]) -> DataFrame:
     return durable(df.select(F.monotonically_increasing_id().alias("pii_row"), *kept, *[f"pii_{k}" for k in KINDS]), "pii")
 
 
-def pattern_edges(found: DataFrame, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """(pattern, hit, seed), written: the pattern-instance graph of all occurrences. Only patterns with enough seeds
-    can become good, so the others leave it before any round."""
+def pattern_edges(found: DataFrame) -> DataFrame:
+    """(pattern, hit, seed), written: the pattern-instance graph of all occurrences, one row per pattern and hit."""
     as_edge = lambda kind: lambda x: F.struct(x["left"].alias("pattern"), x["hit"].alias("hit"), F.lit(kind != "id").alias("seed"))
     array = F.concat(*[F.transform(f"pii_{k}", as_edge(k)) for k in KINDS])
     edges = found.select(F.explode(array).alias("x")).select("x.*").where("pattern <> ''").groupBy("pattern", "hit").agg(F.max("seed").alias("seed"))
-    good = edges.where("seed").groupBy("pattern").count().where(F.col("count") >= least_seeds).select("pattern")
-    return durable(edges.join(good, "pattern", "left_semi"), "pii-edges")
+    return durable(edges, "pii-edges")
 
 
-def learn(edges: DataFrame, rounds: int = ROUNDS, least_pattern: float = LEAST_PATTERN, least_instance: float = LEAST_INSTANCE) -> DataFrame:
+def learn(edges: DataFrame, rounds: int = ROUNDS, least_support: float = LEAST_SUPPORT, least_pattern: float = LEAST_PATTERN, least_instance: float = LEAST_INSTANCE) -> DataFrame:
     """(hit, score): unseen identifiers of high score after `rounds` on the graph of pattern_edges()."""
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for _ in range(rounds):
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("worth"))
-        patterns = patterns.where(F.col("worth") >= least_pattern)
+        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("worth"), F.sum("score").alias("support"))
+        patterns = patterns.where((F.col("support") >= least_support) & (F.col("worth") >= least_pattern)).drop("support")
         left = F.sum(F.log1p(-F.least("worth", F.lit(0.999999))))
         instances = edges.join(patterns, "pattern").groupBy("hit").agg((1 - F.exp(left)).alias("learned"))
         scored = edges.join(instances, "hit", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("learned", F.lit(0.0)))).drop("learned")
@@ -118,7 +120,7 @@ def learn(edges: DataFrame, rounds: int = ROUNDS, least_pattern: float = LEAST_P
 
 def with_learned(found: DataFrame, **settings: float) -> DataFrame:
     """`found` with pii_id cut down to the learned identifiers."""
-    edges = pattern_edges(found, settings.pop("least_seeds", LEAST_SEEDS))
+    edges = pattern_edges(found)
     learned = durable(learn(edges, **settings), "pii-learned")
     forget(edges)
     # rows without candidates, and their texts, stay where they are

@@ -121,6 +121,28 @@ def test_personal_data_learns_contexts(spark):
     assert out[100] == "please write to my mailbox <id> today" and out[101] == rows[-1][1] and "<email> today" in out[0]
 
 
+def test_personal_data_learns_from_the_learned(spark):
+    """Numbers beside e-mails are learned first, then the context that they share with a number of no such place."""
+    rows = [(i, f"please write to my mailbox user{i}@mail{i}.example.com today") for i in range(150)]
+    rows += [(200 + i, f"please write to my mailbox EMP-{10000 + i} today") for i in range(20)]
+    rows += [(300 + i, f"he wore the badge number EMP-{10000 + i} then") for i in range(20)]
+    rows += [(400, "he wore the badge number EMP-99123 then"), (401, "the order number ORD-77123 then")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_doc(pii.scan(df), "n_id")
+    assert got[400] == (1,) and got[401] == (0,)
+    assert {got[k] for k in got if 200 <= k < 400} == {(1,)}
+
+
+def test_personal_data_with_less_than_two_words_before(spark):
+    rows = [(i, f"mailto user{i}@mail{i}.example.com and user{i}@home{i}.example.com") for i in range(150)]
+    rows += [(200, "mailto jo99812.home and others"), (201, "unrelated ab12345 stays")]
+    got = by_doc(pii.scan(spark.createDataFrame(rows, "doc_id long, text string")), "n_id")
+    assert got[200] == (1,) and got[201] == (0,)
+    one = spark.createDataFrame([(1, "call A-12345 B-67890")], "doc_id long, text string")
+    spans = pii.occurrences(one, ["doc_id"]).first()["pii_id"]
+    assert [x["left"] for x in spans] == ["^ call", "call <id>"]
+
+
 def test_personal_data_redacts(docs, by_id):
     out = pii.redact(docs)
     assert out.columns == docs.columns
