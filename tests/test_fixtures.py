@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factline.functions import names, temporal
+from factline.functions import groups, names, temporal
 from factline.operators import lookup, reasoning, rules
 from factline.sources import facts as sources
 
@@ -100,6 +100,12 @@ def test_dates_and_names(spark):
     assert spark.range(1).select(temporal.parse_day(F.lit("2014"))).collect()[0][0] == 16071
 
 
+def test_all_semantic_groups(spark):
+    rows = {r["relation"]: r["group"] for r in groups.group_table(spark).collect()}
+    assert len(groups.GROUPS) == len(set(rows.values())) == 19 and len(rows) == groups.group_table(spark).count()
+    assert (rows["确诊"], rows["接种疫苗"], rows["卫生监督"], rows["Consult"]) == ("med_infection", "med_drug", "med_admin", "diplomacy")
+
+
 def test_repaired_lines(spark, tmp_path):
     lines = ["subject,relation,object,timestamp", "Barack_Obama,Make_a_visit,South_Korea,2014-12-09", "A,Engage, negotiate,B,2014-01-02", "甲，确诊，乙，2022-12-20", "A,r,B,2014/01/02", "A,r,B,2023-02-29", "A,,B,2014-01-02", "A,r,B, C,2014-01-02"]
     want = {("Barack_Obama", "Make_a_visit", "South_Korea"), ("A", "Engage,negotiate", "B"), ("甲", "确诊", "乙"), ("A", "r,B", "C")}
