@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 #: Encodings to try, in this order (fixed values).
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "gb18030", "latin-1", "cp1252")
-PROBE_BYTES = 1_000_000
 
 
 def from_events(spark: SparkSession, sf_dir: str, mapping: str = "dense") -> DataFrame:
@@ -23,18 +25,24 @@ def from_events(spark: SparkSession, sf_dir: str, mapping: str = "dense") -> Dat
 
 
 def probe_encoding(spark: SparkSession, path: str) -> str:
-    """The first of ENCODINGS that decodes the file's first bytes; a cut last character does not count."""
-    content = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, PROBE_BYTES)).limit(1).collect()
-    head = bytes(content[0][0]) if content else b""
-    for name in ENCODINGS:
-        for cut in range(4):
-            try:
-                head[: len(head) - cut].decode(name)
-                return name
-            except UnicodeDecodeError:
-                if len(head) < PROBE_BYTES:
-                    break
-    return "latin-1"
+    """The first of ENCODINGS that decodes every line of all files at `path`; no encoding has a line feed inside a
+    character, so lines are tried in Arrow batches on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        failed = [0] * len(ENCODINGS)
+        for batch in batches:
+            text = b"\n".join(batch.column(0).to_pylist())
+            for i, name in enumerate(ENCODINGS):
+                try:
+                    text.decode(name)
+                except UnicodeDecodeError:
+                    failed[i] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(ENCODINGS)), pa.int32()), pa.array(failed, pa.int64())], names=["encoding", "failed"])
+
+    lines = spark.read.text(path).select(F.col("value").cast("binary"))  # the bytes as they are
+    failed = lines.mapInArrow(run, "encoding int, failed long").groupBy("encoding").agg(F.sum("failed").alias("failed"))
+    fine = failed.where("failed = 0").agg(F.min("encoding")).collect()[0][0]
+    return ENCODINGS[fine or 0]
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:

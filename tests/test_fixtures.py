@@ -119,6 +119,24 @@ def test_repaired_lines(spark, tmp_path):
         sources.load(spark, str(tmp_path / "none"))
 
 
+def test_encoding_of_the_whole_input(spark, tmp_path):
+    """The only lines that are not ASCII stand behind the first megabyte, or in one file of several."""
+    plain = b"subject,relation,object,timestamp\n" + b"A,r,B,2014-01-02\n" * 70_000
+    late = "甲,确诊,乙,2022-12-20\n"
+    (tmp_path / "late.csv").write_bytes(plain + late.encode("gbk"))
+    assert sources.probe_encoding(spark, str(tmp_path / "late.csv")) == "gbk"
+    got = sources.load(spark, str(tmp_path / "late")).where("subject <> 'A'").collect()
+    assert [(r["subject"], r["relation"], r["object"]) for r in got] == [("甲", "确诊", "乙")]
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many/a.csv").write_bytes(plain)
+    (tmp_path / "many/b.csv").write_bytes(late.encode("gbk"))
+    assert sources.probe_encoding(spark, str(tmp_path / "many")) == "gbk"
+    (tmp_path / "utf.csv").write_bytes(plain + late.encode())
+    assert sources.probe_encoding(spark, str(tmp_path / "utf.csv")) == "utf-8"
+    (tmp_path / "empty.csv").write_bytes(b"")
+    assert sources.probe_encoding(spark, str(tmp_path / "empty.csv")) == "utf-8"
+
+
 def test_turtle_times_carry_over(spark, tmp_path):
     (tmp_path / "f.ttl").write_text('@prefix yago: <http://example/> .\nyago:Z yago:knows yago:D ;\nyago:A yago:worksAt yago:B ;\n  yago:hasTime "2014-03-01" .\nyago:C yago:knows yago:D ;\n')
     got = sources.load(spark, str(tmp_path / "f")).orderBy("row_id").collect()
