@@ -200,7 +200,7 @@ def record_ranges(packages: DataFrame, uri: str) -> DataFrame:
                 if any(members[m][2] for m in members if m.startswith(("archive/", "indexes/"))):
                     raise ValueError(f"{path}: archives and indexes must be stored, not compressed")
                 begin, length, _ = members[INDEX]
-                found = [json.loads(line.split(" ", 2)[2]) for line in read(begin, length).decode().splitlines()]
+                found = [json.loads(line.split(" ", 2)[2]) for line in read(begin, length).decode().split("\n")[:-1]]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([members[x["filename"]][0] + x["offset"] for x in found], pa.int64()), pa.array([x["length"] for x in found], pa.int64())], names=["path", "offset", "length"])
 
     return packages.select("path").mapInArrow(run, "path string, offset long, length long")

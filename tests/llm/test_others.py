@@ -21,6 +21,14 @@ def test_archives(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_urls_with_line_separators(spark):
+    """Only a line feed ends a line of the index."""
+    rows = [(i, f"http://x/{c}/{i}", f"page {i}") for i, c in enumerate("\u2028\u2029\x85\x0b\x1e\n")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(6))
+    assert {r["url"] for r in got if r["page_id"] < 3} == {r[1] for r in rows[:3]}
+
+
 def test_zip64_and_comments():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
