@@ -1,8 +1,10 @@
 """Secret scans: known forms, and a token-efficiency test for random strings.
 
-Under a byte-pair vocabulary ordinary text takes few tokens per character, random strings many: a run of at least 20
-characters with letters and digits and fewer than MOST_RATIO characters per token is reported as `random`, unless it
-is a known digest (32, 40, 56, 64, 96 or 128 hex digits), a UUID or an identifier of words, or lies in another span.
+Under a byte-pair vocabulary ordinary text takes few tokens per character, random strings many: a run of at least
+LEAST_RUN characters with letters and fewer than most_ratio_of() characters per token is reported as `random`, unless it
+is a known digest (32, 40, 56, 64, 96 or 128 hex digits), a UUID or an identifier of words and numbers, or lies in
+another span. Runs without digits need a lower ratio, as words have none; so do runs of less than LONG_RUN
+characters, and runs that signs such as ! . or $ cut, which count as one where little of them is words or numbers.
 
 Edge cases: null and empty texts have no spans (the digest is that of the empty string); every input row gives one
 output row, repeated rows too; further columns are ignored; an empty table gives an empty result. Offsets count code
@@ -22,14 +24,19 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
 MOST_VOCABULARY_BYTES = 64_000_000
-MOST_RATIO = 2.2
+MOST_RATIO = 2.2  # of long runs with digits
+LEAST_RUN, LONG_RUN = 16, 20
+LESS_SHORT, LESS_LETTERS, LESS_CUT = 0.4, 0.3, 0.4  # what short, digitless and long cut runs have less
+LEAST_STRANGE = 0.75  # share of a cut run that must be in pieces that are no words or numbers
 KINDS = ("assign", "access", "hex", "random")
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
 _assign = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{24,}")
-_run = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_run = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_cut_run = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]++(?:[!.$%&*~^?#]{1,2}[A-Za-z0-9+/_=-]++)++")
+_signs = re.compile(r"[!.$%&*~^?#]+")
 _digest = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
 _uuid = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _identifier = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}))*\Z")
@@ -49,17 +56,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def most_ratio_of(run: str, most_ratio: float = MOST_RATIO) -> float:
+    """Characters per token from which a run counts as text."""
+    return most_ratio - LESS_SHORT * (len(run) < LONG_RUN) - LESS_LETTERS * (not re.search(r"[0-9]", run))
+
+
 def random_spans(text: str, count_tokens, taken: list[tuple[int, int, int]], most_ratio: float = MOST_RATIO) -> list[tuple[int, int, int]]:
-    out = []
+    out: list[tuple[int, int, int]] = []
+    known = lambda run: _digest.match(run) or _uuid.match(run)
+    free = lambda m: not any(s < m.end() and m.start() < e for spans in (taken, out) for s, e, _ in spans)
+    for m in _cut_run.finditer(text):
+        if m.end() - m.start() < LEAST_RUN or not re.search(r"[A-Za-z]", m[0]):
+            continue
+        pieces = _signs.split(m[0])
+        strange = sum(len(x) for x in pieces if not _identifier.match(x))
+        if strange < LEAST_STRANGE * sum(map(len, pieces)) or any(map(known, pieces)) or not free(m):
+            continue
+        if len(m[0]) / count_tokens(m[0]) < most_ratio_of(m[0], most_ratio) - LESS_CUT * (len(m[0]) >= LONG_RUN):
+            out.append((m.start(), m.end(), 3))
     for m in _run.finditer(text):
         run = m[0]
-        if not (re.search(r"[0-9]", run) and re.search(r"[A-Za-z]", run)) or _digest.match(run) or _uuid.match(run) or _identifier.match(run):
-            continue
-        if any(s < m.end() and m.start() < e for s, e, _ in taken):
+        if not re.search(r"[A-Za-z]", run) or known(run) or re.search(r"[0-9]", run) and _identifier.match(run) or not free(m):
             continue
-        if len(run) / count_tokens(run) < most_ratio:
+        if len(run) / count_tokens(run) < most_ratio_of(run, most_ratio):
             out.append((m.start(), m.end(), 3))
-    return out
+    return sorted(out)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> bytes:

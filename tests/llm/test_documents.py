@@ -161,6 +161,15 @@ def test_secrets(docs, by_id):
     assert random_ones == ["random:4:28"]
 
 
+def test_random_runs_of_all_forms(spark):
+    """Letters only, base32 without a digit, short ones, and one that signs cut; words, numbers and digests are none."""
+    random_ones = ["qXzKvTbWpLmRdJhYcNfGsQaE", "KXWQZJVHTPBLMDRGFYNCXQZK", "Zx9Q7pLm2Kt8Vb4N", "aB3x9Lq$kL9vR2w!xZ2m.qW8t"]
+    others = ["internationalization", "donaudampfschifffahrtsgesellschaft", "snake_case_identifier_name", "INTERNATIONALIZATION", "www.example.com.index.html", "v1.2.3-rc.4.5.6.7.8", "0054994038693466", "x!d41d8cd98f00b204e9800998ecf8427e", "someFunctionName.otherFunctionName"]
+    df = spark.createDataFrame([(i, f"see {x} end") for i, x in enumerate(random_ones + others)], "doc_id long, text string")
+    got = by_doc(secrets.scan(df), "spans")
+    assert {k: [x for x in s[0].split(",") if x.startswith("random")] for k, s in got.items()} == {i: [f"random:4:{4 + len(x)}"] if i < len(random_ones) else [] for i, x in enumerate(random_ones + others)}
+
+
 def test_quality(docs, by_id):
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     df = quality_rules.cascade(docs, estimates=ESTIMATES, keep_measures=base).withColumn("base_failed", quality_rules.base_failed())
