@@ -23,6 +23,19 @@ def build_session(app: str = "factline", master: str = "local[*]", **conf: str)
     return SparkSession.builder.appName(app).master(master).config(map=settings).getOrCreate()
 
 
+BATCH_BYTES = 4_000_000
+_batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, not only by rows, so that Python workers hold a few MB of long texts at a time.
+
+    Only where the session has Spark's default of 64 MB; a value that a user has set stays.
+    """
+    if spark.conf.get(_batch, "67108864b") == "67108864b":
+        spark.conf.set(_batch, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir. Only a local master may go without it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
