@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factline.session import small_batches
+
 CHUNK_BYTES = 4_000_000
 KEYS_PER_BUCKET = 600_000
 U = np.uint64
@@ -72,6 +74,7 @@ def count_keys(
     keys_of: the keys of some texts, each as often as it counts. totals takes exactly what keys_of gives for the
     chunk's texts.
     """
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
     dealer = Dealer(max(1, int(size / 6 * keys_per_word) // KEYS_PER_BUCKET), width)

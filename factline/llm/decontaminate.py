@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factline.llm.text import ALNUM, Words, alnum_words, blocks
-from factline.session import durable
+from factline.session import durable, small_batches
 
 WIDTH = 10
 BROADCAST_WINDOWS = 4_000_000  # about 1 GB as Python objects at ten words each; a bound, not a sample
@@ -75,6 +75,7 @@ def _index(rows: list[tuple[list[str], list[str]]]) -> dict:
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per document: RESULT."""
+    small_batches(docs.sparkSession)
     found = windows(benchmark, width)
     held = found.limit(most + 1).collect()  # the bound is checked on what is fetched
     if len(held) > most:
@@ -160,6 +161,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, whole_abov
     """`docs` without what `benchmark` holds: documents with more than `whole_above` of their words hit go, in others
     the hit words and all that stands between words of one hit run are cut out and n_chars follows. The columns stay.
     """
+    small_batches(docs.sparkSession)
     found, names = windows(benchmark, width), docs.columns
     held = found.limit(most + 1).collect()
     if len(held) <= most:

@@ -113,7 +113,7 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.to_pylist()
 
 
-def blocks(texts: list[bytes | None], limit: int = 4_000_000):
+def blocks(texts: list[bytes | None], limit: int = 1_000_000):
     """(from, to) index ranges of about `limit` bytes, so that the arrays of Words stay small."""
     begin = size = 0
     for i, t in enumerate(texts):
