@@ -1,8 +1,10 @@
 """License scans by diagonal voting (DataFrame functions only).
 
 All rolling word 3-grams of a text are joined, by hash and then by words, to the positions of the license templates.
-Each match votes for a diagonal (document position minus template position); diagonals of one template that lie
-within its slack are merged into a span, and a span is verified by the share of the template's 3-grams it holds.
+Each match votes for a diagonal (document position minus template position). A span is a diagonal of one template
+merged with those up to the template's slack further, never more; it is verified by the share of the template's 3-gram
+positions that it holds, each counted once, so that a repeated phrase votes once. Of spans within the slack of one
+another the best is kept.
 
 Edge cases: null and empty texts give no words, no labels and score 0; every input row gives one output row, repeated
 rows and doc_ids too; texts shorter than three words have no 3-gram; further columns are ignored; an empty table
@@ -81,17 +83,20 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + FURTHER) -> D
     known = F.broadcast(positions(docs.sparkSession, templates))  # bounded by MOST_TEMPLATE_WORDS
     votes = exploded.join(known, (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")))
     key = ["row", "doc_id", "n_words", "template", "n_grams", "label", "base", "slack", "share"]
-    diagonals = votes.groupBy(*key, (F.col("at") - F.when(F.col("template") < 0, F.col("at")).otherwise(F.col("t_at"))).alias("diagonal")).agg(F.count("*").alias("votes"))
-    # a span begins where the diagonal before it is further away than the template's slack
+    at_diagonal = F.col("at") - F.when(F.col("template") < 0, F.col("at")).otherwise(F.col("t_at"))
+    diagonals = votes.groupBy(*key, at_diagonal.cast("long").alias("diagonal")).agg(F.collect_list(F.when(F.col("template") >= 0, F.col("t_at"))).alias("places"))
+    # the span of a diagonal: the distinct template positions on it and on those up to `slack` words further
+    most = max((t.slack for t in templates), default=0)
     by = Window.partitionBy("row", "template").orderBy("diagonal")
-    new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > F.col("slack"), F.lit(True))
-    spans = (
-        diagonals.withColumn("span", F.sum(new.cast("int")).over(by))
-        .groupBy(*key, "span")
-        .agg(F.min("diagonal").alias("first"), F.sum("votes").alias("votes"))
-        .withColumn("score", F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")))
-        .withColumn("found", (F.col("template") >= 0) & (F.col("score") >= F.col("share")))
-    )
+    near = lambda x: F.abs(x["diagonal"] - F.col("diagonal")) <= F.col("slack")
+    ahead = F.collect_list(F.struct("diagonal", "places")).over(by.rangeBetween(0, most))
+    held = F.size(F.array_distinct(F.flatten(F.transform(F.filter(ahead, near), lambda x: x["places"]))))
+    spans = diagonals.withColumn("score", held / F.col("n_grams"))
+    # of spans whose diagonals lie within `slack`, the best stands for all, the first of equal ones
+    around = F.collect_list(F.struct("diagonal", "score")).over(by.rangeBetween(-most, most))
+    better = lambda x: (x["score"] > F.col("score")) | ((x["score"] == F.col("score")) & (x["diagonal"] < F.col("diagonal")))
+    spans = spans.withColumn("beaten", F.exists(around, lambda x: near(x) & better(x))).withColumn("first", F.col("diagonal"))
+    spans = spans.withColumn("found", (F.col("template") >= 0) & (F.col("score") >= F.col("share")) & ~F.col("beaten"))
     is_base = F.col("found") & F.col("base")
     out = spans.groupBy("row", "doc_id", "n_words").agg(
         F.count_if(is_base).alias("n_base"),
