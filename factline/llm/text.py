@@ -6,17 +6,47 @@ A-Z are lower-cased. All bytes of a non-ASCII character are word bytes in both,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+RUN = 64
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 
 U = np.uint64
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """`name`, with as many underscores as it takes to differ from all of `columns`."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row; inside a lambda a column would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Of each element of an array the fold of all elements before it; `merge` is associative with identity `zero`.
+
+    Folds of runs of RUN elements come first, so n elements take n * RUN + (n / RUN)^2 steps and no array grows.
+    """
+
+    def of(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda b: F.aggregate(F.slice(v, b * RUN + 1, F.lit(RUN)), zero, merge))
+        begins = let(runs, lambda r: F.transform(r, lambda x, b: F.aggregate(F.slice(r, F.lit(1), b), zero, merge)))
+        return let(begins, lambda s: F.transform(v, lambda x, i: F.aggregate(F.slice(v, i - i % RUN + 1, i % RUN), F.get(s, F.floor(i / RUN).cast("int")), merge)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.slice(v, F.lit(1), F.lit(0))))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; plain lower() where all characters are ASCII, as it is faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
