@@ -16,12 +16,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factline.session import small_batches
+
 VOCABULARY = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
 MOST_VOCABULARY_BYTES = 64_000_000
 MOST_RATIO = 2.2  # of long runs with digits
@@ -61,10 +64,28 @@ def most_ratio_of(run: str, most_ratio: float = MOST_RATIO) -> float:
     return most_ratio - LESS_SHORT * (len(run) < LONG_RUN) - LESS_LETTERS * (not re.search(r"[0-9]", run))
 
 
+def free_of(spans: list[tuple[int, int, int]]) -> Callable[[re.Match], bool]:
+    """Whether a match lies outside all of `spans`: one search among them, once those that overlap are joined."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for s, e, _ in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            begins.append(s)
+            ends.append(e)
+
+    def free(m: re.Match) -> bool:
+        i = bisect_left(begins, m.end()) - 1
+        return i < 0 or ends[i] <= m.start()
+
+    return free
+
+
 def random_spans(text: str, count_tokens, taken: list[tuple[int, int, int]], most_ratio: float = MOST_RATIO) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     known = lambda run: _digest.match(run) or _uuid.match(run)
-    free = lambda m: not any(s < m.end() and m.start() < e for spans in (taken, out) for s, e, _ in spans)
+    free = free_of(taken)
     for m in _cut_run.finditer(text):
         if m.end() - m.start() < LEAST_RUN or not re.search(r"[A-Za-z]", m[0]):
             continue
@@ -74,6 +95,7 @@ def random_spans(text: str, count_tokens, taken: list[tuple[int, int, int]], mos
             continue
         if len(m[0]) / count_tokens(m[0]) < most_ratio_of(m[0], most_ratio) - LESS_CUT * (len(m[0]) >= LONG_RUN):
             out.append((m.start(), m.end(), 3))
+    free = free_of(taken + out)
     for m in _run.finditer(text):
         run = m[0]
         if not re.search(r"[A-Za-z]", run) or known(run) or re.search(r"[0-9]", run) and _identifier.match(run) or not free(m):
@@ -84,11 +106,17 @@ def random_spans(text: str, count_tokens, taken: list[tuple[int, int, int]], mos
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> bytes:
-    """The vocabulary file, by any file system that Spark reads; its size is checked before it is broadcast."""
-    file = spark.read.format("binaryFile").load(path)
-    if file.agg(F.sum("length")).collect()[0][0] > MOST_VOCABULARY_BYTES:
+    """The vocabulary file, read on the driver by any file system that Spark knows; its size is checked first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    fs = file.getFileSystem(conf)
+    if fs.getFileStatus(file).getLen() > MOST_VOCABULARY_BYTES:
         raise ValueError(f"{path} is larger than {MOST_VOCABULARY_BYTES} bytes")
-    return bytes(file.select("content").collect()[0][0])
+    stream = fs.open(file)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
 
 
 def _encoding(key: str, vocabulary: bytes):
@@ -106,6 +134,7 @@ def token_counter(key: str, vocabulary: bytes):
 
 def scan(docs: DataFrame, vocabulary: str = VOCABULARY, most_ratio: float = MOST_RATIO) -> DataFrame:
     """One row per document: RESULT. spans has all kinds, base_sha256 the digest of the first three."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(read_vocabulary(docs.sparkSession, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
