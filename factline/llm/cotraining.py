@@ -1,15 +1,19 @@
 """Quality classifier by co-training on two views of a document.
 
 The content view sees hashed words and the shape of the text, the metadata view only language, source and length.
-Both are logistic regressions fitted on a bounded sample: at most LABELLED labelled documents and POOL others, those
-whose hashed doc_ids are smallest. In each round both views label the pool, and each hands its most confident labels
-to the other. A part of the labelled sample is held out: on it each view's scores are calibrated (Platt) and the two
-are weighed against each other. All documents are then scored in one pass with the broadcast weights.
+Both are logistic regressions, fitted on the driver on a bounded sample: at most LABELLED documents with labels, half of
+each class where there are as many, and at most HANDED_ROWS that a view is handed per round. The pool is all other
+documents: in each round both views score every one of them on the executors, and each hands the other rows of its most
+confident share, which is a quantile of all scores. A row that was handed over leaves the pool. A part of the labelled
+sample is held out, in three: one to calibrate each view's scores (Platt), one to weigh the two views against each
+other, one for the threshold; classes count there by their shares among all labels. All documents are then scored in
+one pass with the broadcast weights.
 
 Edge cases: null and empty texts have only the shape features; null metadata are values of their own; labels that are
-null are left out, and of repeated labels of one doc_id the largest counts; without labels of both classes all scores
-are the share of ones (0.5 without any) and all documents are kept; every input row gives one output row; further
-columns are ignored; an empty table gives an empty result.
+null, or of doc_ids that `docs` lacks, are left out, and of repeated labels of one doc_id the largest counts; of rows
+that repeat a doc_id one is fitted on and all are scored; a row without doc_id is scored but never handed over; without
+labels of both classes all scores are the share of ones (0.5 without any) and all documents are kept; every input row
+gives one output row; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factline.llm.text import SPACED, Words, blocks, fmix
+from factline.session import durable, forget, small_batches
 
-LABELLED, POOL = 4000, 4000
+LABELLED = 4000
 ROUNDS = 3
-HANDED = 0.05  # share of the pool that a view hands over per class and round
+HANDED = 0.05  # share of the pool whose labels a view is sure of in a round, at most
+HANDED_ROWS = 400  # rows of that share, drawn by hashed doc_id, that the other view is handed
 BITS = 18
 SHAPES = 8
 META = 4096
@@ -50,10 +56,18 @@ class Rows:
         return np.bincount(self.column, weights=self.value * v[self.row], minlength=columns)
 
     def take(self, rows: np.ndarray) -> Rows:
-        place = np.full(self.n, -1)
-        place[rows] = np.arange(len(rows))
-        keep = place[self.row] >= 0
-        return Rows(place[self.row[keep]], self.column[keep], self.value[keep], len(rows))
+        """The rows `rows`, in this order; a row may be taken more than once."""
+        order = np.argsort(self.row, kind="stable")
+        count = np.bincount(self.row, minlength=self.n)
+        begin = np.concatenate([[0], np.cumsum(count)])[:-1][rows]
+        n = count[rows]
+        at = order[np.repeat(begin - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))]
+        return Rows(np.repeat(np.arange(len(rows)), n), self.column[at], self.value[at], len(rows))
+
+    @staticmethod
+    def stack(parts: list[Rows]) -> Rows:
+        above = np.concatenate([[0], np.cumsum([p.n for p in parts])]).astype(int)
+        return Rows(np.concatenate([p.row + a for p, a in zip(parts, above)]), np.concatenate([p.column for p in parts]), np.concatenate([p.value for p in parts]), int(above[-1]))
 
 
 def content(texts: list[bytes | None]) -> Rows:
@@ -110,13 +124,14 @@ def fit(x: Rows, y: np.ndarray, columns: int, ridge: float = 1e-4, steps: int =
     return w
 
 
-def calibrate(scores: list[np.ndarray], y: np.ndarray, steps: int = 800) -> np.ndarray:
-    """(a, b1, b2, ...): log odds as a + sum of b * score."""
+def calibrate(scores: list[np.ndarray], y: np.ndarray, prior: float, steps: int = 800) -> np.ndarray:
+    """(a, b1, b2, ...): log odds as a + sum of b * score, where ones have the share `prior`."""
     x = np.stack([np.ones(len(y)), *scores])
     scale = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-9)
+    weight = np.where(y > 0.5, prior / max(1, (y > 0.5).sum()), (1 - prior) / max(1, (y <= 0.5).sum()))
     z, w = x / scale, np.zeros(len(x))
     for _ in range(steps):
-        w -= 2.0 * (z @ (1 / (1 + np.exp(-np.clip(w @ z, -30, 30))) - y) / len(y) + 1e-3 * w)
+        w -= 2.0 * (z @ (weight * (1 / (1 + np.exp(-np.clip(w @ z, -30, 30))) - y)) + 1e-3 * w)
     return w / scale[:, 0]
 
 
@@ -140,46 +155,69 @@ class Model:
         return tuple(1 / (1 + np.exp(-x)) for x in (*odds, mixed))
 
 
-def co_train(a: Rows, b: Rows, y: np.ndarray, rounds: int = ROUNDS, handed: float = HANDED) -> Model:
-    """y: 0 or 1, nan in the pool. Every fifth labelled row is held out."""
-    labelled = np.flatnonzero(~np.isnan(y))
-    pool = np.flatnonzero(np.isnan(y))
-    prior = float(np.mean(y[labelled])) if len(labelled) else 0.5
-    held, train = labelled[::5], np.delete(labelled, np.s_[::5])
-    if len({*y[train].tolist()}) < 2 or len({*y[held].tolist()}) < 2:
-        return Model(None, None, None, None, prior, 0.0)
-    rows, ys = {0: train, 1: train}, {0: y[train], 1: y[train]}
-    views, columns = (a, b), ((1 << BITS) + SHAPES, META)
-    for r in range(rounds + 1):
-        weights = [fit(views[i].take(rows[i]), ys[i], columns[i]) for i in (0, 1)]
-        if r == rounds or not len(pool):
-            break
-        k = max(1, int(handed * len(pool)))
-        for i in (0, 1):
-            score = views[i].take(pool).times(weights[i])
-            order = np.argsort(score, kind="stable")
-            # ones and zeros in the labelled rows' proportion, only where the view is sure
-            ones, zeros = order[::-1][: max(1, int(k * prior))], order[: max(1, int(k * (1 - prior)))]
-            ones, zeros = ones[score[ones] > 1], zeros[score[zeros] < -1]
-            rows[1 - i] = np.concatenate([rows[1 - i], pool[ones], pool[zeros]])
-            ys[1 - i] = np.concatenate([ys[1 - i], np.ones(len(ones)), np.zeros(len(zeros))])
-    raw = [views[i].take(held).times(weights[i]) for i in (0, 1)]
-    each = tuple(calibrate([x], y[held]) for x in raw)
-    odds = [np.clip(c[0] + c[1] * x, -30, 30) for c, x in zip(each, raw)]
-    both = calibrate(odds, y[held])
-    model = Model(weights[0], weights[1], each, both, prior, 0.0)
-    good = model.scores(a.take(held), b.take(held))[2][y[held] > 0.5]
-    model.threshold = min(0.5, float(np.quantile(good, LOST_GOOD, method="lower")))
-    return model
-
-
-def sample(docs: DataFrame, labels: DataFrame, target: str, labelled: int = LABELLED, pool: int = POOL) -> tuple[Rows, Rows, np.ndarray]:
-    """Features and labels of the bounded sample, on the driver, in the order of hashed ids."""
-    place = F.xxhash64("doc_id", F.lit(6))
-    with_label = labels.where(F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("double").alias("y")).orderBy(place).limit(labelled)
-    others = docs.select("doc_id", F.lit(None).cast("double").alias("y")).orderBy(place.desc()).limit(pool)
-    ids = with_label.union(others).groupBy("doc_id").agg(F.max("y").alias("y"))  # at most labelled + pool rows
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(ids.select(F.col("doc_id").alias("id"), "y")), F.col("doc_id") == F.col("id"))
+COLUMNS = ((1 << BITS) + SHAPES, META)
+
+
+def held_out(y: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows to fit on; and every fifth of each class, in three parts (or three times all, if a part lacks a class)."""
+    classes = [np.flatnonzero(y == c) for c in (0, 1)]
+    held = [c[::5] for c in classes]
+    train = np.sort(np.concatenate([np.delete(c, np.s_[::5]) for c in classes]))
+    parts = [np.concatenate([h[k::3] for h in held]) for k in range(3)] if min(map(len, held)) >= 3 else [np.concatenate(held)] * 3
+    return train, parts
+
+
+@dataclass
+class Training:
+    """Of one label: the sample's features by both views and its labels, what the views were handed, and the weights."""
+
+    a: Rows
+    b: Rows
+    y: np.ndarray
+    prior: float
+    handed: tuple[list[tuple[Rows, np.ndarray]], list[tuple[Rows, np.ndarray]]]
+    weights: tuple[np.ndarray, np.ndarray] | None = None
+
+    def fits(self) -> bool:
+        train, parts = held_out(self.y)
+        return all(len({*self.y[rows].tolist()}) == 2 for rows in (train, *parts))
+
+    def fit(self) -> None:
+        """Fit both views on the labelled rows and on what they were handed."""
+        train, _ = held_out(self.y)
+        views = (self.a.take(train), self.b.take(train))
+        self.weights = tuple(fit(Rows.stack([views[i], *(x for x, _ in self.handed[i])]), np.concatenate([self.y[train], *(y for _, y in self.handed[i])]), COLUMNS[i]) for i in (0, 1))
+
+    def model(self) -> Model:
+        """Calibrated on the first held part, weighed on the second, with the threshold of the third."""
+        if self.weights is None:
+            return Model(None, None, None, None, self.prior, 0.0)
+        _, (first, second, third) = held_out(self.y)
+        raw = lambda rows: (self.a.take(rows).times(self.weights[0]), self.b.take(rows).times(self.weights[1]))
+        each = tuple(calibrate([x], self.y[first], self.prior) for x in raw(first))
+        odds = [np.clip(c[0] + c[1] * x, -30, 30) for c, x in zip(each, raw(second))]
+        model = Model(*self.weights, each, calibrate(odds, self.y[second], self.prior), self.prior, 0.0)
+        good = third[self.y[third] > 0.5]
+        model.threshold = min(0.5, float(np.quantile(model.scores(self.a.take(good), self.b.take(good))[2], LOST_GOOD, method="lower")))
+        return model
+
+
+def known_labels(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
+    """(doc_id, y): one label of each doc_id that `docs` has."""
+    by = labels.where(F.col(target).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(target).cast("double").alias("y"))
+    return by.join(docs.select("doc_id"), "doc_id", "left_semi")
+
+
+def drawn(rows: DataFrame, n: int, salt: int) -> DataFrame:
+    """n rows at most, those whose hashed doc_ids are smallest."""
+    return rows.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(n)
+
+
+def features(docs: DataFrame, ids: DataFrame) -> dict[int, tuple[Rows, Rows]]:
+    """Both views' features by doc_id, on the driver. ids: doc_ids, a few thousand; of rows that repeat one the first by
+    content is taken, so no more rows come back than there are ids."""
+    rows = docs.join(F.broadcast(ids.select(F.col("doc_id").alias("id")).distinct()), F.col("doc_id") == F.col("id")).drop("id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text", "lang", "source", "n_chars").alias("at"), "text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.text", "x.lang", "x.source", "x.n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,14 +226,87 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, labelled: int = LABE
             ends = np.cumsum(np.bincount(x.row, minlength=x.n))
             at = [np.split(v[cut], ends[:-1]) if x.n else [] for v in (x.column.astype("<i4"), x.value.astype("<f4"))]
             packed = [pa.array([v.tobytes() for v in part], pa.binary()) for part in at]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 2, 3, 4, 5)], *packed], names=["doc_id", "lang", "source", "n_chars", "y", "columns", "values"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 2, 3, 4)], *packed], names=["doc_id", "lang", "source", "n_chars", "columns", "values"])
+
+    out = {}
+    for r in rows.mapInArrow(run, "doc_id long, lang string, source string, n_chars long, columns binary, values binary").collect():
+        column, value = np.frombuffer(r["columns"], "<i4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float)
+        out[r["doc_id"]] = Rows(np.zeros(len(column), np.int64), column, value, 1), metadata([r["lang"]], [r["source"]], [r["n_chars"]])
+    return out
+
 
-    rows = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "lang", "source", F.col("n_chars").cast("long"), "y")
-    got = rows.mapInArrow(run, "doc_id long, lang string, source string, n_chars long, y double, columns binary, values binary").orderBy(place).collect()
-    columns = [np.frombuffer(r["columns"], "<i4") for r in got]
-    a = Rows(np.repeat(np.arange(len(got)), [len(c) for c in columns]), np.concatenate(columns or [np.zeros(0, "<i4")]).astype(np.int64), np.concatenate([np.frombuffer(r["values"], "<f4") for r in got] or [np.zeros(0, "<f4")]).astype(float), len(got))
-    b = metadata([r["lang"] for r in got], [r["source"] for r in got], [r["n_chars"] for r in got])
-    return a, b, np.array([np.nan if r["y"] is None else r["y"] for r in got])
+def raw_scores(docs: DataFrame, trainings: dict[str, Training]) -> DataFrame:
+    """doc_id, and per training <name>_0 and <name>_1: the score of every document by each view's weights."""
+    held = docs.sparkSession.sparkContext.broadcast({t: x.weights for t, x in trainings.items()})  # 2^18 weights per label
+    schema = "doc_id long, " + ", ".join(f"{t}_{i} double" for t in trainings for i in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            views = content(batch.column(1).to_pylist()), metadata(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
+            scores = [pa.array(views[i].times(w[i]), pa.float64()) for w in held.value.values() for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *scores], names=[x.split()[0] for x in schema.split(", ")])
+
+    return docs.mapInArrow(run, schema)
+
+
+def confident(pool: DataFrame, target: str, prior: float, handed: float, rows: int, salt: int) -> DataFrame:
+    """(doc_id, target, view, y): rows of the pool that the view is surest of, ones and zeros in the labels' proportion,
+    for the other view."""
+    most = lambda i: F.expr(f"percentile_approx({target}_{i}, array({1 - handed * prior}D, {handed * (1 - prior)}D), 10000)")
+    ends = pool.agg(*[most(i).alias(f"e{i}") for i in (0, 1)])  # one row
+    out = None
+    ranged = pool.where("doc_id is not null").join(F.broadcast(ends))
+    for i in (0, 1):
+        x, e = F.col(f"{target}_{i}"), F.col(f"e{i}")
+        for y, sure, n in ((1.0, (x >= e[0]) & (x > 1), max(1, int(rows * prior))), (0.0, (x <= e[1]) & (x < -1), max(1, int(rows * (1 - prior))))):
+            one = drawn(ranged.where(sure).select("doc_id").distinct(), n, salt).select("doc_id", F.lit(target).alias("target"), F.lit(i).alias("view"), F.lit(y).alias("y"))
+            out = one if out is None else out.union(one)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], rounds: int = ROUNDS, handed: float = HANDED, rows: int = HANDED_ROWS, labelled: int = LABELLED) -> dict[str, Model]:
+    """A model per label column. The labels' rounds go together, so that each round scores the documents once."""
+    spark = docs.sparkSession
+    known = {t: durable(known_labels(docs, labels, t), "labels") for t in targets}
+    sample = {}
+    for t in targets:
+        parts = [drawn(known[t].where(F.col("y") == c), labelled // 2, 6) for c in (0.0, 1.0)]
+        sample[t] = [(r["doc_id"], r["y"]) for p in parts for r in p.collect()]  # `labelled` rows at most
+    ids = sorted({i for t in targets for i, _ in sample[t]})
+    got = features(docs, spark.createDataFrame([(i,) for i in ids], "doc_id long")) if ids else {}
+    training = {}
+    for t in targets:
+        prior = known[t].agg(F.avg("y")).collect()[0][0]
+        rows_of = [got[i] for i, _ in sample[t]]
+        both = [Rows.stack([r[k] for r in rows_of]) if rows_of else Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0) for k in (0, 1)]
+        training[t] = Training(*both, np.array([y for _, y in sample[t]]), 0.5 if prior is None else prior, ([], []))
+    open_ = {t: x for t, x in training.items() if x.fits()}
+    gone: dict[str, set[int]] = {t: set() for t in targets}  # 4 * `rows` a round at most
+    for r in range(rounds + 1):
+        for x in open_.values():
+            x.fit()
+        if r == rounds or not open_:
+            break
+        pool = durable(raw_scores(docs, open_), "scores")
+        chosen = None
+        for t, x in open_.items():
+            left = spark.createDataFrame([(i,) for i in sorted(gone[t])], "doc_id long")
+            rest = pool.join(known[t], "doc_id", "left_anti").join(F.broadcast(left), "doc_id", "left_anti")
+            one = confident(rest, t, x.prior, handed, rows, 60 + r)
+            chosen = one if chosen is None else chosen.union(one)
+        found = [(c["doc_id"], c["target"], c["view"], c["y"]) for c in chosen.collect()]  # 2 * `rows` per label at most
+        forget(pool)
+        if not found:
+            break
+        got = features(docs, spark.createDataFrame([(i,) for i in sorted({f[0] for f in found})], "doc_id long"))
+        for t, x in open_.items():
+            for i in (0, 1):
+                mine = sorted((d, y) for d, target, view, y in found if target == t and view == i)
+                if mine:
+                    x.handed[1 - i].append((Rows.stack([got[d][1 - i] for d, _ in mine]), np.array([y for _, y in mine])))
+                gone[t] |= {d for d, _ in mine}
+    forget(*known.values())
+    return {t: x.model() for t, x in training.items()}
 
 
 def score(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
@@ -212,9 +323,11 @@ def score(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
                 columns += [pa.array(x, pa.float64()) for x in by] + [pa.array(by[2] >= model.threshold, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "lang", "source", F.col("n_chars").cast("long")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality",)) -> DataFrame:
-    """score() of all documents with a model per label column."""
-    return score(docs, {t: co_train(*sample(docs, labels, t)) for t in targets})
+def classify(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality",), **settings: float) -> DataFrame:
+    """score() of all documents with a model per label column, by train(**settings)."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "lang", "source", F.col("n_chars").cast("long"))
+    return score(docs, train(docs, labels, targets, **settings))
