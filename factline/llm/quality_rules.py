@@ -1,8 +1,13 @@
 """Quality rules as a short-circuit cascade (DataFrame functions only).
 
-Each rule's cost and selectivity are estimated on a bounded sample; rules then run in the order of rejections per
-second of cost, and what a rule needs is only computed for rows that no earlier rule has rejected. The order changes
-the work, never the verdict: a document is kept when no rule rejects it.
+The cost of each step that makes measures, and which rules reject what, are estimated on a bounded sample. Rules then
+run in the order of rejections per second: of the rules left, next is that which rejects most of the sample rows still
+alive for each second of the steps that no rule before it has paid for. What a rule needs is only computed for rows that
+no earlier rule has rejected. The order changes the work, never the verdict: a document is kept when no rule rejects it.
+Measures that the caller wants for every row (`keep_measures`) come first and are free to all rules; op7 wants five of
+the eight, so that there only letters are skipped, while the pipeline wants none.
+
+The sample is the first texts of the table up to SAMPLE_TEXT_BYTES each, so its rates are those of the first partitions.
 
 Edge cases: null and empty texts have no words, so the rule `short` rejects them; every input row gives one output
 row, repeated rows and repeated doc_ids too; further columns pass through (columns whose names start with "q7_" are
@@ -23,6 +28,7 @@ from factline.llm.text import SPACES, spaced_words
 
 SAMPLE_ROWS = 300
 SAMPLE_TEXT_BYTES = 20_000
+TIMED_BYTES = 3_000_000  # the sample is repeated up to this size, so that times are those of the work
 
 
 @dataclass(frozen=True)
@@ -114,38 +120,74 @@ def measure(df: DataFrame, names: tuple[str, ...], alive: Column | None = None)
     return df
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds, rejected share) on at most `rows` texts of at most SAMPLE_TEXT_BYTES bytes.
+@dataclass(frozen=True)
+class Estimates:
+    """seconds: of each step, by the name of its function; rejects: of each sample row, whether each rule rejects it."""
 
-    limit() before collect() reads partitions one after the other until it has enough rows, not the whole table.
-    """
-    spark = docs.sparkSession
-    got = docs.select("text").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).limit(rows).collect()
-    sample = spark.createDataFrame([(r[0],) for r in got], "text string").coalesce(1)
-    found = []
-    for rule in rules:
-        test = measure(sample, rule.needs).agg(F.count_if(rule.reject()).alias("n"))
-        test.collect()  # compiles
-        began = time.perf_counter()
-        n = test.collect()[0]["n"]
-        found.append((rule.name, time.perf_counter() - began, n / max(1, len(got))))
-    return found
+    seconds: dict[str, float]
+    rejects: list[tuple[bool, ...]]
 
 
-def order(rules: tuple[Rule, ...], estimates: list[tuple[str, float, float]]) -> list[Rule]:
-    """Most rejections per second of cost first; among rules that reject nothing, the cheapest first."""
-    by = {name: (share / max(cost, 1e-6), -cost) for name, cost, share in estimates}
-    return sorted(rules, key=lambda r: by[r.name], reverse=True)
+def steps_of(names: tuple[str, ...]) -> set[str]:
+    """The steps that make the measures `names`, and those they need."""
+    return {x for n in names for needs, step in [STEPS[n]] for x in (step.__name__, *steps_of(needs))}
 
 
-def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, estimates: list[tuple[str, float, float]] | None = None, keep_measures: tuple[str, ...] = ()) -> DataFrame:
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> Estimates:
+    """On at most `rows` texts of at most SAMPLE_TEXT_BYTES bytes, repeated to TIMED_BYTES for the times.
+
+    A step's time is that of a second run of its measures, less that of the steps it needs or of a job that only reads.
+    limit() before collect() reads partitions one after the other until it has enough rows, not the whole table.
+    """
+    got = docs.select("text").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).limit(rows).collect()
+    sample = docs.sparkSession.createDataFrame([(r[0],) for r in got], "text string").coalesce(1)
+    every = tuple(dict.fromkeys(n for r in rules for n in r.needs))
+    judged = measure(sample, every).select(*[F.coalesce(r.reject(), F.lit(False)).alias(r.name) for r in rules])
+    rejects = [tuple(r) for r in judged.collect()]
+    times = max(1, TIMED_BYTES // max(1, sum(len(r[0]) for r in got)))
+    long = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+    def seconds(names: tuple[str, ...]) -> float:
+        job = measure(long, names).agg(F.sum(F.octet_length("text")), *[F.sum(f"q7_{n}") for n in names])
+        job.collect()  # compiles
+        began = time.perf_counter()
+        job.collect()
+        return time.perf_counter() - began
+
+    alone = {(): seconds(())}
+    out = {}
+    for step in steps_of(every):
+        made = tuple(n for n in every if STEPS[n][1].__name__ == step) or tuple(n for n in STEPS if STEPS[n][1].__name__ == step)
+        needs = STEPS[made[0]][0]
+        if needs not in alone:
+            alone[needs] = seconds(needs)
+        out[step] = max(1e-6, seconds(made) - alone[needs])
+    return Estimates(out, rejects)
+
+
+def order(rules: tuple[Rule, ...], estimates: Estimates, made: tuple[str, ...] = ()) -> list[Rule]:
+    """Most rejections per second first; among rules that reject nothing more, the cheapest. made: measures that cost
+    nothing any more."""
+    left, paid, alive, out = list(rules), steps_of(made), list(estimates.rejects), []
+    while left:
+        cost = {r.name: sum(estimates.seconds.get(s, 0.0) for s in steps_of(r.needs) - paid) for r in left}
+        count = {r.name: sum(row[rules.index(r)] for row in alive) for r in left}
+        best = max(left, key=lambda r: (count[r.name] / max(cost[r.name], 1e-6), -cost[r.name]))
+        left.remove(best)
+        out.append(best)
+        paid |= steps_of(best.needs)
+        alive = [row for row in alive if not row[rules.index(best)]]
+    return out
+
+
+def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, estimates: Estimates | None = None, keep_measures: tuple[str, ...] = ()) -> DataFrame:
     """`docs` with `kept`, and with the measures `keep_measures` for every row.
 
     estimates: as estimate() gives; taken from a sample of `docs` if None.
     """
     names = docs.columns
     docs = docs.select(*[c for c in names if not c.startswith("q7_")])
-    ranked = order(rules, estimate(docs, rules) if estimates is None else estimates)
+    ranked = order(rules, estimate(docs, rules) if estimates is None else estimates, keep_measures)
     df = measure(docs, keep_measures).withColumn("q7_alive", F.lit(True))
     for rule in ranked:
         df = measure(df, rule.needs, F.col("q7_alive"))
