@@ -6,7 +6,7 @@ pseudo-random order and may be used twice; a use's place in the cumulative token
 following the first, is inverted through the demand to a training position, and the mix is range-sorted by position.
 
 Sources are ordered by code point with null last and weigh 3, 1, 2, repeating. Together they share 150 % of all
-words; a target stops at twice its source's words and the excess is shared again by weight. In closed form this is
+words; a target stops at twice its source's words and the excess is shared again by weight, so that
 target = min(2 * size, level * weight), with one level for all sources.
 
 Edge cases: null and empty texts have size 0 and take nothing; a null source is a source of its own; repeated rows
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factline.llm.text import SPACES
+from factline.operators.order import with_position
 from factline.session import durable
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -39,23 +40,24 @@ def word_count(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """(source, source_size, weight, target) from one row (source, source_size) per source.
 
-    Sources sorted by size / weight reach their cap in that order, so running sums give the level at which each
-    would stop; the level is the first that no later cap undercuts.
+    Sources may be as many as hosts: their order comes from a range-partitioned sort, and the level from rounds of one
+    aggregate each. In a round those whose cap is below the level so far are capped and the others share what is left;
+    the level only rises, so the rounds end when no source is added.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    df = sizes.withColumn("weight", w).withColumn("cap", F.lit(float(epochs)) * F.col("source_size"))
-    rank = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.encode("source", "UTF-8"))
-    everything = Window.partitionBy()
-    total = F.lit(share) * F.sum("source_size").over(everything)
-    before = F.coalesce(F.sum("cap").over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_weight = F.sum("weight").over(rank.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    df = df.withColumn("level_here", (total - before) / open_weight).withColumn("rank", F.row_number().over(rank))
-    # capped sources have cap <= the level at their own rank; all others share the level of the first open source
-    df = df.withColumn("open", F.col("cap") > F.col("level_here") * F.col("weight"))
-    level = F.min(F.when(F.col("open"), F.struct("rank", "level_here"))).over(everything)["level_here"]
-    df = df.withColumn("target", F.when(F.col("open"), level * F.col("weight")).otherwise(F.col("cap")))
-    return df.select("source", "source_size", "weight", "target")
+    named = sizes.select("source", "source_size", F.col("source").isNull().alias("unnamed"), F.encode("source", "UTF-8").alias("code"))
+    placed = with_position(named, ["unnamed", "code"])
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("position") % len(weights) + 1).cast("int"))
+    df = placed.select("source", "source_size", w.alias("weight"), (F.lit(float(epochs)) * F.col("source_size")).alias("cap"))
+    df = durable(df, "weights")
+    total = share * (df.agg(F.sum("source_size")).collect()[0][0] or 0)
+    level, capped = 0.0, -1
+    while True:
+        stops = F.col("cap") <= F.lit(level) * F.col("weight")
+        n, held, open_weight = df.agg(F.count_if(stops), F.sum(F.when(stops, F.col("cap"))), F.sum(F.when(~stops, F.col("weight")))).collect()[0]
+        if n == capped or not open_weight:
+            break
+        level, capped = (total - (held or 0.0)) / open_weight, n
+    return df.select("source", "source_size", "weight", F.when(F.col("cap") <= F.lit(level) * F.col("weight"), F.col("cap")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
 
 
 def position(share_done: Column, start: Column, end: Column) -> Column:
@@ -71,7 +73,8 @@ def _placed(docs: DataFrame, made: tuple[str, ...], weights: tuple[float, ...],
     docs = docs.withColumnsRenamed({c: f"mix_{c}" for c in docs.columns if c in WORKING})
     kept = docs.columns if carry else ["doc_id"]
     # 40 bits of md5, which other engines also have
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 10), 16, 10).cast("long")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))  # rows without doc_id spread by text
+    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 10), 16, 10).cast("long")
     buckets = max(1, -(-docs.count() // ROWS_PER_BUCKET))
     bucket = F.floor(key / ((1 << 40) / buckets)).cast("int")
     sized = docs.select(*kept, *[c for c in ("doc_id", "source") if c not in kept], word_count(F.col("text")).alias("size"), key.alias("key"), bucket.alias("bucket"))
@@ -120,11 +123,13 @@ def uses(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, early: float = 1.5, late: float = 0.5, seed: int = 8, carry: bool = False) -> DataFrame:
-    """uses() summed to one row per row of docs: doc_id, size, source_size, target, taken, position.
+    """uses() summed to one row per row of docs: doc_id, size, source_size, target, taken, position, last_position.
 
-    taken: the words of all uses (0 if unused); position: of the first use (null if unused), by which rows are sorted.
+    taken: the words of all uses (0 if unused); position: of the first use, by which rows are sorted, last_position: of
+    the last one (both null if unused; equal if there is one use).
     """
-    made = ("size", "source_size", "target", "taken", "position")
+    made = ("size", "source_size", "target", "taken", "position", "last_position")
     placed, kept = _placed(docs, made, weights, share, epochs, early, late, seed, carry)
     taken = F.aggregate("uses", F.lit(0).cast("long"), lambda n, x: n + x["taken"])
-    return _sorted(placed.select(*kept, "size", "source_size", "target", taken.alias("taken"), F.get("uses", F.lit(0))["position"].alias("position")))
+    at = lambda i: F.get("uses", i)["position"]
+    return _sorted(placed.select(*kept, "size", "source_size", "target", taken.alias("taken"), at(F.lit(0)).alias("position"), at(F.size("uses") - 1).alias("last_position")))

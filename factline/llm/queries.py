@@ -49,8 +49,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In the order of training positions."""
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("position")
+    """In the order of training positions; those of each document's first and last use."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumns({c: F.round(c, 6) for c in ("position", "last_position")})
 
 
 def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
