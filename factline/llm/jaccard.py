@@ -9,9 +9,13 @@ ceil(3 (a + b) / 7), which is Jaccard similarity of 0.75. Two such sets share
   The order is by document frequency, rare first; a set with that many shingles of its own links with nothing.
 
 The boundary between small and large is the size at which enumerating subsets costs as much as scanning the lists.
-All sets of one key are chained to its smallest class; a component of these chains holds every possible link inside,
-so sets are fetched by component (in pairs of blocks, if it is large) and compared exactly there by scanning the
-component's inverted lists; only links that join two groups for the first time are returned.
+
+Lists are scanned in rounds. In each the first classes of every list lead: they are paired with the others of the list
+that sizes and positions in the common order allow to link and that verified links have not joined to them yet, each
+pair is compared exactly, and components are formed from verified links alone. Then the leaders leave, and so do lists
+whose sets are all in one component. The first round has one leader a list, so a large group of copies is joined by as
+many comparisons as it has members; later rounds have GROWTH times as many, so the number of rounds is the logarithm of
+the longest list. What is compared beyond that are sets that could link by size and position and do not.
 
 Edge cases: null, empty and wordless texts have empty sets and link with nothing; every input row gives one output
 row; rows that repeat a doc_id count as one document with several sets; a null doc_id joins its class without naming
@@ -40,7 +44,7 @@ from factline.session import durable, forget
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 SMALL_MOST = 12  # the boundary is sought up to this size
-BLOCK_SHINGLES = 1_000_000
+GROWTH = 8  # of the number of leaders per list from round to round
 U = np.uint64
 
 
@@ -83,7 +87,7 @@ def sets_of(texts: list[bytes | None]) -> list[np.ndarray]:
     return out
 
 
-SETS = "doc_id long, n int, sig binary, scan_cost long, tokens binary, keys binary"
+SETS = "doc_id long, n int, sig binary, scan_cost long, tokens array<long>, keys array<long>"
 
 
 def _sets(rows: pa.Table, totals) -> pa.Table:
@@ -105,12 +109,13 @@ def _sets(rows: pa.Table, totals) -> pa.Table:
         first = np.lexsort((s, df))[:prefix]
         first = first[df[first] > 1]
         cost.append(int(df[first].sum()))
-        tokens.append(s.tobytes())
-        keys.append(s[first].tobytes())
+        tokens.append(s.view(np.int64))
+        keys.append(s[first].view(np.int64))
+    longs = pa.list_(pa.int64())
     return pa.table(
         {
             "doc_id": rows["doc_id"], "n": pa.array([len(s) for s in sets], pa.int32()), "sig": pa.array(sig, pa.binary()),
-            "scan_cost": pa.array(cost, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "keys": pa.array(keys, pa.binary()),
+            "scan_cost": pa.array(cost, pa.int64()), "tokens": pa.array(tokens, longs), "keys": pa.array(keys, longs),
         }
     )
 
@@ -126,10 +131,11 @@ def boundary(sets: DataFrame, most: int = SMALL_MOST) -> int:
     return here
 
 
-def set_keys(tokens: np.ndarray, prefix: np.ndarray, small: int) -> np.ndarray:
-    """The keys under which a set meets all that it may link with."""
+def set_keys(tokens: np.ndarray, prefix: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set meets all that it may link with; and their positions in the common order of the set's
+    shingles, -1 for subsets. `prefix`: the last of the set's first prefix_length() shingles (those before are its own)."""
     n = len(tokens)
-    out = []
+    out, at = [np.zeros(0, U)], [np.zeros(0, np.int32)]
     if n <= small:
         for b in partner_sizes(n):
             if b <= small and b:
@@ -138,84 +144,78 @@ def set_keys(tokens: np.ndarray, prefix: np.ndarray, small: int) -> np.ndarray:
                 h = np.full(len(subsets), sizes)
                 for i in range(c):
                     h = fmix(h * U(0x9E3779B97F4A7C15) + subsets[:, i])
-                out.append(h)
+                out.append(np.unique(h))
+                at.append(np.full(len(out[-1]), -1, np.int32))
     if partner_sizes(n)[-1] > small:
         out.append(prefix)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, U)
+        at.append(np.arange(prefix_length(n) - len(prefix), prefix_length(n), dtype=np.int32))
+    return np.concatenate(out), np.concatenate(at)
 
 
-def candidate_pairs(sets: DataFrame, small: int) -> DataFrame:
-    """(leader, doc_id): each set with the smallest that shares one of its keys, once."""
+def entries(sets: DataFrame, small: int) -> DataFrame:
+    """(key, doc_id, n, at): the inverted lists, one row per set and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tokens, prefixes = (batch.column(i).to_pylist() for i in range(3))
-            for i in range(0, len(ids), 500):
-                keys = [set_keys(np.frombuffer(t, U), np.frombuffer(p, U), small) for t, p in zip(tokens[i : i + 500], prefixes[i : i + 500])]
-                doc = np.repeat(np.array(ids[i : i + 500], np.int64), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(doc)], names=["key", "doc_id"])
-
-    entries = sets.select("doc_id", "tokens", "keys").mapInArrow(run, "key long, doc_id long")
-    led = entries.withColumn("leader", F.min("doc_id").over(Window.partitionBy("key")))
-    return led.where("doc_id <> leader").select("leader", "doc_id").distinct()
-
-
-def local_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(root, doc): every document that reaches a smaller one by links among `sets`, with the smallest it reaches.
-
-    From each document in turn, the inverted lists of its shingles give its overlap with all documents not reached
-    yet; lists are rebuilt when half of their documents have been reached.
-    """
-    order = np.argsort(ids, kind="stable")
-    ids, sets = ids[order], [sets[i] for i in order]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    open_ = np.ones(len(sets), bool)
-    out: list[tuple[int, int]] = []
-
-    def lists() -> tuple[np.ndarray, np.ndarray]:
-        keep = np.flatnonzero(open_[owner])
-        by = keep[np.argsort(token[keep], kind="stable")]
-        return owner[by], np.concatenate([[0], np.cumsum(np.bincount(token[by], minlength=int(token.max()) + 1))])
-
-    (docs, ends), built = lists(), len(sets)
-    for seed in range(len(sets)):
-        if not open_[seed]:
-            continue
-        open_[seed] = False
-        queue = [seed]
-        while queue and open_.any():
-            d = queue.pop()
-            if open_.sum() * 2 < built:
-                (docs, ends), built = lists(), int(open_.sum())
-            mine = token[cuts[d] : cuts[d + 1]]
-            a, n = ends[mine], ends[mine + 1] - ends[mine]
-            at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-            shared = np.bincount(docs[at], minlength=len(sets))
-            near = np.flatnonzero(open_ & (DENOMINATOR * shared >= NUMERATOR * (sizes + sizes[d] - shared)))
-            open_[near] = False
-            queue += near.tolist()
-            out += [(int(ids[seed]), int(ids[i])) for i in near]
-    return out
-
-
-def exact_links(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(root, doc_id, split): links within each candidate component; split: found in a pair of blocks of a large one."""
-    weights = sets.join(groups, sets["doc_id"] == groups["node"]).groupBy("component").agg(F.sum("n").alias("weight"))
-    parts = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
-    placed = groups.join(weights.select("component", parts.alias("parts")), "component")
-    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
-    dealt = placed.select("node", "component", "parts", F.explode(pairs).alias("p")).select("node", "component", (F.col("parts") > 1).alias("split"), "p.i", "p.j")
-    rows = sets.select("doc_id", "tokens").join(dealt, F.col("doc_id") == F.col("node")).select("component", "i", "j", "split", "doc_id", "tokens")
-
-    def run(table: pa.Table) -> pa.Table:
-        links = local_links(np.array(table["doc_id"].to_pylist(), np.int64), [np.frombuffer(t, U) for t in table["tokens"].to_pylist()])
-        return pa.table({"root": pa.array([x[0] for x in links], pa.int64()), "doc_id": pa.array([x[1] for x in links], pa.int64()), "split": pa.array([table["split"][0].as_py()] * len(links), pa.bool_())})
-
-    return rows.groupBy("component", "i", "j").applyInArrow(run, "root long, doc_id long, split boolean")
+            tokens, prefixes = ([np.asarray(x.values, dtype=np.int64).view(U) for x in batch.column(i)] for i in (1, 2))
+            for i in range(0, batch.num_rows, 500):
+                found = [set_keys(t, p, small) for t, p in zip(tokens[i : i + 500], prefixes[i : i + 500])]
+                rows = np.repeat(np.arange(i, i + len(found)), [len(k) for k, _ in found])
+                columns = [pa.array(np.concatenate([k for k, _ in found]).view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in (0, 3)), pa.array(np.concatenate([p for _, p in found]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "n", "at"])
+
+    return sets.select("doc_id", "tokens", "keys", "n").mapInArrow(run, "key long, doc_id long, n int, at int")
+
+
+def open_lists(lists: DataFrame) -> DataFrame:
+    """The lists whose documents are in two components or more."""
+    ends = lists.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    return lists.join(ends, "key", "left_semi")
+
+
+def leaders(lists: DataFrame, most: int) -> DataFrame:
+    """The first `most` documents of each list (Spark cuts each list down to them before it shuffles)."""
+    ranked = lists.withColumn("place", F.rank().over(Window.partitionBy("key").orderBy("doc_id"))).where(F.col("place") <= most)
+    return ranked.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("l_n"), F.col("at").alias("l_at"), F.col("component").alias("l_component"))
+
+
+def pairs_to_verify(lists: DataFrame, first: DataFrame) -> DataFrame:
+    """(leader, doc_id): pairs of a leader and a later document of its list, not joined yet, that may link: by their
+    sizes, and by what is left of both from their first common shingle on."""
+    need = F.ceil(NUMERATOR * (F.col("n") + F.col("l_n")) / (NUMERATOR + DENOMINATOR))
+    left = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("l_n") - F.col("l_at") - 1)
+    fits = (F.least("n", "l_n") >= need) & ((F.col("at") < 0) | (left >= need))
+    apart = (F.col("doc_id") > F.col("leader")) & (F.col("component") != F.col("l_component"))
+    return lists.join(first, "key").where(apart & fits).select("leader", "doc_id").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that link, by the size of their sets' intersection."""
+    mine = sets.select("doc_id", "n", "tokens")
+    led = sets.select(F.col("doc_id").alias("leader"), F.col("n").alias("l_n"), F.col("tokens").alias("l_tokens"))
+    shared = F.size(F.array_intersect("tokens", "l_tokens"))
+    both = pairs.join(mine, "doc_id").join(led, "leader").select("leader", "doc_id", (F.col("n") + F.col("l_n")).alias("sizes"), shared.alias("shared"))
+    return both.where(DENOMINATOR * F.col("shared") >= NUMERATOR * (F.col("sizes") - F.col("shared"))).select("leader", "doc_id").distinct()
+
+
+def components(sets: DataFrame, small: int) -> DataFrame | None:
+    """(node, component) of all documents with links, from verified links; None if there are none."""
+    start = entries(sets, small).withColumn("component", F.col("doc_id"))
+    lists, links, groups, most = durable(open_lists(start), "lists"), None, None, 1
+    while lists.limit(1).collect():
+        first = leaders(lists, most)
+        new = durable(verified(pairs_to_verify(lists, first), sets), "links")
+        upto = first.groupBy("key").agg(F.max("leader").alias("upto"))
+        rest = lists.join(upto, "key").where(F.col("doc_id") > F.col("upto")).drop("upto")
+        if new.limit(1).collect():
+            links = new if links is None else links.union(new)
+            groups = durable(connected_components(links, "leader", "doc_id"), "groups")
+            rest = rest.drop("component").join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+            rest = rest.withColumn("component", F.coalesce("component", "doc_id"))
+        last, lists = lists, durable(open_lists(rest.select("key", "doc_id", "n", "at", "component")), "lists")
+        forget(last)
+        most *= GROWTH
+    return groups
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -224,19 +224,14 @@ def join(docs: DataFrame) -> DataFrame:
     classes = sets.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("rep"))
     members = durable(sets.select("doc_id", "n", "sig").join(classes, ["n", "sig"], "left").select("doc_id", "n", "rep"), "members")
     reps = sets.where(F.col("tokens").isNotNull()).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # sets that share a doc_id stay apart here, but are one node
     reps = durable(reps.dropDuplicates(["doc_id", "n", "sig"]), "representatives")
-    several = bool(reps.groupBy("doc_id").count().where("count > 1").limit(1).collect())  # sets under one doc_id
     forget(sets)
-    chains = durable(candidate_pairs(reps, boundary(reps)), "candidates")
-    groups = durable(connected_components(chains, "leader", "doc_id"), "groups")
-    links = durable(exact_links(reps, groups), "links")
-    forget(reps, chains, groups)
-    if several:
-        links = links.withColumn("split", F.lit(True))
-    roots = links.where(~F.col("split")).select(F.col("doc_id").alias("node"), F.col("root").alias("component"))
-    if links.where("split").limit(1).collect():
-        roots = roots.union(connected_components(links.where("split"), "root", "doc_id").where("node <> component"))
-    out = members.join(roots, members["rep"] == roots["node"], "left")
+    groups = components(reps, boundary(reps))
+    forget(reps)
+    if groups is None:
+        groups = docs.sparkSession.createDataFrame([], "node long, component long")
+    out = members.join(groups.where("node <> component"), F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
