@@ -22,6 +22,7 @@ from factline.session import small_batches
 
 CHUNK_BYTES = 4_000_000
 KEYS_PER_BUCKET = 600_000
+RUN = 64  # rows that lie together, of which equal ones stay together
 U = np.uint64
 
 
@@ -78,7 +79,8 @@ def count_keys(
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
     dealer = Dealer(max(1, int(size / 6 * keys_per_word) // KEYS_PER_BUCKET), width)
-    chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.lit(salt)), F.lit(chunks)).alias("chunk")
+    # dealt by where a row stands, so that neither equal texts nor equal ids meet in one chunk
+    chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.floor(F.monotonically_increasing_id() / RUN), F.lit(salt)), F.lit(chunks)).alias("chunk")
     texts = docs.select(chunk, F.col("doc_id").cast("long"), F.col("text").cast("binary"))
 
     def ask(table: pa.Table) -> pa.Table:
