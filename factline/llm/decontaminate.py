@@ -1,9 +1,9 @@
 """Benchmark decontamination by a broadcast set of test n-grams.
 
-The benchmark's windows (10 consecutive words; a shorter item is one window) are hashed, counted and, below a checked
-bound, broadcast; each task looks up the windows of its training texts, compares the words of a hit with the item's
-words, and marks every document word inside a true occurrence. Above the bound the windows are joined by shuffle
-instead (`join_windows`), with the same result.
+The benchmark's windows (10 consecutive words; a shorter item is one window) are measured and, if they take at most
+BROADCAST_BYTES, hashed and broadcast as packed arrays; each task looks up the windows of its training texts, compares
+the words of a hit with the item's words, and marks every document word inside a true occurrence. Larger benchmarks are
+not fetched at all: their windows are joined by shuffle (`join_windows`), with the same result.
 
 Edge cases: null and empty texts have no words, and so no hits; null, empty and wordless items have no window;
 items with equal windows all count as occurring; repeated rows give one result row each; further columns of the
@@ -14,17 +14,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factline.llm.text import ALNUM, Words, alnum_words, blocks
+from factline.llm.text import ALNUM, Words, alnum_words, blocks, free_name
 from factline.session import durable, small_batches
 
 WIDTH = 10
-BROADCAST_WINDOWS = 4_000_000  # about 1 GB as Python objects at ten words each; a bound, not a sample
+BROADCAST_BYTES = 50_000_000  # of packed windows and item ids; a bound, not a sample
+WINDOW_BYTES = 40  # what a window takes beside its words and ids
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -36,51 +38,74 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.select("item", F.explode(cut).alias("window")).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+def packed_bytes(found: DataFrame) -> int:
+    """The size of windows() in packed form, counted where they are."""
+    ids = F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 4)
+    return found.agg(F.sum(F.octet_length(F.array_join("window", " ")) + ids + WINDOW_BYTES)).collect()[0][0] or 0
+
+
 def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _find(texts: list[bytes | None], by_length: dict[int, tuple[np.ndarray, dict[int, list[tuple[list[bytes], list[str]]]]]]):
+@dataclass
+class Known:
+    """The windows of one length: their hashes in order, and of each the words (joined by spaces) and the item ids."""
+
+    hashes: np.ndarray
+    words: pa.Array
+    items: pa.Array
+
+    def at(self, h: np.uint64, words: bytes) -> list[str] | None:
+        for i in range(int(np.searchsorted(self.hashes, h, "left")), int(np.searchsorted(self.hashes, h, "right"))):
+            if self.words[i].as_py() == words:
+                return self.items[i].as_py()
+        return None
+
+
+def _index(found: DataFrame) -> dict[int, Known]:
+    """By window length, from the rows of windows(), which come to the driver as Arrow buffers."""
+    rows = found.select(F.size("window").alias("n"), F.array_join("window", " ").cast("binary").alias("words"), "items").toArrow().combine_chunks()
+    out, lengths = {}, rows["n"].to_numpy()
+    for n in np.unique(lengths):
+        part = rows.filter(pa.array(lengths == n)).combine_chunks()
+        words = part["words"].combine_chunks()
+        hashes = np.concatenate([Words(texts, ALNUM).ngrams(int(n))[0] for i in range(0, len(words), 10_000) for texts in [words[i : i + 10_000].to_pylist()]])
+        order = np.argsort(hashes, kind="stable")
+        out[int(n)] = Known(hashes[order], words.take(pa.array(order)), part["items"].combine_chunks().take(pa.array(order)))
+    return out
+
+
+def _find(texts: list[bytes | None], known: dict[int, Known]):
     """Per text: number of words, mask of hit words or None, items."""
     for a, b in blocks(texts):
         words = Words(texts[a:b], ALNUM)
         hit = np.zeros(len(words.hash), bool)
         items: dict[int, set[str]] = {}
-        for length, (known, table) in by_length.items():
+        for length, windows_of in known.items():
             grams, at = words.ngrams(length)
             if not len(grams):
                 continue
-            place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            for i in np.flatnonzero(known[place] == grams):
+            place = np.minimum(np.searchsorted(windows_of.hashes, grams), len(windows_of.hashes) - 1)
+            for i in np.flatnonzero(windows_of.hashes[place] == grams):
                 first = int(at[i])
-                got = [words.data[s:e].tobytes() for s, e in zip(words.start[first : first + length], words.end[first : first + length])]
-                for wanted, ids in table[int(grams[i])]:
-                    if wanted == got:
-                        hit[first : first + length] = True
-                        items.setdefault(int(words.doc[first]), set()).update(ids)
+                got = b" ".join(words.data[s:e].tobytes() for s, e in zip(words.start[first : first + length], words.end[first : first + length]))
+                ids = windows_of.at(grams[i], got)
+                if ids is not None:
+                    hit[first : first + length] = True
+                    items.setdefault(int(words.doc[first]), set()).update(ids)
         for d in range(b - a):
             span = slice(words.first[d], words.first[d + 1])
             yield a + d, words, d, hit[span], items.get(d, set())
 
 
-def _index(rows: list[tuple[list[str], list[str]]]) -> dict:
-    """By window length: sorted hashes, and by hash the windows with their items."""
-    out: dict[int, dict[int, list]] = {}
-    for window, items in rows:
-        key = [w.encode() for w in window]
-        h = int(Words([b" ".join(key)], ALNUM).ngrams(len(key))[0][0])
-        out.setdefault(len(key), {}).setdefault(h, []).append((key, list(items)))
-    return {n: (np.array(sorted(t), dtype=np.uint64), t) for n, t in out.items()}
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document: RESULT."""
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per document: RESULT. most: bytes of windows that are broadcast."""
     small_batches(docs.sparkSession)
     found = windows(benchmark, width)
-    held = found.limit(most + 1).collect()  # the bound is checked on what is fetched
-    if len(held) > most:
+    if packed_bytes(found) > most:
         return join_windows(docs, found)
-    known = docs.sparkSession.sparkContext.broadcast(_index([(r["window"], r["items"]) for r in held]))
+    known = docs.sparkSession.sparkContext.broadcast(_index(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,9 +131,9 @@ def _hits(rows: DataFrame, found: DataFrame) -> DataFrame:
     return exploded.join(found, "window").select("row", "items", F.sequence("i", F.col("i") + F.size("window") - 1).alias("at"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with `row`, written once, so that all uses see the same numbers."""
-    return durable(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame, row: str = "row") -> DataFrame:
+    """`docs` with row numbers, written once, so that all uses see the same."""
+    return durable(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
 def join_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -157,32 +182,32 @@ def _changed(batch: pa.RecordBatch, changed: dict[int, str | None], columns: lis
     return pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(keep))
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, whole_above: float = 0.5, most: int = BROADCAST_WINDOWS) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, whole_above: float = 0.5, most: int = BROADCAST_BYTES) -> DataFrame:
     """`docs` without what `benchmark` holds: documents with more than `whole_above` of their words hit go, in others
     the hit words and all that stands between words of one hit run are cut out and n_chars follows. The columns stay.
     """
     small_batches(docs.sparkSession)
     found, names = windows(benchmark, width), docs.columns
-    held = found.limit(most + 1).collect()
-    if len(held) <= most:
-        known = docs.sparkSession.sparkContext.broadcast(_index([(r["window"], r["items"]) for r in held]))
+    if packed_bytes(found) <= most:
+        known = docs.sparkSession.sparkContext.broadcast(_index(found))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                raw = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+                raw = batch.column("text").cast(pa.binary()).to_pylist()
                 changed = {i: _cut(raw[i], words, d, hit, whole_above) for i, words, d, hit, _ in _find(raw, known.value) if hit.any()}
                 yield _changed(batch, changed, names)
 
         return docs.mapInArrow(run, docs.schema)
 
-    rows = _numbered(docs)
-    hits = _hits(rows.select("row", alnum_words(F.col("text")).alias("w")), found)
-    marked = hits.select(F.col("row").alias("hit_row"), F.explode("at").alias("at")).groupBy("hit_row").agg(F.collect_set("at").alias("hit_at"))
+    row, hit_row, hit_at = (free_name(x, names) for x in ("row", "hit_row", "hit_at"))
+    rows = _numbered(docs, row)
+    hits = _hits(rows.select(F.col(row).alias("row"), alnum_words(F.col("text")).alias("w")), found)
+    marked = hits.select(F.col("row").alias(hit_row), F.explode("at").alias("at")).groupBy(hit_row).agg(F.collect_set("at").alias(hit_at))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             changed = {}
-            for i, (text, at) in enumerate(zip(batch.column("text").to_pylist(), batch.column("hit_at").to_pylist())):
+            for i, (text, at) in enumerate(zip(batch.column("text").to_pylist(), batch.column(hit_at).to_pylist())):
                 if at:
                     words = Words([text.encode()], ALNUM)
                     hit = np.zeros(len(words.hash), bool)
@@ -190,4 +215,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, whole_abov
                     changed[i] = _cut(text.encode(), words, 0, hit, whole_above)
             yield _changed(batch, changed, names)
 
-    return rows.join(marked, F.col("row") == F.col("hit_row"), "left").select(*names, "hit_at").mapInArrow(cut, docs.schema)
+    return rows.join(marked, F.col(row) == F.col(hit_row), "left").select(*names, hit_at).mapInArrow(cut, docs.schema)
