@@ -5,8 +5,8 @@ offset and length of each record, and datapackage.json. The reader finds the cen
 from the end of the file, takes offsets of stored members from it, reads the index, deals the record ranges out, and
 reads each record by range. Files are reached through Arrow's file systems, by URI, from any task.
 
-A task writes under a name of its own attempt and renames when it is done, so a lost executor's half-written package
-is never listed.
+A package's name holds its task attempt, and only the packages that committed attempts have listed are read. So neither
+a lost executor's half-written package nor that of a repeated or speculative attempt is seen, and nothing is renamed.
 
 Edge cases: a null html is an empty payload; a null page_id is written without a number and read back as null; a null
 url is left out, control characters in it are percent-encoded; repeated rows are records of their own (equal rows with
@@ -19,6 +19,7 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factline.session import durable, shared_path
+from factline.session import durable, shared_path, small_batches
 
 LEAST_SHARED_BYTES = 1000
 PACKAGE_BYTES = 128_000_000
@@ -91,13 +92,17 @@ def parse_record(data: bytes) -> tuple[int | None, str | None, int, str, str, in
     return page, url, len(payload), digest, kind, None
 
 
+def file_system(uri: str) -> tuple[arrow_fs.FileSystem, str]:
+    """Arrow's file system and the path there; the names that Hadoop gives to S3 are mapped to Arrow's."""
+    return arrow_fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
 class _Package:
-    """One open ZIP package; add() streams records, close() writes the index and publishes the file."""
+    """One open ZIP package; add() streams records, close() writes the index and gives the path, records and bytes."""
 
     def __init__(self, fs: arrow_fs.FileSystem, folder: str, name: str):
-        self.fs, self.final = fs, f"{folder}/{name}.wacz"
-        self.temporary = f"{folder}/_{name}-{TaskContext.get().taskAttemptId()}"
-        self.out = fs.open_output_stream(self.temporary)
+        self.path = f"{folder}/{name}-{TaskContext.get().taskAttemptId()}.wacz"
+        self.out = fs.open_output_stream(self.path)
         self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED)
         self.member = self.zip.open(MEMBER, "w", force_zip64=True)
         self.size, self.lines = 0, []
@@ -114,15 +119,14 @@ class _Package:
         self.zip.writestr("datapackage.json", json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"path": MEMBER}, {"path": INDEX}]}))
         self.zip.close()
         self.out.close()
-        self.fs.move(self.temporary, self.final)
-        return self.final, len(self.lines), self.size
+        return self.path, len(self.lines), self.size
 
 
 def write_packages(typed: DataFrame, uri: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """(path, records, bytes) of the packages that hold the rows of with_types()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = arrow_fs.FileSystem.from_uri(uri)
+        fs, folder = file_system(uri)
         fs.create_dir(folder, recursive=True)
         open_: _Package | None = None
         done: list[tuple[str, int, int]] = []
@@ -192,7 +196,7 @@ def record_ranges(packages: DataFrame, uri: str) -> DataFrame:
     """(path, offset, length) of every record, from the packages' directories and indexes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = arrow_fs.FileSystem.from_uri(uri)
+        fs, _ = file_system(uri)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 read, size = _reader(fs, path)
@@ -210,7 +214,7 @@ def read_records(ranges: DataFrame, uri: str, parts: int) -> DataFrame:
     """RECORD for each range, read in `parts` tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = arrow_fs.FileSystem.from_uri(uri)
+        fs, _ = file_system(uri)
         last, read = None, None
         for batch in batches:
             rows = []
@@ -228,6 +232,7 @@ def read_records(ranges: DataFrame, uri: str, parts: int) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write `pages` as packages in the shared folder and read every record back."""
+    small_batches(pages.sparkSession)
     uri = shared_path(pages.sparkSession, "warc")
     packages = durable(write_packages(with_types(pages), uri), "packages")
     size = packages.agg(F.sum("bytes")).collect()[0][0] or 0
