@@ -24,10 +24,9 @@ def _licenses() -> str:
     return rf"""WITH t(template, t_at, n_grams, gram, label, base, slack, share) AS (VALUES {", ".join(grams)}),
 w AS (SELECT doc_id, {alnum()} AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(0, greatest(len(w) - {K - 1}, 0))) AS pos, w FROM w),
-v AS (SELECT doc_id, template, n_grams, label, base, slack, share, pos - t_at AS diagonal, count(*) AS votes FROM (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + {K}], ' ') AS gram FROM g) JOIN t USING (gram) GROUP BY ALL),
-l AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER p > slack, true) AS fresh FROM v WINDOW p AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM l),
-sp AS (SELECT doc_id, template, label, base, share, span, min(diagonal) AS first, least(1.0::DOUBLE, sum(votes)::DOUBLE / n_grams) AS score FROM s GROUP BY doc_id, template, n_grams, label, base, share, span),
+v AS (SELECT doc_id, template, n_grams, label, base, slack, share, pos - t_at AS diagonal, list(t_at) AS places FROM (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + {K}], ' ') AS gram FROM g) JOIN t USING (gram) GROUP BY ALL),
+s AS (SELECT a.doc_id, a.template, a.label, a.base, a.slack, a.share, a.diagonal, len(list_distinct(flatten(list(b.places))))::DOUBLE / a.n_grams AS score FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.template = b.template AND b.diagonal BETWEEN a.diagonal AND a.diagonal + a.slack GROUP BY a.doc_id, a.template, a.label, a.base, a.slack, a.share, a.diagonal, a.n_grams),
+sp AS (SELECT doc_id, label, base, share, diagonal AS first, CASE WHEN EXISTS (SELECT 1 FROM s x WHERE x.doc_id = s.doc_id AND x.template = s.template AND abs(x.diagonal - s.diagonal) <= s.slack AND (x.score > s.score OR x.score = s.score AND x.diagonal < s.diagonal)) THEN 0.0 ELSE score END AS score FROM s),
 a AS (SELECT doc_id, count(*) FILTER (base AND score >= share) AS n_base, min(first) FILTER (base AND score >= share) AS first_word, max(first) FILTER (base AND score >= share) AS last_word,
   list_sort(list_distinct(list(label) FILTER (base AND score >= share))) AS b, list_sort(list_distinct(list(label) FILTER (score >= share))) AS a, max(score) AS score, count(*) FILTER (score >= share) AS n_spans FROM sp GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(a, ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_spans, 0) AS n_spans FROM w LEFT JOIN a USING (doc_id)"""
@@ -64,9 +63,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS weight FROM s GROUP BY source),
 c AS (SELECT *, 2.0 * source_size AS cap, row_number() OVER k AS rn, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM t WINDOW k AS (ORDER BY 2.0 * source_size / weight, source IS NULL, encode(source))),
 v AS (SELECT arg_min(here, rn) AS level FROM c WHERE cap > here * weight),
-g AS (SELECT source, source_size, CASE WHEN cap > here * weight THEN level * weight ELSE cap END AS target FROM c LEFT JOIN v ON true),
-p AS (SELECT s.*, g.source_size, g.target, CAST(round(g.target) AS BIGINT) AS want, CAST(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS begin FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, want - begin)) + greatest(0, least(size, want - begin - source_size)) AS BIGINT) AS taken FROM p""",
+g AS (SELECT source, source_size, weight, CASE WHEN cap > here * weight THEN level * weight ELSE cap END AS target FROM c LEFT JOIN v ON true),
+p AS (SELECT s.*, g.source_size, g.target, CASE g.weight WHEN 3.0 THEN 1.5 WHEN 1.0 THEN 0.5 ELSE 1.0 END::DOUBLE AS a, CASE g.weight WHEN 3.0 THEN 0.5 WHEN 1.0 THEN 1.5 ELSE 1.0 END::DOUBLE AS z, CAST(round(g.target) AS BIGINT) AS want, CAST(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS begin FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source),
+u AS (SELECT *, CAST(greatest(0, least(size, want - begin)) AS BIGINT) AS one, CAST(greatest(0, least(size, want - begin - source_size)) AS BIGINT) AS two FROM p),
+k AS (SELECT *, (a + z) / 2 * (begin / target) AS first_area, (a + z) / 2 * ((begin + CASE WHEN two > 0 THEN source_size ELSE 0 END) / target) AS last_area FROM u)
+SELECT doc_id, size, source_size, target, one + two AS taken, CASE WHEN one > 0 THEN round(least(1.0, 2 * first_area / (a + sqrt(a * a + 2 * (z - a) * first_area))), 6) END AS position,
+  CASE WHEN one > 0 THEN round(least(1.0, 2 * last_area / (a + sqrt(a * a + 2 * (z - a) * last_area))), 6) END AS last_position FROM k""",
     "op9_warc_zip": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages), k AS (SELECT body, max(page_id) AS keep FROM p WHERE octet_length(body) >= 1000 GROUP BY body HAVING count(*) > 1)
 SELECT page_id, octet_length(p.body) AS payload_bytes, sha1(p.body) AS payload_digest, CASE WHEN keep IS NULL OR keep = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to FROM p LEFT JOIN k ON p.body = k.body""",
     "op10_lm_score": rf"""WITH w AS (SELECT doc_id, {alnum()} AS w FROM documents), x AS (SELECT doc_id, i, w[i] AS v, CASE WHEN i > 1 THEN w[i - 1] END AS u FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
