@@ -5,6 +5,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -156,3 +158,61 @@ def backoff(docs):
                 s += single + (math.log(0.4) if i else 0)
         out[k] = (len(x), seen, s)
     return out
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _logistic(x, y):
+    """Adam on the loss with equal weight of both classes, on a dense matrix."""
+    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    share = [0.5 / max(1, np.sum((y > 0.5) == (c > 0.5))) for c in y]
+    for t in range(1, 151):
+        g = x.T @ (share * (_sigmoid(x @ w) - y)) + 1e-4 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def _platt(columns, y, prior):
+    x = np.array([np.ones(len(y)), *columns])
+    scale = np.maximum(np.abs(x).max(axis=1), 1e-9)
+    share = np.array([prior / np.sum(y > 0.5) if c > 0.5 else (1 - prior) / np.sum(y < 0.5) for c in y])
+    w = np.zeros(len(x))
+    for _ in range(800):
+        w = w - 2.0 * ((x / scale[:, None]) @ (share * (_sigmoid(w @ (x / scale[:, None])) - y)) + 1e-3 * w)
+    return w / scale
+
+
+def co_training(views, labels, rounds, handed):
+    """views: two dense matrices of all documents. labels: row -> 0 or 1, in the order in which samples are drawn.
+    Returns the calibrated probabilities by each view and by both, and the threshold."""
+    ones, zeros = ([r for r, y in labels.items() if y == c] for c in (1, 0))
+    prior = len(ones) / len(labels)
+    held = [[x for i, x in enumerate(c) if i % 5 == 0] for c in (zeros, ones)]
+    parts = [[x for c in held for i, x in enumerate(c) if i % 3 == k] for k in range(3)]
+    training = [r for r in zeros + ones if r not in held[0] + held[1]]
+    rows = [[(r, labels[r]) for r in training] for _ in views]
+    pool = [r for r in range(len(views[0])) if r not in labels]
+    for r in range(rounds + 1):
+        weights = [_logistic(v[[i for i, _ in x]], np.array([float(y) for _, y in x])) for v, x in zip(views, rows)]
+        if r == rounds:
+            break
+        given = set()
+        for i, v in enumerate(views):
+            score = {k: float(v[k] @ weights[i]) for k in pool}
+            ranked = sorted(score.values())
+            at = lambda p: ranked[max(0, math.ceil(p * len(ranked)) - 1)]  # noqa: B023, E731
+            high, low = at(1 - handed * prior), at(handed * (1 - prior))
+            sure = [(k, 1.0) for k in pool if score[k] >= max(high, 1) and score[k] > 1] + [(k, 0.0) for k in pool if score[k] <= min(low, -1) and score[k] < -1]
+            rows[1 - i] += sure
+            given |= {k for k, _ in sure}
+        pool = [k for k in pool if k not in given]
+    truth = lambda part: np.array([float(labels[k]) for k in part])
+    each = [_platt([v[parts[0]] @ w], truth(parts[0]), prior) for v, w in zip(views, weights)]
+    odds = [np.clip(c[0] + c[1] * (v @ w), -30, 30) for c, v, w in zip(each, views, weights)]
+    mix = _platt([x[parts[1]] for x in odds], truth(parts[1]), prior)
+    both = _sigmoid(mix[0] + mix[1] * odds[0] + mix[2] * odds[1])
+    good = sorted(both[k] for k in parts[2] if labels[k] == 1)
+    return _sigmoid(odds[0]), _sigmoid(odds[1]), both, min(0.5, good[int(0.005 * (len(good) - 1))])

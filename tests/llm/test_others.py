@@ -7,6 +7,7 @@ import zipfile
 import numpy as np
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 from factline.llm import cotraining, warc
 
@@ -83,6 +84,88 @@ def test_held_out_accuracy(spark):
     assert cotraining.classify(docs.where("false"), table).count() == 0
 
 
+def made_documents(n, labelled, seed=4):
+    """Rows of (doc_id, text, lang, source, n_chars) and labels (doc_id, quality): junk has odd words and other sources."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.6
+        words = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"] if good or rng.random() < 0.6 else ["omega", "sigma"]) + str(rng.randrange(9)) for _ in range(12))
+        rows.append((i, words, rng.choice(["en", None]), f"s{rng.randrange(3) if good else rng.randrange(2, 5)}", len(words)))
+        if i < labelled:
+            labels.append((i, int(good)))
+    return rows, labels
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_co_training_against_a_plain_version(spark):
+    rows, labels = made_documents(260, 120)
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    got = {r["doc_id"]: r for r in cotraining.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int"), rounds=2, handed=0.3, rows=10_000).collect()}
+    drawn = [r[0] for r in spark.range(120).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").collect()]
+    columns = list(zip(*rows))
+    dense = []
+    for x, n in ((cotraining.content([t.encode() for t in columns[1]]), cotraining.COLUMNS[0]), (cotraining.metadata(*map(list, columns[2:])), cotraining.COLUMNS[1])):
+        used, place = np.unique(x.column, return_inverse=True)
+        m = np.zeros((x.n, len(used)))
+        np.add.at(m, (x.row, place), x.value.astype("f4"))
+        dense.append(m)
+    one, two, both, threshold = plain.co_training(dense, {d: dict(labels)[d] for d in drawn}, 2, 0.3)
+    for i in range(260):
+        assert np.allclose([got[i]["quality_content"], got[i]["quality_metadata"], got[i]["quality_score"]], [one[i], two[i], both[i]], atol=1e-4)
+        assert abs(both[i] - threshold) < 1e-4 or got[i]["quality_above"] == (both[i] >= threshold)
+
+
+def test_rows_are_taken_as_often_as_asked():
+    x = cotraining.content([b"a b", b"c", b"d e f"])
+    twice = x.take(np.array([2, 0, 2]))
+    weights = np.arange((1 << cotraining.BITS) + cotraining.SHAPES, dtype=float)
+    assert np.allclose(twice.times(weights), x.times(weights)[[2, 0, 2]])
+
+
+def test_classifier_with_repeats_nulls_and_other_columns(spark):
+    """Labels of absent documents, far more than present ones, repeated ids, null metadata, columns named as results."""
+    rows, labels = made_documents(300, 150)
+    docs = spark.createDataFrame([(*r, 1, 0.5) for r in rows] + [(7, "again", None, None, None, 1, 0.5)] * 40 + [(None, None, None, None, None, 1, None)], COLUMNS + ", y int, quality_score double")
+    table = spark.createDataFrame([(*x, "t") for x in labels] + [(10**6 + i, i % 2, "t") for i in range(20_000)] + [(None, 1, "t"), (3, None, "t")], "doc_id long, quality int, text string")
+    plainly = {r["doc_id"]: r["quality_score"] for r in cotraining.classify(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    got = cotraining.classify(docs, table, labelled=200).collect()
+    assert len(got) == 341 and all(0 <= r["quality_score"] <= 1 for r in got)
+    truth = dict(labels)
+    right = lambda scores: np.mean([(s >= 0.5) == truth[d] for d, s in scores if d in truth])
+    assert right([(r["doc_id"], r["quality_score"]) for r in got]) > 0.9 and right(plainly.items()) > 0.9
+    views = docs.select("doc_id", F.col("text").cast("binary"), "lang", "source", "n_chars")
+    assert set(cotraining.features(views, spark.createDataFrame([(7,), (8,)], "doc_id long"))) == {7, 8}
+
+
+def test_archive_edges(spark):
+    """Very long pages, null page_ids, and columns named as results."""
+    rows = [(1, "u", "x" * 3_000_000, "a"), (2, "u", "x" * 3_000_000, "b"), (None, "v", "y" * 2000, "c"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string")
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect()), key=str)
+    assert got == sorted([(1, 3_000_000, "revisit", 2), (2, 3_000_000, "response", None), (None, 2000, "response", None), (None, 0, "response", None)], key=str)
+
+
+def test_packages_of_other_attempts_are_not_read(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"u{i}", f"page {i}") for i in range(10)], "page_id long, url string, html string").coalesce(1)
+    uri = f"file://{tmp_path}/warc"
+    first, second = (warc.write_packages(warc.with_types(df), uri).collect() for _ in range(2))
+    assert {r["path"] for r in first}.isdisjoint(r["path"] for r in second)
+    listed = spark.createDataFrame(second, "path string, records long, bytes long")
+    assert warc.read_records(warc.record_ranges(listed, uri), uri, 2).count() == 10
+    assert warc.file_system(uri)[1] == f"{tmp_path}/warc"
+
+
+def test_pipeline_of_no_documents(spark, nothing, tmp_path):
+    import corpus_pipeline as cp
+
+    nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, docs, texts, tmp_path):
     import corpus_pipeline as cp
 
