@@ -221,12 +221,16 @@ def components(sets: DataFrame, small: int) -> DataFrame | None:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     sets = durable(count_keys(docs.select("doc_id", "text"), lambda texts: np.concatenate(sets_of(texts) or [np.zeros(0, U)]), _sets, SETS, width=4), "sets")
-    classes = sets.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("rep"))
-    members = durable(sets.select("doc_id", "n", "sig").join(classes, ["n", "sig"], "left").select("doc_id", "n", "rep"), "members")
-    reps = sets.where(F.col("tokens").isNotNull()).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # written, so that adaptive execution can split the rows of a large group of equal sets
+    classes = sets.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size")
+    classes = durable(classes, "classes")
+    rep = F.coalesce("rep", F.when(F.col("n") > 0, F.col("doc_id")))
+    members = durable(sets.select("doc_id", "n", "sig").join(classes, ["n", "sig"], "left").withColumn("rep", rep), "members")
+    copies = members.where("doc_id <> rep").select("doc_id", "n", "sig")
+    reps = sets.where(F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).join(copies, ["doc_id", "n", "sig"], "left_anti")
     # sets that share a doc_id stay apart here, but are one node
     reps = durable(reps.dropDuplicates(["doc_id", "n", "sig"]), "representatives")
-    forget(sets)
+    forget(sets, classes)
     groups = components(reps, boundary(reps))
     forget(reps)
     if groups is None:
