@@ -48,6 +48,23 @@ def path_text(number: Column, path: Column) -> Column:
     return F.concat(F.lit("Path_"), number.cast("string"), F.lit(": "), F.array_join(F.transform(path, step), " → "))
 
 
+def path_range(path: Column) -> Column:
+    """Struct (first, last, span) of a path's days."""
+    days = F.transform(path, lambda x: x["day"])
+    first, last = F.array_min(days), F.array_max(days)
+    return F.struct(first.alias("first"), last.alias("last"), (last - first).alias("span"))
+
+
+def path_entities(path: Column) -> Column:
+    """The entities of a path, each once, in order of their names."""
+    return F.array_sort(F.array_union(F.transform(path, lambda x: x["subject"]), F.transform(path, lambda x: x["object"])))
+
+
+def rule_json(head: Column, body: Column, **values: Column) -> Column:
+    """A rule as JSON: its relations, its signature and the values given by name."""
+    return F.to_json(F.struct(head.alias("head"), body.alias("body"), rule_signature(head, body).alias("signature"), *[c.alias(n) for n, c in values.items()]))
+
+
 def chain_name(relation: Column, number: Column) -> Column:
     return F.concat(F.lit("pattern_"), number.cast("string"), F.lit("_"), relation)
 

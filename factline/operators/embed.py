@@ -5,10 +5,14 @@ Vectors are arrays of doubles, derived from md5 of the name where none are given
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factline.functions.names import cosine
+from factline.session import durable
 
 DIMENSIONS = 16
 
@@ -48,57 +52,61 @@ def message_layer(facts: DataFrame, entities: DataFrame, dimensions: int = DIMEN
     return both.select("name", F.when(F.col("mean").isNull(), F.col("vector")).otherwise(mixed).alias("vector"))
 
 
-def graph_scores(entities: DataFrame, queries: DataFrame, top: int = 20, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(query_id, entity, score): entities by cosine with subject + relation, positive, without the subject; the `top`
-    of each question. Equal (subject, relation) questions are scored once; unknown subjects have no candidates."""
-    from pyspark.sql import Window
-
-    asked = queries.select("subject", "relation").distinct().join(entities.select(F.col("name").alias("subject"), F.col("vector").alias("s")), "subject")
-    asked = asked.withColumn("q", F.zip_with("s", name_vector(F.col("relation"), dimensions), lambda a, b: a + b))
-    pairs = asked.join(entities, F.col("name") != F.col("subject"))  # a stated question set against all entities
-    scored = pairs.select("subject", "relation", F.col("name").alias("entity"), cosine(F.col("q"), F.col("vector")).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("subject", "relation").orderBy(F.desc("score"), "entity"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
-    return queries.select("query_id", "subject", "relation").join(best, ["subject", "relation"]).select("query_id", "entity", "score")
+BLOCK = 4_096  # vectors of a block, on average
 
 
-def margin_loss(facts: DataFrame, entities: DataFrame, negatives: int, seed: int, margin: float) -> DataFrame:
-    """(subject, object, other, n, s, o, x, q, loss): each distinct fact with `negatives` entities drawn by hash, and
-    by how much the margin is missed: max(0, margin - q.o + q.x) with q = subject + relation."""
-    from factline.operators.lookup import vocabulary
-    from factline.operators.paths import draw
+def top_by_cosine(asked: DataFrame, entities: DataFrame, top: int = 20) -> DataFrame:
+    """(asked_id, entity, score): for each row of `asked` (asked_id, subject, q) the `top` entities of positive cosine
+    with q, without the subject; ties by name.
 
-    names = vocabulary(facts, "subject", "object")
-    total = names.agg(F.count("*").alias("total"))
-    by = facts.groupBy("subject", "relation", "object").agg(F.count("*").alias("n"))
-    drawn = by.join(total).select("*", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("i"))
-    drawn = drawn.withColumn("id", F.conv(F.substring(draw(seed, "subject", "relation", "object", "i"), 1, 12), 16, 10).cast("long") % F.col("total"))
-    drawn = drawn.join(names.withColumnRenamed("value", "other"), "id").where("other <> object")
-    vec = lambda as_name, v: entities.select(F.col("name").alias(as_name), F.col("vector").alias(v))
-    rows = drawn.join(vec("subject", "s"), "subject").join(vec("object", "o"), "object").join(vec("other", "x"), "other")
-    rows = rows.withColumn("q", F.zip_with("s", name_vector(F.col("relation"), DIMENSIONS), lambda a, b: a + b))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
-    return rows.withColumn("loss", F.greatest(F.lit(0.0), margin - dot("q", "o") + dot("q", "x")))
+    Every question is scored against every entity, in blocks: a block of questions meets each block of entities once, as
+    two matrices, and leaves `top` rows a question before anything is shuffled again.
+    """
+    from pyspark.sql import Window
 
+    parts = lambda df: max(1, -(-df.count() // BLOCK))
+    n, m = parts(entities), parts(asked)
+    block = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k))
+    e = entities.groupBy(block("name", n).alias("e_block")).agg(F.collect_list(F.struct("name", "vector")).alias("e"))
+    q = asked.groupBy(block("asked_id", m).alias("q_block")).agg(F.collect_list(F.struct("asked_id", "subject", "q")).alias("qs"))
+    pairs = q.select("qs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("e_block")).join(e, "e_block").select("qs", "e")
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, e = batch.column(0)[i].values, batch.column(1)[i].values
+                names = np.array(e.field("name").to_pylist(), object)
+                order = np.argsort(names)
+                place = {x: k for k, x in enumerate(names[order])}
+                score = matrix(q.field("q")) @ matrix(e.field("vector")).T[:, order]
+                for k, subject in enumerate(q.field("subject").to_pylist()):
+                    if subject in place:
+                        score[k, place[subject]] = 0
+                k = min(top, len(names))
+                least = np.partition(score, len(names) - k, axis=1)[:, len(names) - k]
+                row, column = np.nonzero((score >= least[:, None]) & (score > 0))
+                keep = np.lexsort((column, -score[row, column], row))
+                row, column = row[keep], column[keep]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, column = row[first], column[first]
+                yield pa.RecordBatch.from_arrays([q.field("asked_id").take(pa.array(row)), pa.array(names[order][column], pa.string()), pa.array(score[row, column])], names=["asked_id", "entity", "score"])
+
+    scored = pairs.mapInArrow(run, "asked_id long, entity string, score double")
+    rank = F.row_number().over(Window.partitionBy("asked_id").orderBy(F.desc("score"), "entity"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
 
-def train(facts: DataFrame, entities: DataFrame, epochs: int = 3, rate: float = 0.5, negatives: int = 3, margin: float = 0.5, seed: int = 42) -> DataFrame:
-    """`entities` after `epochs` of full-batch gradient steps on margin_loss(), re-normalised.
 
-    Gradients are summed per entity and dimension by partial aggregation; vectors are written after each epoch.
-    """
-    from factline.session import durable
-
-    for epoch in range(epochs):
-        miss = margin_loss(facts, entities, negatives, seed + epoch, margin).where("loss > 0")
-        away = lambda a, b: F.zip_with(a, b, lambda p, q: p - q)
-        none = F.transform("q", lambda v: -v)
-        steps = miss.select(F.explode(F.array(
-            F.struct(F.col("object").alias("name"), "n", F.col("q").alias("g")),
-            F.struct(F.col("other").alias("name"), "n", none.alias("g")),
-            F.struct(F.col("subject").alias("name"), "n", away("o", "x").alias("g")),
-        )).alias("e")).select("e.*")
-        sums = [(F.sum(F.col("n") * F.get("g", F.lit(i))) / F.sum("n")).alias(f"d{i}") for i in range(DIMENSIONS)]
-        moved = steps.groupBy("name").agg(*sums).select("name", F.array(*[f"d{i}" for i in range(DIMENSIONS)]).alias("g"))
-        new = entities.join(moved, "name", "left").select("name", F.when(F.col("g").isNull(), F.col("vector")).otherwise(unit(F.zip_with("vector", "g", lambda v, g: v + rate * g))).alias("vector"))
-        entities = durable(new, "vectors")
-    return entities
+def graph_scores(entities: DataFrame, queries: DataFrame, top: int = 20, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(query_id, entity, score): entities by cosine with subject + relation, positive, without the subject; the `top`
+    of each question. Equal (subject, relation) questions are scored once; unknown subjects have no candidates."""
+    vectors = entities.select(F.col("name").alias("subject"), F.col("vector").alias("s"))
+    asked = queries.select("subject", "relation").distinct().join(vectors, "subject").withColumn("asked_id", F.xxhash64("subject", "relation"))
+    asked = asked.select("asked_id", "subject", "relation", F.zip_with("s", name_vector(F.col("relation"), dimensions), lambda a, b: a + b).alias("q"))
+    entities, asked = durable(entities, "vectors"), durable(asked, "asked")
+    best = top_by_cosine(asked.select("asked_id", "subject", "q"), entities, top).join(asked.select("asked_id", "subject", "relation"), "asked_id")
+    return queries.select("query_id", "subject", "relation").join(best, ["subject", "relation"]).select("query_id", "entity", "score")

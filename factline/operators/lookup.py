@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factline.operators.order import with_position
+from factline.operators.paths import sample
 
 
 def matching(facts: DataFrame, subject: str | None = None, relation: str | None = None, object_: str | None = None, ts: str | None = None, before: str | None = None, after: str | None = None, between: tuple[str, str] | None = None) -> DataFrame:
@@ -34,9 +37,12 @@ def in_edges(facts: DataFrame, entity: str) -> DataFrame:
 
 
 def history(facts: DataFrame, day: int, fallback: int = 100) -> DataFrame:
-    """Facts up to `day`; without any, the first `fallback` in file order."""
+    """Facts up to `day`; without any, the first `fallback` in file order. Decided in the plan: one row says whether
+    there are any, the rows of the fallback are ranked only among the first ones."""
     past = facts.where(F.col("day") <= day)
-    return past if past.limit(1).collect() else facts.orderBy("row_id").limit(fallback)
+    none = past.select(F.lit(1).alias("one")).limit(1).agg((F.count("*") == 0).alias("none"))
+    first = facts.orderBy("row_id").limit(fallback).join(F.broadcast(none)).where("none").drop("none")
+    return past.unionByName(first)
 
 
 def valid(facts: DataFrame) -> DataFrame:
@@ -86,11 +92,52 @@ def summary(facts: DataFrame) -> DataFrame:
     return one.join(entities)  # one row each
 
 
+def _boundary(facts: DataFrame, days: DataFrame, at: int) -> tuple[int, int] | None:
+    """(day, row_id) of the fact at position `at` in time order; None beyond the end. Only the facts of its day are put in
+    order."""
+    found = days.where((F.col("before") <= at) & (F.col("before") + F.col("n") > at)).collect()
+    if not found:
+        return None
+    day, inside = found[0]["day"], at - found[0]["before"]
+    placed = with_position(facts.where(F.col("day") == day).select("row_id"), ["row_id"])
+    return day, placed.where(F.col("position") == inside).collect()[0]["row_id"]
+
+
 def time_split(facts: DataFrame, train: float = 0.8, valid_share: float = 0.1) -> DataFrame:
-    """Facts with `split`: train, valid or test, by time order."""
-    placed = with_position(facts, ["day", "row_id"])
-    n = placed.agg(F.count("*").alias("n")).select(F.floor(F.col("n") * train).alias("a"), F.floor(F.col("n") * (train + valid_share)).alias("b"))
-    return placed.join(n).withColumn("split", F.when(F.col("position") < F.col("a"), "train").when(F.col("position") < F.col("b"), "valid").otherwise("test")).drop("a", "b", "position")
+    """Facts with `split`: train, valid or test, by time order. The first facts of valid and of test are found from
+    counts per day; the split itself is a comparison with them, without a shuffle."""
+    by = facts.groupBy("day").agg(F.count("*").alias("n"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    days = by.select("day", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    n = by.agg(F.sum("n")).collect()[0][0] or 0
+    split = F.lit("train")
+    for name, share in (("valid", train), ("test", train + valid_share)):
+        first = _boundary(facts, days, math.floor(n * share)) if n else None
+        if first:
+            late = (F.col("day") > first[0]) | ((F.col("day") == first[0]) & (F.col("row_id") >= first[1]))
+            split = F.when(late, name).otherwise(split)
+    return facts.withColumn("split", split)
+
+
+def sampled_questions(split: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n facts of the test split as questions, drawn by md5, so that reruns agree."""
+    test = split.where(F.col("split") == "test").select(F.col("row_id").alias("query_id"), "subject", "relation", "object", "day")
+    return sample(test, n, "query_id", seed)
+
+
+def encoded(facts: DataFrame) -> DataFrame:
+    """(row_id, subject_id, relation_id, object_id, day): facts by the ids of vocabulary(); facts with a name that has
+    none (a null) go."""
+    entities, relations = vocabulary(facts, "subject", "object"), vocabulary(facts, "relation")
+    ids = lambda v, c: v.select(F.col("value").alias(c), F.col("id").alias(f"{c}_id"))
+    df = facts.join(ids(entities, "subject"), "subject").join(ids(relations, "relation"), "relation").join(ids(entities, "object"), "object")
+    return df.select("row_id", "subject_id", "relation_id", "object_id", "day")
+
+
+def graph_size(facts: DataFrame) -> DataFrame:
+    """One row: nodes and edges of the property graph."""
+    names = facts.select("subject").union(facts.select("object")).distinct().agg(F.count("*").alias("nodes"))
+    return names.join(facts.agg(F.count("*").alias("edges")))  # one row each
 
 
 #: Entity kinds by name (fixed values).

@@ -15,8 +15,9 @@ def chains(facts: DataFrame, queries: DataFrame, rules: DataFrame, most_hops: in
     on; all facts at most on the query's day.
 
     queries: query_id, subject, day. rules: rule_id, body. Each hop is an as-of join (first after): facts are cut down
-    to the first of each subject, relation and day, and asked once for each distinct (object, relation, day), so its
-    size depends on days and entities, not on facts per day.
+    to the first of each subject, relation and day, asked once for each distinct (object, relation, day), and both stand
+    in one window per (object, relation) against time, where each question takes the last fact before it. So a window
+    has two rows a day at most, and no pairs of days are made.
     """
     f = facts.select(F.col("subject").alias("f_subject"), F.col("relation").alias("f_relation"), F.col("object").alias("f_object"), F.col("day").alias("f_day"), F.col("row_id").alias("f_row"))
     q = queries.select("query_id", F.col("subject").alias("q_subject"), F.col("day").alias("q_day"))
@@ -24,12 +25,16 @@ def chains(facts: DataFrame, queries: DataFrame, rules: DataFrame, most_hops: in
     starts = f.join(r.withColumn("first", F.element_at("body", 1)), F.col("f_relation") == F.col("first"))
     paths = q.join(starts, (F.col("q_subject") == F.col("f_subject")) & (F.col("f_day") <= F.col("q_day")))
     paths = paths.select("query_id", "q_day", "rule_id", "body", "hops", F.col("f_row").alias("start_row"), F.col("f_object").alias("object"), F.col("f_day").alias("day"), F.array("f_day").alias("days"))
-    firsts = f.groupBy("f_subject", "f_relation", "f_day").agg(F.min_by("f_object", "f_row").alias("f_object"))
+    wanted = r.select(F.explode("body").alias("f_relation")).distinct()
+    firsts = f.join(wanted, "f_relation", "left_semi").groupBy("f_subject", "f_relation", "f_day").agg(F.min_by("f_object", "f_row").alias("f_object"))
+    against = Window.partitionBy("object", "want").orderBy(F.desc("day"), "asks").rowsBetween(Window.unboundedPreceding, 0)
     for hop in range(1, most_hops):
         ended, going = paths.where(F.col("hops") <= hop), paths.where(F.col("hops") > hop).withColumn("want", F.element_at("body", hop + 1))
-        asked = going.select("object", "want", "day").distinct()
-        found = asked.join(firsts, (F.col("object") == F.col("f_subject")) & (F.col("want") == F.col("f_relation")) & (F.col("f_day") > F.col("day")))
-        found = found.groupBy("object", "want", "day").agg(F.min(F.struct("f_day", "f_object")).alias("next"))
+        # on one day questions come before facts, so that they see later days only
+        asked = going.select("object", "want", "day").distinct().select("*", F.lit(0).alias("asks"), F.lit(None).cast("string").alias("f_object"))
+        answers = firsts.select(F.col("f_subject").alias("object"), F.col("f_relation").alias("want"), F.col("f_day").alias("day"), F.lit(1).alias("asks"), "f_object")
+        fact = F.when(F.col("asks") == 1, F.struct(F.col("day").alias("f_day"), "f_object"))
+        found = asked.union(answers).withColumn("next", F.last(fact, True).over(against)).where("asks = 0 and next is not null").select("object", "want", "day", "next")
         going = going.join(found, ["object", "want", "day"]).where(F.col("next.f_day") <= F.col("q_day"))
         going = going.select("query_id", "q_day", "rule_id", "body", "hops", "start_row", F.col("next.f_object").alias("object"), F.col("next.f_day").alias("day"), F.concat("days", F.array("next.f_day")).alias("days"))
         paths = ended.union(going)
@@ -46,16 +51,25 @@ def rule_scores(facts: DataFrame, queries: DataFrame, rules: DataFrame, most_hop
     return by.join(queries.select("query_id", "subject"), "query_id").where(F.col("entity") != F.col("subject")).drop("subject")
 
 
+BLOCK_DAYS = 64
+
+
 def mean_distances(facts: DataFrame, queries: DataFrame, last: tuple[int, int] = (100, 50)) -> DataFrame:
     """(query_id, dr, dg): mean of |query day - day| over the last 100 and 50 facts, in file order, up to the day; 10
-    without any. The last facts up to a day are among the last ones of each single day, so only those meet the distinct
-    days of the queries."""
-    days = queries.select(F.col("day").alias("q_day")).distinct()
-    latest = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("row_id")))
-    ends = facts.select("row_id", "day").withColumn("latest", latest).where(F.col("latest") <= max(last))
-    near = ends.join(days, F.col("day") <= F.col("q_day"))
-    rank = F.row_number().over(Window.partitionBy("q_day").orderBy(F.desc("row_id")))
-    near = near.withColumn("rank", rank).where(F.col("rank") <= max(last))
+    without any.
+
+    The last facts up to a day are among the last ones of each single day. Days stand in blocks: a query day meets the
+    days of its own block and the last facts of all blocks before it, which blocks hand on, not days.
+    """
+    most = max(last)
+    block = lambda day: F.floor(F.col(day) / BLOCK_DAYS)
+    newest = lambda df, by: df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("row_id")))).where(F.col("rank") <= most)
+    days = queries.select(F.col("day").alias("q_day"), block("day").alias("q_block")).distinct()
+    ends = newest(facts.select("row_id", "day"), "day").select("row_id", "day", block("day").alias("block"))
+    inside = ends.join(days, (F.col("block") == F.col("q_block")) & (F.col("day") <= F.col("q_day"))).select("q_day", "row_id", "day")
+    passed = newest(ends, "block").drop("rank").join(days.select("q_block").distinct(), F.col("block") < F.col("q_block"))  # blocks are few
+    before = newest(passed.select("q_block", "row_id", "day"), "q_block").join(days, "q_block").select("q_day", "row_id", "day")
+    near = newest(inside.union(before), "q_day")
     gap = F.abs(F.col("q_day") - F.col("day"))
     by = near.groupBy("q_day").agg(*[F.avg(F.when(F.col("rank") <= n, gap)).alias(c) for n, c in zip(last, ("dr", "dg"))])
     return queries.join(by, F.col("day") == F.col("q_day"), "left").select("query_id", *[F.coalesce(c, F.lit(10.0)).alias(c) for c in ("dr", "dg")])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 Provider = Callable[[str], str | None]
 _providers: dict[str, Callable[[], Provider]] = {}
@@ -40,16 +40,50 @@ def _echo_number() -> Provider:
     return lambda prompt: (re.findall(r"[0-9]+(?:\.[0-9]+)?", prompt) or [None])[-1]
 
 
-def ask(prompts: DataFrame, provider: str = "silent", tries: int = 2, votes: int = 1) -> DataFrame:
-    """(query_id, vote, reply) from (query_id, prompt): each prompt `votes` times, tried again after an exception or
-    no answer; null when all tries fail."""
+@register("agreeable")
+def _agreeable() -> Provider:
+    """Keeps what it is shown: the numbers of all listed cases, and each score as it is. A stand-in for tests."""
+    import re
+
+    def answer(prompt: str) -> str | None:
+        scores = re.findall(r"(?m)^C(\d+): .*, score ([0-9.]+)$", prompt)
+        if scores:
+            return "{" + ", ".join(f'"C{i}": {x}' for i, x in scores) + "}"
+        kept = re.findall(r"(?m)^R(\d+): .* validity=([0-9.]+)$", prompt)
+        if kept:
+            return "{" + ", ".join(f'"R{i}": {x}' for i, x in kept) + "}"
+        return ", ".join(re.findall(r"(?m)^(?:Path_)?(\d+): ", prompt)) or None
+
+    return answer
+
+
+def varied(base: str, name: str, lead: str) -> None:
+    """Register a provider that puts the same questions in other words: `lead` before each prompt."""
+    factory = _providers[base]
+    _providers[name] = lambda: (lambda model: lambda prompt: model(f"{lead}\n{prompt}"))(factory())
+
+
+def describe(provider: str) -> dict[str, object]:
+    """Whether a provider is registered and answers at all."""
+    try:
+        _providers[provider]()("1")
+        return {"provider": provider, "available": True}
+    except Exception as e:  # any failure is what is asked about
+        return {"provider": provider, "available": False, "error": repr(e)}
+
+
+def ask(prompts: DataFrame, provider: str = "silent", tries: int = 2, votes: int = 1, pause: float = 0.0) -> DataFrame:
+    """(query_id, vote, reply) from (query_id, prompt): each prompt `votes` times, tried again after `pause` seconds upon
+    an exception or no answer; null when all tries fail."""
     factory = _providers[provider]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
 
         def one(prompt: str) -> str | None:
-            for _ in range(tries):
+            for i in range(tries):
+                if i:
+                    time.sleep(pause)
                 try:
                     if (reply := model(prompt)) is not None:
                         return reply
@@ -61,11 +95,3 @@ def ask(prompts: DataFrame, provider: str = "silent", tries: int = 2, votes: int
             yield pd.DataFrame([(q, v, one(p)) for q, p in zip(b["query_id"], b["prompt"]) for v in range(votes)], columns=["query_id", "vote", "reply"])
 
     return prompts.select("query_id", "prompt").mapInPandas(run, "query_id long, vote int, reply string")
-
-
-def batched_prompts(candidates: DataFrame, most: int = 20, per_prompt: int = 30) -> DataFrame:
-    """(query_id, batch, prompt): the first `most` candidates of each query, `per_prompt` to a prompt, as C<i>: name."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entity")) - 1
-    c = candidates.withColumn("i", rank).where(F.col("i") < most).withColumn("batch", F.floor(F.col("i") / per_prompt))
-    line = F.struct("i", F.concat(F.lit("C"), F.col("i").cast("string"), F.lit(": "), "entity").alias("text"))
-    return c.groupBy("query_id", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "\n").alias("prompt"))

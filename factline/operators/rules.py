@@ -5,7 +5,7 @@ A rule is (rule_id, head, body array<string>, validity in days).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factline.operators.order import following, with_position
@@ -27,8 +27,24 @@ LONG_TERM = ("Sign_formal_agreement", "Ratify_treaty", "Cooperate_on_economic_is
 SHORT_TERM = ("Meet_with", "Discuss_by_telephone", "Make_statement", "Apologize", "Criticize_or_denounce")
 
 
-def confidence(facts: DataFrame, body: tuple[str, ...], head: str, validity: float) -> DataFrame:
-    """One row (b, hb): body matches, and those whose head follows, over all pairs (subject, object).
+Rule = tuple[int, tuple[str, ...], str, float]  # rule_id, body, head, validity
+RULES_A_PASS = 8  # window columns of so many rules share one sort
+
+
+def _passes(rules: list[Rule]) -> list[list[Rule]]:
+    by_length = sorted(rules, key=lambda r: len(r[1]))
+    return [by_length[i : i + RULES_A_PASS] for i in range(0, len(by_length), RULES_A_PASS)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def confidences(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule_id, b, hb) of each rule: body matches, and those whose head follows, over all pairs (subject, object).
 
     Each fact of a pair starts one attempt on the facts from it on. Strict: the body's relations are the next ones
     and the times up to the fact after them span at most `validity`; the head matches if it is that fact. Otherwise
@@ -36,68 +52,114 @@ def confidence(facts: DataFrame, body: tuple[str, ...], head: str, validity: flo
     start on. A pair stops at its first match of both.
 
     Running windows in reverse time order say, for each fact, where the greedy match of the body's end would end, so
-    no pair is gathered as an array.
+    no pair is gathered as an array. All windows of a pass have one order: one shuffle and one sort serve all its rules.
     """
-    n, f = len(body), facts.select("subject", "object", "relation", "day", "row_id")
-    forward = Window.partitionBy("subject", "object").orderBy("day", "row_id")
-    backward = Window.partitionBy("subject", "object").orderBy(F.desc("day"), F.desc("row_id")).rowsBetween(Window.unboundedPreceding, 0)
-    # end of the greedy match of body[k:] among the facts from here on, for k = n - 1 .. 0
-    f = f.withColumn("end", F.last(F.when(F.col("relation") == body[-1], F.col("day")), True).over(backward))
-    for r in reversed(body[:-1]):
-        f = f.withColumn("next_end", F.lead("end").over(forward))
-        f = f.withColumn("end", F.last(F.when((F.col("relation") == r) & F.col("next_end").isNotNull(), F.col("next_end")), True).over(backward))
-        f = f.drop("next_end")
-    f = f.withColumn("begin", F.last(F.when(F.col("relation") == body[0], F.col("day")), True).over(backward))
-    f = f.withColumn("head_later", F.max((F.col("relation") == head).cast("int")).over(backward) == 1)
-    strict: Column = F.lead("day", n).over(forward) - F.col("day") <= validity
-    for k, r in enumerate(body):
-        strict = strict & ((F.lead("relation", k).over(forward) if k else F.col("relation")) == r)
-    f = f.withColumn("strict", F.coalesce(strict, F.lit(False))).withColumn("strict_head", F.coalesce(F.lead("relation", n).over(forward) == head, F.lit(False)))
-    relaxed = F.coalesce(F.col("end") - F.col("begin") <= validity, F.lit(False))
-    f = f.withColumn("matched", F.col("strict") | relaxed)
-    f = f.withColumn("both", F.when(F.col("strict"), F.col("strict_head")).otherwise(relaxed & F.col("head_later")))
-    done = F.coalesce(F.sum(F.col("both").cast("int")).over(forward.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_ = f.withColumn("done", done).where(F.col("done") == 0)
-    return open_.agg(F.count_if("matched").alias("b"), F.count_if("both").alias("hb"))
+    return _union([_confidences(facts, p) for p in _passes(rules)])
+
+
+def _confidences(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+    pair = Window.partitionBy("subject", "object")
+    back = pair.orderBy(F.desc("day"), F.desc("row_id"))
+    upto = back.rowsBetween(Window.unboundedPreceding, 0)  # the fact and all later ones
+    longest = max(len(r[1]) for r in rules)
+    relation, f = F.col("relation"), facts.select("subject", "object", "relation", "day", "row_id")
+    f = f.withColumns({f"r{k}": F.lag("relation", k).over(back) for k in range(1, longest + 1)} | {f"d{k}": F.lag("day", k).over(back) for k in range(1, longest + 1)})
+    # e: end of the greedy match of the body's last relations, one more in each step, among the facts from here on
+    f = f.withColumns({f"e{i}": F.last(F.when(relation == body[-1], F.col("day")), True).over(upto) for i, (_, body, _, _) in enumerate(rules)})
+    for step in range(2, longest + 1):
+        longer = [(i, body[-step]) for i, (_, body, _, _) in enumerate(rules) if len(body) >= step]
+        f = f.withColumns({f"n{i}": F.lag(f"e{i}").over(back) for i, _ in longer})
+        f = f.withColumns({f"e{i}": F.last(F.when((relation == r) & F.col(f"n{i}").isNotNull(), F.col(f"n{i}")), True).over(upto) for i, r in longer})
+    made = {}
+    for i, (_, body, head, _) in enumerate(rules):
+        made[f"begin{i}"] = F.last(F.when(relation == body[0], F.col("day")), True).over(upto)
+        made[f"later{i}"] = F.max((relation == head).cast("int")).over(upto) == 1
+    f = f.withColumns(made)
+    made = {}
+    for i, (_, body, head, validity) in enumerate(rules):
+        strict: Column = (F.col(f"d{len(body)}") - F.col("day") <= validity) & (relation == body[0])
+        for k, r in enumerate(body[1:], 1):
+            strict = strict & (F.col(f"r{k}") == r)
+        strict = F.coalesce(strict, F.lit(False))
+        relaxed = F.coalesce(F.col(f"e{i}") - F.col(f"begin{i}") <= validity, F.lit(False))
+        made[f"matched{i}"] = strict | relaxed
+        made[f"both{i}"] = F.when(strict, F.coalesce(F.col(f"r{len(body)}") == head, F.lit(False))).otherwise(relaxed & F.col(f"later{i}")).cast("int")
+    f = f.select("subject", "object", "day", "row_id", *[c.alias(n) for n, c in made.items()])
+    # a fact counts while none before it matched both: as many as there are lie from it on
+    n = range(len(rules))
+    f = f.withColumns({f"open{i}": F.sum(f"both{i}").over(pair) == F.sum(f"both{i}").over(upto) for i in n})
+    one = f.agg(*[x for i in n for x in (F.count_if(F.col(f"open{i}") & F.col(f"matched{i}")).alias(f"b{i}"), F.count_if(F.col(f"open{i}") & (F.col(f"both{i}") == 1)).alias(f"hb{i}"))])
+    each = [F.struct(F.lit(r[0]).cast("long").alias("rule_id"), F.col(f"b{i}").alias("b"), F.col(f"hb{i}").alias("hb")) for i, r in enumerate(rules)]
+    return one.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
-def heuristic_confidence(facts: DataFrame, body: tuple[str, ...], head: str) -> DataFrame:
-    """One row (cp): for rules without body matches, from the body relations' shares of all facts and the overlap of
+def confidence(facts: DataFrame, body: tuple[str, ...], head: str, validity: float) -> DataFrame:
+    """One row (b, hb), as confidences() of one rule."""
+    return confidences(facts, [(0, body, head, validity)]).drop("rule_id")
+
+
+def _listed(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+    return facts.sparkSession.createDataFrame([(i, h, list(b), float(v)) for i, b, h, v in rules], "rule_id long, head string, body array<string>, validity double")
+
+
+def heuristic_confidences(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule_id, cp): for rules without body matches, from the body relations' shares of all facts and the overlap of
     their time ranges with the head's."""
     by = facts.groupBy("relation").agg(F.count("*").alias("n"), F.min("day").alias("lo"), F.max("day").alias("hi")).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    h = by.where(F.col("relation") == head).select(F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
-    wanted = facts.sparkSession.createDataFrame([(i, r) for i, r in enumerate(body)], "i int, relation string")
-    each = wanted.join(by, "relation", "left").join(h, how="left")  # one row per body relation, one head row at most
+    h = by.select(F.col("relation").alias("head"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
+    each = _listed(facts, rules).select("rule_id", "head", F.explode("body").alias("relation")).join(by, "relation", "left").join(h, "head", "left")
     overlap = F.greatest(F.lit(0), F.least("hi", "h_hi") - F.greatest("lo", "h_lo"))
     span = F.greatest(F.lit(1), F.greatest("hi", "h_hi") - F.least("lo", "h_lo"))
     time = 0.5 * F.when(F.col("h_lo").isNull(), 0.1).otherwise(F.coalesce(overlap / span, F.lit(0.0)))
     part = 50 * F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)) + time
-    return each.agg((0.3 + 0.4 * F.least(F.lit(1.0), F.avg(part))).alias("cp"))
+    return each.groupBy("rule_id").agg((0.3 + 0.4 * F.least(F.lit(1.0), F.avg(part))).alias("cp"))
 
 
-def coverage(facts: DataFrame, body: tuple[str, ...], validity: float) -> DataFrame:
-    """One row (b_valid, b_total, coverage): windows of consecutive facts in the global time order whose relations are
-    the body, and those that span at most `validity`. The last window is not visited."""
-    n = len(body)
+def heuristic_confidence(facts: DataFrame, body: tuple[str, ...], head: str) -> DataFrame:
+    """One row (cp), as heuristic_confidences() of one rule."""
+    return heuristic_confidences(facts, [(0, body, head, 0.0)]).drop("rule_id")
+
+
+def coverages(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule_id, b_valid, b_total, coverage): windows of consecutive facts in the global time order whose relations are
+    the body, and those that span at most `validity`. The last window is not visited. Facts are put in order once."""
+    longest = max(len(r[1]) for r in rules)
     placed = with_position(facts.select("relation", "day", "row_id"), ["day", "row_id"])
-    led = following(placed, {f"r{k}": ("relation", k) for k in range(1, n)} | {"end": ("day", n - 1)} if n > 1 else {"end": ("day", 0)})
-    total = placed.agg(F.count("*").alias("total"))
-    same: Column = F.col("relation") == body[0]
-    for k in range(1, n):
-        same = same & (F.col(f"r{k}") == body[k])
-    found = led.join(total).where(same & (F.col("position") < F.col("total") - n))
-    out = found.agg(F.count_if(F.col("end") - F.col("day") <= validity).alias("b_valid"), F.count("*").alias("b_total"))
+    ahead = {f"r{k}": ("relation", k) for k in range(1, longest)} | {f"d{k}": ("day", k) for k in range(1, longest)}
+    led = following(placed, ahead) if ahead else placed
+    led = led.join(placed.agg(F.count("*").alias("total")))  # one row
+
+    def counts(i: int, body: tuple[str, ...], validity: float) -> list[Column]:
+        same: Column = (F.col("relation") == body[0]) & (F.col("position") < F.col("total") - len(body))
+        for k, r in enumerate(body[1:], 1):
+            same = same & (F.col(f"r{k}") == r)
+        end = F.col(f"d{len(body) - 1}") if len(body) > 1 else F.col("day")
+        return [F.count_if(same & (end - F.col("day") <= validity)).alias(f"v{i}"), F.count_if(same).alias(f"t{i}")]
+
+    one = led.agg(*[c for i, (_, body, _, validity) in enumerate(rules) for c in counts(i, body, validity)])
+    each = [F.struct(F.lit(r[0]).cast("long").alias("rule_id"), F.col(f"v{i}").alias("b_valid"), F.col(f"t{i}").alias("b_total")) for i, r in enumerate(rules)]
+    out = one.select(F.explode(F.array(*each)).alias("x")).select("x.*")
     return out.withColumn("coverage", F.when(F.col("b_total") > 0, F.col("b_valid") / F.col("b_total")).otherwise(0.0))
 
 
-def evaluate(facts: DataFrame, rules: list[tuple[int, tuple[str, ...], str, float]]) -> DataFrame:
-    """rule_id, head, body, validity, b, hb, cp, b_valid, b_total, coverage, priority of each (id, body, head, validity)."""
-    out = None
-    for rule_id, body, head, validity in rules:
-        one = confidence(facts, body, head, validity).join(heuristic_confidence(facts, body, head).withColumnRenamed("cp", "cp_else")).join(coverage(facts, body, validity))
-        cp = F.when(F.col("b") > 0, F.col("hb") / F.col("b")).otherwise(F.col("cp_else"))
-        one = one.select(F.lit(rule_id).cast("long").alias("rule_id"), F.lit(head).alias("head"), F.array(*map(F.lit, body)).alias("body"), F.lit(float(validity)).alias("validity"), "b", "hb", cp.alias("cp"), "b_valid", "b_total", "coverage")
-        out = one if out is None else out.union(one)
+def coverage(facts: DataFrame, body: tuple[str, ...], validity: float) -> DataFrame:
+    """One row (b_valid, b_total, coverage), as coverages() of one rule."""
+    return coverages(facts, [(0, body, "", validity)]).drop("rule_id")
+
+
+def evaluate(facts: DataFrame, rules: list[Rule], judged: DataFrame | None = None) -> DataFrame:
+    """rule_id, head, body, validity, b, hb, cp, b_valid, b_total, coverage, priority of each rule, in one sort of the
+    facts by pair and one by time for RULES_A_PASS rules.
+
+    A rule without body matches takes its confidence from `judged` (rule_id, judged), where that has one, else from
+    heuristic_confidences().
+    """
+    df = _listed(facts, rules).join(confidences(facts, rules), "rule_id").join(coverages(facts, rules), "rule_id")
+    df = df.join(heuristic_confidences(facts, rules).withColumnRenamed("cp", "cp_else"), "rule_id")
+    if judged is not None:
+        df = df.join(judged.select("rule_id", "judged"), "rule_id", "left").withColumn("cp_else", F.coalesce("judged", "cp_else"))
+    cp = F.when(F.col("b") > 0, F.col("hb") / F.col("b")).otherwise(F.col("cp_else"))
+    out = df.select("rule_id", "head", "body", "validity", "b", "hb", cp.alias("cp"), "b_valid", "b_total", "coverage")
     return out.withColumn("priority", priority(F.col("cp"), F.col("coverage")))
 
 
@@ -124,9 +186,49 @@ def updated(rules: DataFrame, current: DataFrame, path_span: str | None = None)
     return rules.join(span).withColumn("validity", F.greatest((F.col("validity") + F.col("span")) / 2, 1.2 * own)).drop("span")
 
 
-def evolve(facts: DataFrame, current: DataFrame, rules: list[tuple[int, tuple[str, ...], str, float]]) -> DataFrame:
-    """Re-scored on `current`, eliminated, and given new validities."""
-    return updated(eliminated(evaluate(current, rules)), current)
+def path_spans(rules: DataFrame) -> DataFrame:
+    """`rules` with path_span, the days that the facts of a rule's source path span; null without a path."""
+    days = F.transform("source_path", lambda x: x["day"])
+    return rules.withColumn("path_span", F.when(F.size("source_path") > 0, (F.array_max(days) - F.array_min(days)).cast("double")))
+
+
+def evolve(facts: DataFrame, current: DataFrame, rules: list[Rule], spans: DataFrame | None = None) -> DataFrame:
+    """Re-scored on `current`, eliminated, and given new validities. spans: (rule_id, path_span) of the rules' paths."""
+    judged = eliminated(evaluate(current, rules))
+    if spans is None:
+        return updated(judged, current)
+    return updated(judged.join(spans.select("rule_id", "path_span"), "rule_id", "left"), current, "path_span").drop("path_span")
+
+
+def history_step(judged: DataFrame, step: int) -> DataFrame:
+    """One row about a round of eliminated(): step, total_rules, retained, eliminated, elimination_rate."""
+    gone = F.count_if(~F.col("retained"))
+    rate = gone / F.greatest(F.lit(1), F.count("*"))
+    return judged.agg(F.lit(step).alias("step"), F.count("*").alias("total_rules"), F.count_if("retained").alias("retained"), gone.alias("eliminated"), rate.alias("elimination_rate"))
+
+
+def history_summary(steps: DataFrame) -> DataFrame:
+    """One row about all rounds: how many, the rules they dropped, and the last one's rate; no row without rounds."""
+    out = steps.agg(F.count("*").alias("steps"), F.sum("eliminated").alias("total_eliminated"), F.max_by("elimination_rate", "step").alias("current_elimination_rate"))
+    return out.where("steps > 0")
+
+
+def statistics(rules: DataFrame) -> DataFrame:
+    """One row: number of rules, least and largest confidence and priority."""
+    return rules.agg(F.count("*").alias("rules"), *[f(c).alias(f"{n}_{c}") for c in ("cp", "priority") for n, f in (("min", F.min), ("max", F.max))])
+
+
+def save(rules: DataFrame, path: str) -> None:
+    """Rules as Parquet; load() reads them back."""
+    rules.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rules that save() has written; None if there are none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.parquet(path)
 
 
 def validity_period(paths: DataFrame) -> DataFrame:
@@ -159,16 +261,30 @@ def path_in_validity(path: Column, target_day: Column, validity: Column) -> Colu
     return near & ordered
 
 
+def longest_gap(gaps: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The validity of a rule as the largest gap between a path's end and the target (column `gap`), 30 without any."""
+    return gaps.groupBy(*(by or [])).agg(F.coalesce(F.max("gap").cast("double"), F.lit(float(DEFAULT_VALIDITY))).alias("validity"))
+
+
 def mean_pairwise_gap(facts: DataFrame) -> DataFrame:
     """(relation_a, relation_b, gap): mean of |day_a - day_b| over all pairs of facts of two relations, exactly.
 
-    Facts are first counted per relation and day, so the join is over days, not facts.
+    Facts are counted per relation and day. For each relation and day of the calendar the sum of distances to the
+    relation's facts follows from running counts; so two relations meet by day, and the work is relations squared times
+    days, not days squared.
     """
     by = facts.groupBy("relation", "day").agg(F.count("*").alias("n"))
-    a, b = (by.select(F.col("relation").alias(f"relation_{x}"), F.col("day").alias(f"day_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = a.join(b, F.col("relation_a") <= F.col("relation_b"))  # relations and days are calendar-sized
-    weight = F.col("n_a") * F.col("n_b")
-    return pairs.groupBy("relation_a", "relation_b").agg((F.sum(weight * F.abs(F.col("day_a") - F.col("day_b"))) / F.sum(weight)).alias("gap"))
+    calendar = by.agg(F.collect_set("day").alias("days"))  # one row; as many days as the calendar has
+    dense = by.select("relation").distinct().join(calendar).select("relation", F.explode("days").alias("day")).join(by, ["relation", "day"], "left")
+    whole = Window.partitionBy("relation")
+    upto = whole.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    n, days = F.coalesce("n", F.lit(0)).cast("double"), F.coalesce("n", F.lit(0)).cast("double") * F.col("day")
+    dense = dense.select("relation", "day", F.sum(n).over(upto).alias("c"), F.sum(days).over(upto).alias("s"), F.sum(n).over(whole).alias("all_n"), F.sum(days).over(whole).alias("all_s"))
+    distance = F.col("day") * F.col("c") - F.col("s") + (F.col("all_s") - F.col("s")) - F.col("day") * (F.col("all_n") - F.col("c"))
+    a = dense.select(F.col("relation").alias("relation_a"), "day", distance.alias("distance"), "all_n")
+    b = by.select(F.col("relation").alias("relation_b"), "day", "n")
+    pairs = a.join(b, "day").where(F.col("relation_a") <= F.col("relation_b"))
+    return pairs.groupBy("relation_a", "relation_b").agg((F.sum(F.col("distance") * F.col("n")) / (F.max("all_n") * F.sum("n"))).alias("gap"))
 
 
 def composite_scores(facts: DataFrame, vectors: DataFrame) -> DataFrame:

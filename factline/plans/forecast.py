@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factline.functions.groups import pseudo_vectors
-from factline.operators import embed, lookup, paths, reasoning, rules
+from factline.operators import decisions, embed, graphmodel, lookup, paths, reasoning, rules
 from factline.session import durable
 
 
 @dataclass(frozen=True)
 class Settings:
-    """guide, validity, verify: switches for path validation, learned validity periods and verification."""
+    """guide, validity, verify: switches for path validation, learned validity periods and verification. provider: the
+    text model that takes decisions.py's decisions; "silent" leaves all of them to the formulas."""
 
     top_relations: int = 3
     heads: int = 3
@@ -27,9 +28,14 @@ class Settings:
     recent_share: float = 0.2
     train_epochs: int = 0
     top: int = 10
+    model_path: str | None = None  # where a trained graph side is kept and looked for
     guide: bool = True
     validity: bool = True
     verify: bool = True
+    provider: str = "silent"
+
+    def asks(self) -> bool:
+        return self.provider != "silent"
 
 
 def mine(facts: DataFrame, vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -38,12 +44,19 @@ def mine(facts: DataFrame, vectors: DataFrame, s: Settings = Settings()) -> Data
     targets = by.orderBy(F.desc("n"), "target").limit(s.top_relations).drop("n")
     found = durable(paths.sample_paths(facts, rules.composite_scores(facts, vectors), targets, s.heads, s.hops), "paths")
     good = paths.validated(found, vectors) if s.guide else found
+    if s.guide and s.asks():
+        good = durable(decisions.choose_paths(found, good, s.provider), "chosen")
     mined = rules.rules_of_paths(good)
     if not s.validity:
         return mined
     span = good.join(targets, "target").select(F.col("target").alias("relation"), (F.element_at("path", -1)["day"] - F.get("path", F.lit(0))["day"]).alias("span"), (F.col("target_day") - F.element_at("path", -1)["day"]).alias("gap"))
-    periods = rules.validity_period(span).select(F.col("relation").alias("head"), F.col("validity").alias("period"))
-    return mined.join(periods, "head", "left").withColumn("validity", F.coalesce("period", "validity")).drop("period")
+    periods = rules.validity_period(span)
+    if s.asks():
+        periods = periods.join(decisions.validities(span, s.provider), "relation", "left").withColumn("validity", F.coalesce("judged", "validity"))
+    periods = periods.select(F.col("relation").alias("head"), F.col("validity").alias("period"))
+    mined = rules.path_spans(mined.join(periods, "head", "left").withColumn("validity", F.coalesce("period", "validity")).drop("period"))
+    # a rule holds at least 1.2 times as long as its own path
+    return mined.withColumn("validity", F.greatest("validity", 1.2 * F.coalesce("path_span", F.lit(0.0)))).drop("path_span")
 
 
 def rate(facts: DataFrame, mined: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -51,30 +64,54 @@ def rate(facts: DataFrame, mined: DataFrame, s: Settings = Settings()) -> DataFr
     listed = [(r["rule_id"], tuple(r["body"]), r["head"], r["validity"]) for r in mined.select("rule_id", "body", "head", "validity").collect()]  # at most top_relations * heads
     if not listed:
         return mined.withColumns({c: F.lit(None).cast("double") for c in ("cp", "coverage", "priority")})
-    scored = durable(rules.evaluate(facts, listed), "rules")
+    spans = durable(rules.path_spans(mined).select("rule_id", "path_span"), "path-spans")
+    judged = decisions.confidences(facts, mined, s.provider) if s.asks() else None
+    scored = durable(rules.evaluate(facts, listed, judged), "rules")
     ends = facts.agg(F.max("day").alias("hi"), F.min("day").alias("lo"))
     recent = facts.join(ends).where(F.col("day") >= F.col("hi") - s.recent_share * (F.col("hi") - F.col("lo"))).select(*facts.columns)
-    kept = rules.evolve(facts, recent, listed).where("retained").select("rule_id", F.col("validity").alias("evolved"))
+    evolved = durable(rules.evolve(facts, recent, listed, spans), "evolved")
+    if s.asks():
+        reach = recent.agg(F.coalesce(F.max("day") - F.min("day"), F.lit(0))).collect()[0][0]
+        said = decisions.outliving(evolved, float(reach), s.provider).withColumnRenamed("retained", "said")
+        evolved = evolved.join(said, "rule_id", "left").withColumn("retained", F.coalesce("said", "retained")).withColumn("validity", F.coalesce("judged_validity", "validity"))
+    kept = evolved.where("retained").select("rule_id", F.col("validity").alias("evolved"))
     return mined.drop("validity").join(scored.select("rule_id", "cp", "coverage", "priority", "validity"), "rule_id").join(kept, "rule_id", "left").withColumn("retained", F.col("evolved").isNotNull()).withColumn("validity", F.coalesce("evolved", "validity")).drop("evolved")
 
 
+def _said_or(said: DataFrame, formula: DataFrame) -> DataFrame:
+    """Scores of a model where it gave one, else those of the formula."""
+    both = formula.join(said.withColumnRenamed("score", "said"), ["query_id", "entity"], "left")
+    return both.select("query_id", "entity", F.coalesce("said", "score").alias("score"))
+
+
 def answer(facts: DataFrame, queries: DataFrame, ruled: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(query_id, entity, score, rank) for queries (query_id, subject, relation, day); one plan for all of them."""
     rule_side = reasoning.rule_scores(facts, queries, ruled, s.hops + 1, s.least_priority)
-    vectors = embed.entity_vectors(facts)
     if s.train_epochs:
-        vectors = embed.train(facts, vectors, s.train_epochs)
-    graph_side = embed.graph_scores(embed.message_layer(facts, vectors), queries)
+        model = graphmodel.load(facts.sparkSession, s.model_path) if s.model_path else None
+        if model is None:
+            model, _ = graphmodel.train(facts, graphmodel.start(facts), s.train_epochs)
+            if s.model_path:
+                graphmodel.save(model, s.model_path)
+        graph_side = graphmodel.graph_scores(facts, model, queries)
+    else:
+        graph_side = embed.graph_scores(embed.message_layer(facts, embed.entity_vectors(facts)), queries)
     if s.verify:
         rule_side, graph_side = durable(rule_side, "rule-side"), durable(graph_side, "graph-side")
         checked = reasoning.verify_rules(rule_side, queries, reasoning.best_rules(rule_side, ruled), ruled)
+        if s.asks():
+            missing = lookup.missing_relations(facts, queries, ruled)
+            checked = _said_or(decisions.adjusted(rule_side, decisions.rule_context(queries, missing), s.provider), checked)
         rule_side = reasoning.verify_first(rule_side, checked)
         checked = reasoning.verify_graph(graph_side, reasoning.virtual_paths(facts, graph_side.select("query_id", "entity"), queries), ruled)
+        if s.asks():
+            window = lookup.context_window(facts, queries)
+            checked = _said_or(decisions.adjusted(graph_side, decisions.graph_context(queries, window, ruled), s.provider), checked)
         graph_side = reasoning.verify_first(graph_side, checked)
     weights = reasoning.mean_distances(facts, queries).withColumn("alpha", reasoning.alpha(F.col("dr"), F.col("dg")))
     fused = reasoning.fuse(rule_side, graph_side, weights)
     known = facts.groupBy("object").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "object").limit(s.top + 1)
-    # a question without any candidate gets the most frequent objects but its subject
+    # a question without any candidate could answer any entity but its subject; only `top` are ranked, the most frequent
     bare = queries.join(fused.select("query_id").distinct(), "query_id", "left_anti").join(known, F.col("object") != F.col("subject")).select("query_id", F.col("object").alias("entity"), F.lit(0.0).alias("score"), "n")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "entity")).cast("long")
     return fused.unionByName(bare.withColumn("rank", rank).drop("n")).where(F.col("rank") <= s.top)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factline.functions import groups, names, temporal
-from factline.operators import caserules, embed, lookup, paths, patterns, reasoning, replies, rules
+from factline.operators import caserules, embed, graphmodel, lookup, paths, patterns, reasoning, replies, rules
 from factline.plans import forecast
 from factline.sources import facts as sources
 
@@ -285,6 +285,29 @@ def event_triples(facts):
     return sources.triples(facts).select(F.regexp_extract("s", r"(\d+)", 1).cast("long").alias("row_id"), "p", "o")
 
 
+@query("SELECT row_id, subject || ' ' || object AS plain, subject || '_' || object || '_s' AS quoted FROM facts")
+def iri_names(facts):
+    """Names with spaces and quotes as IRIs, and back without the prefix."""
+    named = facts.select("row_id", F.concat("subject", F.lit(" "), "object").alias("name"), F.concat("subject", F.lit(" "), "object", F.lit("'s")).alias("odd"))
+    full = F.concat(F.lit("http://x/"), sources.iri("name"))
+    return named.select("row_id", F.translate(sources.local_name(full, "http://x/"), "_", " ").alias("plain"), sources.iri("odd", "underscore").alias("quoted"))
+
+
+@query("""SELECT a.row_id AS row1, b.row_id AS row2, 'Path_0: (' || a.subject || ', signup, ' || a.object || ', t=' || a.ts || ') → (' || b.subject || ', purchase, ' || b.object || ', t=' || b.ts || ')' AS text, a.day AS first, b.day AS last, b.day - a.day AS span,
+array_to_string(list_sort(list_distinct([a.subject, a.object, b.subject, b.object])), ',') AS entities FROM facts a JOIN facts b ON a.object = b.subject AND a.day <= b.day WHERE a.relation = 'signup' AND b.relation = 'purchase'""")
+def path_descriptions(facts):
+    p = patterns.object_chain(facts, ("signup", "purchase")).withColumn("range", names.path_range(F.col("path")))
+    text = names.path_text(F.lit(0), F.col("path")).alias("text")
+    return p.select(F.expr("path[0].row_id").alias("row1"), F.expr("path[1].row_id").alias("row2"), text, "range.first", "range.last", "range.span", F.array_join(names.path_entities(F.col("path")), ",").alias("entities"))
+
+
+@query("SELECT relation, '{\"head\":\"' || relation || '\",\"body\":[\"click\",\"view\"],\"signature\":\"' || relation || '<-click_view\",\"support\":' || count(*) || '}' AS json, relation || '(X0,X2) <- click(X0,X1) ^ view(X1,X2)' AS text FROM facts GROUP BY relation")
+def rule_texts(facts):
+    by = facts.groupBy("relation").agg(F.count("*").alias("n"))
+    body = F.array(*map(F.lit, BODY))
+    return by.select("relation", names.rule_json(F.col("relation"), body, support=F.col("n")).alias("json"), names.rule_text(F.col("relation"), body).alias("text"))
+
+
 @query("""SELECT event_id, stamp, CASE WHEN stamp > m THEN m ELSE stamp END AS clamped FROM (SELECT event_id, s AS stamp, strftime(last_day(CAST(substr(s, 1, 8) || '01' AS DATE)), '%Y-%m-%d') AS m FROM (SELECT event_id, '20' || lpad(CAST(event_id % 40 AS VARCHAR), 2, '0') || '-' || lpad(CAST(event_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(event_id % 31 + 1 AS VARCHAR), 2, '0') AS s FROM events))""", facts=False)
 def date_clamp(spark, sf_dir):
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
@@ -324,14 +347,14 @@ def composite_score(spark, sf_dir):
     return rounded(rules.composite_scores(sources.from_events(spark, sf_dir), relation_vectors(spark, sf_dir)), "semantic", "frequency", "temporal", "score")
 
 
-def confidence_sql(body: tuple[str, ...], head: str, validity: float) -> str:
+def confidence_sql(body: tuple[str, ...], head: str, validity: float, facts: str = "facts") -> str:
     n = len(body)
     both = " AND ".join([f"relation = '{body[0]}'"] + [f"lead(relation, {k}) OVER w = '{r}'" for k, r in enumerate(body) if k])
     chain = f"(SELECT min(p.pos) FROM pf p WHERE p.subject = f.subject AND p.object = f.object AND p.pos >= f.pos AND p.relation = '{body[0]}')"
     steps = [f"q0 AS (SELECT f.*, {chain} AS p0 FROM pf f)"]
     for k in range(1, n):
         steps.append(f"q{k} AS (SELECT f.*, (SELECT min(p.pos) FROM pf p WHERE p.subject = f.subject AND p.object = f.object AND p.pos > f.p{k - 1} AND p.relation = '{body[k]}') AS p{k} FROM q{k - 1} f)")
-    return f"""pf AS (SELECT *, row_number() OVER w AS pos, coalesce({both} AND lead(day, {n}) OVER w - day <= {validity}, false) AS strict, coalesce(lead(relation, {n}) OVER w = '{head}', false) AS shead FROM facts WINDOW w AS (PARTITION BY subject, object ORDER BY day, row_id)),
+    return f"""pf AS (SELECT *, row_number() OVER w AS pos, coalesce({both} AND lead(day, {n}) OVER w - day <= {validity}, false) AS strict, coalesce(lead(relation, {n}) OVER w = '{head}', false) AS shead FROM {facts} WINDOW w AS (PARTITION BY subject, object ORDER BY day, row_id)),
 {', '.join(steps)}, m AS (SELECT q.*, coalesce(z.day - a.day <= {validity}, false) AS relaxed, EXISTS (SELECT 1 FROM pf h WHERE h.subject = q.subject AND h.object = q.object AND h.pos >= q.pos AND h.relation = '{head}') AS later
 FROM q{n - 1} q LEFT JOIN pf a ON a.subject = q.subject AND a.object = q.object AND a.pos = q.p0 LEFT JOIN pf z ON z.subject = q.subject AND z.object = q.object AND z.pos = q.p{n - 1}),
 v AS (SELECT subject, object, pos, strict OR relaxed AS matched, CASE WHEN strict THEN shead ELSE relaxed AND later END AS hit FROM m),
@@ -361,19 +384,89 @@ def rule_coverage(facts):
     return rounded(rules.coverage(facts, BODY, 0), "coverage")
 
 
-@query()
+def coverage_sql(body: tuple[str, ...], validity: float, facts: str = "facts") -> str:
+    n = len(body)
+    led = "".join(f", lead(relation, {k}) OVER w AS r{k}" for k in range(1, n))
+    same = " AND ".join([f"relation = '{body[0]}'"] + [f"r{k} = '{r}'" for k, r in enumerate(body) if k])
+    return f"""SELECT CAST(coalesce(sum((last_day - day <= {validity})::INT), 0) AS BIGINT) AS b_valid, count(*) AS b_total FROM (SELECT relation, day, lead(day, {n - 1}) OVER w AS last_day{led},
+  row_number() OVER w - 1 AS pos, count(*) OVER () AS n FROM {facts} WINDOW w AS (ORDER BY day, row_id)) WHERE {same} AND pos < n - {n}"""
+
+
+def evaluation_sql(facts: str = "facts") -> str:
+    """CTEs up to ev: the rules of RULES with confidence, coverage and priority on the relation `facts`."""
+    stats = f"st AS (SELECT relation, count(*) / (SELECT count(*) FROM {facts}) AS freq, min(day) AS lo, max(day) AS hi FROM {facts} GROUP BY relation)"
+    each = []
+    for rule, body, head, validity in RULES:
+        values = ", ".join(f"('{r}')" for r in body)
+        else_ = f"""(SELECT 0.3 + 0.4 * least(1.0, avg(50 * coalesce(b.freq, 0) + 0.5 * CASE WHEN h.lo IS NULL THEN 0.1 ELSE coalesce(greatest(0, least(b.hi, h.hi) - greatest(b.lo, h.lo)) / greatest(1, greatest(b.hi, h.hi) - least(b.lo, h.lo)), 0) END))
+  FROM (VALUES {values}) v(r) LEFT JOIN st b ON b.relation = r LEFT JOIN st h ON h.relation = '{head}')"""
+        each.append(f"""SELECT {rule} AS rule_id, '{head}' AS head, '{",".join(body)}' AS body, {validity}::DOUBLE AS validity, b, hb, CASE WHEN b > 0 THEN hb / b ELSE {else_} END AS cp, b_valid, b_total,
+  CASE WHEN b_total > 0 THEN b_valid / b_total ELSE 0.0 END AS coverage FROM (WITH {confidence_sql(body, head, validity, facts)}), ({coverage_sql(body, validity, facts)})""")
+    return f"{stats}, e0 AS ({' UNION ALL '.join(each)}), ev AS (SELECT *, 0.7 * cp + 0.3 * coverage AS priority FROM e0)"
+
+
+def _rule_columns(df: DataFrame, *more: str) -> DataFrame:
+    return rounded(df.withColumn("body", F.array_join("body", ",")), "cp", "coverage", "priority", *more)
+
+
+RULE_SQL = "rule_id, head, body, validity, b, hb, round(cp, 6) AS cp, b_valid, b_total, round(coverage, 6) AS coverage, round(priority, 6) AS priority"
+
+
+@query(f"WITH {evaluation_sql()} SELECT {RULE_SQL} FROM ev")
 def rule_evaluation(facts):
-    return rounded(rules.evaluate(facts, list(RULES)), "cp", "coverage", "priority")
+    return _rule_columns(rules.evaluate(facts, list(RULES)))
 
 
-@query()
+@query(f"WITH {evaluation_sql()} SELECT {RULE_SQL}, row_number() OVER (ORDER BY ev.priority DESC, rule_id) AS rank FROM ev WHERE ev.priority >= 0.3")
 def rule_ranking(facts):
-    return rounded(rules.ranked(rules.evaluate(facts, list(RULES)), 0.3), "cp", "coverage", "priority")
+    return _rule_columns(rules.ranked(rules.evaluate(facts, list(RULES)), 0.3))
 
 
-@query()
+CURRENT_SQL = f"cur AS (SELECT * FROM facts WHERE day >= {QUERY_DAY}), {evaluation_sql('cur')}"
+
+
+@query(f"""WITH {CURRENT_SQL}, sp AS (SELECT coalesce(max(day) - min(day), 0) AS span FROM cur)
+SELECT {RULE_SQL.replace("validity,", "round(greatest((validity + span) / 2, 36.0), 6) AS validity,")}, NOT (ev.priority < 0.6 AND ev.cp < 0.6) AS retained FROM ev, sp""")
 def rule_evolution(facts):
-    return rounded(rules.evolve(facts, facts.where(F.col("day") >= QUERY_DAY), list(RULES)), "cp", "coverage", "priority", "validity")
+    return _rule_columns(rules.evolve(facts, facts.where(F.col("day") >= QUERY_DAY), list(RULES)), "validity")
+
+
+@query(f"WITH {CURRENT_SQL}, k AS (SELECT NOT (priority < 0.6 AND cp < 0.6) AS retained FROM ev) SELECT 1 AS step, count(*) AS total_rules, count(*) FILTER (retained) AS retained, count(*) FILTER (NOT retained) AS eliminated, round(count(*) FILTER (NOT retained) / greatest(1, count(*)), 6) AS elimination_rate FROM k")
+def evolution_history(facts):
+    judged = rules.eliminated(rules.evaluate(facts.where(F.col("day") >= QUERY_DAY), list(RULES)))
+    return rounded(rules.history_step(judged, 1), "elimination_rate")
+
+
+@query(f"WITH {evaluation_sql()} SELECT count(*) AS rules, round(min(cp), 6) AS min_cp, round(max(cp), 6) AS max_cp, round(min(priority), 6) AS min_priority, round(max(priority), 6) AS max_priority FROM ev")
+def rule_statistics(facts):
+    return rounded(rules.statistics(rules.evaluate(facts, list(RULES))), "min_cp", "max_cp", "min_priority", "max_priority")
+
+
+@query("""WITH e AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS id FROM (SELECT subject AS value FROM facts UNION SELECT object FROM facts)), r AS (SELECT relation, row_number() OVER (ORDER BY relation) - 1 AS id FROM (SELECT DISTINCT relation FROM facts))
+SELECT row_id, s.id AS subject_id, r.id AS relation_id, o.id AS object_id, day FROM facts JOIN e s ON s.value = subject JOIN r USING (relation) JOIN e o ON o.value = object""")
+def encoded_facts(facts):
+    return lookup.encoded(facts)
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT subject FROM facts UNION SELECT object FROM facts)) AS nodes, count(*) AS edges FROM facts")
+def graph_size(facts):
+    return lookup.graph_size(facts)
+
+
+@query("SELECT relation, coalesce(max(19780 - day), 30)::DOUBLE AS validity FROM facts WHERE relation IN ('error', 'view') GROUP BY relation")
+def longest_gap_validity(facts):
+    gaps = facts.where(F.col("relation").isin("error", "view")).select("relation", (19780 - F.col("day")).alias("gap"))
+    return rules.longest_gap(gaps, ["relation"])
+
+
+@query("SELECT row_id, subject, relation, object, day FROM facts WHERE day <= 19735")
+def facts_of_the_past(facts):
+    return lookup.history(facts, 19735).select("row_id", "subject", "relation", "object", "day")
+
+
+@query("SELECT row_id, subject, relation, object, day FROM facts ORDER BY row_id LIMIT 100")
+def facts_without_a_past(facts):
+    return lookup.history(facts, -1).select("row_id", "subject", "relation", "object", "day")
 
 
 @query("SELECT l_orderkey, l_linenumber, NOT (0.7 * l_discount * 10 + 0.3 * l_tax * 10 < 0.6 AND l_discount * 10 < 0.6) AS retained FROM lineitem", facts=False)
@@ -459,19 +552,22 @@ al AS (SELECT t.query_id, dr, dg, 0.5 * exp(-0.1 * dr) / (0.5 * exp(-0.1 * dr) +
 
 @query(f"WITH {TEST_SQL}, {ALPHA_SQL} SELECT query_id, round(dr, 6) AS dr, round(dg, 6) AS dg, round(alpha, 6) AS alpha FROM al")
 def dynamic_alpha(facts):
-    return rounded(weights(facts), "dr", "dg", "alpha")
+    return rounded(weights(facts, tests(facts)), "dr", "dg", "alpha")
 
 
-def weights(facts: DataFrame) -> DataFrame:
-    return reasoning.mean_distances(facts, tests(facts)).withColumn("alpha", reasoning.alpha(F.col("dr"), F.col("dg")))
+def weights(facts: DataFrame, t: DataFrame) -> DataFrame:
+    return reasoning.mean_distances(facts, t).withColumn("alpha", reasoning.alpha(F.col("dr"), F.col("dg")))
 
 
-def frequency_side(facts: DataFrame) -> DataFrame:
-    """Objects of a question's subject before its day by their share: a plain graph side."""
-    t = tests(facts)
-    f = facts.groupBy(F.col("subject").alias("fs"), F.col("object").alias("entity"), F.col("day").alias("fd")).agg(F.count("*").alias("c"))
-    by = t.join(f, (F.col("subject") == F.col("fs")) & (F.col("fd") < F.col("day"))).where("entity <> subject").groupBy("query_id", "entity").agg(F.sum("c").alias("c"))
-    return by.select("query_id", "entity", (F.col("c") / F.sum("c").over(Window.partitionBy("query_id"))).alias("score"))
+def frequency_side(facts: DataFrame, t: DataFrame) -> DataFrame:
+    """Objects of a question's subject before its day by their share: a plain graph side. Days before all questions are
+    one count; a (subject, day) is asked once."""
+    start = t.agg(F.min("day")).collect()[0][0] or 0
+    f = facts.groupBy(F.col("subject").alias("fs"), F.col("object").alias("entity"), F.greatest("day", F.lit(start - 1)).alias("fd")).agg(F.count("*").alias("c"))
+    asked = t.select("subject", "day").distinct()
+    by = asked.join(f, (F.col("subject") == F.col("fs")) & (F.col("fd") < F.col("day"))).where("entity <> subject").groupBy("subject", "day", "entity").agg(F.sum("c").alias("c"))
+    by = by.withColumn("score", F.col("c") / F.sum("c").over(Window.partitionBy("subject", "day")))
+    return t.select("query_id", "subject", "day").join(by, ["subject", "day"]).select("query_id", "entity", "score")
 
 
 FREQ_SQL = "fc AS (SELECT t.query_id, f.object AS entity, count(*) AS c FROM tests t JOIN facts f ON f.subject = t.subject AND f.day < t.day AND f.object <> t.subject GROUP BY ALL), gs AS (SELECT query_id, entity, c / sum(c) OVER (PARTITION BY query_id) AS score FROM fc)"
@@ -480,20 +576,21 @@ fu AS (SELECT query_id, entity, round(alpha * coalesce(r, 0) + (1 - alpha) * coa
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS rank FROM fu)"""
 
 
-def fused(facts: DataFrame) -> DataFrame:
-    both = reasoning.fuse(reasoning.rule_scores(facts, tests(facts), fixed_rules(facts)), frequency_side(facts), weights(facts)).withColumn("score", F.round("score", 9))
+def fused(facts: DataFrame, t: DataFrame) -> DataFrame:
+    both = reasoning.fuse(reasoning.rule_scores(facts, t, fixed_rules(facts)), frequency_side(facts, t), weights(facts, t)).withColumn("score", F.round("score", 9))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entity")).cast("long"))
 
 
 @query(f"WITH {FUSE_SQL} SELECT query_id, entity, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
 def fused_ranking(facts):
-    return rounded(fused(facts).where("rank <= 10"), "score")
+    return rounded(fused(facts, tests(facts)).where("rank <= 10"), "score")
 
 
 @query(f"""WITH {FUSE_SQL}, sz AS (SELECT query_id, count(*) AS size FROM rk GROUP BY query_id), pl AS (SELECT t.query_id, coalesce(size, 0) AS size, coalesce(rank, coalesce(size, 0) + 1) AS rank FROM tests t LEFT JOIN rk ON rk.query_id = t.query_id AND rk.entity = t.object LEFT JOIN sz ON sz.query_id = t.query_id)
 SELECT count(*) AS queries, round(avg(CASE WHEN size > 0 THEN 1 / rank ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN size > 0 THEN (rank <= 1)::INT ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN size > 0 THEN (rank <= 3)::INT ELSE 0 END), 6) AS hit3, round(avg(CASE WHEN size > 0 THEN (rank <= 10)::INT ELSE 0 END), 6) AS hit10 FROM pl""")
 def mrr_hits(facts):
-    return reasoning.metrics(fused(facts), tests(facts).select("query_id", "object"))
+    t = tests(facts)
+    return reasoning.metrics(fused(facts, t), t.select("query_id", "object"))
 
 
 @query(f"WITH {TEST_SQL} SELECT t.query_id, f.row_id FROM tests t JOIN facts f ON f.subject = t.subject AND f.day BETWEEN t.day - 5 AND t.day")
@@ -522,25 +619,60 @@ def best_rule_for_entity(facts):
 
 @query(f"""WITH {TEST_SQL}, {FREQ_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS k FROM gs) SELECT query_id, entity, round(CASE WHEN k <= 3 THEN score * 0.7 ELSE score END, 6) AS score FROM rk""")
 def verify_topn_passthrough(facts):
-    side = frequency_side(facts)
+    side = frequency_side(facts, tests(facts))
     return rounded(reasoning.verify_first(side, side.withColumn("score", F.col("score") * 0.7), 3), "score")
 
 
-@query()
+VIRTUAL_SQL = """ca AS (SELECT g.query_id, g.entity, g.score, t.subject AS qs, t.day AS qd FROM gs g JOIN tests t USING (query_id)),
+di AS (SELECT query_id, entity, list(relation ORDER BY row_id) AS rels FROM (SELECT c.query_id, c.entity, f.relation, f.row_id, row_number() OVER (PARTITION BY c.query_id, c.entity ORDER BY f.row_id) AS k FROM ca c JOIN facts f ON f.subject = c.qs AND f.object = c.entity AND f.day <= c.qd) WHERE k <= 3 GROUP BY ALL),
+ou AS (SELECT qs, qd, arg_min(f.relation, f.row_id) AS r FROM (SELECT DISTINCT qs, qd FROM ca) JOIN facts f ON f.subject = qs AND f.day <= qd GROUP BY ALL),
+i_ AS (SELECT entity, qd, arg_min(f.relation, f.row_id) AS r FROM (SELECT DISTINCT entity, qd FROM ca) JOIN facts f ON f.object = entity AND f.day <= qd GROUP BY ALL),
+vp AS (SELECT ca.*, coalesce(di.rels, list_distinct([ou.r, i_.r])) AS rels FROM ca LEFT JOIN di USING (query_id, entity) LEFT JOIN ou USING (qs, qd) LEFT JOIN i_ USING (entity, qd)),
+dg AS (SELECT query_id, entity, score, rels, greatest(100.0 * len(list_intersect(['click', 'view'], rels)) / 2, 100.0 * len(list_intersect(['signup'], rels)), 100.0 * len(list_intersect(['error', 'view', 'click'], rels)) / 3) AS degree FROM vp)"""
+
+
+@query(f"WITH {TEST_SQL}, {FREQ_SQL}, {VIRTUAL_SQL} SELECT query_id, entity, round(score * CASE WHEN len(rels) = 0 THEN 1.0 WHEN degree > 0 THEN degree / 100 ELSE 0.7 END, 6) AS score FROM dg")
 def verified_graph_side(facts):
-    side, t = frequency_side(facts), tests(facts)
+    t = tests(facts)
+    side = frequency_side(facts, t)
     paths_ = reasoning.virtual_paths(facts, side.select("query_id", "entity"), t)
     return rounded(reasoning.verify_graph(side, paths_, fixed_rules(facts)), "score")
 
 
-@query()
+def similarity_sql(a: str, b: str) -> str:
+    """names.name_similarity() of names without spaces."""
+    prefix = f"CASE WHEN len({a}) >= 5 AND len({b}) >= 5 AND {a}[1:5] = {b}[1:5] THEN 5 WHEN len({a}) >= 4 AND len({b}) >= 4 AND {a}[1:4] = {b}[1:4] THEN 4 WHEN len({a}) >= 3 AND len({b}) >= 3 AND {a}[1:3] = {b}[1:3] THEN 3 WHEN len({a}) >= 2 AND len({b}) >= 2 AND {a}[1:2] = {b}[1:2] THEN 2 ELSE 0 END"
+    return f"CASE WHEN {a} = {b} THEN 1.0 ELSE least(1.0, greatest(0.1, (CASE {prefix} WHEN 5 THEN 1.0 WHEN 4 THEN 0.9 WHEN 3 THEN 0.6 WHEN 2 THEN 0.5 ELSE 0.2 END + 0.2) / 2)) END"
+
+
+@query(f"""WITH {SCORE_SQL}, pa(rule_id, s, o) AS (VALUES (1, 'u1', 'u2'), (1, 'u2', 'u3'), (2, 'u4', 'u5'), (3, 'u6', 'u7')), br AS (SELECT rs.*, t.subject AS qs, CASE entity WHEN 'u2' THEN 1 WHEN 'u3' THEN 1 WHEN 'u5' THEN 2 WHEN 'u7' THEN 3 END AS rule_id FROM rs JOIN tests t USING (query_id)),
+me AS (SELECT query_id, entity, avg(x) AS mean FROM (SELECT query_id, entity, {similarity_sql("qs", "s")} AS x FROM br JOIN pa USING (rule_id) UNION ALL SELECT query_id, entity, {similarity_sql("entity", "o")} FROM br JOIN pa USING (rule_id)) GROUP BY ALL)
+SELECT query_id, entity, round(score * coalesce(mean, 0.8), 6) AS score FROM br LEFT JOIN me USING (query_id, entity)""")
 def verified_rule_side(facts):
     r, t = fixed_rules(facts), tests(facts)
     side = reasoning.rule_scores(facts, t, r)
     return rounded(reasoning.verify_rules(side, t, reasoning.best_rules(side, r), r), "score")
 
 
-@query()
+def vector_sql(name: str, names_of: str) -> str:
+    """CTE `name` (name, i, x): the unit vector that md5 gives to each name of the relation `names_of`."""
+    return f"""{name}_ AS (SELECT name, i, ('0x' || substr(md5(name || ':' || i), 1, 6))::BIGINT / 8388608.0::DOUBLE - 1 AS x FROM {names_of}, (SELECT unnest(range(1, {embed.DIMENSIONS + 1})) AS i)),
+{name} AS (SELECT name, i, x / sqrt(sum(x * x) OVER (PARTITION BY name)) AS x FROM {name}_)"""
+
+
+def layer_sql(before: str, after: str) -> str:
+    return f"""{after}_m AS (SELECT object AS name, v.i, sum(n * (v.x + r.x)) AS x FROM edges_by JOIN {before} v ON v.name = subject JOIN rv0 r ON r.name = relation AND r.i = v.i GROUP BY ALL),
+{after}_u AS (SELECT name, i, x / sqrt(sum(x * x) OVER (PARTITION BY name)) AS x FROM {after}_m),
+{after}_h AS (SELECT v.name, v.i, CASE WHEN u.x IS NULL THEN v.x ELSE 0.5 * v.x + 0.5 * u.x END AS x FROM {before} v LEFT JOIN {after}_u u USING (name, i)),
+{after} AS (SELECT name, i, x / sqrt(sum(x * x) OVER (PARTITION BY name)) AS x FROM {after}_h)"""
+
+
+@query(f"""WITH {TEST_SQL}, nm AS (SELECT subject AS name FROM facts UNION SELECT object FROM facts), rn AS (SELECT DISTINCT relation AS name FROM facts), {vector_sql("v0", "nm")}, {vector_sql("rv0", "rn")},
+edges_by AS (SELECT subject, relation, object, count(*) AS n FROM facts GROUP BY ALL), {layer_sql("v0", "v1")}, {layer_sql("v1", "v2")},
+qv AS (SELECT q.subject, q.relation, v.i, v.x + r.x AS x FROM (SELECT DISTINCT subject, relation FROM tests) q JOIN v2 v ON v.name = q.subject JOIN rv0 r ON r.name = q.relation AND r.i = v.i),
+co AS (SELECT q.subject, q.relation, e.name AS entity, sum(q.x * e.x) / (sqrt(sum(q.x * q.x)) * sqrt(sum(e.x * e.x))) AS score FROM qv q JOIN v2 e ON e.i = q.i AND e.name <> q.subject GROUP BY ALL),
+tk AS (SELECT *, row_number() OVER (PARTITION BY subject, relation ORDER BY score DESC, entity) AS k FROM co WHERE score > 0)
+SELECT query_id, entity, round(score, 6) AS score FROM tests JOIN tk USING (subject, relation) WHERE k <= 20""")
 def graph_candidates(facts):
     vectors = embed.message_layer(facts, embed.message_layer(facts, embed.entity_vectors(facts)))
     return rounded(embed.graph_scores(vectors, tests(facts)), "score")
@@ -557,7 +689,7 @@ def reply_parsing(spark, sf_dir):
     return e.select("event_id", names.reply_scores(F.concat(F.lit("scores: "), "props"))["k"].alias("k"), names.reply_score(F.col("props")).alias("score"))
 
 
-@query()
+@query("SELECT day AS query_id, least(1.0, max(n))::DOUBLE AS score FROM (SELECT day, relation, count(*) AS n FROM facts GROUP BY ALL) GROUP BY day")
 def model_replies(facts):
     prompts = reasoning.majority(facts.select(F.col("day").alias("query_id"), F.col("relation").alias("answer"))).select("query_id", F.concat(F.lit("score "), "votes").alias("prompt"))
     return replies.ask(prompts, "echo_number").select("query_id", names.reply_score(F.col("reply")).alias("score"))
@@ -565,8 +697,11 @@ def model_replies(facts):
 
 @query()
 def trained_candidates(facts):
-    vectors = embed.train(facts, embed.entity_vectors(facts), epochs=2)
-    return rounded(embed.graph_scores(embed.message_layer(facts, vectors), tests(facts)), "score")
+    """Answers of a graph model after two training steps on the facts before the questions."""
+    split = lookup.time_split(facts)
+    past = split.where("split <> 'test'").select(*facts.columns)
+    model, _ = graphmodel.train(past, graphmodel.start(past), epochs=2)
+    return rounded(graphmodel.graph_scores(past, model, tests(facts).drop("object")), "score")
 
 
 @query()
@@ -574,6 +709,6 @@ def forecast_metrics(facts):
     return forecast.forecast(facts)[2]
 
 
-@query()
+@query(f"WITH rn AS (SELECT DISTINCT 'relation:' || relation AS name FROM facts), {vector_sql('pv', 'rn')} SELECT substr(name, 10) AS relation, round(x, 6) AS first, {embed.DIMENSIONS} AS dimensions FROM pv WHERE i = 1")
 def pseudo_relation_vectors(facts):
     return groups.pseudo_vectors(facts).select("relation", F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.size("vector").alias("dimensions"))

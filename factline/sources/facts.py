@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from factline.operators.order import with_position
+
 #: Encodings to try, in this order (fixed values).
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "gb18030", "latin-1", "cp1252")
 
@@ -60,24 +62,31 @@ def read_lines(spark: SparkSession, path: str, encoding: str | None = None) -> D
 FIELDS = ("subject", "relation", "object", "timestamp")
 
 
+BLANKS = " \t\r\n\x0b\x0c\u00a0\u3000"
+
+
 def repair_lines(lines: DataFrame, full_width: bool = True, columns: tuple[str, ...] = FIELDS) -> DataFrame:
     """Facts from (row_id, line) of comma-separated text without quoting.
 
     More than four fields: the first is the subject, the last the time, the second to last the object, the others
-    joined by a comma the relation. Full-width commas stand for commas where the time is missing. Rows with an empty
+    joined by a comma the relation. Where the time is empty, full-width commas count: a subject of four parts or more
+    gives all four fields, else a relation of three parts or more gives relation, object and time. Rows with an empty
     field or a time not of the form YYYY-MM-DD go (so does a header); so do dates that do not exist. `columns`: the
-    order of fields in lines of four.
+    order of fields in lines of up to four.
     """
-    fields = lambda line: F.transform(F.split(line, ","), lambda x: F.btrim(x))
-    line = F.col("line")
-    if full_width:
-        line = F.when(F.size(F.split("line", ",")) < 4, F.regexp_replace("line", "，", ",")).otherwise(line)
-    df = lines.select("row_id", fields(line).alias("f")).where(F.size("f") >= 4)
-    field = lambda name, else_: F.when(F.size("f") == 4, F.element_at("f", columns.index(name) + 1)).otherwise(else_)
+    trimmed = lambda c: F.btrim(c, F.lit(BLANKS))
+    df = lines.select("row_id", F.transform(F.split(trimmed(F.col("line")), ","), trimmed).alias("f"))
+    many = F.size("f") > 4
+    field = lambda name, else_: F.when(many, else_).otherwise(F.coalesce(F.get("f", F.lit(columns.index(name))), F.lit("")))
     df = df.select(
-        "row_id", field("subject", F.element_at("f", 1)).alias("subject"), field("relation", F.array_join(F.slice("f", 2, F.size("f") - 3), ",")).alias("relation"),
-        field("object", F.element_at("f", -2)).alias("object"), field("timestamp", F.element_at("f", -1)).alias("stamp"),
+        "row_id", field("subject", F.get("f", F.lit(0))).alias("subject"), field("relation", F.array_join(F.slice("f", F.lit(2), F.greatest(F.size("f") - 3, F.lit(0))), ",")).alias("relation"),
+        field("object", F.get("f", F.size("f") - 2)).alias("object"), field("timestamp", F.get("f", F.size("f") - 1)).alias("stamp"),
     )
+    if full_width:
+        for source, names in (("subject", ("subject", "relation", "object", "stamp")), ("relation", ("relation", "object", "stamp"))):
+            df = df.withColumn("p", F.transform(F.split(F.translate(source, "，", ","), ","), trimmed))
+            fits = (F.col("stamp") == "") & (F.size("p") >= len(names))
+            df = df.withColumns({n: F.when(fits, F.get("p", F.lit(i))).otherwise(F.col(n)) for i, n in enumerate(names)}).drop("p")
     df = df.where(F.col("stamp").rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.col("subject") != "") & (F.col("relation") != "") & (F.col("object") != ""))
     df = df.withColumn("ts", F.try_to_date("stamp", "yyyy-MM-dd")).where(F.col("ts").isNotNull())
     return df.select("row_id", "subject", "relation", "object", "ts", F.unix_date("ts").cast("long").alias("day"))
@@ -157,9 +166,25 @@ def write_graph(facts: DataFrame, path: str, clear: bool = True) -> None:
     edges(facts).sortWithinPartitions("src", "timestamp_days").write.mode(mode).partitionBy("type").parquet(f"{path}/edges")
 
 
-def iri(name: str) -> Column:
-    """A name without quotes and with underscores for spaces."""
-    return F.regexp_replace(F.regexp_replace(name, "[\"'<>]", ""), r"\s+", "_")
+def read_graph(spark: SparkSession, path: str) -> DataFrame:
+    """The facts of a graph that write_graph() has written; row numbers follow time and names."""
+    e = spark.read.parquet(f"{path}/edges").select(F.col("src").alias("subject"), F.col("type").cast("string").alias("relation"), F.col("dst").alias("object"), F.to_date("timestamp").alias("ts"), F.col("timestamp_days").alias("day"))
+    placed = with_position(e.withColumn("n", F.row_number().over(Window.partitionBy("day", "subject", "relation", "object").orderBy("ts"))), ["day", "subject", "relation", "object", "n"], "row_id")
+    return placed.select("row_id", "subject", "relation", "object", "ts", "day")
+
+
+def iri(name: str, quotes: str = "drop") -> Column:
+    """A name with underscores for spaces, and without quotes and angle brackets (drop), with single quotes as
+    underscores (underscore), or with all signs as they are (keep)."""
+    spaced = F.regexp_replace(name, r"\s+", "_")
+    if quotes == "keep":
+        return spaced
+    return F.translate(spaced, "'", "_") if quotes == "underscore" else F.regexp_replace(spaced, "[\"'<>]", "")
+
+
+def local_name(iri_: Column, prefix: str) -> Column:
+    """An IRI without its prefix."""
+    return F.replace(iri_, F.lit(prefix), F.lit(""))
 
 
 def triples(facts: DataFrame) -> DataFrame:
