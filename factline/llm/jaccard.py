@@ -44,7 +44,7 @@ from factline.session import durable, forget
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 SMALL_MOST = 12  # the boundary is sought up to this size
-GROWTH = 8  # of the number of leaders per list from round to round
+GROWTH = 32  # of the number of leaders per list from round to round
 U = np.uint64
 
 
@@ -167,53 +167,66 @@ def entries(sets: DataFrame, small: int) -> DataFrame:
     return sets.select("doc_id", "tokens", "keys", "n").mapInArrow(run, "key long, doc_id long, n int, at int")
 
 
-def open_lists(lists: DataFrame) -> DataFrame:
-    """The lists whose documents are in two components or more."""
-    ends = lists.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    return lists.join(ends, "key", "left_semi")
+def open_keys(lists: DataFrame) -> DataFrame:
+    """(key) of the lists whose documents are in two components or more."""
+    return lists.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
 
 
 def leaders(lists: DataFrame, most: int) -> DataFrame:
-    """The first `most` documents of each list (Spark cuts each list down to them before it shuffles)."""
+    """The first `most` documents of each list (Spark cuts each list down to them before it shuffles), and the last of
+    them as `upto`."""
     ranked = lists.withColumn("place", F.rank().over(Window.partitionBy("key").orderBy("doc_id"))).where(F.col("place") <= most)
-    return ranked.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("l_n"), F.col("at").alias("l_at"), F.col("component").alias("l_component"))
+    upto = F.max("doc_id").over(Window.partitionBy("key"))
+    return ranked.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("l_n"), F.col("at").alias("l_at"), F.col("component").alias("l_component"), upto.alias("upto"))
 
 
 def pairs_to_verify(lists: DataFrame, first: DataFrame) -> DataFrame:
-    """(leader, doc_id): pairs of a leader and a later document of its list, not joined yet, that may link: by their
-    sizes, and by what is left of both from their first common shingle on."""
+    """(leader, doc_id, l_component, component): pairs of a leader and a later document of its list, not joined yet, that
+    may link: by their sizes, and by what is left of both from their first common shingle on."""
     need = F.ceil(NUMERATOR * (F.col("n") + F.col("l_n")) / (NUMERATOR + DENOMINATOR))
     left = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("l_n") - F.col("l_at") - 1)
     fits = (F.least("n", "l_n") >= need) & ((F.col("at") < 0) | (left >= need))
     apart = (F.col("doc_id") > F.col("leader")) & (F.col("component") != F.col("l_component"))
-    return lists.join(first, "key").where(apart & fits).select("leader", "doc_id").distinct()
+    return lists.join(first, "key").where(apart & fits).select("leader", "doc_id", "l_component", "component").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, by the size of their sets' intersection."""
+    """(a, b): the components of the pairs that link, by the size of their sets' intersection."""
     mine = sets.select("doc_id", "n", "tokens")
     led = sets.select(F.col("doc_id").alias("leader"), F.col("n").alias("l_n"), F.col("tokens").alias("l_tokens"))
     shared = F.size(F.array_intersect("tokens", "l_tokens"))
-    both = pairs.join(mine, "doc_id").join(led, "leader").select("leader", "doc_id", (F.col("n") + F.col("l_n")).alias("sizes"), shared.alias("shared"))
-    return both.where(DENOMINATOR * F.col("shared") >= NUMERATOR * (F.col("sizes") - F.col("shared"))).select("leader", "doc_id").distinct()
+    both = pairs.join(mine, "doc_id").join(led, "leader").select(F.col("l_component").alias("a"), F.col("component").alias("b"), (F.col("n") + F.col("l_n")).alias("sizes"), shared.alias("shared"))
+    return both.where(DENOMINATOR * F.col("shared") >= NUMERATOR * (F.col("sizes") - F.col("shared"))).select("a", "b").distinct()
+
+
+def joined(groups: DataFrame | None, merged: DataFrame) -> DataFrame:
+    """(node, component) after the components of `groups` are joined as `merged` (node, component) says."""
+    if groups is None:
+        return merged
+    new = groups.join(merged.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+    alone = merged.join(groups.select("node"), "node", "left_anti")
+    return durable(new.select("node", F.coalesce("into", "component").alias("component")).union(alone.select("node", "component")), "groups")
 
 
 def components(sets: DataFrame, small: int) -> DataFrame | None:
-    """(node, component) of all documents with links, from verified links; None if there are none."""
-    start = entries(sets, small).withColumn("component", F.col("doc_id"))
-    lists, links, groups, most = durable(open_lists(start), "lists"), None, None, 1
-    while lists.limit(1).collect():
-        first = leaders(lists, most)
-        new = durable(verified(pairs_to_verify(lists, first), sets), "links")
-        upto = first.groupBy("key").agg(F.max("leader").alias("upto"))
-        rest = lists.join(upto, "key").where(F.col("doc_id") > F.col("upto")).drop("upto")
-        if new.limit(1).collect():
-            links = new if links is None else links.union(new)
-            groups = durable(connected_components(links, "leader", "doc_id"), "groups")
-            rest = rest.drop("component").join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-            rest = rest.withColumn("component", F.coalesce("component", "doc_id"))
-        last, lists = lists, durable(open_lists(rest.select("key", "doc_id", "n", "at", "component")), "lists")
-        forget(last)
+    """(node, component) of all documents with links, from verified links; None if there are none.
+
+    What is joined by key is written before, so that adaptive execution can split the rows of a long list.
+    """
+    rest, groups, most = durable(entries(sets, small).withColumn("component", F.col("doc_id")), "lists"), None, 1
+    while (keys := durable(open_keys(rest), "keys")).limit(1).collect():
+        lists = rest.join(keys, "key", "left_semi")
+        first = durable(leaders(lists, most), "leaders")
+        links = durable(verified(pairs_to_verify(lists, first), sets), "links")
+        ends = first.where("leader = upto").select(F.col("key").alias("e_key"), "upto")
+        later = lists.join(ends, (F.col("key") == F.col("e_key")) & (F.col("doc_id") > F.col("upto")), "left_semi")
+        if links.limit(1).collect():
+            merged = durable(connected_components(links), "merged")
+            groups = joined(groups, merged)
+            later = later.join(merged.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+            later = later.withColumn("component", F.coalesce("into", "component"))
+        last, rest = rest, durable(later.select("key", "doc_id", "n", "at", "component"), "lists")
+        forget(last, first, keys)
         most *= GROWTH
     return groups
 
