@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factline.llm.text import SPACED, Words, blocks, fmix
@@ -213,9 +213,9 @@ def drawn(rows: DataFrame, n: int, salt: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(n)
 
 
-def features(docs: DataFrame, ids: DataFrame) -> dict[int, tuple[Rows, Rows]]:
-    """Both views' features by doc_id, on the driver. ids: doc_ids, a few thousand; of rows that repeat one the first by
-    content is taken, so no more rows come back than there are ids."""
+def features(docs: DataFrame, ids: DataFrame) -> tuple[list[int], Rows, Rows]:
+    """doc_ids in order and both views' features of these rows, on the driver. ids: doc_ids, a few thousand; of rows that
+    repeat one the first by content is taken, so no more rows come back than there are ids."""
     rows = docs.join(F.broadcast(ids.select(F.col("doc_id").alias("id")).distinct()), F.col("doc_id") == F.col("id")).drop("id")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text", "lang", "source", "n_chars").alias("at"), "text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.text", "x.lang", "x.source", "x.n_chars")
 
@@ -223,16 +223,15 @@ def features(docs: DataFrame, ids: DataFrame) -> dict[int, tuple[Rows, Rows]]:
         for batch in batches:
             x = content(batch.column(1).to_pylist())
             cut = np.argsort(x.row, kind="stable")
-            ends = np.cumsum(np.bincount(x.row, minlength=x.n))
-            at = [np.split(v[cut], ends[:-1]) if x.n else [] for v in (x.column.astype("<i4"), x.value.astype("<f4"))]
-            packed = [pa.array([v.tobytes() for v in part], pa.binary()) for part in at]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(x.row, minlength=x.n))]).astype(np.int32))
+            packed = [pa.ListArray.from_arrays(ends, pa.array(v[cut])) for v in (x.column.astype(np.int32), x.value.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 2, 3, 4)], *packed], names=["doc_id", "lang", "source", "n_chars", "columns", "values"])
 
-    out = {}
-    for r in rows.mapInArrow(run, "doc_id long, lang string, source string, n_chars long, columns binary, values binary").collect():
-        column, value = np.frombuffer(r["columns"], "<i4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float)
-        out[r["doc_id"]] = Rows(np.zeros(len(column), np.int64), column, value, 1), metadata([r["lang"]], [r["source"]], [r["n_chars"]])
-    return out
+    got = rows.mapInArrow(run, "doc_id long, lang string, source string, n_chars long, columns array<int>, values array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    flat = lambda name: got[name].combine_chunks().flatten().to_numpy()
+    each = np.diff(got["columns"].combine_chunks().offsets.to_numpy()) if len(got) else np.zeros(0, int)
+    a = Rows(np.repeat(np.arange(len(got), dtype=np.int32), each), flat("columns"), flat("values"), len(got)) if len(got) else content([])
+    return got["doc_id"].to_pylist(), a, metadata(*(got[c].to_pylist() for c in ("lang", "source", "n_chars")))
 
 
 def raw_scores(docs: DataFrame, trainings: dict[str, Training]) -> DataFrame:
@@ -250,18 +249,21 @@ def raw_scores(docs: DataFrame, trainings: dict[str, Training]) -> DataFrame:
 
 
 def confident(pool: DataFrame, target: str, prior: float, handed: float, rows: int, salt: int) -> DataFrame:
-    """(doc_id, target, view, y): rows of the pool that the view is surest of, ones and zeros in the labels' proportion,
-    for the other view."""
+    """(doc_id, view, y): rows of the pool that a view is surest of, ones and zeros in the labels' proportion, for the
+    other view."""
     most = lambda i: F.expr(f"percentile_approx({target}_{i}, array({1 - handed * prior}D, {handed * (1 - prior)}D), 10000)")
-    ends = pool.agg(*[most(i).alias(f"e{i}") for i in (0, 1)])  # one row
-    out = None
-    ranged = pool.where("doc_id is not null").join(F.broadcast(ends))
-    for i in (0, 1):
-        x, e = F.col(f"{target}_{i}"), F.col(f"e{i}")
-        for y, sure, n in ((1.0, (x >= e[0]) & (x > 1), max(1, int(rows * prior))), (0.0, (x <= e[1]) & (x < -1), max(1, int(rows * (1 - prior))))):
-            one = drawn(ranged.where(sure).select("doc_id").distinct(), n, salt).select("doc_id", F.lit(target).alias("target"), F.lit(i).alias("view"), F.lit(y).alias("y"))
-            out = one if out is None else out.union(one)
-    return out
+    ends = pool.agg(*[most(i) for i in (0, 1)]).collect()[0]  # one row
+    cases = []
+    for i, end in enumerate(ends):
+        if end:
+            x = F.col(f"{target}_{i}")
+            case = lambda y, sure: F.when(sure, F.struct(F.lit(i).alias("view"), F.lit(y).alias("y")))  # noqa: B023, E731
+            cases += [case(1.0, (x >= end[0]) & (x > 1)), case(0.0, (x <= end[1]) & (x < -1))]
+    found = pool.where("doc_id is not null").select("doc_id", F.explode(F.array_compact(F.array(*cases))).alias("x")).select("doc_id", "x.*").distinct() if cases else pool.select("doc_id", F.lit(0).alias("view"), F.lit(0.0).alias("y")).where("false")
+    place = F.row_number().over(Window.partitionBy("view", "y").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id"))
+    ones, zeros = max(1, int(rows * prior)), max(1, int(rows * (1 - prior)))
+    first = found.withColumn("place", place).where(F.col("place") <= max(ones, zeros))  # cut before it is shuffled
+    return first.where(F.col("place") <= F.when(F.col("y") == 1, ones).otherwise(zeros)).drop("place")
 
 
 def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], rounds: int = ROUNDS, handed: float = HANDED, rows: int = HANDED_ROWS, labelled: int = LABELLED) -> dict[str, Model]:
@@ -273,13 +275,13 @@ def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], rounds:
         parts = [drawn(known[t].where(F.col("y") == c), labelled // 2, 6) for c in (0.0, 1.0)]
         sample[t] = [(r["doc_id"], r["y"]) for p in parts for r in p.collect()]  # `labelled` rows at most
     ids = sorted({i for t in targets for i, _ in sample[t]})
-    got = features(docs, spark.createDataFrame([(i,) for i in ids], "doc_id long")) if ids else {}
+    found, a, b = features(docs, spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    place = {d: i for i, d in enumerate(found)}
     training = {}
     for t in targets:
         prior = known[t].agg(F.avg("y")).collect()[0][0]
-        rows_of = [got[i] for i, _ in sample[t]]
-        both = [Rows.stack([r[k] for r in rows_of]) if rows_of else Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0) for k in (0, 1)]
-        training[t] = Training(*both, np.array([y for _, y in sample[t]]), 0.5 if prior is None else prior, ([], []))
+        mine = np.array([place[i] for i, _ in sample[t]], int)
+        training[t] = Training(a.take(mine), b.take(mine), np.array([y for _, y in sample[t]]), 0.5 if prior is None else prior, ([], []))
     open_ = {t: x for t, x in training.items() if x.fits()}
     gone: dict[str, set[int]] = {t: set() for t in targets}  # 4 * `rows` a round at most
     for r in range(rounds + 1):
@@ -288,22 +290,23 @@ def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], rounds:
         if r == rounds or not open_:
             break
         pool = durable(raw_scores(docs, open_), "scores")
-        chosen = None
+        found = []
         for t, x in open_.items():
             left = spark.createDataFrame([(i,) for i in sorted(gone[t])], "doc_id long")
-            rest = pool.join(known[t], "doc_id", "left_anti").join(F.broadcast(left), "doc_id", "left_anti")
-            one = confident(rest, t, x.prior, handed, rows, 60 + r)
-            chosen = one if chosen is None else chosen.union(one)
-        found = [(c["doc_id"], c["target"], c["view"], c["y"]) for c in chosen.collect()]  # 2 * `rows` per label at most
+            rest = pool.select("doc_id", f"{t}_0", f"{t}_1").join(known[t], "doc_id", "left_anti").join(F.broadcast(left), "doc_id", "left_anti")
+            rest = durable(rest, "pool")
+            found += [(c["doc_id"], t, c["view"], c["y"]) for c in confident(rest, t, x.prior, handed, rows, 60 + r).collect()]  # 2 * `rows` at most
+            forget(rest)
         forget(pool)
         if not found:
             break
-        got = features(docs, spark.createDataFrame([(i,) for i in sorted({f[0] for f in found})], "doc_id long"))
+        chosen, a, b = features(docs, spark.createDataFrame([(i,) for i in sorted({f[0] for f in found})], "doc_id long"))
+        place = {d: i for i, d in enumerate(chosen)}
         for t, x in open_.items():
             for i in (0, 1):
                 mine = sorted((d, y) for d, target, view, y in found if target == t and view == i)
                 if mine:
-                    x.handed[1 - i].append((Rows.stack([got[d][1 - i] for d, _ in mine]), np.array([y for _, y in mine])))
+                    x.handed[1 - i].append(((a, b)[1 - i].take(np.array([place[d] for d, _ in mine])), np.array([y for _, y in mine])))
                 gone[t] |= {d for d, _ in mine}
     forget(*known.values())
     return {t: x.model() for t, x in training.items()}
