@@ -33,6 +33,7 @@ LABELLED = 4000
 ROUNDS = 3
 HANDED = 0.05  # share of the pool whose labels a view is sure of in a round, at most
 HANDED_ROWS = 400  # rows of that share, drawn by hashed doc_id, that the other view is handed
+PARTS = 256
 BITS = 18
 SHAPES = 8
 META = 4096
@@ -260,10 +261,13 @@ def confident(pool: DataFrame, target: str, prior: float, handed: float, rows: i
             case = lambda y, sure: F.when(sure, F.struct(F.lit(i).alias("view"), F.lit(y).alias("y")))  # noqa: B023, E731
             cases += [case(1.0, (x >= end[0]) & (x > 1)), case(0.0, (x <= end[1]) & (x < -1))]
     found = pool.where("doc_id is not null").select("doc_id", F.explode(F.array_compact(F.array(*cases))).alias("x")).select("doc_id", "x.*").distinct() if cases else pool.select("doc_id", F.lit(0).alias("view"), F.lit(0.0).alias("y")).where("false")
-    place = F.row_number().over(Window.partitionBy("view", "y").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id"))
+    # the first by hash, found among the first of PARTS parts, so that no task gets more than PARTS * `rows` of a case
+    order = (F.xxhash64("doc_id", F.lit(salt)), F.col("doc_id"))
     ones, zeros = max(1, int(rows * prior)), max(1, int(rows * (1 - prior)))
-    first = found.withColumn("place", place).where(F.col("place") <= max(ones, zeros))  # cut before it is shuffled
-    return first.where(F.col("place") <= F.when(F.col("y") == 1, ones).otherwise(zeros)).drop("place")
+    found = found.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(salt + 1)), F.lit(PARTS)))
+    for by in (("view", "y", "part"), ("view", "y")):
+        found = found.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= max(ones, zeros))
+    return found.where(F.col("place") <= F.when(F.col("y") == 1, ones).otherwise(zeros)).drop("place", "part")
 
 
 def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], rounds: int = ROUNDS, handed: float = HANDED, rows: int = HANDED_ROWS, labelled: int = LABELLED) -> dict[str, Model]:
