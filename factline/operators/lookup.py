@@ -92,31 +92,49 @@ def summary(facts: DataFrame) -> DataFrame:
     return one.join(entities)  # one row each
 
 
-def _boundary(facts: DataFrame, days: DataFrame, at: int) -> tuple[int, int] | None:
-    """(day, row_id) of the fact at position `at` in time order; None beyond the end. Only the facts of its day are put in
-    order."""
-    found = days.where((F.col("before") <= at) & (F.col("before") + F.col("n") > at)).collect()
-    if not found:
-        return None
-    day, inside = found[0]["day"], at - found[0]["before"]
-    placed = with_position(facts.where(F.col("day") == day).select("row_id"), ["row_id"])
-    return day, placed.where(F.col("position") == inside).collect()[0]["row_id"]
+TAKEN = 200_000  # facts of one day up to which the boundary is taken from a partial sort
 
 
-def time_split(facts: DataFrame, train: float = 0.8, valid_share: float = 0.1) -> DataFrame:
-    """Facts with `split`: train, valid or test, by time order. The first facts of valid and of test are found from
-    counts per day; the split itself is a comparison with them, without a shuffle."""
+def _boundaries(facts: DataFrame, *shares: float) -> list[tuple[int, int] | None]:
+    """(day, row_id) of the first fact beyond each share of the facts in time order; None beyond the end. Counts per day
+    say on which day it is; only the facts of that day are put in order."""
     by = facts.groupBy("day").agg(F.count("*").alias("n"))
     before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
-    days = by.select("day", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    n = by.agg(F.sum("n")).collect()[0][0] or 0
-    split = F.lit("train")
-    for name, share in (("valid", train), ("test", train + valid_share)):
-        first = _boundary(facts, days, math.floor(n * share)) if n else None
-        if first:
-            late = (F.col("day") > first[0]) | ((F.col("day") == first[0]) & (F.col("row_id") >= first[1]))
-            split = F.when(late, name).otherwise(split)
-    return facts.withColumn("split", split)
+    days = by.select("day", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    hits = [(F.col("before") <= F.floor(F.col("total") * s)) & (F.col("before") + F.col("n") > F.floor(F.col("total") * s)) for s in shares]
+    found = days.withColumn("hits", F.array(*hits)).where(F.exists("hits", lambda x: x)).collect()  # a row per share
+    out = []
+    for i, share in enumerate(shares):
+        row = next((r for r in found if r["hits"][i]), None)
+        if row is None:
+            out.append(None)
+            continue
+        day, inside = row["day"], math.floor(row["total"] * share) - row["before"]
+        of_day = facts.where(F.col("day") == day).select("row_id")
+        if row["n"] <= TAKEN:
+            first = of_day.orderBy("row_id").offset(inside).limit(1)
+        else:
+            first = with_position(of_day, ["row_id"]).where(F.col("position") == inside)
+        out.append((day, first.collect()[0]["row_id"]))
+    return out
+
+
+def _from(boundary: tuple[int, int] | None) -> Column:
+    if boundary is None:
+        return F.lit(False)
+    return (F.col("day") > boundary[0]) | ((F.col("day") == boundary[0]) & (F.col("row_id") >= boundary[1]))
+
+
+def time_split(facts: DataFrame, train: float = 0.8, valid_share: float = 0.1) -> DataFrame:
+    """Facts with `split`: train, valid or test, by time order; a comparison with the first facts of valid and of test,
+    without a shuffle of the facts."""
+    valid, test = _boundaries(facts, train, train + valid_share)
+    return facts.withColumn("split", F.when(_from(test), "test").when(_from(valid), "valid").otherwise("train"))
+
+
+def test_facts(facts: DataFrame, train: float = 0.8, valid_share: float = 0.1) -> DataFrame:
+    """The facts that time_split() calls test."""
+    return facts.where(_from(*_boundaries(facts, train + valid_share)))
 
 
 def sampled_questions(split: DataFrame, n: int, seed: int = 42) -> DataFrame:

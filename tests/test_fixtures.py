@@ -117,13 +117,15 @@ def test_full_width_commas_where_the_time_is_empty(spark):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_split_against_plain(spark, seed):
+def test_split_against_plain(spark, monkeypatch, seed):
+    monkeypatch.setattr(lookup, "TAKEN", (0, 200_000)[seed])
     rng = random.Random(seed)
     n = rng.randint(5, 60)
     rows = [("a", "x", "b", rng.randrange(8)) for _ in range(n)]
     order = sorted(range(n), key=lambda i: (rows[i][3], i))
     want = {i: "train" if k < int(n * 0.8) else "valid" if k < int(n * (0.8 + 0.1)) else "test" for k, i in enumerate(order)}
     assert {r["row_id"]: r["split"] for r in lookup.time_split(facts(spark, rows)).collect()} == want
+    assert {r["row_id"] for r in lookup.test_facts(facts(spark, rows)).collect()} == {i for i, x in want.items() if x == "test"}
 
 
 def test_many_rules_in_passes(spark, monkeypatch):
