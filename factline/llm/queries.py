@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factline.llm import cotraining, decontaminate, jaccard, licenses, lm_score, mixing, pii, quality_rules, secrets, warc
+from factline.llm import cotraining, decontaminate, fim, jaccard, licenses, lm_score, mixing, pii, quality_rules, secrets, urls, warc, whitening
 from factline.llm.sql import ORACLES as ORACLES  # DuckDB SQL for the same rows
 
 
@@ -64,4 +64,20 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_pii, op5_secret_scan, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_warc_zip, op10_lm_score)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+ALL = (
+    op1_license_scan, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_pii, op5_secret_scan, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_warc_zip,
+    op10_lm_score, op11_fill_in_middle, op12_url_filter, op13_whitening,
+)
+QUERIES = {f.__name__: f for f in ALL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from factline.llm import urls
 from factline.llm.licenses import BASE, FURTHER, K
 
 _letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -32,7 +33,46 @@ a AS (SELECT doc_id, count(*) FILTER (base AND score >= share) AS n_base, min(fi
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(a, ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_spans, 0) AS n_spans FROM w LEFT JOIN a USING (doc_id)"""
 
 
+_host = f"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_letters})"
+_path = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _urls() -> str:
+    longest_first = sorted(urls.RULES, key=lambda r: (len(r.text), r.text), reverse=True)
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    case = lambda value: f"CASE {' '.join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in longest_first)} END"
+    link = urls.LINK.replace("'", "''")
+    steps = []
+    for kind, node, to in (("trust", "source", "target"), ("distrust", "target", "source")):
+        steps.append(f"m_{kind} AS MATERIALIZED (SELECT {node} AS node, {to} AS dest, n / sum(n) OVER (PARTITION BY {node}) AS share FROM e WHERE source <> target UNION ALL SELECT host, host, 1.0 FROM k WHERE host NOT IN (SELECT {node} FROM e WHERE source <> target))")
+        steps.append(f"{kind}0 AS MATERIALIZED (SELECT host AS node, coalesce(s.{kind}, 0.0) AS score, 1.0::DOUBLE AS base FROM k LEFT JOIN s USING (host))")
+        moved = lambda own, c: f"{1 - urls.DAMPING!r}::DOUBLE * {own} + {urls.DAMPING}::DOUBLE * coalesce(g.{c}, 0.0) AS {c}"
+        for i in range(1, urls.STEPS + 1):
+            steps.append(f"{kind}{i} AS MATERIALIZED (SELECT z.node, {moved('z.score', 'score')}, {moved('1.0', 'base')} FROM {kind}0 z LEFT JOIN (SELECT dest AS node, sum(share * score) AS score, sum(share * base) AS base FROM m_{kind} JOIN {kind}{i - 1} USING (node) GROUP BY dest) g USING (node))")
+    return f"""WITH p0 AS (SELECT page_id, html, {_host} AS host, {_path} AS path FROM pages), p AS MATERIALIZED (SELECT *, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS ruled FROM p0),
+l AS MATERIALIZED (SELECT host AS source, target, count(*) AS n FROM (SELECT host, unnest(list_distinct(list_concat([host], [translate(x, {_letters}) FOR x IN regexp_extract_all(coalesce(html, ''), '{link}', 1)]))) AS target FROM p WHERE host <> '') GROUP BY ALL),
+s AS (SELECT host, avg(coalesce((ruled = 'allow')::INT, 0)) AS trust, avg(coalesce((ruled = 'block')::INT, 0)) AS distrust FROM p WHERE host <> '' GROUP BY host),
+k AS MATERIALIZED (SELECT source AS host FROM l UNION SELECT target FROM l),
+f AS (SELECT a.host, arg_max(b.host, len(b.host)) AS parent FROM k a JOIN k b ON ends_with(a.host, '.' || b.host) WHERE len(a.host) <= {urls.LONGEST} GROUP BY a.host),
+e AS MATERIALIZED (SELECT source, target, sum(n) AS n FROM (SELECT * FROM l UNION ALL SELECT host, parent, 1 FROM f UNION ALL SELECT parent, host, 1 FROM f) GROUP BY ALL), {", ".join(steps)},
+h AS (SELECT node AS host, a.score / a.base AS trust, b.score / b.base AS distrust FROM trust{urls.STEPS} a JOIN distrust{urls.STEPS} b USING (node))
+SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN round(distrust - trust, 9) > {urls.BALANCE} THEN 'block' ELSE 'allow' END) AS verdict, round(trust, 6) AS trust, round(distrust, 6) AS distrust FROM p LEFT JOIN h ON h.host = p.host"""
+
+
+def _fim() -> str:
+    h = lambda i: f"('0x' || substr(d, {8 * i + 1}, 8))::BIGINT"
+    cut = lambda a, b: f"array_to_string(u[{a} : {b}], '')"
+    return rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+c AS (SELECT *, least({h(0)} % (len(u) + 1), {h(1)} % (len(u) + 1)) AS a, greatest({h(0)} % (len(u) + 1), {h(1)} % (len(u) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {h(2)} % 100 >= 50 THEN 'plain' WHEN {h(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM w),
+x AS (SELECT *, {cut("1", "a")} AS prefix, {cut("a + 1", "b")} AS middle, {cut("b + 1", "len(u)")} AS suffix FROM c)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM x"""
+
+
 ORACLES = {
+    "op11_fill_in_middle": _fim(),
+    "op12_url_filter": _urls(),
     "op1_license_scan": _licenses(),
     "op2_ngram_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, {spaced(f"translate(text, {_letters})")} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[i + 1 : i + 5] END AS x FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
