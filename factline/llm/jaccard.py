@@ -38,7 +38,7 @@ from pyspark.sql import Window
 
 from factline.llm.components import connected_components
 from factline.llm.counting import count_keys
-from factline.llm.text import SPACED, Words, blocks, fmix
+from factline.llm.text import SPACED, Words, blocks, fmix, free_name
 from factline.session import durable, forget
 
 SHINGLE = 5
@@ -253,6 +253,20 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each group of linked ones: the one whose doc_id is the smallest."""
-    gone = durable(join(docs).where("doc_id <> component_id").select("doc_id"), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` with one row of each group of linked texts: of ids that one row has, that with the smallest; in groups
+    without any, one of the rows that repeat an id or have none. Such rows count as documents of their own here, under
+    numbers beyond all ids; they alone are written for that."""
+    names = docs.columns
+    node = free_name("node", names)
+    again = durable(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "repeated-ids")
+    once, odd = docs.withColumn(node, F.col("doc_id").cast("long")), None
+    if again.limit(1).collect():
+        most = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long")).collect()[0][0]
+        ids = again.withColumnRenamed("doc_id", "again_id")
+        once = once.where(F.col("doc_id").isNotNull()).join(again.where("doc_id is not null"), "doc_id", "left_anti").select(*names, node)
+        odd = docs.join(ids.where("again_id is not null"), F.col("doc_id") == F.col("again_id"), "left_semi").union(docs.where(F.col("doc_id").isNull()))
+        odd = durable(odd.withColumn(node, F.greatest(F.lit(most), F.lit(0)) + 1 + F.monotonically_increasing_id()), "repeats")
+    whole = once if odd is None else once.union(odd)
+    linked = join(whole.select(F.col(node).alias("doc_id"), "text"))
+    gone = durable(linked.where("doc_id <> component_id").select(F.col("doc_id").alias(node)), "duplicates")
+    return whole.join(gone, node, "left_anti").select(*names)

@@ -98,7 +98,7 @@ def _placed(docs: DataFrame, made: tuple[str, ...], weights: tuple[float, ...],
     def use(e: int) -> Column:
         passed = F.col("begin") + e * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("want") - passed)).cast("long")
-        return F.struct(F.lit(e).alias("epoch"), words.alias("taken"), position(passed / F.col("target"), start, end).alias("position"))
+        return F.struct(F.lit(e).alias("epoch"), words.alias("taken"), position(F.try_divide(passed, "target"), start, end).alias("position"))
 
     return placed.withColumn("uses", F.filter(F.array(*map(use, range(epochs))), lambda x: x["taken"] > 0)), kept
 

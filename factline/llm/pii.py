@@ -146,13 +146,19 @@ def pattern_edges(found: DataFrame) -> DataFrame:
 
 
 def learn(edges: DataFrame, rounds: int = ROUNDS, least_support: float = LEAST_SUPPORT, least_pattern: float = LEAST_PATTERN, least_instance: float = LEAST_INSTANCE) -> DataFrame:
-    """(hit, score): unseen identifiers of high score after `rounds` on the graph of pattern_edges()."""
+    """(hit, score): unseen identifiers of high score after `rounds` on the graph of pattern_edges().
+
+    What patterns and instances are worth is written before it meets the edges, so that adaptive execution can split the
+    edges of a very common pattern or instance.
+    """
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for _ in range(rounds):
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("worth"), F.sum("score").alias("support"))
         patterns = patterns.where((F.col("support") >= least_support) & (F.col("worth") >= least_pattern)).drop("support")
+        patterns = durable(patterns, "pii-patterns")
         left = F.sum(F.log1p(-F.least("worth", F.lit(0.999999))))
         instances = edges.join(patterns, "pattern").groupBy("hit").agg((1 - F.exp(left)).alias("learned"))
+        instances = durable(instances, "pii-instances")
         scored = edges.join(instances, "hit", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("learned", F.lit(0.0)))).drop("learned")
     return scored.where(~F.col("seed") & (F.col("score") >= least_instance)).groupBy("hit").agg(F.max("score").alias("score"))
 
@@ -189,8 +195,9 @@ def scan(docs: DataFrame, **settings: float) -> DataFrame:
 def redact(docs: DataFrame, **settings: float) -> DataFrame:
     """`docs` with each span's text replaced by <kind>; of overlapping spans the first, then the longer, gives the
     name, and all of their characters go. n_chars follows; the columns stay."""
-    names = [c for c in docs.columns if not c.startswith("pii_")]
-    found = with_learned(occurrences(docs, names), **settings)
+    own = {c: "text" if c == "text" else f"own{i}" for i, c in enumerate(docs.columns)}  # no name of theirs can clash
+    inner = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()])
+    found = with_learned(occurrences(inner, inner.columns), **settings)
     tag = lambda kind: lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus_end"), F.lit(kind).alias("kind"))
     tagged = F.concat(*[F.transform(f"pii_{k}", tag(k)) for k in KINDS])
     found = found.withColumn("pii_all", F.array_sort(tagged)).withColumn("pii_n", F.size("pii_all"))
@@ -212,6 +219,6 @@ def redact(docs: DataFrame, **settings: float) -> DataFrame:
     bound = F.struct(pieces.alias("pieces"), F.col("pii_all").alias("all"), done.alias("done"), F.array_max(ends).alias("end"), F.char_length("text").alias("n"))
     found = found.withColumn("pii_text", F.when(F.col("pii_n") > 0, let(bound, cut)).otherwise(F.col("text")))
     changed = {"text": F.col("pii_text")}
-    if "n_chars" in names:
-        changed["n_chars"] = F.when(F.col("pii_n") > 0, F.char_length("pii_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.select(*[changed.get(c, F.col(c)).alias(c) for c in names])
+    if "n_chars" in own:
+        changed["n_chars"] = F.when(F.col("pii_n") > 0, F.char_length("pii_text")).otherwise(F.col(own["n_chars"])).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[changed.get(c, F.col(o)).alias(c) for c, o in own.items()])

@@ -180,23 +180,25 @@ def order(rules: tuple[Rule, ...], estimates: Estimates, made: tuple[str, ...] =
     return out
 
 
-def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, estimates: Estimates | None = None, keep_measures: tuple[str, ...] = ()) -> DataFrame:
-    """`docs` with `kept`, and with the measures `keep_measures` for every row.
+def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, estimates: Estimates | None = None, keep_measures: tuple[str, ...] = (), verdict: str = "kept") -> DataFrame:
+    """`docs` with the column `verdict`, and with the measures `keep_measures` for every row; they replace columns of
+    these names, all others stay.
 
     estimates: as estimate() gives; taken from a sample of `docs` if None.
     """
     names = docs.columns
-    docs = docs.select(*[c for c in names if not c.startswith("q7_")])
+    made = {x.lower() for x in (verdict, *keep_measures)}
+    own = {f"own{i}": c for i, c in enumerate(names) if c.lower() not in made}  # no name of theirs can clash
     ranked = order(rules, estimate(docs, rules) if estimates is None else estimates, keep_measures)
-    df = measure(docs, keep_measures).withColumn("q7_alive", F.lit(True))
+    inner = docs.select("text", *[F.col(f"`{c}`").alias(o) for o, c in own.items()])
+    df = measure(inner, keep_measures).withColumn("q7_alive", F.lit(True))
     for rule in ranked:
         df = measure(df, rule.needs, F.col("q7_alive"))
         df = df.withColumn("q7_alive", F.col("q7_alive") & ~F.coalesce(rule.reject(), F.lit(False)))
-    kept = [c for c in docs.columns if c != "kept" and c not in keep_measures]
     # A column of rand() keeps the optimizer from pushing later conditions on `kept` below the measures, where it would
     # repeat their expressions inside one another.
     df = df.withColumn("q7_guard", F.rand())
-    return df.select(*kept, *[_m(m).alias(m) for m in keep_measures], (F.col("q7_alive") & (F.col("q7_guard") >= 0)).alias("kept"))
+    return df.select(*[F.col(o).alias(c) for o, c in own.items()], *[_m(m).alias(m) for m in keep_measures], (F.col("q7_alive") & (F.col("q7_guard") >= 0)).alias(verdict))
 
 
 def base_failed() -> Column:

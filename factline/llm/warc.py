@@ -42,13 +42,15 @@ DATE = "2024-01-01T00:00:00Z"  # tables of pages carry no capture time
 
 def with_types(pages: DataFrame, least: int = LEAST_SHARED_BYTES) -> DataFrame:
     """page_id, url, payload, digest, refers_to: of equal payloads of at least `least` bytes all but that with the
-    largest page_id refer to it. Payloads stay with their rows; only keys of payloads that occur twice are joined."""
+    largest page_id refer to it. Payloads stay with their rows. The keys of payloads that occur twice are written before
+    they meet the rows, so that adaptive execution broadcasts them if they are few and else splits the rows of a payload
+    that very many pages share."""
     body = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col("page_id").cast("long"), "url", body.alias("payload"))
     key = [F.sha1("payload").alias("digest"), F.xxhash64("payload").alias("check"), F.octet_length("payload").alias("bytes")]
     rows = rows.select("*", *key)
     again = rows.where(F.col("bytes") >= least).groupBy("digest", "check", "bytes").agg(F.max("page_id").alias("keeps"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(again, ["digest", "check", "bytes"], "left")
+    joined = rows.join(durable(again, "payloads"), ["digest", "check", "bytes"], "left")
     refers = F.when(F.col("keeps").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeps")), F.col("keeps"))
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
