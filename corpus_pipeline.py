@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factline.llm import decontaminate, jaccard, mixing, pii, quality_rules
+from factline.llm.text import free_name
 from factline.session import durable
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_rules.cascade(docs).where("kept").select(*docs.columns)
+    kept = free_name("kept", docs.columns)
+    return quality_rules.cascade(docs, verdict=kept).where(kept).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
