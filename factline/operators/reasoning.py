@@ -6,26 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factline.functions.names import name_similarity
-from factline.functions.temporal import decay
+from factline.functions.temporal import DECAY
+from factline.session import durable
 
 
-def chains(facts: DataFrame, queries: DataFrame, rules: DataFrame, most_hops: int) -> DataFrame:
-    """(query_id, rule_id, start_row, object, days array): for each query and rule, each fact of the query's subject
-    with the body's first relation, followed by the earliest later fact of the object with the next relation, and so
-    on; all facts at most on the query's day.
-
-    queries: query_id, subject, day. rules: rule_id, body. Each hop is an as-of join (first after): facts are cut down
-    to the first of each subject, relation and day, asked once for each distinct (object, relation, day), and both stand
-    in one window per (object, relation) against time, where each question takes the last fact before it. So a window
-    has two rows a day at most, and no pairs of days are made.
+def begun(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Facts with the rule_id of each rule (rule_id, body; few rows) whose body begins with their relation."""
+    first = rules.select("rule_id", F.element_at("body", 1).alias("first"))
+    return facts.join(first, F.col("relation") == F.col("first")).drop("first")
+
+
+def walks(facts: DataFrame, starts: DataFrame, rules: DataFrame, most_hops: int) -> DataFrame:
+    """`starts` (rule_id, object, day, any more) with object, day and the array `days` of the walk that begins there: the
+    earliest later fact of the object with the body's next relation, and so on. No question is needed for that.
+
+    Each hop is an as-of join (first after): facts are cut down to the first of each subject, relation and day, asked
+    once for each distinct (object, relation, day), and both stand in one window per (object, relation) against time,
+    where each question takes the last fact before it. So a window has two rows a day at most, and no pairs of days are
+    made.
     """
+    keep = [c for c in starts.columns if c not in ("rule_id", "object", "day")]
     f = facts.select(F.col("subject").alias("f_subject"), F.col("relation").alias("f_relation"), F.col("object").alias("f_object"), F.col("day").alias("f_day"), F.col("row_id").alias("f_row"))
-    q = queries.select("query_id", F.col("subject").alias("q_subject"), F.col("day").alias("q_day"))
-    r = rules.select("rule_id", "body", F.size("body").alias("hops"))  # few rows
-    starts = f.join(r.withColumn("first", F.element_at("body", 1)), F.col("f_relation") == F.col("first"))
-    paths = q.join(starts, (F.col("q_subject") == F.col("f_subject")) & (F.col("f_day") <= F.col("q_day")))
-    paths = paths.select("query_id", "q_day", "rule_id", "body", "hops", F.col("f_row").alias("start_row"), F.col("f_object").alias("object"), F.col("f_day").alias("day"), F.array("f_day").alias("days"))
-    wanted = r.select(F.explode("body").alias("f_relation")).distinct()
+    r = rules.select("rule_id", "body", F.size("body").alias("hops"))
+    paths = starts.join(r, "rule_id").select("rule_id", "body", "hops", *keep, "object", "day", F.array("day").alias("days"))
+    wanted = r.select(F.explode(F.slice("body", 2, most_hops)).alias("f_relation")).distinct()
     firsts = f.join(wanted, "f_relation", "left_semi").groupBy("f_subject", "f_relation", "f_day").agg(F.min_by("f_object", "f_row").alias("f_object"))
     against = Window.partitionBy("object", "want").orderBy(F.desc("day"), "asks").rowsBetween(Window.unboundedPreceding, 0)
     for hop in range(1, most_hops):
@@ -35,20 +39,75 @@ def chains(facts: DataFrame, queries: DataFrame, rules: DataFrame, most_hops: in
         answers = firsts.select(F.col("f_subject").alias("object"), F.col("f_relation").alias("want"), F.col("f_day").alias("day"), F.lit(1).alias("asks"), "f_object")
         fact = F.when(F.col("asks") == 1, F.struct(F.col("day").alias("f_day"), "f_object"))
         found = asked.union(answers).withColumn("next", F.last(fact, True).over(against)).where("asks = 0 and next is not null").select("object", "want", "day", "next")
-        going = going.join(found, ["object", "want", "day"]).where(F.col("next.f_day") <= F.col("q_day"))
-        going = going.select("query_id", "q_day", "rule_id", "body", "hops", "start_row", F.col("next.f_object").alias("object"), F.col("next.f_day").alias("day"), F.concat("days", F.array("next.f_day")).alias("days"))
+        going = going.join(found, ["object", "want", "day"])
+        going = going.select("rule_id", "body", "hops", *keep, F.col("next.f_object").alias("object"), F.col("next.f_day").alias("day"), F.concat("days", F.array("next.f_day")).alias("days"))
         paths = ended.union(going)
-    return paths.select("query_id", "rule_id", "start_row", "object", "days", "q_day")
+    return paths.select("rule_id", *keep, "object", "day", "days")
+
+
+def chains(facts: DataFrame, queries: DataFrame, rules: DataFrame, most_hops: int) -> DataFrame:
+    """(query_id, rule_id, start_row, object, days array, q_day): the walks() from each query's subject that end at most
+    on its day. queries: query_id, subject, day. Days rise along a walk, so its last one decides."""
+    starts = begun(facts, rules).select("rule_id", "subject", "object", "day", F.col("row_id").alias("start_row"))
+    starts = starts.join(queries.select("subject").distinct(), "subject", "left_semi")
+    q = queries.select("query_id", F.col("subject").alias("q_subject"), F.col("day").alias("q_day"))
+    both = q.join(walks(facts, starts, rules, most_hops), (F.col("q_subject") == F.col("subject")) & (F.col("day") <= F.col("q_day")))
+    return both.select("query_id", "rule_id", "start_row", "object", "days", "q_day")
+
+
+SPAN = 600.0  # exp(SPAN) and exp(-SPAN) are finite doubles, with room for sums
+
+
+def spans(day: str, rate: float = DECAY) -> tuple[Column, Column]:
+    """The number of a day's span of SPAN / rate days, and the span's first day."""
+    days = int(SPAN / rate)
+    number = F.floor(F.col(day) / days)
+    return number, number * days
+
+
+def sums_as_of(events: DataFrame, asked: DataFrame, plain: list[str], decayed: list[str] = [], rate: float = DECAY, strict: bool = False) -> DataFrame:
+    """(subject, day, entity, sums of `plain` and of `decayed`): for each distinct (subject, day) of `asked` and each
+    entity with an event of the subject up to that day (strict: before it) the sums over these events.
+
+    events: subject, entity, day, one row for each; a decayed column holds x * exp(rate * (day - first day of the
+    span)), see spans(), and its sum is that of x * exp(-rate * (asked day - day)). As exp(-rate (q - d)) is a product
+    of a part of q and one of d, running sums in one window per (subject, entity) do for all questions, without a row
+    per question and event. Numbers stay finite as each span of SPAN / rate days has its own zero and is handed to the
+    next one only: what is older is below exp(-SPAN).
+    """
+    span, start = spans("day", rate)
+    q = asked.select("subject", "day").distinct()
+    first = events.groupBy("subject", "entity").agg(F.min("day").alias("first"))
+    due = F.col("first") < F.col("day") if strict else F.col("first") <= F.col("day")
+    asks = q.join(first, "subject").where(due).select("subject", "entity", "day", span.alias("span"), F.lit(0 if strict else 2).alias("kind"), *[F.lit(None).cast("double").alias(c) for c in plain + decayed])
+    rows = events.select("subject", "entity", "day", span.alias("span"), F.lit(1).alias("kind"), *[F.col(c).cast("double").alias(c) for c in plain + decayed])
+    if decayed:
+        after = rows.select("subject", "entity", "day", (F.col("span") + 1).alias("span"), "kind", *[F.lit(0.0).alias(c) for c in plain], *[(F.col(c) * F.exp(F.lit(-SPAN))).alias(c) for c in decayed])
+        rows = rows.union(after)
+    pair = Window.partitionBy("subject", "entity").orderBy("span", "day", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("subject", "entity", "span").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.union(asks).select("subject", "entity", "day", "kind", *[F.sum(c).over(pair).alias(c) for c in plain], *[F.sum(c).over(inside).alias(c) for c in decayed])
+    faded = [(F.col(c) * F.exp(-rate * (F.col("day") - start))).alias(c) for c in decayed]
+    return summed.where("kind <> 1").select("subject", "day", "entity", *plain, *faded)
 
 
 def rule_scores(facts: DataFrame, queries: DataFrame, rules: DataFrame, most_hops: int = 3, least_priority: float = 0.5) -> DataFrame:
     """(query_id, entity, score): sum over chains and their facts of cp + exp(-0.1 |query day - day|); the query's own
-    subject is no candidate."""
+    subject is no candidate.
+
+    Chains don't depend on the question but for their last day, so they are walked once per (subject, rule, object, day),
+    with the number of facts that start there, and summed up to each question's day by sums_as_of().
+    """
     good = rules.where(F.col("priority") >= least_priority)
-    found = chains(facts, queries, good, most_hops).join(good.select("rule_id", "cp"), "rule_id")
-    worth = F.aggregate("days", F.lit(0.0), lambda a, d: a + F.col("cp") + decay(d, F.col("q_day")))
-    by = found.groupBy("query_id", F.col("object").alias("entity")).agg(F.sum(worth).alias("score"))
-    return by.join(queries.select("query_id", "subject"), "query_id").where(F.col("entity") != F.col("subject")).drop("subject")
+    starts = begun(facts, good).join(queries.select("subject").distinct(), "subject", "left_semi")
+    starts = starts.groupBy("rule_id", "subject", "object", "day").agg(F.count("*").alias("n"))
+    found = walks(facts, starts, good, most_hops).where(F.col("object") != F.col("subject")).join(good.select("rule_id", "cp"), "rule_id")
+    start = spans("day")[1]
+    worth = F.aggregate("days", F.lit(0.0), lambda a, d: a + F.exp(DECAY * (d - start)))
+    ends = found.groupBy("subject", F.col("object").alias("entity"), "day").agg(F.sum(F.col("n") * F.size("days") * F.col("cp")).alias("sure"), F.sum(F.col("n") * worth).alias("near"))
+    ends = durable(ends, "chain-ends")
+    scores = sums_as_of(ends, queries, ["sure"], ["near"]).select("subject", "day", "entity", (F.col("sure") + F.col("near")).alias("score"))
+    return queries.select("query_id", "subject", "day").join(scores, ["subject", "day"]).select("query_id", "entity", "score")
 
 
 BLOCK_DAYS = 64

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from factline.functions import groups, names, temporal
 from factline.operators import caserules, embed, graphmodel, lookup, paths, patterns, reasoning, replies, rules
 from factline.plans import forecast
+from factline.session import durable
 from factline.sources import facts as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -559,12 +560,10 @@ def weights(facts: DataFrame, t: DataFrame) -> DataFrame:
 
 
 def frequency_side(facts: DataFrame, t: DataFrame) -> DataFrame:
-    """Objects of a question's subject before its day by their share: a plain graph side. Days before all questions are
-    one count; a (subject, day) is asked once."""
-    start = t.agg(F.min("day")).collect()[0][0] or 0
-    f = facts.groupBy(F.col("subject").alias("fs"), F.col("object").alias("entity"), F.greatest("day", F.lit(start - 1)).alias("fd")).agg(F.count("*").alias("c"))
-    asked = t.select("subject", "day").distinct()
-    by = asked.join(f, (F.col("subject") == F.col("fs")) & (F.col("fd") < F.col("day"))).where("entity <> subject").groupBy("subject", "day", "entity").agg(F.sum("c").alias("c"))
+    """Objects of a question's subject before its day by their share: a plain graph side, from running counts."""
+    wanted = facts.where("object <> subject").join(t.select("subject").distinct(), "subject", "left_semi")
+    counts = durable(wanted.groupBy("subject", F.col("object").alias("entity"), "day").agg(F.count("*").alias("c")), "object-counts")
+    by = reasoning.sums_as_of(counts, t, ["c"], strict=True)
     by = by.withColumn("score", F.col("c") / F.sum("c").over(Window.partitionBy("subject", "day")))
     return t.select("query_id", "subject", "day").join(by, ["subject", "day"]).select("query_id", "entity", "score")
 
