@@ -10,8 +10,18 @@ from factline.functions.temporal import DECAY
 from factline.session import durable
 
 
+RULES_BROADCAST = 10_000
+
+
+def checked(rules: DataFrame) -> tuple[DataFrame, int]:
+    """`rules` (rule_id, body) to be broadcast if they are at most RULES_BROADCAST, else as they are; and the length of
+    the longest body. One job on a table of rules."""
+    count, longest = rules.agg(F.count("*"), F.max(F.size("body"))).collect()[0]
+    return F.broadcast(rules) if count <= RULES_BROADCAST else rules, longest or 1
+
+
 def begun(facts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Facts with the rule_id of each rule (rule_id, body; few rows) whose body begins with their relation."""
+    """Facts with the rule_id of each rule (rule_id, body) whose body begins with their relation."""
     first = rules.select("rule_id", F.element_at("body", 1).alias("first"))
     return facts.join(first, F.col("relation") == F.col("first")).drop("first")
 
@@ -21,34 +31,34 @@ def walks(facts: DataFrame, starts: DataFrame, rules: DataFrame, most_hops: int)
     earliest later fact of the object with the body's next relation, and so on. No question is needed for that.
 
     Each hop is an as-of join (first after): facts are cut down to the first of each subject, relation and day, asked
-    once for each distinct (object, relation, day), and both stand in one window per (object, relation) against time,
-    where each question takes the last fact before it. So a window has two rows a day at most, and no pairs of days are
-    made.
+    once for each object, next relation and day at which a fact of the relation before arrives, and both stand in one
+    window per (object, next relation) against time, where each question takes the last fact before it. So a window has
+    two rows a day at most, and no pairs of days are made.
     """
     keep = [c for c in starts.columns if c not in ("rule_id", "object", "day")]
-    f = facts.select(F.col("subject").alias("f_subject"), F.col("relation").alias("f_relation"), F.col("object").alias("f_object"), F.col("day").alias("f_day"), F.col("row_id").alias("f_row"))
-    r = rules.select("rule_id", "body", F.size("body").alias("hops"))
-    paths = starts.join(r, "rule_id").select("rule_id", "body", "hops", *keep, "object", "day", F.array("day").alias("days"))
-    wanted = r.select(F.explode(F.slice("body", 2, most_hops)).alias("f_relation")).distinct()
-    firsts = f.join(wanted, "f_relation", "left_semi").groupBy("f_subject", "f_relation", "f_day").agg(F.min_by("f_object", "f_row").alias("f_object"))
+    few, longest = checked(rules)
+    r = few.select("rule_id", "body", F.size("body").alias("hops"))
     against = Window.partitionBy("object", "want").orderBy(F.desc("day"), "asks").rowsBetween(Window.unboundedPreceding, 0)
-    for hop in range(1, most_hops):
-        ended, going = paths.where(F.col("hops") <= hop), paths.where(F.col("hops") > hop).withColumn("want", F.element_at("body", hop + 1))
+    answer = F.when(F.col("asks") == 1, F.struct(F.col("day").alias("f_day"), "f_object"))
+    going = starts.join(r, "rule_id").select("rule_id", "body", "hops", *keep, "object", "day", F.array("day").alias("days"))
+    out = going.where("hops = 1")
+    for hop in range(1, min(most_hops, longest)):
+        steps = r.where(F.col("hops") > hop).select(F.element_at("body", hop).alias("relation"), F.element_at("body", hop + 1).alias("want")).distinct()
         # on one day questions come before facts, so that they see later days only
-        asked = going.select("object", "want", "day").distinct().select("*", F.lit(0).alias("asks"), F.lit(None).cast("string").alias("f_object"))
-        answers = firsts.select(F.col("f_subject").alias("object"), F.col("f_relation").alias("want"), F.col("f_day").alias("day"), F.lit(1).alias("asks"), "f_object")
-        fact = F.when(F.col("asks") == 1, F.struct(F.col("day").alias("f_day"), "f_object"))
-        found = asked.union(answers).withColumn("next", F.last(fact, True).over(against)).where("asks = 0 and next is not null").select("object", "want", "day", "next")
-        going = going.join(found, ["object", "want", "day"])
+        asked = facts.join(steps, "relation").select("object", "want", "day").distinct().select("*", F.lit(0).alias("asks"), F.lit(None).cast("string").alias("f_object"))
+        next_ = facts.join(steps.select(F.col("want").alias("relation")).distinct(), "relation", "left_semi")
+        next_ = next_.groupBy(F.col("subject").alias("object"), F.col("relation").alias("want"), "day").agg(F.lit(1).alias("asks"), F.min_by(F.col("object"), F.col("row_id")).alias("f_object"))
+        found = asked.union(next_.select(*asked.columns)).withColumn("next", F.last(answer, True).over(against)).where("asks = 0 and next is not null").select("object", "want", "day", "next")
+        going = going.where(F.col("hops") > hop).withColumn("want", F.element_at("body", hop + 1)).join(found, ["object", "want", "day"])
         going = going.select("rule_id", "body", "hops", *keep, F.col("next.f_object").alias("object"), F.col("next.f_day").alias("day"), F.concat("days", F.array("next.f_day")).alias("days"))
-        paths = ended.union(going)
-    return paths.select("rule_id", *keep, "object", "day", "days")
+        out = out.union(going.where(F.col("hops") == hop + 1))
+    return out.select("rule_id", *keep, "object", "day", "days")
 
 
 def chains(facts: DataFrame, queries: DataFrame, rules: DataFrame, most_hops: int) -> DataFrame:
     """(query_id, rule_id, start_row, object, days array, q_day): the walks() from each query's subject that end at most
     on its day. queries: query_id, subject, day. Days rise along a walk, so its last one decides."""
-    starts = begun(facts, rules).select("rule_id", "subject", "object", "day", F.col("row_id").alias("start_row"))
+    starts = begun(facts, checked(rules)[0]).select("rule_id", "subject", "object", "day", F.col("row_id").alias("start_row"))
     starts = starts.join(queries.select("subject").distinct(), "subject", "left_semi")
     q = queries.select("query_id", F.col("subject").alias("q_subject"), F.col("day").alias("q_day"))
     both = q.join(walks(facts, starts, rules, most_hops), (F.col("q_subject") == F.col("subject")) & (F.col("day") <= F.col("q_day")))
@@ -98,7 +108,7 @@ def rule_scores(facts: DataFrame, queries: DataFrame, rules: DataFrame, most_hop
     Chains don't depend on the question but for their last day, so they are walked once per (subject, rule, object, day),
     with the number of facts that start there, and summed up to each question's day by sums_as_of().
     """
-    good = rules.where(F.col("priority") >= least_priority)
+    good = checked(rules.where(F.col("priority") >= least_priority))[0]
     starts = begun(facts, good).join(queries.select("subject").distinct(), "subject", "left_semi")
     starts = starts.groupBy("rule_id", "subject", "object", "day").agg(F.count("*").alias("n"))
     found = walks(facts, starts, good, most_hops).where(F.col("object") != F.col("subject")).join(good.select("rule_id", "cp"), "rule_id")

@@ -71,17 +71,17 @@ LOOP_BODIES = "bodies AS (SELECT object AS subject, object, day AS t2 FROM facts
 
 @query(f"WITH {PAIR_BODIES}, {RANK_SQL} {METRIC_SQL.format(w='1.0')}")
 def case_rule_metrics(facts):
-    return as_long(caserules.evaluate(facts, caserules.body_matches(facts, *BODY), HEAD), "matches")
+    return as_long(caserules.evaluate(facts, caserules.body_instances(facts, *BODY), HEAD), "matches")
 
 
 @query(f"WITH {PAIR_BODIES}, {RANK_SQL} {METRIC_SQL.format(w='(CASE WHEN supported THEN 1.0 ELSE 0.0 END)')}")
 def case_rule_metrics_strict(facts):
-    return as_long(caserules.evaluate(facts, caserules.body_matches(facts, *BODY), HEAD, unsupported_zero=True), "matches")
+    return as_long(caserules.evaluate(facts, caserules.body_instances(facts, *BODY), HEAD, unsupported_zero=True), "matches")
 
 
 @query(f"WITH {LOOP_BODIES}, {RANK_SQL} {METRIC_SQL.format(w='1.0')}")
 def selfloop_rule(facts):
-    return as_long(caserules.evaluate(facts, caserules.self_loop_matches(facts, "click"), HEAD), "matches")
+    return as_long(caserules.evaluate(facts, caserules.instances(caserules.self_loop_matches(facts, "click")), HEAD), "matches")
 
 
 @query("""SELECT b.t1, b.t2, count(*) AS bodies, CAST(sum(EXISTS (SELECT 1 FROM facts h WHERE h.relation = 'purchase' AND h.subject = b.subject AND h.object = b.object AND h.day > b.t2)::INT) AS BIGINT) AS supported
