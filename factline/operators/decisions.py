@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from factline.functions import names
 from factline.operators import replies
 
-MOST_LISTED = 10  # cases of one list that are put to the model
+PER_PROMPT = 10  # cases of a list that one prompt shows; a longer list takes several prompts
+RULES_PER_PROMPT = 100
 LONGEST_VALIDITY = 3650.0
 
 
@@ -28,32 +29,34 @@ def labelled(reply: Column, label: str, number: Column) -> Column:
     return F.when(place > 0, F.get(values, (place - 1).cast("int")).try_cast("double"))
 
 
-def listed(cases: DataFrame, by: str, order: list[str], line: Column, question: Column, most: int = MOST_LISTED) -> tuple[DataFrame, DataFrame]:
-    """The first `most` cases of each `by` with their number `i`; and (query_id, by, prompt), a prompt per list."""
+def listed(cases: DataFrame, by: str, order: list[str], line: Column, question: Column, most: int = PER_PROMPT) -> tuple[DataFrame, DataFrame]:
+    """All cases of each `by` with their prompt `part` and their number `i` in it; and (query_id, by, part, prompt), a
+    prompt for each `most` cases."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    numbered = cases.withColumn("i", place).where(F.col("i") < most)
+    numbered = cases.withColumn("i", place).withColumn("part", F.floor(F.col("i") / most)).withColumn("i", F.col("i") % most)
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("text")))), lambda x: x["text"]), "\n")
-    prompts = numbered.groupBy(by).agg(lines.alias("lines")).select(F.xxhash64(by).alias("query_id"), by, F.concat(question, F.lit("\n"), "lines").alias("prompt"))
-    return numbered, prompts
+    prompts = numbered.groupBy(by, "part").agg(lines.alias("lines"))
+    return numbered, prompts.select(F.xxhash64(by, "part").alias("query_id"), by, "part", F.concat(question, F.lit("\n"), "lines").alias("prompt"))
 
 
-def chosen(cases: DataFrame, formula: DataFrame, by: str, order: list[str], line: Column, question: Column, provider: str) -> DataFrame:
-    """The cases whose numbers a reply lists; those of `formula` for lists without a number that is there."""
+def chosen(cases: DataFrame, formula: DataFrame, by: str, order: list[str], line: Column, question: Column, provider: str | replies.Kept) -> DataFrame:
+    """The cases whose numbers the replies list; of prompts without a number that is there, those of `formula` (some of
+    the cases, told by `by` and `order`)."""
     numbered, prompts = listed(cases, by, order, line, question)
-    said = prompts.drop("prompt").join(replies.ask(prompts, provider), "query_id").select(by, numbers(F.col("reply")).alias("said"))
-    kept = numbered.join(said, by).where(F.array_contains("said", F.col("i"))).select(*cases.columns)
-    rest = formula.select(*cases.columns).join(kept.select(by).distinct(), by, "left_anti")
-    return kept.unionByName(rest)
+    said = prompts.drop("prompt").join(replies.ask(prompts, provider), "query_id").select(by, "part", numbers(F.col("reply")).alias("said"))
+    kept = numbered.join(said, [by, "part"]).where(F.array_contains("said", F.col("i")))
+    rest = numbered.join(formula.select(by, *order).distinct(), [by, *order], "left_semi").join(kept.select(by, "part").distinct(), [by, "part"], "left_anti")
+    return kept.select(*cases.columns).unionByName(rest.select(*cases.columns))
 
 
-def choose_paths(paths: DataFrame, formula: DataFrame, provider: str) -> DataFrame:
+def choose_paths(paths: DataFrame, formula: DataFrame, provider: str | replies.Kept) -> DataFrame:
     """Of paths (path_id, target, path) those that a model finds coherent; `formula`: those that the quality keeps."""
     question = F.concat(F.lit("Which of these paths lead to or support the relation "), "target", F.lit("? Answer with the numbers of the coherent paths.\n"))
     cases = paths.select("path_id", "target", "path")
     return chosen(cases, formula, "target", ["path_id"], names.path_text(F.col("i"), F.col("path")), question, provider)
 
 
-def choose_chains(chains: DataFrame, provider: str) -> DataFrame:
+def choose_chains(chains: DataFrame, provider: str | replies.Kept) -> DataFrame:
     """Of discovered chains (r1, r2, r3, n, mean_span) those that a model finds meaningful; all without a reply."""
     line = F.concat(F.col("i").cast("string"), F.lit(": "), F.concat_ws(" -> ", "r1", "r2", "r3"), F.lit(" ("), F.col("n").cast("string"), F.lit(" times)"))
     cases = chains.withColumn("list", F.lit("chains"))
@@ -61,7 +64,7 @@ def choose_chains(chains: DataFrame, provider: str) -> DataFrame:
     return chosen(cases, cases, "list", ["r1", "r2", "r3"], line, question, provider).drop("list")
 
 
-def validities(spans: DataFrame, provider: str) -> DataFrame:
+def validities(spans: DataFrame, provider: str | replies.Kept) -> DataFrame:
     """(relation, judged): days for which a model says a relation's effect holds, from paths (relation, span, gap); only
     relations with a usable reply."""
     by = spans.groupBy("relation").agg(F.count("*").alias("n"), F.round(F.avg("span"), 1).alias("span"), F.max("gap").alias("gap"))
@@ -73,7 +76,7 @@ def validities(spans: DataFrame, provider: str) -> DataFrame:
     return said.select("relation", days.alias("judged")).where("judged > 0").withColumn("judged", F.least("judged", F.lit(LONGEST_VALIDITY)))
 
 
-def confidences(facts: DataFrame, rules: DataFrame, provider: str) -> DataFrame:
+def confidences(facts: DataFrame, rules: DataFrame, provider: str | replies.Kept) -> DataFrame:
     """(rule_id, judged): how sure a model is of rules (rule_id, head, body, validity), told the relations' counts."""
     by = facts.groupBy(F.col("relation").alias("name")).agg(F.count("*").alias("n"))
     parts = rules.select("rule_id", F.explode(F.concat(F.array("head"), "body")).alias("name")).join(by, "name", "left")
@@ -83,20 +86,20 @@ def confidences(facts: DataFrame, rules: DataFrame, provider: str) -> DataFrame:
     return replies.ask(prompts, provider).select(F.col("query_id").alias("rule_id"), names.reply_score(F.col("reply")).alias("judged")).where("judged is not null")
 
 
-def outliving(judged: DataFrame, span: float, provider: str) -> DataFrame:
+def outliving(judged: DataFrame, span: float, provider: str | replies.Kept) -> DataFrame:
     """(rule_id, retained, judged_validity): which of eliminated()'s rules a model keeps, and for how many days; no row
-    without a usable reply. A reply names the rules to keep with their days, as {"R0": 30}."""
+    for the rules of a prompt without a usable reply. A reply names the rules to keep with their days, as {"R0": 30}."""
     line = F.concat(F.lit("R"), F.col("i").cast("string"), F.lit(": "), names.rule_text(F.col("head"), F.col("body")), *[x for c in ("cp", "priority", "validity") for x in (F.lit(f" {c}="), F.round(c, 3).cast("string"))])
     question = F.lit(f"New facts span {span:g} days. Which of these rules still hold, and for how many days each?\n")
     cases = judged.withColumn("list", F.lit("rules"))
-    numbered, prompts = listed(cases, "list", ["rule_id"], line, question, most=1000)
-    said = prompts.drop("prompt").join(replies.ask(prompts, provider), "query_id").select("list", "reply")
-    out = numbered.join(said, "list").select("rule_id", labelled(F.col("reply"), "R", F.col("i")).alias("judged_validity"))
-    some = out.agg(F.count("judged_validity").alias("some"))  # one row
-    return out.join(some).where("some > 0").select("rule_id", F.col("judged_validity").isNotNull().alias("retained"), "judged_validity")
+    numbered, prompts = listed(cases, "list", ["rule_id"], line, question, RULES_PER_PROMPT)
+    said = prompts.drop("prompt").join(replies.ask(prompts, provider), "query_id").select("list", "part", "reply")
+    out = numbered.join(said, ["list", "part"]).select("part", "rule_id", labelled(F.col("reply"), "R", F.col("i")).alias("judged_validity"))
+    some = out.groupBy("part").agg(F.count("judged_validity").alias("some"))
+    return out.join(some, "part").where("some > 0").select("rule_id", F.col("judged_validity").isNotNull().alias("retained"), "judged_validity")
 
 
-def adjusted(candidates: DataFrame, context: DataFrame, provider: str, first: int = 20, per_prompt: int = 30) -> DataFrame:
+def adjusted(candidates: DataFrame, context: DataFrame, provider: str | replies.Kept, first: int = 20, per_prompt: int = 30) -> DataFrame:
     """(query_id, entity, score): what a model makes of the first candidates (query_id, entity, score) of each query, told
     `context` (query_id, context); only candidates that a reply scores."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entity")) - 1

@@ -23,18 +23,31 @@ def _role(facts: DataFrame, relation: str, name: str) -> DataFrame:
     return facts.where(F.col("relation") == relation).select(*[F.col(c).alias(f"{name}_{c}") for c in ("row_id", "subject", "object", "day")])
 
 
+def _near(df: DataFrame, day: str, within: int) -> DataFrame:
+    """`df` twice, with the bucket of `within` days that holds `day` and with the next one: what lies at most `within`
+    days later is in one of them."""
+    bucket = F.floor(F.col(day) / max(1, within))
+    return df.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
+
+
 def same_pair(facts: DataFrame, chain: tuple[str, str, str], within: int | None = None, strict: bool = False, distinct_events: bool = False) -> DataFrame:
     """(subject, object, t1, t2, t3, rows): facts of one subject and object in time order.
 
     Equal days are allowed unless `strict`; `within` bounds t3 - t1 in days; `distinct_events` keeps one fact from
-    filling two roles when relations repeat.
+    filling two roles when relations repeat. With `within`, facts meet by pair and time bucket, so a pair that is busy
+    for years makes no pairs of far facts, and its facts are spread over buckets; both joins are of facts as they are
+    read, so adaptive execution can split what one bucket still holds too much of.
     """
     a, b, c = (_role(facts, r, n) for r, n in zip(chain, "abc"))
     after = (lambda x, y: F.col(f"{x}_day") < F.col(f"{y}_day")) if strict else (lambda x, y: F.col(f"{x}_day") <= F.col(f"{y}_day"))
     pair = lambda x, y: (F.col(f"{x}_subject") == F.col(f"{y}_subject")) & (F.col(f"{x}_object") == F.col(f"{y}_object"))
-    out = a.join(b, pair("a", "b") & after("a", "b")).join(c, pair("a", "c") & after("b", "c"))
-    if within is not None:
-        out = out.where(F.col("c_day") - F.col("a_day") <= within)
+    if within is None:
+        out = a.join(b, pair("a", "b") & after("a", "b")).join(c, pair("a", "c") & after("b", "c"))
+    else:
+        at = lambda x: F.col("bucket") == F.floor(F.col(f"{x}_day") / max(1, within))
+        near = lambda x: F.col(f"{x}_day") - F.col("a_day") <= within
+        out = _near(a, "a_day", within).join(b, pair("a", "b") & at("b") & after("a", "b") & near("b")).drop("bucket")
+        out = _near(out, "a_day", within).join(c, pair("a", "c") & at("c") & after("b", "c") & near("c"))
     if distinct_events:
         out = out.where("a_row_id <> b_row_id and b_row_id <> c_row_id and a_row_id <> c_row_id")
     return out.select(F.col("a_subject").alias("subject"), F.col("a_object").alias("object"), F.col("a_day").alias("t1"), F.col("b_day").alias("t2"), F.col("c_day").alias("t3"), F.col("a_row_id").alias("row1"), F.col("b_row_id").alias("row2"), F.col("c_row_id").alias("row3"))
@@ -92,3 +105,8 @@ def match_all(facts: DataFrame, catalogue=CATALOGUE) -> DataFrame:
         found = found.select(F.lit(name).alias("pattern"), "subject", "object", "intermediate", "t1", "t2", "t3", F.lit(days).alias("validity_days"))
         out = found if out is None else out.union(found)
     return out
+
+
+def save(matches: DataFrame, path: str) -> None:
+    """Matches of match_all() as Parquet, a folder per pattern, so that reading one reads its files alone."""
+    matches.write.mode("overwrite").partitionBy("pattern").parquet(path)

@@ -170,34 +170,62 @@ def best_rules(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     return candidates.join(best, "entity").select("query_id", "entity", "x.rule_id", (-F.col("x.p")).alias("priority"))
 
 
+def first_as_of(facts: DataFrame, asked: DataFrame, key: list[str], value: Column, most: int) -> DataFrame:
+    """`asked` (distinct columns `key` and day) with the array `firsts` of the `most` smallest values among the facts of
+    the key up to that day, in order; without any, no row.
+
+    The smallest value up to a day is a running minimum. What it is not, the larger of the new value and the minimum
+    before, goes on to the next running minimum, and so on: `most` columns in one window per key, against time, with at
+    most `most` facts and one question a day.
+    """
+    rank = F.row_number().over(Window.partitionBy(*key, "day").orderBy("x"))  # cut down before the shuffle by Spark
+    rows = facts.select(*key, "day", value.alias("x")).withColumn("k", rank).where(F.col("k") <= most).select(*key, "day", F.lit(0).alias("asks"), "x")
+    kind = rows.schema["x"].dataType
+    df = rows.union(asked.select(*key, "day", F.lit(1).alias("asks"), F.lit(None).cast(kind)))
+    order = Window.partitionBy(*key).orderBy("day", "asks", "x")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    for k in range(1, most + 1):
+        df = df.withColumn(f"m{k}", F.min("x").over(upto))
+        if k < most:  # null for questions, and for the first value of all, which displaces none
+            before = F.lag(f"m{k}").over(order)
+            df = df.withColumn("x", F.when(F.col("x").isNotNull() & before.isNotNull(), F.greatest("x", before)))
+    found = df.where("asks = 1 and m1 is not null")
+    return found.select(*key, "day", F.array_compact(F.array(*[f"m{k}" for k in range(1, most + 1)])).alias("firsts"))
+
+
 def virtual_paths(facts: DataFrame, candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, entity, relations): relations of the first three direct facts subject -> entity up to the query's
     day, else of the subject's first fact and of the first fact that leads to the entity."""
-    c = candidates.join(queries.select("query_id", F.col("subject").alias("q_subject"), F.col("day").alias("q_day")), "query_id")
-    f = facts.select("row_id", "subject", "relation", "object", "day")
-    rank = F.row_number().over(Window.partitionBy("query_id", "entity").orderBy("row_id"))
-    direct = c.join(f, (F.col("q_subject") == F.col("subject")) & (F.col("entity") == F.col("object")) & (F.col("day") <= F.col("q_day")))
-    direct = direct.withColumn("k", rank).where(F.col("k") <= 3).groupBy("query_id", "entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "relation"))), lambda x: x["relation"]).alias("direct"))
-    firsts = f.groupBy("subject", "day").agg(F.min(F.struct("row_id", "relation")).alias("x"))
-    out = c.select("query_id", "q_subject", "q_day").distinct().join(firsts, (F.col("q_subject") == F.col("subject")) & (F.col("day") <= F.col("q_day"))).groupBy("query_id").agg(F.min("x").alias("out"))
-    into = f.groupBy("object", "day").agg(F.min(F.struct("row_id", "relation")).alias("x"))
-    ins = c.select("entity", "q_day").distinct().join(into, (F.col("entity") == F.col("object")) & (F.col("day") <= F.col("q_day"))).groupBy("entity", "q_day").agg(F.min("x").alias("into"))
-    joined = c.join(direct, ["query_id", "entity"], "left").join(out, "query_id", "left").join(ins, ["entity", "q_day"], "left")
-    return joined.select("query_id", "entity", F.coalesce("direct", F.array_compact(F.array("out.relation", "into.relation"))).alias("relations"))
-
-
-def match_degree(body: Column, relations: Column) -> Column:
-    """Percent of a rule's body relations that a path has."""
-    return 100.0 * F.size(F.array_intersect(body, relations)) / F.size(F.array_distinct(body))
+    c = candidates.join(queries.select("query_id", "subject", "day"), "query_id")
+    fact = F.struct("row_id", "relation")
+    asked = durable(c.select("subject", F.col("entity").alias("object"), "day").distinct(), "asked-pairs")
+    direct = first_as_of(facts, asked, ["subject", "object"], fact, 3).select("subject", F.col("object").alias("entity"), "day", F.transform("firsts", lambda x: x["relation"]).alias("direct"))
+    out = first_as_of(facts, asked.select("subject", "day").distinct(), ["subject"], fact, 1).select("subject", "day", F.get("firsts", F.lit(0))["relation"].alias("out"))
+    into = first_as_of(facts, asked.select("object", "day").distinct(), ["object"], fact, 1).select(F.col("object").alias("entity"), "day", F.get("firsts", F.lit(0))["relation"].alias("into"))
+    joined = c.join(direct, ["subject", "entity", "day"], "left").join(out, ["subject", "day"], "left").join(into, ["entity", "day"], "left")
+    return joined.select("query_id", "entity", F.coalesce("direct", F.array_compact(F.array("out", "into"))).alias("relations"))
+
+
+def match_degrees(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(relations, degree) for each distinct array `relations` of paths: the largest percentage of a rule's body relations
+    that it has, 0 without any. A containment join: bodies are indexed by relation, a set of relations meets only bodies
+    that share one, and counts of what is shared decide. Candidates have few sets of relations, which stand for them."""
+    sets = paths.select("relations").distinct().withColumn("set", F.array_sort(F.array_distinct("relations")))
+    bodies = rules.select(F.array_sort(F.array_distinct("body")).alias("body")).distinct()
+    index = bodies.select("body", F.size("body").alias("size"), F.explode("body").alias("relation"))
+    shared = sets.select("set").distinct().withColumn("relation", F.explode("set")).join(index, "relation").groupBy("set", "body", "size").agg(F.count("*").alias("n"))
+    best = shared.groupBy("set").agg(F.max(100.0 * F.col("n") / F.col("size")).alias("degree"))
+    return sets.join(best, "set", "left").select("relations", F.coalesce("degree", F.lit(0.0)).alias("degree"))
 
 
 def verify_graph(candidates: DataFrame, paths: DataFrame, rules: DataFrame) -> DataFrame:
     """Graph candidates with scores times the best match degree of any rule / 100, or 0.7 if no rule matches;
     candidates without a path, or without any rules, stay as they are."""
-    bodies = rules.select("body").distinct()
-    degree = paths.where(F.size("relations") > 0).join(bodies).groupBy("query_id", "entity").agg(F.max(match_degree(F.col("body"), F.col("relations"))).alias("degree"))
-    factor = F.when(F.col("degree") > 0, F.col("degree") / 100).when(F.col("degree") == 0, 0.7).otherwise(1.0)
-    return candidates.join(degree, ["query_id", "entity"], "left").select("query_id", "entity", (F.col("score") * factor).alias("score"))
+    judged = paths.where(F.size("relations") > 0).select("query_id", "entity", "relations")
+    judged = judged.join(match_degrees(judged, rules), "relations").drop("relations")
+    some = rules.agg((F.count("*") > 0).alias("some"))  # one row
+    factor = F.when(F.col("degree") > 0, F.col("degree") / 100).when((F.col("degree") == 0) & F.col("some"), 0.7).otherwise(1.0)
+    return candidates.join(judged, ["query_id", "entity"], "left").join(some).select("query_id", "entity", (F.col("score") * factor).alias("score"))
 
 
 def verify_rules(candidates: DataFrame, queries: DataFrame, best: DataFrame, rules: DataFrame) -> DataFrame:

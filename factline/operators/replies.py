@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factline.session import durable
 
 Provider = Callable[[str], str | None]
 _providers: dict[str, Callable[[], Provider]] = {}
@@ -72,9 +76,20 @@ def describe(provider: str) -> dict[str, object]:
         return {"provider": provider, "available": False, "error": repr(e)}
 
 
-def ask(prompts: DataFrame, provider: str = "silent", tries: int = 2, votes: int = 1, pause: float = 0.0) -> DataFrame:
-    """(query_id, vote, reply) from (query_id, prompt): each prompt `votes` times, tried again after `pause` seconds upon
-    an exception or no answer; null when all tries fail."""
+@dataclass(frozen=True)
+class Kept:
+    """A provider whose replies are kept in a folder that all executors see, so that a prompt is put to it once: by all
+    decisions of a plan, and by a later run that names the same folder."""
+
+    name: str
+    path: str
+
+
+STORED = "key string, provider string, vote int, reply string"
+
+
+def _asked(prompts: DataFrame, provider: str, tries: int, pause: float) -> DataFrame:
+    """(key, vote, reply) from (key, vote, prompt)."""
     factory = _providers[provider]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,6 +107,33 @@ def ask(prompts: DataFrame, provider: str = "silent", tries: int = 2, votes: int
             return None
 
         for b in batches:
-            yield pd.DataFrame([(q, v, one(p)) for q, p in zip(b["query_id"], b["prompt"]) for v in range(votes)], columns=["query_id", "vote", "reply"])
+            yield pd.DataFrame({"key": b["key"], "vote": b["vote"], "reply": [one(p) for p in b["prompt"]]})
+
+    kind = prompts.schema["key"].dataType.simpleString()
+    return prompts.select("key", "vote", "prompt").mapInPandas(run, f"key {kind}, vote int, reply string")
+
 
-    return prompts.select("query_id", "prompt").mapInPandas(run, "query_id long, vote int, reply string")
+def stored(spark: SparkSession, kept: Kept) -> DataFrame:
+    """STORED: the replies of the provider that the folder holds."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept.path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], STORED)
+    return spark.read.schema(STORED).parquet(kept.path).where(F.col("provider") == kept.name).dropDuplicates(["key", "vote"])
+
+
+def ask(prompts: DataFrame, provider: str | Kept = "silent", tries: int = 2, votes: int = 1, pause: float = 0.0) -> DataFrame:
+    """(query_id, vote, reply) from (query_id, prompt): each prompt `votes` times, tried again after `pause` seconds upon
+    an exception or no answer; null when all tries fail.
+
+    With Kept, prompts that the folder has no reply to are asked now, equal ones once, and their replies are added to it;
+    the result reads the folder and never asks. A prompt without a reply is asked again by the next call.
+    """
+    rows = prompts.select("query_id", "prompt", F.explode(F.sequence(F.lit(0), F.lit(votes - 1))).alias("vote"))
+    if isinstance(provider, str):
+        return _asked(rows.withColumnRenamed("query_id", "key"), provider, tries, pause).withColumnRenamed("key", "query_id")
+    spark = prompts.sparkSession
+    rows = durable(rows.withColumn("key", F.sha2("prompt", 256)), "prompts")
+    new = rows.select("key", "vote", "prompt").dropDuplicates(["key", "vote"]).join(stored(spark, provider).select("key", "vote"), ["key", "vote"], "left_anti")
+    said = _asked(new, provider.name, tries, pause).where("reply is not null")
+    said.select("key", F.lit(provider.name).alias("provider"), "vote", "reply").write.mode("append").parquet(provider.path)
+    return rows.join(stored(spark, provider), ["key", "vote"], "left").select("query_id", "vote", "reply")

@@ -6,14 +6,15 @@ recent facts, (5) rule side and graph side, verified and fused with a time-depen
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factline.functions.groups import pseudo_vectors
 from factline.operators import decisions, embed, graphmodel, lookup, paths, reasoning, rules
-from factline.session import durable
+from factline.operators.replies import Kept
+from factline.session import durable, shared_path
 
 
 @dataclass(frozen=True)
@@ -33,10 +34,15 @@ class Settings:
     validity: bool = True
     verify: bool = True
     provider: str = "silent"
+    replies: str | None = None  # folder where the text model's replies are kept and looked for; None: one per run
+    rules_path: str | None = None  # where rated rules are kept and looked for
 
     def asks(self) -> bool:
         return self.provider != "silent"
 
+    def model(self, spark: SparkSession) -> Kept:
+        return Kept(self.provider, self.replies or shared_path(spark, "replies"))
+
 
 def mine(facts: DataFrame, vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Rules (rule_id, head, body, validity, source_path) of the most frequent relations; a small table."""
@@ -45,14 +51,14 @@ def mine(facts: DataFrame, vectors: DataFrame, s: Settings = Settings()) -> Data
     found = durable(paths.sample_paths(facts, rules.composite_scores(facts, vectors), targets, s.heads, s.hops), "paths")
     good = paths.validated(found, vectors) if s.guide else found
     if s.guide and s.asks():
-        good = durable(decisions.choose_paths(found, good, s.provider), "chosen")
+        good = durable(decisions.choose_paths(found, good, s.model(facts.sparkSession)), "chosen")
     mined = rules.rules_of_paths(good)
     if not s.validity:
         return mined
     span = good.join(targets, "target").select(F.col("target").alias("relation"), (F.element_at("path", -1)["day"] - F.get("path", F.lit(0))["day"]).alias("span"), (F.col("target_day") - F.element_at("path", -1)["day"]).alias("gap"))
     periods = rules.validity_period(span)
     if s.asks():
-        periods = periods.join(decisions.validities(span, s.provider), "relation", "left").withColumn("validity", F.coalesce("judged", "validity"))
+        periods = periods.join(decisions.validities(span, s.model(facts.sparkSession)), "relation", "left").withColumn("validity", F.coalesce("judged", "validity"))
     periods = periods.select(F.col("relation").alias("head"), F.col("validity").alias("period"))
     mined = rules.path_spans(mined.join(periods, "head", "left").withColumn("validity", F.coalesce("period", "validity")).drop("period"))
     # a rule holds at least 1.2 times as long as its own path
@@ -65,14 +71,14 @@ def rate(facts: DataFrame, mined: DataFrame, s: Settings = Settings()) -> DataFr
     if not listed:
         return mined.withColumns({c: F.lit(None).cast("double") for c in ("cp", "coverage", "priority")})
     spans = durable(rules.path_spans(mined).select("rule_id", "path_span"), "path-spans")
-    judged = decisions.confidences(facts, mined, s.provider) if s.asks() else None
+    judged = decisions.confidences(facts, mined, s.model(facts.sparkSession)) if s.asks() else None
     scored = durable(rules.evaluate(facts, listed, judged), "rules")
     ends = facts.agg(F.max("day").alias("hi"), F.min("day").alias("lo"))
     recent = facts.join(ends).where(F.col("day") >= F.col("hi") - s.recent_share * (F.col("hi") - F.col("lo"))).select(*facts.columns)
     evolved = durable(rules.evolve(facts, recent, listed, spans), "evolved")
     if s.asks():
         reach = recent.agg(F.coalesce(F.max("day") - F.min("day"), F.lit(0))).collect()[0][0]
-        said = decisions.outliving(evolved, float(reach), s.provider).withColumnRenamed("retained", "said")
+        said = decisions.outliving(evolved, float(reach), s.model(facts.sparkSession)).withColumnRenamed("retained", "said")
         evolved = evolved.join(said, "rule_id", "left").withColumn("retained", F.coalesce("said", "retained")).withColumn("validity", F.coalesce("judged_validity", "validity"))
     kept = evolved.where("retained").select("rule_id", F.col("validity").alias("evolved"))
     return mined.drop("validity").join(scored.select("rule_id", "cp", "coverage", "priority", "validity"), "rule_id").join(kept, "rule_id", "left").withColumn("retained", F.col("evolved").isNotNull()).withColumn("validity", F.coalesce("evolved", "validity")).drop("evolved")
@@ -101,37 +107,70 @@ def answer(facts: DataFrame, queries: DataFrame, ruled: DataFrame, s: Settings =
         checked = reasoning.verify_rules(rule_side, queries, reasoning.best_rules(rule_side, ruled), ruled)
         if s.asks():
             missing = lookup.missing_relations(facts, queries, ruled)
-            checked = _said_or(decisions.adjusted(rule_side, decisions.rule_context(queries, missing), s.provider), checked)
+            checked = _said_or(decisions.adjusted(rule_side, decisions.rule_context(queries, missing), s.model(facts.sparkSession)), checked)
         rule_side = reasoning.verify_first(rule_side, checked)
         checked = reasoning.verify_graph(graph_side, reasoning.virtual_paths(facts, graph_side.select("query_id", "entity"), queries), ruled)
         if s.asks():
             window = lookup.context_window(facts, queries)
-            checked = _said_or(decisions.adjusted(graph_side, decisions.graph_context(queries, window, ruled), s.provider), checked)
+            checked = _said_or(decisions.adjusted(graph_side, decisions.graph_context(queries, window, ruled), s.model(facts.sparkSession)), checked)
         graph_side = reasoning.verify_first(graph_side, checked)
     weights = reasoning.mean_distances(facts, queries).withColumn("alpha", reasoning.alpha(F.col("dr"), F.col("dg")))
     fused = reasoning.fuse(rule_side, graph_side, weights)
-    known = facts.groupBy("object").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "object").limit(s.top + 1)
     # a question without any candidate could answer any entity but its subject; only `top` are ranked, the most frequent
-    bare = queries.join(fused.select("query_id").distinct(), "query_id", "left_anti").join(known, F.col("object") != F.col("subject")).select("query_id", F.col("object").alias("entity"), F.lit(0.0).alias("score"), "n")
+    names = facts.select(F.col("object").alias("entity"), F.lit(1).alias("n")).union(facts.select("subject", F.lit(0)))
+    known = names.groupBy("entity").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "entity").limit(s.top + 1)
+    bare = queries.join(fused.select("query_id").distinct(), "query_id", "left_anti").join(known, F.col("entity") != F.col("subject")).select("query_id", "entity", F.lit(0.0).alias("score"), "n")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "entity")).cast("long")
     return fused.unionByName(bare.withColumn("rank", rank).drop("n")).where(F.col("rank") <= s.top)
 
 
+def rated_rules(facts: DataFrame, vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """mine() and rate(); or the rules that an earlier run has left at s.rules_path, and else they are left there."""
+    spark = facts.sparkSession
+    had = rules.load(spark, s.rules_path) if s.rules_path else None
+    if had is not None:
+        return had
+    ruled = durable(rate(facts, mine(facts, vectors, s), s), "rated")
+    if s.rules_path:
+        rules.save(ruled, s.rules_path)
+    return ruled
+
+
 def forecast(facts: DataFrame, vectors: DataFrame | None = None, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rules, ranked answers, metrics) with the test split as questions and the facts before it as history."""
+    s = replace(s, replies=s.model(facts.sparkSession).path) if s.asks() else s
     split = durable(lookup.time_split(facts), "split")
     past = split.where("split <> 'test'").select(*facts.columns)
     questions = split.where("split = 'test'").select(F.col("row_id").alias("query_id"), "subject", "relation", "object", "day")
-    vectors = pseudo_vectors(past) if vectors is None else vectors
-    ruled = durable(rate(past, mine(past, vectors, s), s), "rated")
+    ruled = rated_rules(past, pseudo_vectors(past) if vectors is None else vectors, s)
     ranked = durable(answer(past, questions.drop("object"), ruled, s), "ranked")
     return ruled, ranked, reasoning.metrics(ranked, questions.select("query_id", "object"))
 
 
-def stability(facts: DataFrame, settings: dict[str, Settings]) -> DataFrame:
-    """One row of metrics per named settings."""
-    out = None
+MEASURES = ("mrr", "hit1", "hit3", "hit10")
+
+
+def stability(facts: DataFrame, settings: dict[str, Settings], questions: int | None = None, repeats: int = 1, seed: int = 42) -> DataFrame:
+    """(settings, repeats, queries, mean and spread of mrr, hit1, hit3 and hit10): how settings compare, and how much
+    draws of `questions` test facts (all, if None) differ over `repeats` draws. Settings answer the same draws. Rules are
+    mined once for all settings that differ in verification, fusion and training only."""
+    split = durable(lookup.time_split(facts), "split")
+    past = split.where("split <> 'test'").select(*facts.columns)
+    vectors = durable(pseudo_vectors(past), "vectors")
+    draws = []
+    for k in range(repeats):
+        test = split.where("split = 'test'").select(F.col("row_id").alias("query_id"), "subject", "relation", "object", "day")
+        draws.append(durable(test if questions is None else lookup.sampled_questions(split, questions, seed + k), "drawn"))
+    mined: dict[tuple, DataFrame] = {}
+    rows = None
     for name, s in settings.items():
-        row = forecast(facts, s=s)[2].select(F.lit(name).alias("settings"), "*")
-        out = row if out is None else out.union(row)
-    return out
+        s = replace(s, replies=s.model(facts.sparkSession).path) if s.asks() else s
+        key = (s.top_relations, s.heads, s.hops, s.recent_share, s.guide, s.validity, s.provider, s.rules_path)
+        if key not in mined:
+            mined[key] = rated_rules(past, vectors, s)
+        for k, drawn in enumerate(draws):
+            ranked = durable(answer(past, drawn.drop("object"), mined[key], s), "ranked")
+            row = reasoning.metrics(ranked, drawn.select("query_id", "object")).select(F.lit(name).alias("settings"), F.lit(k).alias("repeat"), "*")
+            rows = row if rows is None else rows.union(row)
+    spread = [x for m in MEASURES for x in (F.round(F.avg(m), 6).alias(m), F.round(F.coalesce(F.stddev_samp(m), F.lit(0.0)), 6).alias(f"{m}_spread"))]
+    return rows.groupBy("settings").agg(F.count("*").alias("repeats"), F.sum("queries").alias("queries"), *spread)

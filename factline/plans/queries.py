@@ -632,7 +632,7 @@ dg AS (SELECT query_id, entity, score, rels, greatest(100.0 * len(list_intersect
 @query(f"WITH {TEST_SQL}, {FREQ_SQL}, {VIRTUAL_SQL} SELECT query_id, entity, round(score * CASE WHEN len(rels) = 0 THEN 1.0 WHEN degree > 0 THEN degree / 100 ELSE 0.7 END, 6) AS score FROM dg")
 def verified_graph_side(facts):
     t = tests(facts)
-    side = frequency_side(facts, t)
+    side = durable(frequency_side(facts, t), "side")
     paths_ = reasoning.virtual_paths(facts, side.select("query_id", "entity"), t)
     return rounded(reasoning.verify_graph(side, paths_, fixed_rules(facts)), "score")
 
