@@ -126,7 +126,7 @@ def ask(prompts: DataFrame, provider: str | Kept = "silent", tries: int = 2, vot
     an exception or no answer; null when all tries fail.
 
     With Kept, prompts that the folder has no reply to are asked now, equal ones once, and their replies are added to it;
-    the result reads the folder and never asks. A prompt without a reply is asked again by the next call.
+    the result is a table and never asks. A prompt without a reply is asked again by the next call.
     """
     rows = prompts.select("query_id", "prompt", F.explode(F.sequence(F.lit(0), F.lit(votes - 1))).alias("vote"))
     if isinstance(provider, str):
@@ -136,4 +136,5 @@ def ask(prompts: DataFrame, provider: str | Kept = "silent", tries: int = 2, vot
     new = rows.select("key", "vote", "prompt").dropDuplicates(["key", "vote"]).join(stored(spark, provider).select("key", "vote"), ["key", "vote"], "left_anti")
     said = _asked(new, provider.name, tries, pause).where("reply is not null")
     said.select("key", F.lit(provider.name).alias("provider"), "vote", "reply").write.mode("append").parquet(provider.path)
-    return rows.join(stored(spark, provider), ["key", "vote"], "left").select("query_id", "vote", "reply")
+    # written: in one plan Spark takes two reads of a folder as equal, though the folder has grown between them
+    return durable(rows.join(stored(spark, provider), ["key", "vote"], "left").select("query_id", "vote", "reply"), "replies")
