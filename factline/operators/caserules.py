@@ -67,7 +67,7 @@ def ranked(found: DataFrame, facts: DataFrame, head: str) -> DataFrame:
     are shuffled; a window has two rows a day at most.
     """
     levels = durable(_levels(facts, head), "levels")
-    ids = with_position(levels.select("object").distinct(), ["object"], "id").select("object", "id")
+    ids = durable(with_position(levels.select("object").distinct(), ["object"], "id").select("object", "id"), "object-ids")
     digits = int(ids.agg(F.coalesce(F.max("id"), F.lit(0))).collect()[0][0]).bit_length()
     asked = durable(_own(found, levels).join(ids, "object", "left"), "asked")
     # (level, range, number): in range r of digit k are the ids whose digits above k are `number`; one range holds all

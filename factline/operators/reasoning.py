@@ -10,58 +10,69 @@ from factline.functions.temporal import DECAY
 from factline.session import durable
 
 
-RULES_BROADCAST = 10_000
+Listed = list[tuple[int, tuple[str, ...], float]]  # rule_id, body, cp
 
 
-def checked(rules: DataFrame) -> tuple[DataFrame, int]:
-    """`rules` (rule_id, body) to be broadcast if they are at most RULES_BROADCAST, else as they are; and the length of
-    the longest body. One job on a table of rules."""
-    count, longest = rules.agg(F.count("*"), F.max(F.size("body"))).collect()[0]
-    return F.broadcast(rules) if count <= RULES_BROADCAST else rules, longest or 1
+def listed(rules: DataFrame) -> Listed:
+    """The rules (rule_id, body, and cp if it is there) as a list: a table of rules is as small as the parameters of
+    mining make it, and evaluation takes lists as well."""
+    cp = "cp" if "cp" in rules.columns else F.lit(0.0).alias("cp")
+    return [(r["rule_id"], tuple(r["body"]), r["cp"]) for r in rules.select("rule_id", "body", cp).collect()]
 
 
-def begun(facts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Facts with the rule_id of each rule (rule_id, body) whose body begins with their relation."""
-    first = rules.select("rule_id", F.element_at("body", 1).alias("first"))
-    return facts.join(first, F.col("relation") == F.col("first")).drop("first")
+def _told(key: str, table: dict[str, list[Column]]) -> Column:
+    """Rows for each element that a table of the program gives to the key; none without any."""
+    arrays = [x for k, v in sorted(table.items()) for x in (F.lit(k), F.array(*v))]
+    return F.explode(F.try_element_at(F.create_map(*arrays), F.col(key)))
 
 
-def walks(facts: DataFrame, starts: DataFrame, rules: DataFrame, most_hops: int) -> DataFrame:
-    """`starts` (rule_id, object, day, any more) with object, day and the array `days` of the walk that begins there: the
-    earliest later fact of the object with the body's next relation, and so on. No question is needed for that.
+def begun(facts: DataFrame, rules: Listed) -> DataFrame:
+    """Facts with rule_id, cp and the array `rest`, the relations to come, of each rule whose body begins with theirs."""
+    by: dict[str, list[Column]] = {}
+    for rule, body, cp in rules:
+        rest = F.array(*map(F.lit, body[1:])).cast("array<string>")
+        by.setdefault(body[0], []).append(F.struct(F.lit(rule).cast("long").alias("rule_id"), F.lit(cp).cast("double").alias("cp"), rest.alias("rest")))
+    kept = facts.where(F.col("relation").isin(*by)) if by else facts.where("false")
+    none = {"": [F.lit(None).cast("struct<rule_id:long,cp:double,rest:array<string>>")]}
+    return kept.select("*", _told("relation", by or none).alias("r")).select(*facts.columns, "r.rule_id", "r.cp", "r.rest")
+
+
+def walks(facts: DataFrame, starts: DataFrame, rules: Listed, most_hops: int) -> DataFrame:
+    """`starts` (rule_id, rest, object, day, any more) with object, day and the array `days` of the walk that begins
+    there: the earliest later fact of the object with the body's next relation, and so on. No question is needed for that.
 
     Each hop is an as-of join (first after): facts are cut down to the first of each subject, relation and day, asked
     once for each object, next relation and day at which a fact of the relation before arrives, and both stand in one
     window per (object, next relation) against time, where each question takes the last fact before it. So a window has
     two rows a day at most, and no pairs of days are made.
     """
-    keep = [c for c in starts.columns if c not in ("rule_id", "object", "day")]
-    few, longest = checked(rules)
-    r = few.select("rule_id", "body", F.size("body").alias("hops"))
+    keep = [c for c in starts.columns if c not in ("rest", "object", "day")]
     against = Window.partitionBy("object", "want").orderBy(F.desc("day"), "asks").rowsBetween(Window.unboundedPreceding, 0)
     answer = F.when(F.col("asks") == 1, F.struct(F.col("day").alias("f_day"), "f_object"))
-    going = starts.join(r, "rule_id").select("rule_id", "body", "hops", *keep, "object", "day", F.array("day").alias("days"))
-    out = going.where("hops = 1")
-    for hop in range(1, min(most_hops, longest)):
-        steps = r.where(F.col("hops") > hop).select(F.element_at("body", hop).alias("relation"), F.element_at("body", hop + 1).alias("want")).distinct()
+    going = starts.select(*keep, "rest", "object", "day", F.array("day").alias("days"))
+    out = going.where(F.size("rest") == 0)
+    for hop in range(1, min(most_hops, max((len(body) for _, body, _ in rules), default=1))):
+        steps = sorted({(body[hop - 1], body[hop]) for _, body, _ in rules if len(body) > hop})
         # on one day questions come before facts, so that they see later days only
-        asked = facts.join(steps, "relation").select("object", "want", "day").distinct().select("*", F.lit(0).alias("asks"), F.lit(None).cast("string").alias("f_object"))
-        next_ = facts.join(steps.select(F.col("want").alias("relation")).distinct(), "relation", "left_semi")
+        asked = facts.where(F.col("relation").isin(*{a for a, _ in steps})).select("object", "day", _told("relation", {a: [F.lit(w) for x, w in steps if x == a] for a, _ in steps}).alias("want"))
+        asked = asked.select("object", "want", "day").distinct().select("*", F.lit(0).alias("asks"), F.lit(None).cast("string").alias("f_object"))
+        next_ = facts.where(F.col("relation").isin(*{w for _, w in steps}))
         next_ = next_.groupBy(F.col("subject").alias("object"), F.col("relation").alias("want"), "day").agg(F.lit(1).alias("asks"), F.min_by(F.col("object"), F.col("row_id")).alias("f_object"))
         found = asked.union(next_.select(*asked.columns)).withColumn("next", F.last(answer, True).over(against)).where("asks = 0 and next is not null").select("object", "want", "day", "next")
-        going = going.where(F.col("hops") > hop).withColumn("want", F.element_at("body", hop + 1)).join(found, ["object", "want", "day"])
-        going = going.select("rule_id", "body", "hops", *keep, F.col("next.f_object").alias("object"), F.col("next.f_day").alias("day"), F.concat("days", F.array("next.f_day")).alias("days"))
-        out = out.union(going.where(F.col("hops") == hop + 1))
-    return out.select("rule_id", *keep, "object", "day", "days")
+        going = going.where(F.size("rest") > 0).withColumn("want", F.get("rest", F.lit(0))).join(found, ["object", "want", "day"])
+        going = going.select(*keep, F.slice("rest", F.lit(2), F.size("rest")).alias("rest"), F.col("next.f_object").alias("object"), F.col("next.f_day").alias("day"), F.concat("days", F.array("next.f_day")).alias("days"))
+        out = out.union(going.where(F.size("rest") == 0))
+    return out.select(*keep, "object", "day", "days")
 
 
 def chains(facts: DataFrame, queries: DataFrame, rules: DataFrame, most_hops: int) -> DataFrame:
     """(query_id, rule_id, start_row, object, days array, q_day): the walks() from each query's subject that end at most
     on its day. queries: query_id, subject, day. Days rise along a walk, so its last one decides."""
-    starts = begun(facts, checked(rules)[0]).select("rule_id", "subject", "object", "day", F.col("row_id").alias("start_row"))
+    rows = listed(rules)
+    starts = begun(facts, rows).select("rule_id", "rest", "subject", "object", "day", F.col("row_id").alias("start_row"))
     starts = starts.join(queries.select("subject").distinct(), "subject", "left_semi")
     q = queries.select("query_id", F.col("subject").alias("q_subject"), F.col("day").alias("q_day"))
-    both = q.join(walks(facts, starts, rules, most_hops), (F.col("q_subject") == F.col("subject")) & (F.col("day") <= F.col("q_day")))
+    both = q.join(walks(facts, starts, rows, most_hops), (F.col("q_subject") == F.col("subject")) & (F.col("day") <= F.col("q_day")))
     return both.select("query_id", "rule_id", "start_row", "object", "days", "q_day")
 
 
@@ -108,10 +119,10 @@ def rule_scores(facts: DataFrame, queries: DataFrame, rules: DataFrame, most_hop
     Chains don't depend on the question but for their last day, so they are walked once per (subject, rule, object, day),
     with the number of facts that start there, and summed up to each question's day by sums_as_of().
     """
-    good = checked(rules.where(F.col("priority") >= least_priority))[0]
+    good = listed(rules.where(F.col("priority") >= least_priority))
     starts = begun(facts, good).join(queries.select("subject").distinct(), "subject", "left_semi")
-    starts = starts.groupBy("rule_id", "subject", "object", "day").agg(F.count("*").alias("n"))
-    found = walks(facts, starts, good, most_hops).where(F.col("object") != F.col("subject")).join(good.select("rule_id", "cp"), "rule_id")
+    starts = starts.groupBy("rule_id", "cp", "rest", "subject", "object", "day").agg(F.count("*").alias("n"))
+    found = walks(facts, starts, good, most_hops).where(F.col("object") != F.col("subject"))
     start = spans("day")[1]
     worth = F.aggregate("days", F.lit(0.0), lambda a, d: a + F.exp(DECAY * (d - start)))
     ends = found.groupBy("subject", F.col("object").alias("entity"), "day").agg(F.sum(F.col("n") * F.size("days") * F.col("cp")).alias("sure"), F.sum(F.col("n") * worth).alias("near"))

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factline.operators import hotpairs
 from factline.operators.order import following, with_position
+from factline.session import durable
 
 WEIGHT_CONFIDENCE, WEIGHT_COVERAGE = 0.7, 0.3
 DEFAULT_VALIDITY = 30
@@ -28,6 +30,7 @@ SHORT_TERM = ("Meet_with", "Discuss_by_telephone", "Make_statement", "Apologize"
 
 
 Rule = tuple[int, tuple[str, ...], str, float]  # rule_id, body, head, validity
+HOT_PAIR = 1_000_000  # facts of one pair that one window takes
 RULES_A_PASS = 8  # window columns of so many rules share one sort
 
 
@@ -43,7 +46,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def confidences(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+def confidences(facts: DataFrame, rules: list[Rule], hot: int = HOT_PAIR) -> DataFrame:
     """(rule_id, b, hb) of each rule: body matches, and those whose head follows, over all pairs (subject, object).
 
     Each fact of a pair starts one attempt on the facts from it on. Strict: the body's relations are the next ones
@@ -53,8 +56,18 @@ def confidences(facts: DataFrame, rules: list[Rule]) -> DataFrame:
 
     Running windows in reverse time order say, for each fact, where the greedy match of the body's end would end, so
     no pair is gathered as an array. All windows of a pass have one order: one shuffle and one sort serve all its rules.
+    Pairs of more than `hot` facts, for which one window would be too much, are judged in blocks (hotpairs.py).
     """
-    return _union([_confidences(facts, p) for p in _passes(rules)])
+    busy = None
+    if facts.count() > hot:  # else no pair can be
+        by = facts.groupBy("subject", "object").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+        busy = durable(by.select("subject", "object"), "hot-pairs")
+        busy = busy if busy.limit(1).collect() else None
+    if busy is None:
+        return _union([_confidences(facts, p) for p in _passes(rules)])
+    rest, many = facts.join(busy, ["subject", "object"], "left_anti"), facts.join(busy, ["subject", "object"], "left_semi")
+    both = _union([part for p in _passes(rules) for part in (_confidences(rest, p), hotpairs.confidences(many, p))])
+    return both.groupBy("rule_id").agg(F.sum("b").alias("b"), F.sum("hb").alias("hb"))
 
 
 def _confidences(facts: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from factline.functions import groups, names, temporal
 from factline.operators import caserules, embed, graphmodel, lookup, paths, patterns, reasoning, replies, rules
 from factline.plans import forecast
-from factline.session import durable
+from factline.session import durable, shared_path
 from factline.sources import facts as sources
+from factline.sources import graphstore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,6 +143,24 @@ def out_edges(facts):
     return lookup.out_edges(facts, "u5")
 
 
+def _indexed(facts: DataFrame) -> graphstore.Graph:
+    spark = facts.sparkSession
+    path = shared_path(spark, "graph")
+    return graphstore.write_graph(facts, path, path.rpartition("-")[2], 8)
+
+
+@query("SELECT 'out' AS way, relation, object AS other, ts FROM facts WHERE subject = 'u5' UNION ALL SELECT 'in', relation, subject, ts FROM facts WHERE object = 'u5'")
+def indexed_edges(facts):
+    g = _indexed(facts)
+    out = graphstore.out_edges(g, "u5").select(F.lit("out").alias("way"), "relation", F.col("object").alias("other"), "ts")
+    return out.union(graphstore.in_edges(g, "u5").select(F.lit("in"), "relation", "subject", "ts"))
+
+
+@query("SELECT a.row_id AS row1, b.row_id AS row2, a.subject, a.object AS via, b.object FROM facts a JOIN facts b ON a.object = b.subject AND a.day <= b.day WHERE a.relation = 'signup' AND b.relation = 'purchase'")
+def indexed_hop(facts):
+    return graphstore.hop(_indexed(facts), "signup", "purchase")
+
+
 @query("SELECT relation, count(*) AS n, min(day) AS first_day, max(day) AS last_day, round(count(*) / (SELECT count(*) FROM facts), 6) AS share FROM facts GROUP BY relation")
 def relation_share(facts):
     return lookup.relation_profile(facts)
@@ -519,8 +538,8 @@ ch AS (SELECT st.query_id, st.q_subject, st.q_day, st.start_row, nx.x.o AS objec
 
 
 def tests(facts: DataFrame) -> DataFrame:
-    """All facts of the test split as questions."""
-    return lookup.test_facts(facts).select(F.col("row_id").alias("query_id"), "subject", "relation", "object", "day")
+    """All facts of the test split as questions, written, as a query uses them in several places."""
+    return durable(lookup.test_facts(facts).select(F.col("row_id").alias("query_id"), "subject", "relation", "object", "day"), "questions")
 
 
 def fixed_rules(facts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factline.operators import caserules, patterns, reasoning
+from factline.operators import caserules, hotpairs, patterns, reasoning, rules
 
 COLUMNS = "row_id long, subject string, relation string, object string, day long"
 
@@ -113,3 +113,17 @@ def test_bounded_patterns_make_no_far_pairs(spark, facts, within):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     assert len(joins) == 2 and all("bucket" in j and f"<= {within})" in j for j in joins)
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 100])
+def test_confidences_in_blocks(spark, block):
+    """One pair with many facts, in many blocks, and a few others: as in one window."""
+    rng = random.Random(block)
+    rows = [(i, "s" if i % 9 else "t", rng.choice("abcx"), "o", 100 + rng.randrange(60)) for i in range(120)] + [(200 + i, f"u{i % 4}", "a", "o", i) for i in range(9)]
+    f = spark.createDataFrame(rows, COLUMNS)
+    listed = [(1, ("a",), "x", 2.0), (2, ("a", "b"), "x", 4.0), (3, ("c", "a", "b"), "a", 9.0), (4, ("b", "b"), "never", 5.0), (5, ("a", "x"), "a", 0.0), (6, ("x", "a"), "never", 1.0)]
+    want = sorted(map(tuple, rules.confidences(f, listed).select("rule_id", "b", "hb").collect()))
+    got = sorted(map(tuple, hotpairs.confidences(f, listed, block).select("rule_id", "b", "hb").collect()))
+    assert got == want and any(b > hb for _, b, hb in got)
+    if block == 7:
+        assert sorted(map(tuple, rules.confidences(f, listed, hot=50).select("rule_id", "b", "hb").collect())) == want
