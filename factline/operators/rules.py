@@ -70,7 +70,12 @@ def confidences(facts: DataFrame, rules: list[Rule], hot: int = HOT_PAIR) -> Dat
     return both.groupBy("rule_id").agg(F.sum("b").alias("b"), F.sum("hb").alias("hb"))
 
 
-def _confidences(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+def pair_confidences(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(subject, object, rule_id, b, hb): what each pair has part in confidences(), which is their sum."""
+    return _union([_confidences(facts, p, ["subject", "object"]) for p in _passes(rules)])
+
+
+def _confidences(facts: DataFrame, rules: list[Rule], by: list[str] = []) -> DataFrame:
     pair = Window.partitionBy("subject", "object")
     back = pair.orderBy(F.desc("day"), F.desc("row_id"))
     upto = back.rowsBetween(Window.unboundedPreceding, 0)  # the fact and all later ones
@@ -101,9 +106,9 @@ def _confidences(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     # a fact counts while none before it matched both: as many as there are lie from it on
     n = range(len(rules))
     f = f.withColumns({f"open{i}": F.sum(f"both{i}").over(pair) == F.sum(f"both{i}").over(upto) for i in n})
-    one = f.agg(*[x for i in n for x in (F.count_if(F.col(f"open{i}") & F.col(f"matched{i}")).alias(f"b{i}"), F.count_if(F.col(f"open{i}") & (F.col(f"both{i}") == 1)).alias(f"hb{i}"))])
+    one = f.groupBy(*by).agg(*[x for i in n for x in (F.count_if(F.col(f"open{i}") & F.col(f"matched{i}")).alias(f"b{i}"), F.count_if(F.col(f"open{i}") & (F.col(f"both{i}") == 1)).alias(f"hb{i}"))])
     each = [F.struct(F.lit(r[0]).cast("long").alias("rule_id"), F.col(f"b{i}").alias("b"), F.col(f"hb{i}").alias("hb")) for i, r in enumerate(rules)]
-    return one.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    return one.select(*by, F.explode(F.array(*each)).alias("x")).select(*by, "x.*")
 
 
 def confidence(facts: DataFrame, body: tuple[str, ...], head: str, validity: float) -> DataFrame:
@@ -118,9 +123,19 @@ def _listed(facts: DataFrame, rules: list[Rule]) -> DataFrame:
 def heuristic_confidences(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     """(rule_id, cp): for rules without body matches, from the body relations' shares of all facts and the overlap of
     their time ranges with the head's."""
-    by = facts.groupBy("relation").agg(F.count("*").alias("n"), F.min("day").alias("lo"), F.max("day").alias("hi")).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    return heuristic_of(relation_ranges(facts), rules)
+
+
+def relation_ranges(facts: DataFrame) -> DataFrame:
+    """(relation, n, lo, hi): facts, first and last day of each relation."""
+    return facts.groupBy("relation").agg(F.count("*").alias("n"), F.min("day").alias("lo"), F.max("day").alias("hi"))
+
+
+def heuristic_of(ranges: DataFrame, rules: list[Rule]) -> DataFrame:
+    """heuristic_confidences() from relation_ranges()."""
+    by = ranges.withColumn("total", F.sum("n").over(Window.partitionBy()))  # a row per relation
     h = by.select(F.col("relation").alias("head"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
-    each = _listed(facts, rules).select("rule_id", "head", F.explode("body").alias("relation")).join(by, "relation", "left").join(h, "head", "left")
+    each = _listed(ranges, rules).select("rule_id", "head", F.explode("body").alias("relation")).join(by, "relation", "left").join(h, "head", "left")
     overlap = F.greatest(F.lit(0), F.least("hi", "h_hi") - F.greatest("lo", "h_lo"))
     span = F.greatest(F.lit(1), F.greatest("hi", "h_hi") - F.least("lo", "h_lo"))
     time = 0.5 * F.when(F.col("h_lo").isNull(), 0.1).otherwise(F.coalesce(overlap / span, F.lit(0.0)))
@@ -167,8 +182,13 @@ def evaluate(facts: DataFrame, rules: list[Rule], judged: DataFrame | None = Non
     A rule without body matches takes its confidence from `judged` (rule_id, judged), where that has one, else from
     heuristic_confidences().
     """
-    df = _listed(facts, rules).join(confidences(facts, rules), "rule_id").join(coverages(facts, rules), "rule_id")
-    df = df.join(heuristic_confidences(facts, rules).withColumnRenamed("cp", "cp_else"), "rule_id")
+    return rated(rules, confidences(facts, rules), coverages(facts, rules), heuristic_confidences(facts, rules), judged)
+
+
+def rated(rules: list[Rule], confident: DataFrame, covered: DataFrame, heuristic: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """evaluate() from what confidences(), coverages() and heuristic_confidences() give."""
+    df = _listed(confident, rules).join(confident, "rule_id").join(covered, "rule_id")
+    df = df.join(heuristic.withColumnRenamed("cp", "cp_else"), "rule_id")
     if judged is not None:
         df = df.join(judged.select("rule_id", "judged"), "rule_id", "left").withColumn("cp_else", F.coalesce("judged", "cp_else"))
     cp = F.when(F.col("b") > 0, F.col("hb") / F.col("b")).otherwise(F.col("cp_else"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factline.functions import groups, names, temporal
-from factline.operators import caserules, embed, graphmodel, lookup, paths, patterns, reasoning, replies, rules
+from factline.operators import caserules, embed, graphmodel, incremental, lookup, paths, patterns, reasoning, replies, rules
 from factline.plans import forecast
 from factline.session import durable, shared_path
 from factline.sources import facts as sources
@@ -442,6 +442,16 @@ def rule_ranking(facts):
     return _rule_columns(rules.ranked(rules.evaluate(facts, list(RULES)), 0.3))
 
 
+@query(f"WITH {evaluation_sql()} SELECT {RULE_SQL} FROM ev")
+def rule_evaluation_by_steps(facts):
+    """Facts arrive in three steps; counts are advanced, not taken anew."""
+    state = incremental.State(facts.sparkSession, shared_path(facts.sparkSession, "evolution"), RULES)
+    for low, high in ((None, 19732), (19732, 19741), (19741, None)):
+        part = facts if low is None else facts.where(F.col("day") >= low)
+        state = incremental.advance(state, part if high is None else part.where(F.col("day") < high))
+    return _rule_columns(incremental.evaluate(state))
+
+
 CURRENT_SQL = f"cur AS (SELECT * FROM facts WHERE day >= {QUERY_DAY}), {evaluation_sql('cur')}"
 
 
