@@ -5,8 +5,9 @@ subject, relation and object and in the time. As means and linear maps commute,
 partial aggregation and joins them once, and the small weight matrices are applied to batches of entities. A question
 is encoded by two linear maps of (subject, relation, time) and scored by cosine against all entities in blocks.
 
-Training takes one Adam step per epoch on the margin loss of all batches: facts are dealt to batches anew in each epoch,
-each batch gives the gradient of its own subgraph in one task, and gradients are summed per entity, relation and weight.
+Training goes in rounds, one an epoch (local steps with averaging, McMahan et al., 2017): facts are dealt to batches anew
+in each, a task takes an Adam step on the margin loss of each of its batches, one after the other, on its own copy of the
+weights and of the vectors that occur in them, and the changes of all tasks are averaged per entity, relation and weight.
 """
 
 from __future__ import annotations
@@ -149,11 +150,12 @@ def graph_scores(facts: DataFrame, model: Model, queries: DataFrame, top: int =
 # --- training ----------------------------------------------------------------------------------------------------------
 
 
-def batch_gradient(w: dict[str, np.ndarray], layers: int, h: np.ndarray, e: np.ndarray, facts: np.ndarray, time: np.ndarray, others: np.ndarray, margin: float) -> tuple[float, dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def batch_gradient(w: dict[str, np.ndarray], layers: int, h: np.ndarray, e: np.ndarray, facts: np.ndarray, time: np.ndarray, others: np.ndarray, margin: float, mask: np.ndarray | float = 1.0) -> tuple[float, dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Loss and its gradients by weights, entity vectors h and relation vectors e, for one batch in time order.
 
     facts: (subject, relation, object) indices; others: drawn entities per fact. The earlier half of the facts are
-    messages, the later half questions: max(0, margin - score of the object + score of the other), on average.
+    messages, the later half questions: max(0, margin - score of the object + score of the other), on average. mask: what
+    the encoder's inner values are multiplied by (dropout).
     """
     half = (len(facts) + 1) // 2
     s, r, o = facts[:half].T
@@ -172,7 +174,9 @@ def batch_gradient(w: dict[str, np.ndarray], layers: int, h: np.ndarray, e: np.n
         kept.append((h, head, rel, message, normal, deviation))
         h = np.where(has[:, None], new, h)
     qs, qr, qo = facts[half:].T
-    q, x, u = encoded(w, h[qs], e[qr], time[half:])
+    _, x, u = encoded(w, h[qs], e[qr], time[half:])
+    inner = np.maximum(u, 0) * mask
+    q = inner @ w["q.out"].T + w["q.out_bias"]
     length = lambda m: np.sqrt((m * m).sum(axis=1, keepdims=True)) + 1e-12
     qn, hn, ql, hl = q / length(q), h / length(h), length(q), length(h)
     pos = (qn * hn[qo]).sum(axis=1)
@@ -188,8 +192,8 @@ def batch_gradient(w: dict[str, np.ndarray], layers: int, h: np.ndarray, e: np.n
     np.add.at(d_hn, others[half:].reshape(-1), (active[:, :, None] * qn[:, None, :]).reshape(-1, h.shape[1]))
     back = lambda g, unit, size: (g - unit * (g * unit).sum(axis=1, keepdims=True)) / size
     d_h, d_q, d_e, g = back(d_hn, hn, hl), back(d_qn, qn, ql), np.zeros_like(e), {}
-    g["q.out"], g["q.out_bias"] = d_q.T @ np.maximum(u, 0), d_q.sum(axis=0)
-    d_u = (d_q @ w["q.out"]) * (u > 0)
+    g["q.out"], g["q.out_bias"] = d_q.T @ inner, d_q.sum(axis=0)
+    d_u = (d_q @ w["q.out"]) * (u > 0) * mask
     g["q.in"], g["q.in_bias"] = d_u.T @ x, d_u.sum(axis=0)
     d_s, d_r, d_t = np.split(d_u @ w["q.in"], 3, axis=1)
     g["q.time"], g["q.time_bias"] = (d_t * time[half:, None]).sum(axis=0), d_t.sum(axis=0)
@@ -212,12 +216,12 @@ def batch_gradient(w: dict[str, np.ndarray], layers: int, h: np.ndarray, e: np.n
 
 
 def _batches(facts: DataFrame, model: Model, batch: int, negatives: int, seed: int) -> DataFrame:
-    """Facts with their batch, their vectors, and `negatives` drawn entities with theirs."""
+    """Facts with their batch, the task of PER_TASK batches, their vectors, and `negatives` drawn entities with theirs."""
     count = max(1, facts.count() // batch)
     names = vocabulary(facts, "subject", "object")
     total = names.agg(F.count("*").alias("total"))  # one row
     vector = lambda df, key, v: df.select(F.col("name").alias(key), F.col("vector").alias(v))
-    rows = facts.select("row_id", "subject", "relation", "object", "day").withColumn("batch", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(count)))
+    rows = facts.select("row_id", "subject", "relation", "object", "day").withColumn("batch", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(count))).withColumn("task", F.floor(F.col("batch") / PER_TASK))
     drawn = rows.select("row_id").join(total).select("row_id", "total", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("i"))
     drawn = drawn.select("row_id", "i", (F.conv(F.substring(draw(seed, "row_id", "i"), 1, 12), 16, 10).cast("long") % F.col("total")).alias("id"))
     drawn = drawn.join(names, "id").join(vector(model.entities, "value", "x"), "value")
@@ -225,12 +229,53 @@ def _batches(facts: DataFrame, model: Model, batch: int, negatives: int, seed: i
     return rows.join(drawn, "row_id").join(vector(model.entities, "subject", "s"), "subject").join(vector(model.entities, "object", "o"), "object").join(vector(model.relations, "relation", "r"), "relation")
 
 
-def gradients(facts: DataFrame, model: Model, batch: int, negatives: int, margin: float, seed: int) -> DataFrame:
-    """(kind, name, g, batch): gradients of each batch: kind entity or relation by name, weights as one row, loss as one."""
-    held, layers, origin = facts.sparkSession.sparkContext.broadcast(model.weights), model.layers, model.origin
+class Adam:
+    """Adam with weight decay over named arrays, which it changes in place; moments may be given."""
+
+    def __init__(self, rate: float, decay: float, moments: dict[str, tuple[np.ndarray, np.ndarray]] | None = None, steps: int = 0):
+        self.rate, self.decay, self.steps = rate, decay, steps
+        self.moments = {k: (m.copy(), v.copy()) for k, (m, v) in (moments or {}).items()}
+
+    def step(self, values: dict[str, np.ndarray], slopes: dict[str, np.ndarray]) -> None:
+        self.steps += 1
+        for k, x in values.items():
+            g = slopes[k] + self.decay * x
+            m, v = self.moments.get(k, (np.zeros_like(x), np.zeros_like(x)))
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            self.moments[k] = (m, v)
+            x -= self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
+
+
+def clipped(parts: list[np.ndarray], most: float) -> float:
+    """The factor that brings the norm of all parts down to `most`."""
+    norm = np.sqrt(sum(float((p * p).sum()) for p in parts))
+    return min(1.0, most / (norm + 1e-6))
+
+
+PER_TASK = 32  # batches on which a task steps in a round
+CHANGES = f"kind string, name string, g {VECTOR}"
+
+
+def _flat(arrays: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([arrays[k].reshape(-1) for k in sorted(arrays)])
+
+
+def _unflat(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+def changes(rows: DataFrame, model: Model, rate: float, margin: float, decay: float, clip: float, dropout: float, seed: int) -> DataFrame:
+    """CHANGES of each task: of the vectors of entities and relations by name; and, as one row each, of the weights, their
+    new moments, and the sum of losses with the number of batches. rows: _batches()."""
+    spark, layers, origin, steps = rows.sparkSession, model.layers, model.origin, model.steps
+    held = spark.sparkContext.broadcast((model.weights, model.moments))  # a few matrices of `dimensions` squared
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("day", "ascending"), ("row_id", "ascending")])
+        table = table.sort_by([("batch", "ascending"), ("day", "ascending"), ("row_id", "ascending")])
         entity: dict[str, int] = {}
         relation: dict[str, int] = {}
         h, e = [], []
@@ -243,75 +288,78 @@ def gradients(facts: DataFrame, model: Model, batch: int, negatives: int, margin
 
         s, r, o = (_matrix(table[c]) for c in ("s", "r", "o"))
         drawn = table["others"].combine_chunks()
-        facts_at = np.array([(place(entity, h, a, s[i]), place(relation, e, b, r[i]), place(entity, h, c, o[i])) for i, (a, b, c) in enumerate(zip(*(table[x].to_pylist() for x in ("subject", "relation", "object"))))])
+        at = np.array([(place(entity, h, a, s[i]), place(relation, e, b, r[i]), place(entity, h, c, o[i])) for i, (a, b, c) in enumerate(zip(*(table[x].to_pylist() for x in ("subject", "relation", "object"))))])
         others = np.array([[place(entity, h, x["name"], np.array(x["x"])) for x in row] for row in drawn.to_pylist()])
-        time = (table["day"].to_numpy() - origin) / YEAR
-        loss, g, d_h, d_e = batch_gradient(held.value, layers, np.array(h), np.array(e), facts_at, time, others, margin)
-        flat = np.concatenate([g[k].reshape(-1) for k in sorted(g)])
-        n = table["batch"][0].as_py()
-        kinds = ["entity"] * len(h) + ["relation"] * len(e) + ["weights", "loss"]
-        values = [*d_h, *d_e, flat, np.array([loss])]
-        return pa.table({"kind": kinds, "name": [*entity, *relation, "", ""], "g": pa.array(values, pa.list_(pa.float64())), "batch": pa.array([n] * len(kinds), pa.int64())})
-
-    rows = _batches(facts, model, batch, negatives, seed)
-    return rows.groupBy("batch").applyInArrow(run, f"kind string, name string, g {VECTOR}, batch long")
-
-
-SUMS = 64  # partial sums of the weights' gradients, which come to the driver
-
-
-def _weight_sums(grads: DataFrame) -> tuple[np.ndarray, float, int]:
-    """Sum of the weights' gradients, sum of losses, number of batches; added up in SUMS groups first."""
+        time, batch = (table["day"].to_numpy() - origin) / YEAR, table["batch"].to_numpy()
+        first, moments = held.value
+        w, h, e = {k: v.copy() for k, v in first.items()}, np.array(h), np.array(e)
+        before_h, before_e, losses = h.copy(), e.copy(), []
+        of_weights, of_vectors = Adam(rate, decay, moments, steps * PER_TASK if moments else 0), Adam(rate, decay)
+        for b in np.unique(batch):
+            mine = batch == b
+            rng = np.random.default_rng([seed, int(b)])
+            mask = (rng.random((int(mine.sum()) // 2, 2 * h.shape[1])) >= dropout) / (1 - dropout) if dropout else 1.0
+            loss, g, d_h, d_e = batch_gradient(w, layers, h, e, at[mine], time[mine], others[mine], margin, mask)
+            scale = clipped([*g.values(), d_h, d_e], clip)
+            of_weights.step(w, {k: x * scale for k, x in g.items()})
+            of_vectors.step({"h": h, "e": e}, {"h": d_h * scale, "e": d_e * scale})
+            losses.append(loss)
+        moved = {k: w[k] - first[k] for k in w}
+        m, v = ({k: x[i] for k, x in of_weights.moments.items()} for i in (0, 1))
+        kinds = ["entity"] * len(h) + ["relation"] * len(e) + ["weights", "m", "v", "loss"]
+        values = [*(h - before_h), *(e - before_e), _flat(moved), _flat(m), _flat(v), np.array([sum(losses), float(len(losses))])]
+        return pa.table({"kind": kinds, "name": [*entity, *relation, "", "", "", ""], "g": pa.array(values, pa.list_(pa.float64()))})
+
+    return rows.groupBy("task").applyInArrow(run, CHANGES)
+
+
+SUMS = 64  # partial sums of the weights' changes, which come to the driver
+
+
+def _mean_weights(changed: DataFrame) -> tuple[dict[str, np.ndarray], float]:
+    """The mean over tasks of what comes as one row a task, by kind, and the mean loss; added up in SUMS groups first."""
 
     def add(table: pa.Table) -> pa.Table:
         total = _matrix(table["g"]).sum(axis=0)
         return pa.table({"kind": table["kind"][:1], "g": pa.array([total], pa.list_(pa.float64())), "n": pa.array([table.num_rows], pa.int64())})
 
-    got = grads.where("kind in ('weights', 'loss')").withColumn("part", F.pmod("batch", F.lit(SUMS))).groupBy("kind", "part").applyInArrow(add, f"kind string, g {VECTOR}, n long").collect()
-    weights = [np.array(r["g"]) for r in got if r["kind"] == "weights"]
-    losses = [(r["g"][0], r["n"]) for r in got if r["kind"] == "loss"]
-    return np.sum(weights, axis=0), sum(x for x, _ in losses), sum(n for _, n in losses)
-
-
-def _moved(table: DataFrame, sums: DataFrame, scale: float, rate: float, decay: float, step: int) -> DataFrame:
-    """(name, vector, m, v) after an Adam step on the summed gradients (name, g); vectors without gradient only decay."""
-    zero = F.transform("vector", lambda x: F.lit(0.0))
-    old = table if "m" in table.columns else table.withColumns({"m": zero, "v": zero})
-    df = old.join(sums, "name", "left").withColumn("g", F.coalesce("g", zero))
-    df = df.withColumn("g", F.zip_with("g", "vector", lambda g, x: g * scale + decay * x))
-    df = df.withColumn("m", F.zip_with("m", "g", lambda m, g: 0.9 * m + 0.1 * g)).withColumn("v", F.zip_with("v", "g", lambda v, g: 0.999 * v + 0.001 * g * g))
-    move = F.zip_with("m", "v", lambda m, v: rate * (m / (1 - 0.9**step)) / (F.sqrt(v / (1 - 0.999**step)) + 1e-8))
-    return df.select("name", F.zip_with("vector", move, lambda x, y: x - y).alias("vector"), "m", "v")
-
-
-def train(facts: DataFrame, model: Model, epochs: int = 3, rate: float = 0.01, batch: int = 256, negatives: int = 10, margin: float = 0.5, decay: float = 1e-5, clip: float = 1.0, seed: int = 42) -> tuple[Model, list[float]]:
-    """The model after `epochs` Adam steps with weight decay, gradients clipped to a norm of `clip`; and the mean loss of
-    each epoch before its step."""
+    single = changed.where("kind in ('weights', 'm', 'v', 'loss')").withColumn("part", F.pmod(F.xxhash64("g"), F.lit(SUMS)))
+    got = single.groupBy("kind", "part").applyInArrow(add, f"kind string, g {VECTOR}, n long").collect()
+    sums: dict[str, np.ndarray] = {}
+    for r in got:
+        sums[r["kind"]] = sums.get(r["kind"], 0) + np.array(r["g"])
+    if not sums:
+        return {}, 0.0
+    tasks = sum(r["n"] for r in got if r["kind"] == "weights")
+    return {k: x / tasks for k, x in sums.items() if k != "loss"}, float(sums["loss"][0] / sums["loss"][1])
+
+
+def train(facts: DataFrame, model: Model, epochs: int = 3, rate: float = 0.01, batch: int = 256, negatives: int = 10, margin: float = 0.5, decay: float = 1e-5, clip: float = 1.0, dropout: float = 0.1, seed: int = 42) -> tuple[Model, list[float]]:
+    """The model after `epochs` rounds, each of an Adam step per batch, with weight decay, dropout and gradients clipped to
+    a norm of `clip`; and the mean loss of each round. Moments of the weights go on from round to round and are kept with
+    the model; those of vectors begin anew in each round."""
     losses = []
     d = len(model.weights["q.out_bias"])
-    for epoch in range(epochs):
-        grads = durable(gradients(facts, model, batch, negatives, margin, seed + model.steps), "gradients")
-        flat, loss, count = _weight_sums(grads)
-        count = max(1, count)
-        losses.append(loss / count)
-        sums = grads.where("kind in ('entity', 'relation')").groupBy("kind", "name").agg(*_sums("g", d, "g", F.lit(1.0)))
-        sums = durable(sums.select("kind", "name", F.array(*[f"g{i}" for i in range(d)]).alias("g")), "sums")
-        squares = sums.agg(F.sum(F.aggregate("g", F.lit(0.0), lambda a, x: a + x * x))).collect()[0][0] or 0.0
-        norm = np.sqrt(squares + (flat * flat).sum()) / count
-        scale = float(min(1.0, clip / (norm + 1e-6)) / count)
-        step = model.steps + 1
-        tables = [durable(_moved(t, sums.where(F.col("kind") == kind).select("name", "g"), scale, rate, decay, step), kind) for kind, t in (("entity", model.entities), ("relation", model.relations))]
-        weights, moments, at = {}, {}, 0
-        for k in sorted(model.weights):
-            w = model.weights[k]
-            g = flat[at : at + w.size].reshape(w.shape) * scale + decay * w
-            at += w.size
-            m, v = model.moments.get(k, (np.zeros_like(w), np.zeros_like(w)))
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            moments[k] = (m, v)
-            weights[k] = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        forget(grads, sums)
-        model = replace(model, weights=weights, moments=moments, entities=tables[0], relations=tables[1], steps=step)
+    for _ in range(epochs):
+        now = seed + model.steps
+        changed = durable(changes(_batches(facts, model, batch, negatives, now), model, rate, margin, decay, clip, dropout, now), "changes")
+        mean, loss = _mean_weights(changed)
+        losses.append(loss)
+        by = changed.where("kind in ('entity', 'relation')").groupBy("kind", "name").agg(F.count("*").alias("n"), *_sums("g", d, "g", F.lit(1.0)))
+        by = durable(by.select("kind", "name", _gathered("g", d, "n")), "mean-changes")
+
+        def moved(table: DataFrame, kind: str) -> DataFrame:
+            new = F.when(F.col("g").isNull(), F.col("vector")).otherwise(F.zip_with("vector", "g", lambda x, g: x + g))
+            return durable(table.select("name", "vector").join(by.where(F.col("kind") == kind).select("name", "g"), "name", "left").select("name", new.alias("vector")), kind)
+
+        tables = moved(model.entities, "entity"), moved(model.relations, "relation")
+        weights, moments = model.weights, model.moments
+        if mean:
+            weights = {k: weights[k] + x for k, x in _unflat(mean["weights"], weights).items()}
+            m, v = (_unflat(mean[k], weights) for k in ("m", "v"))
+            moments = {k: (m[k], v[k]) for k in weights}
+        forget(changed, by)
+        model = replace(model, weights=weights, moments=moments, entities=tables[0], relations=tables[1], steps=model.steps + 1)
     return model, losses
 
 
@@ -323,17 +371,20 @@ def save(model: Model, path: str) -> None:
     spark = model.entities.sparkSession
     for name, table in (("entities", model.entities), ("relations", model.relations)):
         table.write.mode("overwrite").parquet(f"{path}/{name}")
-    rows = [(k, list(map(int, w.shape)), [float(x) for x in w.reshape(-1)], json.dumps({"origin": model.origin, "layers": model.layers, "steps": model.steps})) for k, w in sorted(model.weights.items())]
-    spark.createDataFrame(rows, f"name string, shape array<int>, w {VECTOR}, about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+    about = json.dumps({"origin": model.origin, "layers": model.layers, "steps": model.steps})
+    numbers = lambda x: None if x is None else [float(v) for v in x.reshape(-1)]
+    rows = [(k, list(map(int, w.shape)), numbers(w), *map(numbers, model.moments.get(k, (None, None))), about) for k, w in sorted(model.weights.items())]
+    spark.createDataFrame(rows, f"name string, shape array<int>, w {VECTOR}, m {VECTOR}, v {VECTOR}, about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
 
 
 def load(spark: SparkSession, path: str) -> Model | None:
-    """What save() has written (a further training starts its moments of the weights anew); None if there is nothing."""
+    """What save() has written, with the moments of its training; None if there is nothing."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/weights")
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return None
     rows = spark.read.parquet(f"{path}/weights").collect()
     about = json.loads(rows[0]["about"])
     weights = {r["name"]: np.array(r["w"]).reshape(r["shape"]) for r in rows}
+    moments = {r["name"]: tuple(np.array(r[c]).reshape(r["shape"]) for c in ("m", "v")) for r in rows if r["m"] is not None}
     tables = [spark.read.parquet(f"{path}/{name}") for name in ("entities", "relations")]
-    return Model(weights, *tables, about["origin"], about["layers"], about["steps"])
+    return Model(weights, *tables, about["origin"], about["layers"], about["steps"], moments)

@@ -724,7 +724,7 @@ def model_replies(facts):
 
 @query()
 def trained_candidates(facts):
-    """Answers of a graph model after two training steps on the facts before the questions."""
+    """Answers of a graph model after two rounds of training on the facts before the questions."""
     split = lookup.time_split(facts)
     past = split.where("split <> 'test'").select(*facts.columns)
     model, _ = graphmodel.train(past, graphmodel.start(past), epochs=2)
@@ -736,6 +736,12 @@ def forecast_metrics(facts):
     return forecast.forecast(facts)[2]
 
 
+@query()
+def trained_forecast_metrics(facts):
+    """The whole way with the trained model as graph side, verified and fused."""
+    return forecast.forecast(facts, s=forecast.Settings(train_epochs=2))[2]
+
+
 @query(f"WITH rn AS (SELECT DISTINCT 'relation:' || relation AS name FROM facts), {vector_sql('pv', 'rn')} SELECT substr(name, 10) AS relation, round(x, 6) AS first, {embed.DIMENSIONS} AS dimensions FROM pv WHERE i = 1")
 def pseudo_relation_vectors(facts):
     return groups.pseudo_vectors(facts).select("relation", F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.size("vector").alias("dimensions"))

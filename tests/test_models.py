@@ -83,6 +83,96 @@ def test_training_lowers_the_loss(spark):
     assert model.entities.count() == 4 and model.relations.count() == 2
 
 
+def test_dropped_values_have_no_slope():
+    rng = np.random.default_rng(2)
+    d = 4
+    w = graphmodel.first_weights(d, 1, 3)
+    h, e = rng.normal(size=(5, d)), rng.normal(size=(2, d))
+    rows, time, others = np.array([[0, 0, 1], [1, 1, 2], [2, 0, 3], [3, 1, 4]]), rng.uniform(0, 2, 4), rng.integers(0, 5, (4, 3))
+    mask = np.ones((2, 2 * d))
+    mask[:, 3] = 0
+    base, g, _, _ = graphmodel.batch_gradient(w, 1, h, e, rows, time, others, 0.5, mask)
+    assert (g["q.in"][3] == 0).all() and (g["q.out"][:, 3] == 0).all() and base > 0
+    more = {**w, "q.in": w["q.in"].copy()}
+    more["q.in"][1, 2] += 1e-6
+    assert abs((graphmodel.batch_gradient(more, 1, h, e, rows, time, others, 0.5, mask)[0] - base) / 1e-6 - g["q.in"][1, 2]) < 1e-4
+
+
+def test_a_round_against_a_plain_version(spark, monkeypatch, tmp_path):
+    """Each task steps on its batches from the same start; changes are averaged; moments go on after saving and loading."""
+    monkeypatch.setattr(graphmodel, "PER_TASK", 2)
+    f = facts(spark, [(a, r, b, d + 7 * k) for k in range(6) for a, r, b, d in ROWS])
+    model = graphmodel.start(f)
+    table = lambda df: {r["name"]: np.array(r["vector"]) for r in df.collect()}
+    for round_ in range(2):
+        rows = graphmodel._batches(f, model, 8, 3, 42 + round_).collect()
+        assert len({r["task"] for r in rows}) > 1 and len({r["batch"] for r in rows}) > 3
+        entities, relations = table(model.entities), table(model.relations)
+        deltas = {}
+        for task in {r["task"] for r in rows}:
+            mine = [r for r in rows if r["task"] == task]
+            names = sorted({n for r in mine for n in (r["subject"], r["object"], *(x["name"] for x in r["others"]))})
+            kinds = sorted({r["relation"] for r in mine})
+            values = {k: x.copy() for k, x in model.weights.items()} | {"h": np.array([entities[n] for n in names]), "e": np.array([relations[n] for n in kinds])}
+            start = {k: x.copy() for k, x in values.items()}
+            m = {k: model.moments[k][0].copy() if k in model.moments else np.zeros_like(x) for k, x in values.items()}
+            v = {k: model.moments[k][1].copy() if k in model.moments else np.zeros_like(x) for k, x in values.items()}
+            before = model.steps * 2 if model.moments else 0
+            for t, b in enumerate(sorted({r["batch"] for r in mine}), 1):
+                at = sorted((r for r in mine if r["batch"] == b), key=lambda r: (r["day"], r["row_id"]))
+                index = np.array([(names.index(r["subject"]), kinds.index(r["relation"]), names.index(r["object"])) for r in at])
+                others = np.array([[names.index(x["name"]) for x in r["others"]] for r in at])
+                time = np.array([(r["day"] - model.origin) / 365 for r in at])
+                _, g, g["h"], g["e"] = graphmodel.batch_gradient({k: values[k] for k in model.weights}, 2, values["h"], values["e"], index, time, others, 0.5)
+                norm = np.sqrt(sum((x * x).sum() for x in g.values()))
+                for k in values:
+                    n = t + (before if k in model.weights else 0)
+                    slope = g[k] * min(1, 1 / (norm + 1e-6)) + 1e-5 * values[k]
+                    m[k], v[k] = 0.9 * m[k] + 0.1 * slope, 0.999 * v[k] + 0.001 * slope**2
+                    values[k] = values[k] - 0.02 * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.999**n)) + 1e-8)
+            for k in model.weights:
+                deltas.setdefault(k, []).append(values[k] - start[k])
+            for i, n in enumerate(names):
+                deltas.setdefault(("entity", n), []).append(values["h"][i] - start["h"][i])
+        new, _ = graphmodel.train(f, model, epochs=1, rate=0.02, batch=8, negatives=3, dropout=0.0)
+        for k, x in model.weights.items():
+            assert np.allclose(new.weights[k], x + np.mean(deltas[k], axis=0), atol=1e-9), (round_, k)
+        for n, x in table(new.entities).items():
+            assert np.allclose(x, entities[n] + np.mean(deltas.get(("entity", n), [0 * x]), axis=0), atol=1e-9)
+        graphmodel.save(new, str(tmp_path / f"round{round_}"))
+        model = graphmodel.load(spark, str(tmp_path / f"round{round_}"))
+        assert model.moments and model.steps == round_ + 1
+
+
+def test_training_learns(spark):
+    """Objects follow from subject and relation: the trained model ranks them higher than the untrained one and than
+    messages without weights."""
+    import random
+
+    rng = random.Random(11)
+    to = {r: rng.sample(range(20), 20) for r in "xy"}
+    rows = []
+    for day in range(1500):
+        s, r = rng.randrange(20), rng.choice("xy")
+        rows.append((f"n{s}", r, f"n{to[r][s]}", day))
+    past, asked = facts(spark, rows), [(i, f"n{s}", r, 1500) for i, (s, r) in enumerate((s, r) for s in range(20) for r in "xy" if to[r][s] != s)]
+    q = spark.createDataFrame(asked, "query_id long, subject string, relation string, day long")
+    truth = {i: f"n{to[r][int(s[1:])]}" for i, s, r, _ in asked}
+
+    def mrr(scores):
+        lists = {}
+        for x in scores.collect():
+            lists.setdefault(x["query_id"], []).append((-x["score"], x["entity"]))
+        places = {i: [e for _, e in sorted(v)] for i, v in lists.items()}
+        return np.mean([1 / (places[i].index(o) + 1) if o in places.get(i, []) else 0 for i, o in truth.items()])
+
+    start = graphmodel.start(past)
+    trained, losses = graphmodel.train(past, start, epochs=12, rate=0.02, batch=64, negatives=8)
+    plain = embed.graph_scores(embed.message_layer(past, embed.entity_vectors(past)), q)
+    got = [mrr(x) for x in (graphmodel.graph_scores(past, trained, q), graphmodel.graph_scores(past, start, q), plain)]
+    assert losses[-1] < 0.6 * losses[0] and got[0] > 1.2 * max(got[1:]), (losses, got)
+
+
 def scripted(name, reply):
     """A provider that answers from a function of the prompt."""
     replies.register(name)(lambda: reply)

@@ -42,6 +42,7 @@ WITHOUT_SQL = {
     "path_rules": ["head", "length", "rule_id", "signature"],
     "trained_candidates": ["entity", "query_id", "score"],
     "forecast_metrics": ["hit1", "hit10", "hit3", "mrr", "queries"],
+    "trained_forecast_metrics": ["hit1", "hit10", "hit3", "mrr", "queries"],
 }
 
 
