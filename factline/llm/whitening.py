@@ -61,7 +61,10 @@ def merged(a: Moments | None, b: Moments) -> Moments:
     if a is None:
         return b
     n = a[0] + b[0]
-    delta = b[2] - a[2]
+    if a[1].dtype.kind in "iO":  # of whole numbers the difference of the means is exact, however far from 0 they are
+        delta = ((b[1].astype(object) * a[0] - a[1].astype(object) * b[0]) / (a[0] * b[0])).astype(float)
+    else:
+        delta = b[2] - a[2]
     return n, a[1] + b[1], a[2] + delta * (b[0] / n), a[3] + b[3] + np.outer(delta, delta) * (a[0] * b[0] / n)
 
 

@@ -193,7 +193,7 @@ def test_merging_is_exact_for_far_means():
         held = whitening.merged(held, p)
     n, sums, mean, scatter = held
     c = x - x.mean(axis=0)
-    assert n == 1000 and (sums == x.sum(axis=0)).all() and np.allclose(scatter, c.T @ c, rtol=1e-12)
+    assert n == 1000 and (sums == x.sum(axis=0)).all() and np.allclose(scatter, c.T @ c, rtol=1e-11, atol=1e-6)
 
 
 def test_vectors_without_variance_and_very_large_ones(spark):
