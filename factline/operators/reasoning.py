@@ -17,7 +17,7 @@ def listed(rules: DataFrame) -> Listed:
     """The rules (rule_id, body, and cp if it is there) as a list: a table of rules is as small as the parameters of
     mining make it, and evaluation takes lists as well."""
     cp = "cp" if "cp" in rules.columns else F.lit(0.0).alias("cp")
-    return [(r["rule_id"], tuple(r["body"]), r["cp"]) for r in rules.select("rule_id", "body", cp).collect()]
+    return [(r["rule_id"], tuple(r["body"]), r["cp"]) for r in rules.select("rule_id", "body", cp).where(F.size("body") > 0).collect()]
 
 
 def _told(key: str, table: dict[str, list[Column]]) -> Column:
