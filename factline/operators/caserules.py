@@ -9,6 +9,9 @@ from factline.operators.order import with_position
 from factline.session import durable
 
 
+IN_ONE_TASK = 100_000  # names that are numbered by a sort in one task; more are put in order by ranges
+
+
 def body_matches(facts: DataFrame, r1: str, r2: str) -> DataFrame:
     """(subject, object, t1, t2, row1, row2) with t1 < t2."""
     a = facts.where(F.col("relation") == r1).select("subject", "object", F.col("day").alias("t1"), F.col("row_id").alias("row1"))
@@ -67,8 +70,13 @@ def ranked(found: DataFrame, facts: DataFrame, head: str) -> DataFrame:
     are shuffled; a window has two rows a day at most.
     """
     levels = durable(_levels(facts, head), "levels")
-    ids = durable(with_position(levels.select("object").distinct(), ["object"], "id").select("object", "id"), "object-ids")
-    digits = int(ids.agg(F.coalesce(F.max("id"), F.lit(0))).collect()[0][0]).bit_length()
+    objects = durable(levels.select("object").distinct(), "objects")
+    count = objects.count()
+    if count <= IN_ONE_TASK:
+        ids = objects.withColumn("id", F.row_number().over(Window.orderBy("object")).cast("long") - 1)
+    else:
+        ids = durable(with_position(objects, ["object"], "id").select("object", "id"), "object-ids")
+    digits = max(count - 1, 0).bit_length()
     asked = durable(_own(found, levels).join(ids, "object", "left"), "asked")
     # (level, range, number): in range r of digit k are the ids whose digits above k are `number`; one range holds all
     ends = levels.join(ids, "object").select("subject", "day", "id", F.explode(F.sequence("least", "most")).alias("level"))

@@ -29,7 +29,9 @@ def plain_rank(rows, s, o, t):
     return 1 + sum(c > own or (c == own and k < o) for k, c in counts.items()), o in counts
 
 
-def test_case_rules_rank_as_a_plain_count(spark, facts):
+@pytest.mark.parametrize("in_one_task", [100_000, 0])
+def test_case_rules_rank_as_a_plain_count(spark, facts, monkeypatch, in_one_task):
+    monkeypatch.setattr(caserules, "IN_ONE_TASK", in_one_task)
     rows = made()
     found = caserules.body_instances(facts, "a", "b")
     got = {(r["subject"], r["object"], r["t2"]): (r["n"], r["rank"], r["supported"]) for r in caserules.ranked(found, facts, "c").collect()}
