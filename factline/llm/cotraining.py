@@ -2,12 +2,13 @@
 
 The content view sees hashed words and the shape of the text, the metadata view only language, source and length.
 Both are logistic regressions, fitted on the driver on a bounded sample: at most LABELLED documents with labels, half of
-each class where there are as many, and at most HANDED_ROWS that a view is handed per round. The pool is all other
-documents: in each round both views score every one of them on the executors, and each hands the other rows of its most
-confident share, which is a quantile of all scores. A row that was handed over leaves the pool. A part of the labelled
-sample is held out, in three: one to calibrate each view's scores (Platt), one to weigh the two views against each
-other, one for the threshold; classes count there by their shares among all labels. All documents are then scored in
-one pass with the broadcast weights.
+each class where there are as many, and at most HANDED_ROWS that a view is handed per round. What such rows bring to the
+driver is bounded by the number of their features as well (ENTRIES): sizes come first, and rows beyond the bound are not
+fitted on. The pool is all other documents: in each round both views score every one of them on the executors, and each
+hands the other rows of its most confident share, which is a quantile of all scores. A row that was handed over leaves the
+pool. A part of the labelled sample is held out, in three: one to calibrate each view's scores (Platt), one to weigh the
+two views against each other, one for the threshold; classes count there by their shares among all labels. All documents
+are then scored in one pass with the broadcast weights.
 
 Edge cases: null and empty texts have only the shape features; null metadata are values of their own; labels that are
 null, or of doc_ids that `docs` lacks, are left out, and of repeated labels of one doc_id the largest counts; of rows
@@ -33,6 +34,7 @@ LABELLED = 4000
 ROUNDS = 3
 HANDED = 0.05  # share of the pool whose labels a view is sure of in a round, at most
 HANDED_ROWS = 400  # rows of that share, drawn by hashed doc_id, that the other view is handed
+ENTRIES = 4_000_000  # features that the rows of one draw may have together, about as many as 10,000 pages
 PARTS = 256
 BITS = 18
 SHAPES = 8
@@ -214,10 +216,25 @@ def drawn(rows: DataFrame, n: int, salt: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(n)
 
 
-def features(docs: DataFrame, ids: DataFrame) -> tuple[list[int], Rows, Rows]:
-    """doc_ids in order and both views' features of these rows, on the driver. ids: doc_ids, a few thousand; of rows that
-    repeat one the first by content is taken, so no more rows come back than there are ids."""
-    rows = docs.join(F.broadcast(ids.select(F.col("doc_id").alias("id")).distinct()), F.col("doc_id") == F.col("id")).drop("id")
+def _turn(doc_id: int) -> int:
+    """Where a handed row stands when a draw is cut: by its hashed id."""
+    return int(fmix(np.array([doc_id]).astype(U))[0])
+
+
+def _within(order: list[int], sizes: dict[int, int], most: int) -> list[int]:
+    """The longest beginning of `order`, without ids that have no size, whose sizes sum to at most `most`."""
+    known = [i for i in dict.fromkeys(order) if i in sizes]
+    total = np.cumsum([sizes[i] for i in known])
+    return known[: int(np.searchsorted(total, most, "right"))]
+
+
+def features(docs: DataFrame, order: list[int], most: int = ENTRIES) -> tuple[list[int], Rows, Rows]:
+    """doc_ids in order and both views' features of these rows, on the driver. order: doc_ids, a few thousand, the more
+    wanted first; those beyond `most` features are left out. Of rows that repeat an id the first by content is taken, so
+    no more rows come back than there are ids."""
+    spark = docs.sparkSession
+    ids = spark.createDataFrame([(i,) for i in dict.fromkeys(order)], "id long")
+    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).drop("id")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text", "lang", "source", "n_chars").alias("at"), "text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.text", "x.lang", "x.source", "x.n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +245,11 @@ def features(docs: DataFrame, ids: DataFrame) -> tuple[list[int], Rows, Rows]:
             packed = [pa.ListArray.from_arrays(ends, pa.array(v[cut])) for v in (x.column.astype(np.int32), x.value.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 2, 3, 4)], *packed], names=["doc_id", "lang", "source", "n_chars", "columns", "values"])
 
-    got = rows.mapInArrow(run, "doc_id long, lang string, source string, n_chars long, columns array<int>, values array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    made = durable(rows.mapInArrow(run, "doc_id long, lang string, source string, n_chars long, columns array<int>, values array<float>"), "features")
+    fitting = _within(order, dict(made.select("doc_id", F.size("columns")).collect()), most)
+    kept = spark.createDataFrame([(i,) for i in fitting], "doc_id long")
+    got = made.join(F.broadcast(kept), "doc_id", "left_semi").toArrow().sort_by("doc_id").combine_chunks()
+    forget(made)
     flat = lambda name: got[name].combine_chunks().flatten().to_numpy()
     each = np.diff(got["columns"].combine_chunks().offsets.to_numpy()) if len(got) else np.zeros(0, int)
     a = Rows(np.repeat(np.arange(len(got), dtype=np.int32), each), flat("columns"), flat("values"), len(got)) if len(got) else content([])
@@ -270,22 +291,24 @@ def confident(pool: DataFrame, target: str, prior: float, handed: float, rows: i
     return found.where(F.col("place") <= F.when(F.col("y") == 1, ones).otherwise(zeros)).drop("place", "part")
 
 
-def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], rounds: int = ROUNDS, handed: float = HANDED, rows: int = HANDED_ROWS, labelled: int = LABELLED) -> dict[str, Model]:
+def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], rounds: int = ROUNDS, handed: float = HANDED, rows: int = HANDED_ROWS, labelled: int = LABELLED, entries: int = ENTRIES) -> dict[str, Model]:
     """A model per label column. The labels' rounds go together, so that each round scores the documents once."""
     spark = docs.sparkSession
     known = {t: durable(known_labels(docs, labels, t), "labels") for t in targets}
     sample = {}
     for t in targets:
         parts = [drawn(known[t].where(F.col("y") == c), labelled // 2, 6) for c in (0.0, 1.0)]
-        sample[t] = [(r["doc_id"], r["y"]) for p in parts for r in p.collect()]  # `labelled` rows at most
-    ids = sorted({i for t in targets for i, _ in sample[t]})
-    found, a, b = features(docs, spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+        sample[t] = [[(r["doc_id"], r["y"]) for r in p.collect()] for p in parts]  # `labelled` rows at most
+    # classes and labels take turns, so that a draw cut at `entries` keeps their shares
+    turns = sorted((k, i) for t in targets for part in sample[t] for k, (i, _) in enumerate(part))
+    found, a, b = features(docs, [i for _, i in turns], entries)
     place = {d: i for i, d in enumerate(found)}
     training = {}
     for t in targets:
         prior = known[t].agg(F.avg("y")).collect()[0][0]
-        mine = np.array([place[i] for i, _ in sample[t]], int)
-        training[t] = Training(a.take(mine), b.take(mine), np.array([y for _, y in sample[t]]), 0.5 if prior is None else prior, ([], []))
+        mine = [(place[i], y) for part in sample[t] for i, y in part if i in place]
+        at = np.array([i for i, _ in mine], int)
+        training[t] = Training(a.take(at), b.take(at), np.array([y for _, y in mine]), 0.5 if prior is None else prior, ([], []))
     open_ = {t: x for t, x in training.items() if x.fits()}
     gone: dict[str, set[int]] = {t: set() for t in targets}  # 4 * `rows` a round at most
     for r in range(rounds + 1):
@@ -304,11 +327,11 @@ def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], rounds:
         forget(pool)
         if not found:
             break
-        chosen, a, b = features(docs, spark.createDataFrame([(i,) for i in sorted({f[0] for f in found})], "doc_id long"))
+        chosen, a, b = features(docs, [int(d) for d in dict.fromkeys(f[0] for f in sorted(found, key=lambda f: _turn(f[0])))], entries)
         place = {d: i for i, d in enumerate(chosen)}
         for t, x in open_.items():
             for i in (0, 1):
-                mine = sorted((d, y) for d, target, view, y in found if target == t and view == i)
+                mine = sorted((d, y) for d, target, view, y in found if target == t and view == i and d in place)
                 if mine:
                     x.handed[1 - i].append(((a, b)[1 - i].take(np.array([place[d] for d, _ in mine])), np.array([y for _, y in mine])))
                 gone[t] |= {d for d, _ in mine}

@@ -137,7 +137,22 @@ def test_classifier_with_repeats_nulls_and_other_columns(spark):
     right = lambda scores: np.mean([(s >= 0.5) == truth[d] for d, s in scores if d in truth])
     assert right([(r["doc_id"], r["quality_score"]) for r in got]) > 0.9 and right(plainly.items()) > 0.9
     views = docs.select("doc_id", F.col("text").cast("binary"), "lang", "source", "n_chars")
-    assert cotraining.features(views, spark.createDataFrame([(7,), (8,), (8,)], "doc_id long"))[0] == [7, 8]
+    assert cotraining.features(views, [7, 8, 8])[0] == [7, 8]
+
+
+def test_features_on_the_driver_are_bounded(spark):
+    """The first of the wanted rows that fit come, whole; a draw that fits is not changed by the bound."""
+    words = lambda n: " ".join(f"w{k}" for k in range(n))
+    docs = spark.createDataFrame([(i, words(100 * (i + 1)), "en", "s", 1) for i in range(6)], COLUMNS).withColumn("text", F.col("text").cast("binary"))
+    assert cotraining.features(docs, [5, 0, 9, 1], 800)[0] == [0, 5]  # 608 and 108 and 208 features
+    found, a, b = cotraining.features(docs, [5, 0, 9, 1], 10**6)
+    assert found == [0, 1, 5] and len(a.value) == 924 and b.n == 3
+    assert cotraining.features(docs, [5, 0], 600)[0] == [] and cotraining.features(docs, [], 600)[0] == []
+    rows, labels = made_documents(300, 200)
+    docs, table = spark.createDataFrame(rows, COLUMNS), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = cotraining.classify(docs, table, entries=2000).collect()  # about 19 features a row: half of the labels
+    truth = dict(labels)
+    assert len(got) == 300 and np.mean([(r["quality_score"] >= 0.5) == truth[r["doc_id"]] for r in got if r["doc_id"] in truth]) > 0.9
 
 
 def test_archive_edges(spark):
