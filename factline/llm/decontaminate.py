@@ -2,8 +2,10 @@
 
 The benchmark's windows (10 consecutive words; a shorter item is one window) are measured and, if they take at most
 BROADCAST_BYTES, hashed and broadcast as packed arrays; each task looks up the windows of its training texts, compares
-the words of a hit with the item's words, and marks every document word inside a true occurrence. Larger benchmarks are
-not fetched at all: their windows are joined by shuffle (`join_windows`), with the same result.
+the words of a hit with the item's words, and marks every document word inside a true occurrence. Of larger benchmarks
+the windows that no text has are dropped first, by the distinct hashes of the texts' windows; what is left takes the same
+way if it fits, and else is joined by shuffle (`join_windows`), hashes first and words for hits only. All ways have the
+same result.
 
 Edge cases: null and empty texts have no words, and so no hits; null, empty and wordless items have no window;
 items with equal windows all count as occurring; repeated rows give one result row each; further columns of the
@@ -44,6 +46,42 @@ def packed_bytes(found: DataFrame) -> int:
     return found.agg(F.sum(F.octet_length(F.array_join("window", " ")) + ids + WINDOW_BYTES)).collect()[0][0] or 0
 
 
+def _hashed(found: DataFrame) -> DataFrame:
+    """windows() with the hash `h` of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = batch.column("words").to_pylist(), batch.column("n").to_numpy()
+            h = np.zeros(len(n), np.uint64)
+            for length in np.unique(n):
+                at = np.flatnonzero(n == length)
+                h[at] = Words([words[i] for i in at], ALNUM).ngrams(int(length))[0]
+            yield pa.RecordBatch.from_arrays([batch.column("window"), batch.column("items"), pa.array(h.view(np.int64))], names=["window", "items", "h"])
+
+    packed = F.array_join("window", " ").cast("binary").alias("words")
+    return found.select("window", "items", F.size("window").alias("n"), packed).mapInArrow(run, "window array<string>, items array<string>, h long")
+
+
+def _lengths(found: DataFrame) -> list[int]:
+    return sorted(r[0] for r in found.select(F.size("window")).distinct().collect())  # at most `width` values
+
+
+def _occurring(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """windows() that some text of `docs` has, by hash, written once with that hash. Only distinct hashes are shuffled."""
+    lengths = _lengths(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in blocks(texts):
+                words = Words(texts[a:b], ALNUM)
+                for n in lengths:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(words.ngrams(n)[0]).view(np.int64))], names=["h"])
+
+    seen = docs.select(F.col("text").cast("binary")).mapInArrow(run, "h long").distinct()
+    return durable(_hashed(found).join(seen, "h", "left_semi"), "occurring")
+
+
 def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
@@ -104,7 +142,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int =
     small_batches(docs.sparkSession)
     found = windows(benchmark, width)
     if packed_bytes(found) > most:
-        return join_windows(docs, found)
+        found = _occurring(docs, found)
+        if packed_bytes(found) > most:
+            return join_windows(docs, found)
     known = docs.sparkSession.sparkContext.broadcast(_index(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,15 +160,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int =
 
 
 def _hits(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(row, items, at): each occurrence of a window in `rows` (row, w), by a shuffle join on its words; `at` are the
-    positions of its words."""
-    lengths = [r[0] for r in found.select(F.size("window")).distinct().collect()]  # at most `width` values
-    entry = lambda n: lambda i: F.struct(i.alias("i"), F.slice("w", i + 1, n).alias("window"))
-    starts = lambda n: F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
-    none = F.array().cast("array<struct<i:int,window:array<string>>>")
-    at = F.concat(none, *[F.transform(starts(n), entry(n)) for n in lengths])
-    exploded = rows.select("row", F.explode(at).alias("x")).select("row", "x.i", "x.window")
-    return exploded.join(found, "window").select("row", "items", F.sequence("i", F.col("i") + F.size("window") - 1).alias("at"))
+    """(row, items, at): each occurrence of a window in `rows` (row, text); `at` are the positions of its words. Hashes of
+    all places meet those of _occurring(); only places that meet one go back to their text for its words."""
+    lengths = _lengths(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a, b in blocks(texts):
+                words = Words(texts[a:b], ALNUM)
+                for n in lengths:
+                    h, at = words.ngrams(n)
+                    doc = words.doc[at]
+                    columns = [row[a + doc], (at - words.first[doc]).astype(np.int32), np.full(len(at), n, np.int32), h.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "i", "n", "h"])
+
+    places = rows.select("row", F.col("text").cast("binary")).mapInArrow(run, "row long, i int, n int, h long")
+    met = places.join(found.select("h"), "h", "left_semi").groupBy("row").agg(F.collect_list(F.struct("i", "n")).alias("met"))
+    words = rows.select("row", alnum_words(F.col("text")).alias("w")).join(met, "row")
+    cut = F.transform("met", lambda x: F.struct(x["i"].alias("i"), F.slice("w", x["i"] + 1, x["n"]).alias("window")))
+    hit = words.select("row", F.explode(cut).alias("x")).select("row", "x.i", "x.window")
+    return hit.join(found, "window").select("row", "items", F.sequence("i", F.col("i") + F.size("window") - 1).alias("at"))
 
 
 def _numbered(docs: DataFrame, row: str = "row") -> DataFrame:
@@ -137,15 +189,15 @@ def _numbered(docs: DataFrame, row: str = "row") -> DataFrame:
 
 
 def join_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """As scan(), for benchmarks beyond the bound: windows of both sides meet in a shuffle join.
+    """As scan(), where the windows of _occurring(), `found`, are beyond the bound as well: they meet in shuffle joins.
 
     Only occurring windows come back to a document, so what is gathered per document is bounded by its own words.
     """
-    rows = _numbered(docs.select("doc_id", alnum_words(F.col("text")).alias("w")))
-    hits = durable(_hits(rows, found), "hits")
+    rows = _numbered(docs.select(F.col("doc_id").cast("long"), "text"))
+    hits = durable(_hits(rows.select("row", "text"), found), "hits")
     words = hits.select("row", F.explode("at").alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     items = hits.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    out = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words")).join(words, "row", "left").join(items, "row", "left")
+    out = rows.select("row", "doc_id", F.size(alnum_words(F.col("text"))).cast("long").alias("n_words")).join(words, "row", "left").join(items, "row", "left")
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
@@ -188,7 +240,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, whole_abov
     """
     small_batches(docs.sparkSession)
     found, names = windows(benchmark, width), docs.columns
-    if packed_bytes(found) <= most:
+    fits = packed_bytes(found) <= most
+    if not fits:
+        found = _occurring(docs, found)
+        fits = packed_bytes(found) <= most
+    if fits:
         known = docs.sparkSession.sparkContext.broadcast(_index(found))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +257,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, whole_abov
 
     row, hit_row, hit_at = (free_name(x, names) for x in ("row", "hit_row", "hit_at"))
     rows = _numbered(docs, row)
-    hits = _hits(rows.select(F.col(row).alias("row"), alnum_words(F.col("text")).alias("w")), found)
+    hits = _hits(rows.select(F.col(row).alias("row"), "text"), found)
     marked = hits.select(F.col("row").alias(hit_row), F.explode("at").alias("at")).groupBy(hit_row).agg(F.collect_set("at").alias(hit_at))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

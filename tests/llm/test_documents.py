@@ -112,18 +112,28 @@ def test_jaccard_keeps_one(docs, by_id):
 def benchmark(spark, texts):
     long = next(t for t in texts if t and 40 < len(t.split()) < 200)
     other = texts[5 + 0] if texts[5] else texts[6]
-    items = [(1, " ".join(long.split()[5:25])), (2, "one two three"), (3, None), (4, "!!"), (10, " ".join(long.split()[8:24]).upper()), (11, other), (12, "mail a b")]
+    items = [(1, " ".join(long.split()[5:25])), (2, "one two three"), (3, None), (4, "!!"), (10, " ".join(long.split()[8:24]).upper()), (11, other), (12, "mail a b"), (13, " ".join(f"nowhere{k}" for k in range(80)))]
     return spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string"), items
 
 
-@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 0])
+#: All windows fit; only those that occur do; not even those.
+BOUNDS = [decontaminate.BROADCAST_BYTES, 6000, 0]
+
+
+def test_bounds_take_all_ways(docs, benchmark):
+    found = decontaminate.windows(benchmark[0])
+    few = decontaminate._occurring(docs, found)
+    assert 0 < decontaminate.packed_bytes(few) < BOUNDS[1] < decontaminate.packed_bytes(found)
+
+
+@pytest.mark.parametrize("most", BOUNDS)
 def test_decontamination(docs, by_id, benchmark, most):
     table, items = benchmark
     got = by_doc(decontaminate.scan(docs, table, most=most), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == {k: plain.contamination(t, items) for k, t in by_id}
 
 
-@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("most", BOUNDS)
 def test_decontamination_removes(docs, by_id, benchmark, most):
     table, items = benchmark
     out = decontaminate.remove(docs, table, most=most)
