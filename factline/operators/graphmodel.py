@@ -215,18 +215,45 @@ def batch_gradient(w: dict[str, np.ndarray], layers: int, h: np.ndarray, e: np.n
     return loss, g, d_h, d_e
 
 
+PER_TASK = 32  # batches on which a task steps in a round
+PER_PART = 524_288  # facts of a part, about; its tasks share one copy of the vectors that occur in it
+
+
+def keyed(facts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(row_id, day, s, r, o), facts by ids; (kind, name, id) of entities, whose ids are those of vocabulary(), and of
+    relations, -1, -2 and so on; and the number of entities."""
+    entities, relations = vocabulary(facts, "subject", "object"), vocabulary(facts, "relation")
+    names = entities.select(F.lit("entity").alias("kind"), F.col("value").alias("name"), F.col("id").cast("long").alias("id"))
+    names = durable(names.union(relations.select(F.lit("relation"), "value", (-1 - F.col("id")).cast("long"))), "names")
+    key = lambda kind, name, id_: names.where(F.col("kind") == kind).select(F.col("name").alias(name), F.col("id").alias(id_))
+    rows = facts.select("row_id", "day", "subject", "relation", "object")
+    for kind, name in (("entity", "subject"), ("relation", "relation"), ("entity", "object")):
+        rows = rows.join(key(kind, name, name[0]), name).drop(name)
+    return durable(rows, "keyed"), names, names.where("kind = 'entity'").count()
+
+
+def dealt(rows: DataFrame, total: int, batch: int, negatives: int, seed: int) -> DataFrame:
+    """Rows of keyed() with their batch, the task of PER_TASK batches, the part of whole tasks, and the array `others` of
+    drawn entities. Parts are few, as each gets a copy of what occurs in it: a few for each core, more from PER_PART facts."""
+    n = rows.count()
+    count = max(1, n // batch)
+    tasks = -(-count // PER_TASK)
+    parts = min(tasks, max(-(-n // PER_PART), 3 * rows.sparkSession.sparkContext.defaultParallelism))
+    number = lambda i: F.conv(F.substring(draw(seed, "row_id", F.lit(i)), 1, 12), 16, 10).cast("long") % total
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(count))).withColumn("task", F.floor(F.col("batch") / PER_TASK))
+    rows = rows.withColumn("part", F.floor(F.col("task") * parts / tasks)).repartition(2 * parts, "part")
+    return rows.withColumn("others", F.array(*[number(i) for i in range(1, negatives + 1)]))
+
+
 def _batches(facts: DataFrame, model: Model, batch: int, negatives: int, seed: int) -> DataFrame:
-    """Facts with their batch, the task of PER_TASK batches, their vectors, and `negatives` drawn entities with theirs."""
-    count = max(1, facts.count() // batch)
-    names = vocabulary(facts, "subject", "object")
-    total = names.agg(F.count("*").alias("total"))  # one row
-    vector = lambda df, key, v: df.select(F.col("name").alias(key), F.col("vector").alias(v))
-    rows = facts.select("row_id", "subject", "relation", "object", "day").withColumn("batch", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(count))).withColumn("task", F.floor(F.col("batch") / PER_TASK))
-    drawn = rows.select("row_id").join(total).select("row_id", "total", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("i"))
-    drawn = drawn.select("row_id", "i", (F.conv(F.substring(draw(seed, "row_id", "i"), 1, 12), 16, 10).cast("long") % F.col("total")).alias("id"))
-    drawn = drawn.join(names, "id").join(vector(model.entities, "value", "x"), "value")
-    drawn = drawn.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("value").alias("name"), "x"))).alias("others"))
-    return rows.join(drawn, "row_id").join(vector(model.entities, "subject", "s"), "subject").join(vector(model.entities, "object", "o"), "object").join(vector(model.relations, "relation", "r"), "relation")
+    """What train() deals in a round, by names, to look at: facts with their batch, task and `others` (i, name)."""
+    rows, names, total = keyed(facts)
+    rows = dealt(rows, total, batch, negatives, seed)
+    drawn = rows.select("row_id", F.posexplode("others").alias("i", "id")).join(names, "id").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("i", "name"))).alias("others"))
+    return rows.select("row_id", "batch", "task").join(facts.select("row_id", "subject", "relation", "object", "day"), "row_id").join(drawn, "row_id")
+
+
+CACHED = 512  # rows that are moved at once, so that they stay in the processor's cache
 
 
 class Adam:
@@ -236,14 +263,35 @@ class Adam:
         self.rate, self.decay, self.steps = rate, decay, steps
         self.moments = {k: (m.copy(), v.copy()) for k, (m, v) in (moments or {}).items()}
 
-    def step(self, values: dict[str, np.ndarray], slopes: dict[str, np.ndarray]) -> None:
+    def step(self, values: dict[str, np.ndarray], slopes: dict[str, np.ndarray], rows: dict[str, np.ndarray] = {}) -> None:
+        """One step; slopes of an array named in `rows` are those of these rows, and 0 elsewhere."""
         self.steps += 1
         for k, x in values.items():
-            g = slopes[k] + self.decay * x
-            m, v = self.moments.get(k, (np.zeros_like(x), np.zeros_like(x)))
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            self.moments[k] = (m, v)
-            x -= self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
+            m, v = self.moments.setdefault(k, (np.zeros_like(x), np.zeros_like(x)))
+            if k not in rows:
+                self._move(x, m, v, slopes[k])
+                continue
+            at = rows[k]
+            own = x[at], m[at], v[at]
+            self._move(*own, slopes[k])
+            for i in range(0, len(x), CACHED):
+                self._move(x[i : i + CACHED], m[i : i + CACHED], v[i : i + CACHED], 0.0)
+            x[at], m[at], v[at] = own
+
+    def _move(self, x: np.ndarray, m: np.ndarray, v: np.ndarray, slope: np.ndarray | float) -> None:
+        g = self.decay * x
+        g += slope
+        m *= 0.9
+        m += 0.1 * g
+        g *= g
+        v *= 0.999
+        g *= 0.001
+        v += g
+        root = np.sqrt(v / (1 - 0.999**self.steps))
+        root += 1e-8
+        np.divide(m, root, out=root)
+        root *= self.rate / (1 - 0.9**self.steps)
+        x -= root
 
 
 def clipped(parts: list[np.ndarray], most: float) -> float:
@@ -252,8 +300,7 @@ def clipped(parts: list[np.ndarray], most: float) -> float:
     return min(1.0, most / (norm + 1e-6))
 
 
-PER_TASK = 32  # batches on which a task steps in a round
-CHANGES = f"kind string, name string, g {VECTOR}"
+CHANGES = f"kind string, id long, n long, g {VECTOR}"
 
 
 def _flat(arrays: dict[str, np.ndarray]) -> np.ndarray:
@@ -268,70 +315,82 @@ def _unflat(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def changes(rows: DataFrame, model: Model, rate: float, margin: float, decay: float, clip: float, dropout: float, seed: int) -> DataFrame:
-    """CHANGES of each task: of the vectors of entities and relations by name; and, as one row each, of the weights, their
-    new moments, and the sum of losses with the number of batches. rows: _batches()."""
+def changes(rows: DataFrame, vectors: DataFrame, model: Model, rate: float, margin: float, decay: float, clip: float, dropout: float, seed: int) -> DataFrame:
+    """CHANGES of each part, summed over its n tasks: of vectors by id; and, flat in rows of `dimensions` numbers, of the
+    weights, their new moments, and the sum of losses with the number of batches. rows: dealt(); vectors: id, vector.
+
+    A part gets each vector that occurs in it once, whatever the number of its facts. An unknown drawn entity counts as
+    the fact's own object, which no loss is taken of.
+    """
     spark, layers, origin, steps = rows.sparkSession, model.layers, model.origin, model.steps
     held = spark.sparkContext.broadcast((model.weights, model.moments))  # a few matrices of `dimensions` squared
+    d = len(model.weights["q.out_bias"])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("batch", "ascending"), ("day", "ascending"), ("row_id", "ascending")])
-        entity: dict[str, int] = {}
-        relation: dict[str, int] = {}
-        h, e = [], []
-
-        def place(known: dict[str, int], rows: list, name: str, vector: np.ndarray) -> int:
-            if name not in known:
-                known[name] = len(rows)
-                rows.append(vector)
-            return known[name]
-
-        s, r, o = (_matrix(table[c]) for c in ("s", "r", "o"))
-        drawn = table["others"].combine_chunks()
-        at = np.array([(place(entity, h, a, s[i]), place(relation, e, b, r[i]), place(entity, h, c, o[i])) for i, (a, b, c) in enumerate(zip(*(table[x].to_pylist() for x in ("subject", "relation", "object"))))])
-        others = np.array([[place(entity, h, x["name"], np.array(x["x"])) for x in row] for row in drawn.to_pylist()])
-        time, batch = (table["day"].to_numpy() - origin) / YEAR, table["batch"].to_numpy()
+    def task(table: np.ndarray, batch: np.ndarray, at: np.ndarray, time: np.ndarray, others: np.ndarray) -> tuple:
+        """Rows of the table with their changes; and the flat rest by kind."""
         first, moments = held.value
-        w, h, e = {k: v.copy() for k, v in first.items()}, np.array(h), np.array(e)
-        before_h, before_e, losses = h.copy(), e.copy(), []
-        of_weights, of_vectors = Adam(rate, decay, moments, steps * PER_TASK if moments else 0), Adam(rate, decay)
+        used, place = np.unique(np.concatenate([at.reshape(-1), others.reshape(-1)]), return_inverse=True)
+        at, others = place[: at.size].reshape(at.shape), place[at.size :].reshape(others.shape)
+        w, x = {k: v.copy() for k, v in first.items()}, table[used]
+        of_weights, of_vectors, losses = Adam(rate, decay, moments, steps * PER_TASK if moments else 0), Adam(rate, decay), []
         for b in np.unique(batch):
-            mine = batch == b
-            rng = np.random.default_rng([seed, int(b)])
-            mask = (rng.random((int(mine.sum()) // 2, 2 * h.shape[1])) >= dropout) / (1 - dropout) if dropout else 1.0
-            loss, g, d_h, d_e = batch_gradient(w, layers, h, e, at[mine], time[mine], others[mine], margin, mask)
+            mine = slice(*np.searchsorted(batch, [b, b + 1]))
+            facts, drawn = at[mine], others[mine]
+            rng, half = np.random.default_rng([seed, int(b)]), (len(facts) + 1) // 2
+            mask = (rng.random((len(facts) // 2, 2 * d)) >= dropout) / (1 - dropout) if dropout else 1.0
+            # only entities and relations of the batch have slopes, and the first half's drawn ones are not looked at
+            e_rows, e_at = np.unique(facts[:, 1], return_inverse=True)
+            h_rows, h_at = np.unique(np.concatenate([facts[:, 0], facts[:, 2], drawn[half:].reshape(-1)]), return_inverse=True)
+            n = len(facts)
+            index = np.stack([h_at[:n], e_at, h_at[n : 2 * n]], axis=1)
+            local = np.zeros_like(drawn)
+            local[half:] = h_at[2 * n :].reshape(-1, drawn.shape[1])
+            loss, g, d_h, d_e = batch_gradient(w, layers, x[h_rows], x[e_rows], index, time[mine], local, margin, mask)
             scale = clipped([*g.values(), d_h, d_e], clip)
-            of_weights.step(w, {k: x * scale for k, x in g.items()})
-            of_vectors.step({"h": h, "e": e}, {"h": d_h * scale, "e": d_e * scale})
+            of_weights.step(w, {k: v * scale for k, v in g.items()})
+            of_vectors.step({"x": x}, {"x": np.concatenate([d_h, d_e]) * scale}, {"x": np.concatenate([h_rows, e_rows])})
             losses.append(loss)
-        moved = {k: w[k] - first[k] for k in w}
-        m, v = ({k: x[i] for k, x in of_weights.moments.items()} for i in (0, 1))
-        kinds = ["entity"] * len(h) + ["relation"] * len(e) + ["weights", "m", "v", "loss"]
-        values = [*(h - before_h), *(e - before_e), _flat(moved), _flat(m), _flat(v), np.array([sum(losses), float(len(losses))])]
-        return pa.table({"kind": kinds, "name": [*entity, *relation, "", "", "", ""], "g": pa.array(values, pa.list_(pa.float64()))})
-
-    return rows.groupBy("task").applyInArrow(run, CHANGES)
-
-
-SUMS = 64  # partial sums of the weights' changes, which come to the driver
-
-
-def _mean_weights(changed: DataFrame) -> tuple[dict[str, np.ndarray], float]:
-    """The mean over tasks of what comes as one row a task, by kind, and the mean loss; added up in SUMS groups first."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = _matrix(table["g"]).sum(axis=0)
-        return pa.table({"kind": table["kind"][:1], "g": pa.array([total], pa.list_(pa.float64())), "n": pa.array([table.num_rows], pa.int64())})
-
-    single = changed.where("kind in ('weights', 'm', 'v', 'loss')").withColumn("part", F.pmod(F.xxhash64("g"), F.lit(SUMS)))
-    got = single.groupBy("kind", "part").applyInArrow(add, f"kind string, g {VECTOR}, n long").collect()
-    sums: dict[str, np.ndarray] = {}
-    for r in got:
-        sums[r["kind"]] = sums.get(r["kind"], 0) + np.array(r["g"])
-    if not sums:
-        return {}, 0.0
-    tasks = sum(r["n"] for r in got if r["kind"] == "weights")
-    return {k: x / tasks for k, x in sums.items() if k != "loss"}, float(sums["loss"][0] / sums["loss"][1])
+        m, v = ({k: y[i] for k, y in of_weights.moments.items()} for i in (0, 1))
+        flat = {"weights": _flat({k: w[k] - first[k] for k in w}), "m": _flat(m), "v": _flat(v), "loss": np.array([sum(losses), float(len(losses))])}
+        return used, x - table[used], flat
+
+    def run(facts: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("id")
+        ids, table = known["id"].to_numpy(), _matrix(known["vector"])
+        facts = facts.sort_by([("batch", "ascending"), ("day", "ascending"), ("row_id", "ascending")])
+        at = np.stack([facts[c].to_numpy() for c in ("s", "r", "o")], axis=1)
+        others = _matrix(facts["others"])
+        others = np.where(np.isin(others, ids), others, at[:, 2:])
+        here = np.isin(at, ids).all(axis=1)
+        at, others = np.searchsorted(ids, at[here]), np.searchsorted(ids, others[here])
+        time, batch = (facts["day"].to_numpy()[here] - origin) / YEAR, facts["batch"].to_numpy()[here]
+        total, n, flat, tasks = np.zeros_like(table), np.zeros(len(table), np.int64), {}, np.unique(batch // PER_TASK)
+        for t in tasks:
+            mine = slice(*np.searchsorted(batch, [t * PER_TASK, (t + 1) * PER_TASK]))
+            used, moved, more = task(table, batch[mine], at[mine], time[mine], others[mine])
+            total[used] += moved
+            n[used] += 1
+            flat = {k: flat.get(k, 0) + v for k, v in more.items()}
+        met = n > 0
+        kinds, keys, counts, values = ["vector"] * int(met.sum()), [ids[met]], [n[met]], [total[met]]
+        for k, v in flat.items():
+            v = np.append(v, np.zeros(-len(v) % d)).reshape(-1, d)
+            kinds += [k] * len(v)
+            keys, counts, values = [*keys, np.arange(len(v))], [*counts, np.full(len(v), len(tasks))], [*values, v]
+        return pa.table({"kind": pa.array(kinds, pa.string()), "id": np.concatenate(keys), "n": np.concatenate(counts), "g": _lists(np.concatenate(values).reshape(-1, d))})
+
+    wanted = rows.select(F.col("part").alias("to"), F.explode(F.concat("others", F.array("s", "r", "o"))).alias("id")).distinct()
+    known = wanted.join(vectors.select("id", "vector"), "id").select("to", "id", "vector")
+    return rows.groupBy("part").cogroup(known.groupBy("to")).applyInArrow(run, CHANGES)
+
+
+def _mean_weights(means: DataFrame) -> tuple[dict[str, np.ndarray], float]:
+    """The means over tasks that are not of vectors, by kind, and the mean loss; a few thousand numbers."""
+    got: dict[str, list] = {}
+    for r in means.where("kind <> 'vector'").orderBy("kind", "id").collect():
+        got.setdefault(r["kind"], []).extend(r["g"])
+    loss, batches = got.pop("loss", (0.0, 1.0))[:2]
+    return {k: np.array(x) for k, x in got.items()}, loss / batches
 
 
 def train(facts: DataFrame, model: Model, epochs: int = 3, rate: float = 0.01, batch: int = 256, negatives: int = 10, margin: float = 0.5, decay: float = 1e-5, clip: float = 1.0, dropout: float = 0.1, seed: int = 42) -> tuple[Model, list[float]]:
@@ -340,26 +399,34 @@ def train(facts: DataFrame, model: Model, epochs: int = 3, rate: float = 0.01, b
     the model; those of vectors begin anew in each round."""
     losses = []
     d = len(model.weights["q.out_bias"])
+    rows, names, total = keyed(facts)
+    tables = {"entity": model.entities, "relation": model.relations}
+    parts = [table.select("name", "vector").join(names.where(F.col("kind") == kind), "name").select("id", "vector") for kind, table in tables.items()]
+    vectors = durable(parts[0].union(parts[1]), "vectors")
     for _ in range(epochs):
         now = seed + model.steps
-        changed = durable(changes(_batches(facts, model, batch, negatives, now), model, rate, margin, decay, clip, dropout, now), "changes")
-        mean, loss = _mean_weights(changed)
+        changed = changes(dealt(rows, total, batch, negatives, now), vectors, model, rate, margin, decay, clip, dropout, now)
+        by = changed.groupBy("kind", "id").agg(F.sum("n").alias("n"), *_sums("g", d, "g", F.lit(1.0)))
+        by = durable(by.select("kind", "id", _gathered("g", d, "n")), "mean-changes")
+        mean, loss = _mean_weights(by)
         losses.append(loss)
-        by = changed.where("kind in ('entity', 'relation')").groupBy("kind", "name").agg(F.count("*").alias("n"), *_sums("g", d, "g", F.lit(1.0)))
-        by = durable(by.select("kind", "name", _gathered("g", d, "n")), "mean-changes")
-
-        def moved(table: DataFrame, kind: str) -> DataFrame:
-            new = F.when(F.col("g").isNull(), F.col("vector")).otherwise(F.zip_with("vector", "g", lambda x, g: x + g))
-            return durable(table.select("name", "vector").join(by.where(F.col("kind") == kind).select("name", "g"), "name", "left").select("name", new.alias("vector")), kind)
-
-        tables = moved(model.entities, "entity"), moved(model.relations, "relation")
+        moved = vectors.join(by.where("kind = 'vector'").select("id", "g"), "id", "left")
+        before, vectors = vectors, durable(moved.select("id", F.when(F.col("g").isNull(), F.col("vector")).otherwise(F.zip_with("vector", "g", lambda x, g: x + g)).alias("vector")), "vectors")
         weights, moments = model.weights, model.moments
         if mean:
             weights = {k: weights[k] + x for k, x in _unflat(mean["weights"], weights).items()}
             m, v = (_unflat(mean[k], weights) for k in ("m", "v"))
             moments = {k: (m[k], v[k]) for k in weights}
-        forget(changed, by)
-        model = replace(model, weights=weights, moments=moments, entities=tables[0], relations=tables[1], steps=model.steps + 1)
+        forget(before, by)
+        model = replace(model, weights=weights, moments=moments, steps=model.steps + 1)
+    new = names.join(vectors, "id").select("kind", "name", F.col("vector").alias("new"))
+
+    def named(kind: str) -> DataFrame:
+        had = tables[kind].select("name", "vector").join(new.where(F.col("kind") == kind).drop("kind"), "name", "left")
+        return durable(had.select("name", F.coalesce("new", "vector").alias("vector")), kind)
+
+    model = replace(model, entities=named("entity"), relations=named("relation"))
+    forget(rows, names, vectors)
     return model, losses
 
 

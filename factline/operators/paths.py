@@ -11,9 +11,9 @@ from factline.functions.temporal import decay
 SEED = 42
 
 
-def draw(seed: int, *keys: str) -> Column:
+def draw(seed: int, *keys: str | Column) -> Column:
     """A hex string that orders rows at random."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
 
 
 def uniform(seed: int, *keys: str) -> Column:
