@@ -5,10 +5,9 @@ Vectors are arrays of doubles, derived from md5 of the name where none are given
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,63 +39,109 @@ def message_layer(facts: DataFrame, entities: DataFrame, dimensions: int = DIMEN
     """Each entity's vector mixed with the mean of (subject + relation) over the facts that lead to it.
 
     Facts are counted per (subject, relation, object) before vectors are joined; sums per dimension are aggregated
-    before they are gathered again, so a hub's facts are added up where they are.
+    before they are gathered again, so a hub's facts are added up where they are. Vectors are written before they are
+    used twice, those of relations once a relation.
     """
+    entities = durable(entities, "vectors")
+    relations = durable(facts.select("relation").distinct().select("relation", name_vector(F.col("relation"), dimensions).alias("r")), "relations")
     by = facts.groupBy("subject", "relation", "object").agg(F.count("*").alias("n"))
     sent = by.join(entities.withColumnRenamed("name", "subject"), "subject")
     sums = [F.sum(F.col("n") * (F.get("vector", F.lit(i)) + F.get("r", F.lit(i)))).alias(f"d{i}") for i in range(dimensions)]
-    got = sent.withColumn("r", name_vector(F.col("relation"), dimensions)).groupBy(F.col("object").alias("name")).agg(*sums)
+    got = sent.join(relations, "relation").groupBy(F.col("object").alias("name")).agg(*sums)
     mean = unit(F.array(*[f"d{i}" for i in range(dimensions)]))
     both = entities.join(got.select("name", mean.alias("mean")), "name", "left")
     mixed = unit(F.zip_with("vector", "mean", lambda a, b: keep * a + (1 - keep) * b))
     return both.select("name", F.when(F.col("mean").isNull(), F.col("vector")).otherwise(mixed).alias("vector"))
 
 
-BLOCK = 4_096  # vectors of a block, on average
+BLOCK = 4_096  # questions of a part, at least
+QUESTIONS, ENTITIES = 16 * BLOCK, 64 * BLOCK  # rows that a task holds, on average
+ROWS, COLUMNS = 512, 2_048  # of a matrix of scores
+SLACK = 1e-5  # by how much single precision may be wrong
+
+
+def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    v = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
+def best_pairs(q: np.ndarray, e: np.ndarray, own: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of e, score): for each row of q the `top` rows of e of largest positive product, without row `own`
+    (-1: none); ties by the row of e.
+
+    Products are taken in single precision first. The top-th best score of the rows of e seen so far is a bound that no
+    answer lies below, so what is below it, less SLACK, goes, and only the others are computed exactly and ordered.
+    """
+    q32, e32 = q.astype(np.float32), np.ascontiguousarray(e.T, dtype=np.float32)
+    out: tuple[list, list, list] = ([], [], [])
+    scores, above = np.empty((ROWS, COLUMNS), np.float32), np.empty((ROWS, COLUMNS), bool)
+    for a in range(0, len(q), ROWS):
+        n = min(ROWS, len(q) - a)
+        mine, skip = q[a : a + n], own[a : a + n]
+        least = np.zeros((n, 1), np.float32)
+        row, column, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+        for b in range(0, len(e), COLUMNS):
+            m = min(COLUMNS, len(e) - b)
+            s, over = scores[:n, :m], above[:n, :m]
+            np.matmul(q32[a : a + n], e32[:, b : b + m], out=s)
+            here = np.flatnonzero((skip >= b) & (skip < b + m))
+            s[here, skip[here] - b] = -1
+            if b == 0 and m >= top:
+                least = np.maximum(np.partition(s, m - top, axis=1)[:, m - top, None], 0)
+            np.greater(s, least - np.float32(SLACK), out=over)
+            r, c = np.divmod(np.flatnonzero(over), m)
+            fresh.append((r, c + b))
+            waiting += len(r)
+            if waiting > 4 * top * n or b + m >= len(e):
+                r, c = (np.concatenate(x) for x in zip(*fresh))
+                r, c = r[c != skip[r]], c[c != skip[r]]
+                row, column, score = np.append(row, r), np.append(column, c), np.append(score, (mine[r] * e[c]).sum(axis=1))
+                keep = np.lexsort((column, -score, row))
+                keep = keep[score[keep] > 0]
+                place = np.arange(len(keep)) - np.searchsorted(row[keep], row[keep])
+                keep = keep[place < top]
+                row, column, score = row[keep], column[keep], score[keep]
+                full = np.bincount(row, minlength=n) == top
+                last = np.searchsorted(row, np.arange(n), side="right") - 1
+                least[full, 0] = np.maximum(least[full, 0], score[last[full]])
+                fresh, waiting = [], 0
+        for x, y in zip(out, (row + a, column, score)):
+            x.append(y)
+    return tuple(np.concatenate(x) for x in out)
 
 
 def top_by_cosine(asked: DataFrame, entities: DataFrame, top: int = 20) -> DataFrame:
     """(asked_id, entity, score): for each row of `asked` (asked_id, subject, q) the `top` entities of positive cosine
     with q, without the subject; ties by name.
 
-    Every question is scored against every entity, in blocks: a block of questions meets each block of entities once, as
-    two matrices, and leaves `top` rows a question before anything is shuffled again.
+    Every question is scored against every entity. Parts of questions meet parts of entities in the cells of a grid, one
+    task a cell, which leaves `top` rows a question. Parts are as large as a task may hold, so that entities are copied
+    to few cells, and up to ENTITIES of them a question has one cell, and nothing is shuffled after it.
     """
     from pyspark.sql import Window
 
-    parts = lambda df: max(1, -(-df.count() // BLOCK))
-    n, m = parts(entities), parts(asked)
-    block = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k))
-    e = entities.groupBy(block("name", n).alias("e_block")).agg(F.collect_list(F.struct("name", "vector")).alias("e"))
-    q = asked.groupBy(block("asked_id", m).alias("q_block")).agg(F.collect_list(F.struct("asked_id", "subject", "q")).alias("qs"))
-    pairs = q.select("qs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("e_block")).join(e, "e_block").select("qs", "e")
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q, e = batch.column(0)[i].values, batch.column(1)[i].values
-                names = np.array(e.field("name").to_pylist(), object)
-                order = np.argsort(names)
-                place = {x: k for k, x in enumerate(names[order])}
-                score = matrix(q.field("q")) @ matrix(e.field("vector")).T[:, order]
-                for k, subject in enumerate(q.field("subject").to_pylist()):
-                    if subject in place:
-                        score[k, place[subject]] = 0
-                k = min(top, len(names))
-                least = np.partition(score, len(names) - k, axis=1)[:, len(names) - k]
-                row, column = np.nonzero((score >= least[:, None]) & (score > 0))
-                keep = np.lexsort((column, -score[row, column], row))
-                row, column = row[keep], column[keep]
-                first = np.arange(len(row)) - np.searchsorted(row, row) < k
-                row, column = row[first], column[first]
-                yield pa.RecordBatch.from_arrays([q.field("asked_id").take(pa.array(row)), pa.array(names[order][column], pa.string()), pa.array(score[row, column])], names=["asked_id", "entity", "score"])
-
-    scored = pairs.mapInArrow(run, "asked_id long, entity string, score double")
+    parts = lambda rows, size: max(1, -(-rows // size))
+    rows, tasks = asked.count(), 4 * asked.sparkSession.sparkContext.defaultParallelism
+    n = parts(entities.count(), ENTITIES)
+    m = max(parts(rows, QUESTIONS), min(parts(rows, BLOCK), parts(tasks, n)))
+    part = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k))
+    cells = lambda k, cell: F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), cell)).alias("cell")
+    grid = lambda df: df.repartition(2 * m * n, "cell").groupBy("cell")
+
+    def run(q: pa.Table, e: pa.Table) -> pa.Table:
+        e = e.sort_by("name")
+        own = pc.fill_null(pc.index_in(q["subject"], e["name"]), -1).to_numpy()
+        row, column, score = best_pairs(_unit_rows(q["q"]), _unit_rows(e["vector"]), own, top) if len(q) and len(e) else ([], [], [])
+        at = lambda c, i: c.combine_chunks().take(pa.array(i, pa.int64()))
+        return pa.table({"asked_id": at(q["asked_id"], row), "entity": at(e["name"], column), "score": pa.array(score, pa.float64())})
+
+    q = grid(asked.select(cells(n, lambda i: part("asked_id", m) * n + i), "asked_id", "subject", "q"))
+    scored = q.cogroup(grid(entities.select(cells(m, lambda i: i * n + part("name", n)), "name", "vector"))).applyInArrow(run, "asked_id long, entity string, score double")
+    if n == 1:
+        return scored
     rank = F.row_number().over(Window.partitionBy("asked_id").orderBy(F.desc("score"), "entity"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
 
