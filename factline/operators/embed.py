@@ -113,18 +113,18 @@ def best_pairs(q: np.ndarray, e: np.ndarray, own: np.ndarray, top: int) -> tuple
     return tuple(np.concatenate(x) for x in out)
 
 
-def top_by_cosine(asked: DataFrame, entities: DataFrame, top: int = 20) -> DataFrame:
-    """(asked_id, entity, score): for each row of `asked` (asked_id, subject, q) the `top` entities of positive cosine
-    with q, without the subject; ties by name.
+def top_by_cosine(asked: DataFrame, entities: DataFrame, top: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(asked_id, `keep`, entity, score): for each row of `asked` (asked_id, subject, q) the `top` entities of positive
+    cosine with q, without the subject; ties by name. keep: columns of `asked` that go with its answers.
 
     Every question is scored against every entity. Parts of questions meet parts of entities in the cells of a grid, one
     task a cell, which leaves `top` rows a question. Parts are as large as a task may hold, so that entities are copied
-    to few cells, and up to ENTITIES of them a question has one cell, and nothing is shuffled after it.
+    to few cells (two for each core, as long as these hold the questions), and up to ENTITIES of them a question has one cell, and nothing is shuffled after it.
     """
     from pyspark.sql import Window
 
     parts = lambda rows, size: max(1, -(-rows // size))
-    rows, tasks = asked.count(), 4 * asked.sparkSession.sparkContext.defaultParallelism
+    rows, tasks = asked.count(), 2 * asked.sparkSession.sparkContext.defaultParallelism
     n = parts(entities.count(), ENTITIES)
     m = max(parts(rows, QUESTIONS), min(parts(rows, BLOCK), parts(tasks, n)))
     part = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k))
@@ -136,22 +136,23 @@ def top_by_cosine(asked: DataFrame, entities: DataFrame, top: int = 20) -> DataF
         own = pc.fill_null(pc.index_in(q["subject"], e["name"]), -1).to_numpy()
         row, column, score = best_pairs(_unit_rows(q["q"]), _unit_rows(e["vector"]), own, top) if len(q) and len(e) else ([], [], [])
         at = lambda c, i: c.combine_chunks().take(pa.array(i, pa.int64()))
-        return pa.table({"asked_id": at(q["asked_id"], row), "entity": at(e["name"], column), "score": pa.array(score, pa.float64())})
+        return pa.table({**{c: at(q[c], row) for c in ("asked_id", *keep)}, "entity": at(e["name"], column), "score": pa.array(score, pa.float64())})
 
-    q = grid(asked.select(cells(n, lambda i: part("asked_id", m) * n + i), "asked_id", "subject", "q"))
-    scored = q.cogroup(grid(entities.select(cells(m, lambda i: i * n + part("name", n)), "name", "vector"))).applyInArrow(run, "asked_id long, entity string, score double")
+    q = grid(asked.select(cells(n, lambda i: part("asked_id", m) * n + i), *{"asked_id": 0, "subject": 0, "q": 0, **dict.fromkeys(keep)}))
+    kinds = "".join(f"{c} {asked.schema[c].dataType.simpleString()}, " for c in ("asked_id", *keep))
+    scored = q.cogroup(grid(entities.select(cells(m, lambda i: i * n + part("name", n)), "name", "vector"))).applyInArrow(run, f"{kinds}entity string, score double")
     if n == 1:
         return scored
     rank = F.row_number().over(Window.partitionBy("asked_id").orderBy(F.desc("score"), "entity"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
 
 
-def graph_scores(entities: DataFrame, queries: DataFrame, top: int = 20, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(query_id, entity, score): entities by cosine with subject + relation, positive, without the subject; the `top`
-    of each question. Equal (subject, relation) questions are scored once; unknown subjects have no candidates."""
+def graph_scores(entities: DataFrame, queries: DataFrame, top: int = 20, dimensions: int = DIMENSIONS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, `keep`, entity, score): entities by cosine with subject + relation, positive, without the subject; the
+    `top` of each question. Equal (subject, relation) questions are scored once; unknown subjects have no candidates.
+    keep: columns of `queries` that go with its answers."""
     vectors = entities.select(F.col("name").alias("subject"), F.col("vector").alias("s"))
     asked = queries.select("subject", "relation").distinct().join(vectors, "subject").withColumn("asked_id", F.xxhash64("subject", "relation"))
-    asked = asked.select("asked_id", "subject", "relation", F.zip_with("s", name_vector(F.col("relation"), dimensions), lambda a, b: a + b).alias("q"))
+    asked = asked.select("asked_id", "subject", F.zip_with("s", name_vector(F.col("relation"), dimensions), lambda a, b: a + b).alias("q"))
     entities, asked = durable(entities, "vectors"), durable(asked, "asked")
-    best = top_by_cosine(asked.select("asked_id", "subject", "q"), entities, top).join(asked.select("asked_id", "subject", "relation"), "asked_id")
-    return queries.select("query_id", "subject", "relation").join(best, ["subject", "relation"]).select("query_id", "entity", "score")
+    return queries.select("query_id", *keep, F.xxhash64("subject", "relation").alias("asked_id")).join(top_by_cosine(asked, entities, top), "asked_id").drop("asked_id")

@@ -125,8 +125,8 @@ def propagate(facts: DataFrame, model: Model) -> DataFrame:
     return entities
 
 
-def questions(model: Model, entities: DataFrame, queries: DataFrame) -> DataFrame:
-    """(asked_id, subject, q): encoded queries (query_id, subject, relation, day) with known subject and relation."""
+def questions(model: Model, entities: DataFrame, queries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(asked_id, subject, q, `keep`): encoded queries (query_id, subject, relation, day) with known subject and relation."""
     held, origin = queries.sparkSession.sparkContext.broadcast(model.weights), model.origin
     known = queries.join(entities.select(F.col("name").alias("subject"), F.col("vector").alias("s")), "subject").join(model.relations.select(F.col("name").alias("relation"), F.col("vector").alias("r")), "relation")
 
@@ -134,17 +134,19 @@ def questions(model: Model, entities: DataFrame, queries: DataFrame) -> DataFram
         for batch in batches:
             if batch.num_rows:
                 time = (batch.column(4).to_numpy() - origin) / YEAR
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(encoded(held.value, _matrix(batch.column(2)), _matrix(batch.column(3)), time)[0])], names=["asked_id", "subject", "q"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(encoded(held.value, _matrix(batch.column(2)), _matrix(batch.column(3)), time)[0]), *batch.columns[5:]], names=["asked_id", "subject", "q", *more])
 
-    return known.select(F.col("query_id").alias("asked_id"), "subject", "s", "r", F.col("day").cast("double").alias("day")).mapInArrow(run, f"asked_id long, subject string, q {VECTOR}")
+    more = [c for c in keep if c != "subject"]
+    kinds = "".join(f", {c} {queries.schema[c].dataType.simpleString()}" for c in more)
+    return known.select(F.col("query_id").alias("asked_id"), "subject", "s", "r", F.col("day").cast("double").alias("at"), *more).mapInArrow(run, f"asked_id long, subject string, q {VECTOR}{kinds}")
 
 
-def graph_scores(facts: DataFrame, model: Model, queries: DataFrame, top: int = 20) -> DataFrame:
-    """(query_id, entity, score): for each query the `top` entities of positive cosine with the encoded question, without
-    its subject. facts: the history, all of it before the queries."""
+def graph_scores(facts: DataFrame, model: Model, queries: DataFrame, top: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, `keep`, entity, score): for each query the `top` entities of positive cosine with the encoded question,
+    without its subject. facts: the history, all of it before the queries. keep: columns of `queries` that go with it."""
     entities = propagate(facts, model)
-    asked = durable(questions(model, entities, queries), "asked")
-    return embed.top_by_cosine(asked, entities, top).withColumnRenamed("asked_id", "query_id")
+    asked = durable(questions(model, entities, queries, keep), "asked")
+    return embed.top_by_cosine(asked, entities, top, keep).withColumnRenamed("asked_id", "query_id")
 
 
 # --- training ----------------------------------------------------------------------------------------------------------

@@ -46,7 +46,8 @@ def sample_paths(facts: DataFrame, scores: DataFrame, targets: DataFrame, heads:
     edges = facts.select(F.col("subject").alias("e_subject"), F.col("relation").alias("e_relation"), F.col("object").alias("e_object"), F.col("day").alias("e_day"), "row_id", F.struct("subject", "relation", "object", "day", "row_id").alias("e_fact"))
     pair = scores.select(F.col("relation_a").alias("s_a"), F.col("relation_b").alias("s_b"), "score").union(scores.where("relation_a <> relation_b").select("relation_b", "relation_a", "score"))
     for hop in range(hops):
-        found = paths.join(edges, (F.col("entity") == F.col("e_subject")) & (F.col("e_day") >= F.col("at")) & (F.col("e_day") < F.col("target_day")))
+        # paths are few, `heads` a target, and go to the facts
+        found = F.broadcast(paths).join(edges, (F.col("entity") == F.col("e_subject")) & (F.col("e_day") >= F.col("at")) & (F.col("e_day") < F.col("target_day")))
         found = sample_per(found, ["path_id"], most_edges, seed=seed + hop)
         found = found.join(pair, (F.col("target") == F.col("s_a")) & (F.col("e_relation") == F.col("s_b")))
         found = found.withColumn("worth", F.col("score") * decay(F.col("e_day"), F.col("target_day")))

@@ -84,44 +84,54 @@ def rate(facts: DataFrame, mined: DataFrame, s: Settings = Settings()) -> DataFr
     return mined.drop("validity").join(scored.select("rule_id", "cp", "coverage", "priority", "validity"), "rule_id").join(kept, "rule_id", "left").withColumn("retained", F.col("evolved").isNotNull()).withColumn("validity", F.coalesce("evolved", "validity")).drop("evolved")
 
 
-def _said_or(said: DataFrame, formula: DataFrame) -> DataFrame:
-    """Scores of a model where it gave one, else those of the formula."""
-    both = formula.join(said.withColumnRenamed("score", "said"), ["query_id", "entity"], "left")
-    return both.select("query_id", "entity", F.coalesce("said", "score").alias("score"))
-
-
 def answer(facts: DataFrame, queries: DataFrame, ruled: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(query_id, entity, score, rank) for queries (query_id, subject, relation, day); one plan for all of them."""
-    rule_side = reasoning.rule_scores(facts, queries, ruled, s.hops + 1, s.least_priority)
+    """(query_id, entity, score, rank) for queries (query_id, subject, relation, day); one plan for all of them.
+
+    Scores of rules are summed and verified per subject and day, graph candidates carry what their question knows, and both
+    meet in one shuffle by query (reasoning.fused).
+    """
+    asked = durable(reasoning.with_out(facts, queries), "questions") if s.verify else queries
+    keep = ("subject", "day", "out") if s.verify else ()
+    sums = reasoning.rule_sums(facts, queries, ruled, s.hops + 1, s.least_priority)
     if s.train_epochs:
         model = graphmodel.load(facts.sparkSession, s.model_path) if s.model_path else None
         if model is None:
             model, _ = graphmodel.train(facts, graphmodel.start(facts), s.train_epochs)
             if s.model_path:
                 graphmodel.save(model, s.model_path)
-        graph_side = graphmodel.graph_scores(facts, model, queries)
+        graph_side = graphmodel.graph_scores(facts, model, asked, keep=keep)
     else:
-        graph_side = embed.graph_scores(embed.message_layer(facts, embed.entity_vectors(facts)), queries)
+        graph_side = embed.graph_scores(embed.message_layer(facts, embed.entity_vectors(facts)), asked, keep=keep)
+    sums = reasoning.rule_factors(sums, ruled) if s.verify else sums.withColumn("factor", F.lit(1.0))
+    rule_side = queries.select("query_id", "subject", "day").join(sums, ["subject", "day"])
     if s.verify:
-        rule_side, graph_side = durable(rule_side, "rule-side"), durable(graph_side, "graph-side")
-        checked = reasoning.verify_rules(rule_side, queries, reasoning.best_rules(rule_side, ruled), ruled)
-        if s.asks():
-            missing = lookup.missing_relations(facts, queries, ruled)
-            checked = _said_or(decisions.adjusted(rule_side, decisions.rule_context(queries, missing), s.model(facts.sparkSession)), checked)
-        rule_side = reasoning.verify_first(rule_side, checked)
-        checked = reasoning.verify_graph(graph_side, reasoning.virtual_paths(facts, graph_side.select("query_id", "entity"), queries), ruled)
-        if s.asks():
-            window = lookup.context_window(facts, queries)
-            checked = _said_or(decisions.adjusted(graph_side, decisions.graph_context(queries, window, ruled), s.model(facts.sparkSession)), checked)
-        graph_side = reasoning.verify_first(graph_side, checked)
-    weights = reasoning.mean_distances(facts, queries).withColumn("alpha", reasoning.alpha(F.col("dr"), F.col("dg")))
-    fused = reasoning.fuse(rule_side, graph_side, weights)
+        graph_side = durable(graph_side, "graph-side")
+        plain, direct = reasoning.paths_to(facts, graph_side)
+        factor = reasoning.matching(ruled)
+        rows = reasoning.told(plain, reasoning.GRAPH, factor).union(reasoning.told(direct, reasoning.DIRECT, factor))
+    else:
+        rows = reasoning.told(graph_side, reasoning.GRAPH)
+    if s.verify and s.asks():
+        rule_side = durable(rule_side, "rule-side")
+        missing = lookup.missing_relations(facts, queries, ruled)
+        said = decisions.adjusted(rule_side.select("query_id", "entity", "score"), decisions.rule_context(queries, missing), s.model(facts.sparkSession))
+        window = lookup.context_window(facts, queries)
+        more = decisions.adjusted(graph_side.select("query_id", "entity", "score"), decisions.graph_context(queries, window, ruled), s.model(facts.sparkSession))
+        rows = rows.union(reasoning.told(said, reasoning.RULE_SAID)).union(reasoning.told(more, reasoning.GRAPH_SAID))
+    fused = reasoning.fused(rows.union(reasoning.told(rule_side, reasoning.RULE, F.col("factor"))), s.verify)
+    weights = reasoning.mean_distances(facts, queries).select("query_id", reasoning.alpha(F.col("dr"), F.col("dg")).alias("alpha"))
     # a question without any candidate could answer any entity but its subject; only `top` are ranked, the most frequent
     names = facts.select(F.col("object").alias("entity"), F.lit(1).alias("n")).union(facts.select("subject", F.lit(0)))
     known = names.groupBy("entity").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "entity").limit(s.top + 1)
-    bare = queries.join(fused.select("query_id").distinct(), "query_id", "left_anti").join(known, F.col("entity") != F.col("subject")).select("query_id", "entity", F.lit(0.0).alias("score"), "n")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "entity")).cast("long")
-    return fused.unionByName(bare.withColumn("rank", rank).drop("n")).where(F.col("rank") <= s.top)
+    known = known.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "entity"))).alias("known"))  # one row
+    both = queries.select("query_id", "subject").join(weights, "query_id").join(fused, "query_id", "left")
+    both = both.select("query_id", "subject", "entity", reasoning.weighed(F.col("alpha")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entity")).cast("long")
+    best = both.withColumn("rank", rank).where(F.col("rank") <= s.top).join(F.broadcast(known))
+    others = F.filter("known", lambda x: x["entity"] != F.col("subject"))
+    bare = F.transform(others, lambda x, i: F.struct(x["entity"].alias("entity"), F.lit(0.0).alias("score"), (i + 1).cast("long").alias("rank")))
+    rows = best.select("query_id", F.explode(F.when(F.col("entity").isNull(), bare).otherwise(F.array(F.struct("entity", "score", "rank")))).alias("x"))
+    return rows.select("query_id", "x.*").where(F.col("rank") <= s.top)
 
 
 def rated_rules(facts: DataFrame, vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
