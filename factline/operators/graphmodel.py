@@ -236,11 +236,11 @@ def keyed(facts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 def dealt(rows: DataFrame, total: int, batch: int, negatives: int, seed: int) -> DataFrame:
     """Rows of keyed() with their batch, the task of PER_TASK batches, the part of whole tasks, and the array `others` of
-    drawn entities. Parts are few, as each gets a copy of what occurs in it: a few for each core, more from PER_PART facts."""
+    drawn entities. Parts are few, as each gets a copy of what occurs in it: two for each core, more from PER_PART facts."""
     n = rows.count()
     count = max(1, n // batch)
     tasks = -(-count // PER_TASK)
-    parts = min(tasks, max(-(-n // PER_PART), 3 * rows.sparkSession.sparkContext.defaultParallelism))
+    parts = min(tasks, max(-(-n // PER_PART), 2 * rows.sparkSession.sparkContext.defaultParallelism))
     number = lambda i: F.conv(F.substring(draw(seed, "row_id", F.lit(i)), 1, 12), 16, 10).cast("long") % total
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(count))).withColumn("task", F.floor(F.col("batch") / PER_TASK))
     rows = rows.withColumn("part", F.floor(F.col("task") * parts / tasks)).repartition(2 * parts, "part")
