@@ -24,11 +24,12 @@ def name_similarity(a: Column, b: Column) -> Column:
     n = F.least(F.length(a), F.length(b))
     # no step of the score looks beyond five common characters
     same = lambda i: (n >= i) & (F.substring(a, 1, i) == F.substring(b, 1, i))
-    prefix = F.when(same(5), 5).when(same(4), 4).when(same(3), 3).when(same(2), 2).otherwise(0)
-    by_prefix = F.when(prefix >= 4, 0.5 + 0.1 * prefix).when(prefix >= 2, 0.3 + 0.1 * prefix).otherwise(0.2)
+    by_prefix = F.when(same(5), 0.5 + 0.1 * 5).when(same(4), 0.5 + 0.1 * 4).when(same(3), 0.3 + 0.1 * 3).when(same(2), 0.3 + 0.1 * 2).otherwise(0.2)
     words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
     shared = F.size(F.array_intersect(words(a), words(b)))
     by_words = F.when(shared > 0, 0.3 + 0.2 * F.least(shared, F.lit(3))).otherwise(0.2)
+    # different names of one word each share none, and need not be cut
+    by_words = F.when(a.rlike(r"\s") | b.rlike(r"\s"), by_words).otherwise(0.2)
     return F.when(a == b, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.1), (by_prefix + by_words) / 2)))
 
 

@@ -66,39 +66,72 @@ def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
+def alike(q: np.ndarray, size: int) -> list[np.ndarray]:
+    """The rows of q in blocks of at most `size` that lie close together: halves along the direction in which they differ most."""
+    parts, out = [np.arange(len(q))], []
+    while parts:
+        at = parts.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        x = q[at] - q[at].mean(axis=0)
+        cut = -(-len(at) // size) // 2 * size
+        order = np.argpartition(x @ np.linalg.eigh(x.T @ x)[1][:, -1], cut)
+        parts += [at[order[:cut]], at[order[cut:]]]
+    return out
+
+
 def best_pairs(q: np.ndarray, e: np.ndarray, own: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, row of e, score): for each row of q the `top` rows of e of largest positive product, without row `own`
-    (-1: none); ties by the row of e.
+    (-1: none); ties by the row of e. e: rows of norm 1, or 0.
 
     Products are taken in single precision first. The top-th best score of the rows of e seen so far is a bound that no
     answer lies below, so what is below it, less SLACK, goes, and only the others are computed exactly and ordered.
+
+    Rows of q are taken in blocks of alike ones. The angle between a row of q and one of e is at least the difference of their angles to
+    the block's middle; so the rows of e closest to it give a first bound, and rows that are too far from the middle for it are
+    not multiplied with the block. Where rows of q point everywhere, that leaves all of e.
     """
     q32, e32 = q.astype(np.float32), np.ascontiguousarray(e.T, dtype=np.float32)
+    size = np.sqrt((q * q).sum(axis=1))
     out: tuple[list, list, list] = ([], [], [])
     scores, above = np.empty((ROWS, COLUMNS), np.float32), np.empty((ROWS, COLUMNS), bool)
-    for a in range(0, len(q), ROWS):
-        n = min(ROWS, len(q) - a)
-        mine, skip = q[a : a + n], own[a : a + n]
+    for at in alike(q, ROWS):
+        at = at[size[at] > 0]  # the others have no positive product
+        n = len(at)
+        if not n:
+            continue
+        mine, mine32, skip = q[at], q32[at], own[at]
+        middle = (mine / size[at, None]).mean(axis=0)
+        middle /= max(np.sqrt((middle * middle).sum()), 1e-300)
+        close = middle.astype(np.float32) @ e32
+        k = min(COLUMNS, len(e))
         least = np.zeros((n, 1), np.float32)
+        if k > top:  # one more than `top`, as `own` may be among them
+            first = np.argpartition(close, len(e) - k)[len(e) - k :]
+            least = np.maximum(np.partition(mine32 @ e32[:, first], k - top - 1, axis=1)[:, k - top - 1, None], 0)
+        angle = lambda x: np.arccos(np.clip(x / size[at], -1, 1))
+        within = np.flatnonzero(close >= np.cos(np.minimum(np.pi, angle(mine @ middle) + angle(least[:, 0] - SLACK))).min() - SLACK)
+        near = e32 if len(within) == len(e) else np.take(e32, within, axis=1)
+        place = np.minimum(np.searchsorted(within, skip), max(0, len(within) - 1))
+        skip = np.where(within[place] == skip, place, -1) if len(within) else np.full(n, -1)
         row, column, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         fresh: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
-        for b in range(0, len(e), COLUMNS):
-            m = min(COLUMNS, len(e) - b)
+        for b in range(0, len(within), COLUMNS):
+            m = min(COLUMNS, len(within) - b)
             s, over = scores[:n, :m], above[:n, :m]
-            np.matmul(q32[a : a + n], e32[:, b : b + m], out=s)
+            np.matmul(mine32, near[:, b : b + m], out=s)
             here = np.flatnonzero((skip >= b) & (skip < b + m))
             s[here, skip[here] - b] = -1
-            if b == 0 and m >= top:
-                least = np.maximum(np.partition(s, m - top, axis=1)[:, m - top, None], 0)
             np.greater(s, least - np.float32(SLACK), out=over)
             r, c = np.divmod(np.flatnonzero(over), m)
             fresh.append((r, c + b))
             waiting += len(r)
-            if waiting > 4 * top * n or b + m >= len(e):
+            if waiting > 4 * top * n or b + m >= len(within):
                 r, c = (np.concatenate(x) for x in zip(*fresh))
                 r, c = r[c != skip[r]], c[c != skip[r]]
-                row, column, score = np.append(row, r), np.append(column, c), np.append(score, (mine[r] * e[c]).sum(axis=1))
+                row, column, score = np.append(row, r), np.append(column, c), np.append(score, (mine[r] * e[within[c]]).sum(axis=1))
                 keep = np.lexsort((column, -score, row))
                 keep = keep[score[keep] > 0]
                 place = np.arange(len(keep)) - np.searchsorted(row[keep], row[keep])
@@ -108,9 +141,9 @@ def best_pairs(q: np.ndarray, e: np.ndarray, own: np.ndarray, top: int) -> tuple
                 last = np.searchsorted(row, np.arange(n), side="right") - 1
                 least[full, 0] = np.maximum(least[full, 0], score[last[full]])
                 fresh, waiting = [], 0
-        for x, y in zip(out, (row + a, column, score)):
+        for x, y in zip(out, (at[row], within[column], score)):
             x.append(y)
-    return tuple(np.concatenate(x) for x in out)
+    return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(out, (np.int64, np.int64, np.float64)))
 
 
 def top_by_cosine(asked: DataFrame, entities: DataFrame, top: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -120,6 +153,7 @@ def top_by_cosine(asked: DataFrame, entities: DataFrame, top: int = 20, keep: tu
     Every question is scored against every entity. Parts of questions meet parts of entities in the cells of a grid, one
     task a cell, which leaves `top` rows a question. Parts are as large as a task may hold, so that entities are copied
     to few cells (two for each core, as long as these hold the questions), and up to ENTITIES of them a question has one cell, and nothing is shuffled after it.
+    Each cell has a partition of its own.
     """
     from pyspark.sql import Window
 
@@ -128,8 +162,8 @@ def top_by_cosine(asked: DataFrame, entities: DataFrame, top: int = 20, keep: tu
     n = parts(entities.count(), ENTITIES)
     m = max(parts(rows, QUESTIONS), min(parts(rows, BLOCK), parts(tasks, n)))
     part = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k))
-    cells = lambda k, cell: F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), cell)).alias("cell")
-    grid = lambda df: df.repartition(2 * m * n, "cell").groupBy("cell")
+    cells = lambda k, cell: F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: cell(i).cast("int"))).alias("cell")
+    grid = lambda df: df.repartitionById(m * n, F.col("cell")).groupBy("cell")
 
     def run(q: pa.Table, e: pa.Table) -> pa.Table:
         e = e.sort_by("name")

@@ -161,20 +161,21 @@ def batch_gradient(w: dict[str, np.ndarray], layers: int, h: np.ndarray, e: np.n
     """
     half = (len(facts) + 1) // 2
     s, r, o = facts[:half].T
-    n = np.bincount(o, minlength=len(h)).astype(float)
-    has, per = n > 0, np.maximum(n, 1)[:, None]
+    to, o = np.unique(o, return_inverse=True)  # only these change in a layer
+    per = np.bincount(o).astype(float)[:, None]
 
     def spread(values: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(h), values.shape[1]))
+        out = np.zeros((len(to), values.shape[1]))
         np.add.at(out, o, values)
         return out / per
 
     at, kept = spread(time[:half, None])[:, 0], []
     for k in range(layers):
-        head, rel = spread(h[s]), spread(e[r])
-        new, message, normal, deviation = mixed(w, k, h, head, rel, at)
-        kept.append((h, head, rel, message, normal, deviation))
-        h = np.where(has[:, None], new, h)
+        own, head, rel = h[to], spread(h[s]), spread(e[r])
+        new, message, normal, deviation = mixed(w, k, own, head, rel, at)
+        kept.append((own, head, rel, message, normal, deviation))
+        h = h.copy()
+        h[to] = new
     qs, qr, qo = facts[half:].T
     _, x, u = encoded(w, h[qs], e[qr], time[half:])
     inner = np.maximum(u, 0) * mask
@@ -203,7 +204,7 @@ def batch_gradient(w: dict[str, np.ndarray], layers: int, h: np.ndarray, e: np.n
     np.add.at(d_e, qr, d_r)
     for k in reversed(range(layers)):
         own, head, rel, message, normal, deviation = kept[k]
-        d_new, d_h = d_h * has[:, None], d_h * ~has[:, None]
+        d_new = d_h[to]
         g[f"{k}.gain"], g[f"{k}.shift"] = (d_new * normal).sum(axis=0), d_new.sum(axis=0)
         d_n = d_new * w[f"{k}.gain"]
         d_z = (d_n - d_n.mean(axis=1, keepdims=True) - normal * (d_n * normal).mean(axis=1, keepdims=True)) / deviation
@@ -211,7 +212,7 @@ def batch_gradient(w: dict[str, np.ndarray], layers: int, h: np.ndarray, e: np.n
         d_m = d_z @ w[f"{k}.got"]
         g[f"{k}.head"], g[f"{k}.relation"], g[f"{k}.tail"], g[f"{k}.bias"] = d_m.T @ head, d_m.T @ rel, d_m.T @ own, d_m.sum(axis=0)
         g[f"{k}.time"] = (d_m * at[:, None]).sum(axis=0)
-        d_h = d_h + d_z + d_z @ w[f"{k}.own"] + d_m @ w[f"{k}.tail"]
+        d_h[to] = d_z + d_z @ w[f"{k}.own"] + d_m @ w[f"{k}.tail"]
         np.add.at(d_h, s, (d_m @ w[f"{k}.head"] / per)[o])
         np.add.at(d_e, r, (d_m @ w[f"{k}.relation"] / per)[o])
     return loss, g, d_h, d_e
@@ -234,16 +235,22 @@ def keyed(facts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return durable(rows, "keyed"), names, names.where("kind = 'entity'").count()
 
 
-def dealt(rows: DataFrame, total: int, batch: int, negatives: int, seed: int) -> DataFrame:
-    """Rows of keyed() with their batch, the task of PER_TASK batches, the part of whole tasks, and the array `others` of
-    drawn entities. Parts are few, as each gets a copy of what occurs in it: two for each core, more from PER_PART facts."""
+def layout(rows: DataFrame, batch: int) -> tuple[int, int, int, int]:
+    """Numbers of facts, batches, tasks and parts. Parts are few, as each gets a copy of what occurs in it: two for each core,
+    more from PER_PART facts."""
     n = rows.count()
     count = max(1, n // batch)
     tasks = -(-count // PER_TASK)
-    parts = min(tasks, max(-(-n // PER_PART), 2 * rows.sparkSession.sparkContext.defaultParallelism))
+    return n, count, tasks, min(tasks, max(-(-n // PER_PART), 2 * rows.sparkSession.sparkContext.defaultParallelism))
+
+
+def dealt(rows: DataFrame, total: int, batch: int, negatives: int, seed: int) -> DataFrame:
+    """Rows of keyed() with their batch, the task of PER_TASK batches, the part of whole tasks, and the array `others` of
+    drawn entities. A part has a partition of its own, so that none waits for two."""
+    _, count, tasks, parts = layout(rows, batch)
     number = lambda i: F.conv(F.substring(draw(seed, "row_id", F.lit(i)), 1, 12), 16, 10).cast("long") % total
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(count))).withColumn("task", F.floor(F.col("batch") / PER_TASK))
-    rows = rows.withColumn("part", F.floor(F.col("task") * parts / tasks)).repartition(2 * parts, "part")
+    rows = rows.withColumn("part", F.floor(F.col("task") * parts / tasks).cast("int")).repartitionById(parts, F.col("part"))
     return rows.withColumn("others", F.array(*[number(i) for i in range(1, negatives + 1)]))
 
 
@@ -265,35 +272,86 @@ class Adam:
         self.rate, self.decay, self.steps = rate, decay, steps
         self.moments = {k: (m.copy(), v.copy()) for k, (m, v) in (moments or {}).items()}
 
-    def step(self, values: dict[str, np.ndarray], slopes: dict[str, np.ndarray], rows: dict[str, np.ndarray] = {}) -> None:
-        """One step; slopes of an array named in `rows` are those of these rows, and 0 elsewhere."""
+    def step(self, values: dict[str, np.ndarray], slopes: dict[str, np.ndarray]) -> None:
         self.steps += 1
         for k, x in values.items():
             m, v = self.moments.setdefault(k, (np.zeros_like(x), np.zeros_like(x)))
-            if k not in rows:
-                self._move(x, m, v, slopes[k])
-                continue
-            at = rows[k]
-            own = x[at], m[at], v[at]
-            self._move(*own, slopes[k])
-            for i in range(0, len(x), CACHED):
-                self._move(x[i : i + CACHED], m[i : i + CACHED], v[i : i + CACHED], 0.0)
-            x[at], m[at], v[at] = own
-
-    def _move(self, x: np.ndarray, m: np.ndarray, v: np.ndarray, slope: np.ndarray | float) -> None:
-        g = self.decay * x
-        g += slope
-        m *= 0.9
-        m += 0.1 * g
-        g *= g
-        v *= 0.999
-        g *= 0.001
-        v += g
-        root = np.sqrt(v / (1 - 0.999**self.steps))
-        root += 1e-8
-        np.divide(m, root, out=root)
-        root *= self.rate / (1 - 0.9**self.steps)
-        x -= root
+            g = self.decay * x
+            g += slopes[k]
+            m *= 0.9
+            m += 0.1 * g
+            g *= g
+            v *= 0.999
+            g *= 0.001
+            v += g
+            root = np.sqrt(v / (1 - 0.999**self.steps))
+            root += 1e-8
+            np.divide(m, root, out=root)
+            root *= self.rate / (1 - 0.9**self.steps)
+            x -= root
+
+
+class Vectors:
+    """Rows of x, changed in place, under Adam with weight decay from no moments on, where most steps bring slopes for few rows.
+
+    A row's steps without slopes depend on nothing but the row. They are taken when it is looked at, by blocks of rows that
+    stay in the processor's cache, not by all rows in each step. Moments are held over 0.9 and 0.999 to the power of the
+    step, so that what fades need not be multiplied; a task has few steps.
+    """
+
+    def __init__(self, x: np.ndarray, rate: float, decay: float):
+        self.x, self.m, self.v, self.done = x, np.zeros_like(x), np.zeros_like(x), np.zeros(len(x), np.int64)
+        self.rate, self.decay = rate, decay
+
+    def at(self, rows: np.ndarray, steps: int) -> np.ndarray:
+        """These rows (each once) after `steps` steps, the ones not yet taken being without slopes."""
+        late = rows[np.argsort(self.done[rows], kind="stable")]  # those furthest behind come first
+        for i in range(0, len(late), CACHED):
+            block = late[i : i + CACHED]
+            done = self.done[block]
+            if done[0] < steps:
+                x, m, v = self.x[block], self.m[block], self.v[block]
+                for step in range(done[0] + 1, steps + 1):
+                    n = np.searchsorted(done, step)
+                    self._move(x[:n], m[:n], v[:n], step)
+                self.x[block], self.m[block], self.v[block] = x, m, v
+        self.done[rows] = steps
+        return self.x[rows]
+
+    def step(self, rows: np.ndarray, slopes: np.ndarray) -> None:
+        """The next step of rows that at() has brought to one number of steps."""
+        x, m, v = self.x[rows], self.m[rows], self.v[rows]
+        self._move(x, m, v, int(self.done[rows[0]]) + 1, slopes)
+        self.x[rows], self.m[rows], self.v[rows] = x, m, v
+        self.done[rows] += 1
+
+    def _move(self, x: np.ndarray, m: np.ndarray, v: np.ndarray, step: int, slopes: np.ndarray | None = None) -> None:
+        a, b = 0.9**step, 0.999**step
+        c = np.sqrt(b / (1 - b))
+        if slopes is None:
+            t = x * (0.1 * self.decay / a)
+        else:
+            t = x * self.decay
+            t += slopes
+            t *= 0.1 / a
+        m += t
+        np.multiply(t, t, out=t)
+        t *= 0.1 * a * a / b
+        v += t
+        np.sqrt(v, out=t)
+        t += 1e-8 / c
+        np.divide(m, t, out=t)
+        t *= self.rate * a / ((1 - a) * c)
+        x -= t
+
+
+def rested(table: np.ndarray, steps: int, rate: float, decay: float) -> np.ndarray:
+    """All rows after so many steps without slopes."""
+    out = table.copy()
+    for i in range(0, len(out), CACHED):
+        block = Vectors(out[i : i + CACHED], rate, decay)
+        block.at(np.arange(len(block.x)), steps)
+    return out
 
 
 def clipped(parts: list[np.ndarray], most: float) -> float:
@@ -317,59 +375,79 @@ def _unflat(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def changes(rows: DataFrame, vectors: DataFrame, model: Model, rate: float, margin: float, decay: float, clip: float, dropout: float, seed: int) -> DataFrame:
+def changes(rows: DataFrame, vectors: DataFrame, model: Model, parts: int, everywhere: bool, rate: float, margin: float, decay: float, clip: float, dropout: float, seed: int) -> DataFrame:
     """CHANGES of each part, summed over its n tasks: of vectors by id; and, flat in rows of `dimensions` numbers, of the
-    weights, their new moments, and the sum of losses with the number of batches. rows: dealt(); vectors: id, vector.
+    weights, their new moments, and the sum of losses with the number of batches. rows: dealt() to `parts`; vectors: id, vector.
 
-    A part gets each vector that occurs in it once, whatever the number of its facts. An unknown drawn entity counts as
-    the fact's own object, which no loss is taken of.
+    A part gets each vector that occurs in it once, whatever the number of its facts; everywhere: each vector, where parts
+    draw about as many entities as there are. An unknown drawn entity counts as the fact's own object, which no loss is
+    taken of. Vectors that only a batch's messages drew get no slopes; how decay moves them is the same in all tasks of
+    as many batches, and computed once a part.
     """
     spark, layers, origin, steps = rows.sparkSession, model.layers, model.origin, model.steps
     held = spark.sparkContext.broadcast((model.weights, model.moments))  # a few matrices of `dimensions` squared
     d = len(model.weights["q.out_bias"])
 
-    def task(table: np.ndarray, batch: np.ndarray, at: np.ndarray, time: np.ndarray, others: np.ndarray) -> tuple:
-        """Rows of the table with their changes; and the flat rest by kind."""
+    def task(table: np.ndarray, still: dict[int, np.ndarray], batch: np.ndarray, at: np.ndarray, time: np.ndarray, others: np.ndarray) -> tuple:
+        """Rows of the table with their changes; and the flat rest by kind. still: rested() of the table for the first task's
+        number of batches, which nearly all have."""
         first, moments = held.value
-        used, place = np.unique(np.concatenate([at.reshape(-1), others.reshape(-1)]), return_inverse=True)
-        at, others = place[: at.size].reshape(at.shape), place[at.size :].reshape(others.shape)
-        w, x = {k: v.copy() for k, v in first.items()}, table[used]
-        of_weights, of_vectors, losses = Adam(rate, decay, moments, steps * PER_TASK if moments else 0), Adam(rate, decay), []
-        for b in np.unique(batch):
-            mine = slice(*np.searchsorted(batch, [b, b + 1]))
+        numbers, begin, size = np.unique(batch, return_index=True, return_counts=True)
+        asks = np.arange(len(batch)) - np.repeat(begin, size) >= np.repeat((size + 1) // 2, size)
+        met = np.zeros(len(table), np.int8)
+        met[others.reshape(-1)] = 1
+        met[at.reshape(-1)] = met[others[asks].reshape(-1)] = 2  # these get slopes
+        idle, used = np.flatnonzero(met == 1), np.flatnonzero(met == 2)
+        place = np.zeros(len(table), np.int64)
+        place[used] = np.arange(len(used))
+        at, others = place[at], place[others]  # the first half's drawn ones are not looked at
+        w, x = {k: v.copy() for k, v in first.items()}, Vectors(table[used], rate, decay)
+        of_weights, losses = Adam(rate, decay, moments, steps * PER_TASK if moments else 0), []
+        for step, (b, low, n) in enumerate(zip(numbers, begin, size)):
+            mine, half = slice(low, low + n), (n + 1) // 2
             facts, drawn = at[mine], others[mine]
-            rng, half = np.random.default_rng([seed, int(b)]), (len(facts) + 1) // 2
-            mask = (rng.random((len(facts) // 2, 2 * d)) >= dropout) / (1 - dropout) if dropout else 1.0
-            # only entities and relations of the batch have slopes, and the first half's drawn ones are not looked at
+            rng = np.random.default_rng([seed, int(b)])
+            mask = (rng.random((n // 2, 2 * d)) >= dropout) / (1 - dropout) if dropout else 1.0
+            # only entities and relations of the batch have slopes
             e_rows, e_at = np.unique(facts[:, 1], return_inverse=True)
             h_rows, h_at = np.unique(np.concatenate([facts[:, 0], facts[:, 2], drawn[half:].reshape(-1)]), return_inverse=True)
-            n = len(facts)
             index = np.stack([h_at[:n], e_at, h_at[n : 2 * n]], axis=1)
             local = np.zeros_like(drawn)
             local[half:] = h_at[2 * n :].reshape(-1, drawn.shape[1])
-            loss, g, d_h, d_e = batch_gradient(w, layers, x[h_rows], x[e_rows], index, time[mine], local, margin, mask)
+            loss, g, d_h, d_e = batch_gradient(w, layers, x.at(h_rows, step), x.at(e_rows, step), index, time[mine], local, margin, mask)
             scale = clipped([*g.values(), d_h, d_e], clip)
             of_weights.step(w, {k: v * scale for k, v in g.items()})
-            of_vectors.step({"x": x}, {"x": np.concatenate([d_h, d_e]) * scale}, {"x": np.concatenate([h_rows, e_rows])})
+            x.step(np.concatenate([h_rows, e_rows]), np.concatenate([d_h, d_e]) * scale)
             losses.append(loss)
+        k = len(numbers)
+        if not still:
+            still[k] = rested(table, k, rate, decay)
+        rest = still[k][idle] if k in still else rested(table[idle], k, rate, decay)
+        moved = np.concatenate([x.at(np.arange(len(used)), k) - table[used], rest - table[idle]])
         m, v = ({k: y[i] for k, y in of_weights.moments.items()} for i in (0, 1))
         flat = {"weights": _flat({k: w[k] - first[k] for k in w}), "m": _flat(m), "v": _flat(v), "loss": np.array([sum(losses), float(len(losses))])}
-        return used, x - table[used], flat
+        return np.concatenate([used, idle]), moved, flat
 
     def run(facts: pa.Table, known: pa.Table) -> pa.Table:
-        known = known.sort_by("id")
+        if not len(facts) or not len(known):
+            return pa.table({"kind": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "g": _lists(np.zeros((0, d)))})
         ids, table = known["id"].to_numpy(), _matrix(known["vector"])
-        facts = facts.sort_by([("batch", "ascending"), ("day", "ascending"), ("row_id", "ascending")])
-        at = np.stack([facts[c].to_numpy() for c in ("s", "r", "o")], axis=1)
-        others = _matrix(facts["others"])
-        others = np.where(np.isin(others, ids), others, at[:, 2:])
-        here = np.isin(at, ids).all(axis=1)
-        at, others = np.searchsorted(ids, at[here]), np.searchsorted(ids, others[here])
-        time, batch = (facts["day"].to_numpy()[here] - origin) / YEAR, facts["batch"].to_numpy()[here]
-        total, n, flat, tasks = np.zeros_like(table), np.zeros(len(table), np.int64), {}, np.unique(batch // PER_TASK)
+        order = np.argsort(ids)
+        ids, table = ids[order], table[order]
+        batch, day, row, *at = (facts[c].to_numpy() for c in ("batch", "day", "row_id", "s", "r", "o"))
+        order = np.lexsort((row, day, batch))
+        batch, day, at, others = batch[order], day[order], np.stack(at, axis=1)[order], _matrix(facts["others"])[order]
+        low, high = min(int(x.min(initial=0)) for x in (ids, at, others)), max(int(x.max(initial=0)) for x in (ids, at, others))
+        place = np.full(high - low + 1, -1)
+        place[ids - low] = np.arange(len(ids))
+        at, others = place[at - low], place[others - low]
+        here = (at >= 0).all(axis=1)
+        at, others, batch, time = at[here], others[here], batch[here], (day[here] - origin) / YEAR
+        others = np.where(others >= 0, others, at[:, 2:])
+        total, n, flat, tasks, still = np.zeros_like(table), np.zeros(len(table), np.int64), {}, np.unique(batch // PER_TASK), {}
         for t in tasks:
             mine = slice(*np.searchsorted(batch, [t * PER_TASK, (t + 1) * PER_TASK]))
-            used, moved, more = task(table, batch[mine], at[mine], time[mine], others[mine])
+            used, moved, more = task(table, still, batch[mine], at[mine], time[mine], others[mine])
             total[used] += moved
             n[used] += 1
             flat = {k: flat.get(k, 0) + v for k, v in more.items()}
@@ -381,9 +459,12 @@ def changes(rows: DataFrame, vectors: DataFrame, model: Model, rate: float, marg
             keys, counts, values = [*keys, np.arange(len(v))], [*counts, np.full(len(v), len(tasks))], [*values, v]
         return pa.table({"kind": pa.array(kinds, pa.string()), "id": np.concatenate(keys), "n": np.concatenate(counts), "g": _lists(np.concatenate(values).reshape(-1, d))})
 
-    wanted = rows.select(F.col("part").alias("to"), F.explode(F.concat("others", F.array("s", "r", "o"))).alias("id")).distinct()
-    known = wanted.join(vectors.select("id", "vector"), "id").select("to", "id", "vector")
-    return rows.groupBy("part").cogroup(known.groupBy("to")).applyInArrow(run, CHANGES)
+    if everywhere:
+        known = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("to"), "id", "vector")
+    else:
+        wanted = rows.select(F.col("part").alias("to"), F.explode(F.concat("others", F.array("s", "r", "o"))).alias("id")).distinct()
+        known = wanted.join(vectors.select("id", "vector"), "id").select("to", "id", "vector")
+    return rows.groupBy("part").cogroup(known.repartitionById(parts, F.col("to")).groupBy("to")).applyInArrow(run, CHANGES)
 
 
 def _mean_weights(means: DataFrame) -> tuple[dict[str, np.ndarray], float]:
@@ -405,9 +486,11 @@ def train(facts: DataFrame, model: Model, epochs: int = 3, rate: float = 0.01, b
     tables = {"entity": model.entities, "relation": model.relations}
     parts = [table.select("name", "vector").join(names.where(F.col("kind") == kind), "name").select("id", "vector") for kind, table in tables.items()]
     vectors = durable(parts[0].union(parts[1]), "vectors")
+    n, *_, to = layout(rows, batch)
+    everywhere = n * negatives >= to * total
     for _ in range(epochs):
         now = seed + model.steps
-        changed = changes(dealt(rows, total, batch, negatives, now), vectors, model, rate, margin, decay, clip, dropout, now)
+        changed = changes(dealt(rows, total, batch, negatives, now), vectors, model, to, everywhere, rate, margin, decay, clip, dropout, now)
         by = changed.groupBy("kind", "id").agg(F.sum("n").alias("n"), *_sums("g", d, "g", F.lit(1.0)))
         by = durable(by.select("kind", "id", _gathered("g", d, "n")), "mean-changes")
         mean, loss = _mean_weights(by)
