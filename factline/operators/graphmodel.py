@@ -292,7 +292,7 @@ class Adam:
 
 
 class Vectors:
-    """Rows of x, changed in place, under Adam with weight decay from no moments on, where most steps bring slopes for few rows.
+    """Rows of x, which it changes in place, under Adam with weight decay from no moments on, where most steps bring slopes for few rows.
 
     A row's steps without slopes depend on nothing but the row. They are taken when it is looked at, by blocks of rows that
     stay in the processor's cache, not by all rows in each step. Moments are held over 0.9 and 0.999 to the power of the
@@ -301,29 +301,31 @@ class Vectors:
 
     def __init__(self, x: np.ndarray, rate: float, decay: float):
         self.x, self.m, self.v, self.done = x, np.zeros_like(x), np.zeros_like(x), np.zeros(len(x), np.int64)
-        self.rate, self.decay = rate, decay
+        self.rate, self.decay, self.held = rate, decay, None
 
     def at(self, rows: np.ndarray, steps: int) -> np.ndarray:
         """These rows (each once) after `steps` steps, the ones not yet taken being without slopes."""
-        late = rows[np.argsort(self.done[rows], kind="stable")]  # those furthest behind come first
+        order = np.argsort(self.done[rows], kind="stable")  # those furthest behind come first
+        late = rows[order]
+        done, held = self.done[late], (self.x[late], self.m[late], self.v[late])
         for i in range(0, len(late), CACHED):
-            block = late[i : i + CACHED]
-            done = self.done[block]
-            if done[0] < steps:
-                x, m, v = self.x[block], self.m[block], self.v[block]
-                for step in range(done[0] + 1, steps + 1):
-                    n = np.searchsorted(done, step)
-                    self._move(x[:n], m[:n], v[:n], step)
-                self.x[block], self.m[block], self.v[block] = x, m, v
-        self.done[rows] = steps
-        return self.x[rows]
-
-    def step(self, rows: np.ndarray, slopes: np.ndarray) -> None:
-        """The next step of rows that at() has brought to one number of steps."""
-        x, m, v = self.x[rows], self.m[rows], self.v[rows]
-        self._move(x, m, v, int(self.done[rows[0]]) + 1, slopes)
-        self.x[rows], self.m[rows], self.v[rows] = x, m, v
-        self.done[rows] += 1
+            x, m, v = (y[i : i + CACHED] for y in held)
+            for step in range(done[i] + 1, steps + 1):
+                n = np.searchsorted(done[i : i + CACHED], step)
+                self._move(x[:n], m[:n], v[:n], step)
+        self.held = late, held, order, steps
+        out = np.empty_like(held[0])
+        out[order] = held[0]
+        return out
+
+    def step(self, slopes: np.ndarray) -> None:
+        """The next step of the rows that at() has returned last; no other rows are kept as at() brings them."""
+        late, held, order, steps = self.held
+        slopes = slopes[order]
+        for i in range(0, len(late), CACHED):
+            self._move(*(y[i : i + CACHED] for y in held), steps + 1, slopes[i : i + CACHED])
+        self.x[late], self.m[late], self.v[late] = held
+        self.done[late] = steps + 1
 
     def _move(self, x: np.ndarray, m: np.ndarray, v: np.ndarray, step: int, slopes: np.ndarray | None = None) -> None:
         a, b = 0.9**step, 0.999**step
@@ -349,8 +351,8 @@ def rested(table: np.ndarray, steps: int, rate: float, decay: float) -> np.ndarr
     """All rows after so many steps without slopes."""
     out = table.copy()
     for i in range(0, len(out), CACHED):
-        block = Vectors(out[i : i + CACHED], rate, decay)
-        block.at(np.arange(len(block.x)), steps)
+        block = out[i : i + CACHED]
+        block[:] = Vectors(block, rate, decay).at(np.arange(len(block)), steps)
     return out
 
 
@@ -401,8 +403,11 @@ def changes(rows: DataFrame, vectors: DataFrame, model: Model, parts: int, every
         place = np.zeros(len(table), np.int64)
         place[used] = np.arange(len(used))
         at, others = place[at], place[others]  # the first half's drawn ones are not looked at
-        w, x = {k: v.copy() for k, v in first.items()}, Vectors(table[used], rate, decay)
-        of_weights, losses = Adam(rate, decay, moments, steps * PER_TASK if moments else 0), []
+        start = _flat(first)
+        flat, x = start.copy(), Vectors(table[used], rate, decay)
+        w = _unflat(flat, first)  # views of it
+        had = {"w": tuple(_flat({k: y[i] for k, y in moments.items()}) for i in (0, 1))} if moments else None
+        of_weights, losses = Adam(rate, decay, had, steps * PER_TASK if moments else 0), []
         for step, (b, low, n) in enumerate(zip(numbers, begin, size)):
             mine, half = slice(low, low + n), (n + 1) // 2
             facts, drawn = at[mine], others[mine]
@@ -414,19 +419,19 @@ def changes(rows: DataFrame, vectors: DataFrame, model: Model, parts: int, every
             index = np.stack([h_at[:n], e_at, h_at[n : 2 * n]], axis=1)
             local = np.zeros_like(drawn)
             local[half:] = h_at[2 * n :].reshape(-1, drawn.shape[1])
-            loss, g, d_h, d_e = batch_gradient(w, layers, x.at(h_rows, step), x.at(e_rows, step), index, time[mine], local, margin, mask)
+            h, e = np.split(x.at(np.concatenate([h_rows, e_rows]), step), [len(h_rows)])
+            loss, g, d_h, d_e = batch_gradient(w, layers, h, e, index, time[mine], local, margin, mask)
             scale = clipped([*g.values(), d_h, d_e], clip)
-            of_weights.step(w, {k: v * scale for k, v in g.items()})
-            x.step(np.concatenate([h_rows, e_rows]), np.concatenate([d_h, d_e]) * scale)
+            of_weights.step({"w": flat}, {"w": _flat(g) * scale})
+            x.step(np.concatenate([d_h, d_e]) * scale)
             losses.append(loss)
         k = len(numbers)
         if not still:
             still[k] = rested(table, k, rate, decay)
         rest = still[k][idle] if k in still else rested(table[idle], k, rate, decay)
         moved = np.concatenate([x.at(np.arange(len(used)), k) - table[used], rest - table[idle]])
-        m, v = ({k: y[i] for k, y in of_weights.moments.items()} for i in (0, 1))
-        flat = {"weights": _flat({k: w[k] - first[k] for k in w}), "m": _flat(m), "v": _flat(v), "loss": np.array([sum(losses), float(len(losses))])}
-        return np.concatenate([used, idle]), moved, flat
+        m, v = of_weights.moments["w"]
+        return np.concatenate([used, idle]), moved, {"weights": flat - start, "m": m, "v": v, "loss": np.array([sum(losses), float(len(losses))])}
 
     def run(facts: pa.Table, known: pa.Table) -> pa.Table:
         if not len(facts) or not len(known):
